@@ -38,12 +38,15 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that lost executors cost no recomputation.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is made only where none is set.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_path(spark: SparkSession) -> str:
+    """The shared folder for cut lineage: the cluster's ``spark.checkpoint.dir``; a local one only where none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, so that lost executors cost no recomputation."""
+    checkpoint_path(df.sparkSession)
     return df.checkpoint()
