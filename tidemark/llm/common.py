@@ -47,7 +47,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """
     values = [c for c in groups.columns if c not in keys]
     hot = groups.where(F.col(size) * HOT_SHARE > total).select(*keys, *[F.col(v).alias(f"__hot_{v}") for v in values])
-    cold = groups.where(F.col(size) * HOT_SHARE <= total).withColumn("__spread", F.lit(0))
+    # Always 0, but not a literal: Spark would take that out of the join keys and deal rows by the rest.
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    cold = groups.where(F.col(size) * HOT_SHARE <= total).withColumn("__spread", zero)
     out = rows.join(F.broadcast(hot), keys, "left")
     is_hot = F.col(f"__hot_{size}").isNotNull()
     out = out.withColumn("__spread", F.when(is_hot, 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0))
