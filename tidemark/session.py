@@ -18,6 +18,7 @@ def build_session(app: str = "tidemark", master: str | None = None, partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         b = b.master(master)
