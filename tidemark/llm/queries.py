@@ -13,6 +13,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.url_filter import url_filter
 from tidemark.session import load, ship_package
 
@@ -23,6 +24,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(load(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {URL_RULES}"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, load(spark, sf_dir, "labels"))).drop("clauses")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents"))
 
