@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import near_lines
@@ -14,6 +15,7 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import simhash_groups
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.url_filter import url_filter
 from tidemark.session import load, ship_package
@@ -40,6 +42,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
