@@ -19,11 +19,11 @@ def _rules() -> dict[int, tuple[str, Column]]:
     return {
         0: ("few_words", n < 10),
         1: ("repeated_windows", F.col("n_repeat_words") * 100 > n * 20),
-        2: ("symbols", F.col("n_symbols") > n * 2),
+        2: ("symbols", F.col("n_symbols") * 10 > n),
         3: ("duplicate_lines", (F.col("n_dup_lines") * 2 > F.col("n_lines")) & (F.col("n_dup_lines") > 2)),
         4: ("short_words", (F.col("word_chars") < n * 2) & (n > 0)),
         5: ("long_words", F.col("word_chars") > n * 25),
-        6: ("symbols_strict", F.col("n_symbols") * 10 > n),
+        6: ("any_duplicate_line", F.col("n_dup_lines") > 0),
     }
 
 
@@ -54,13 +54,9 @@ def _repeat_words(words: str) -> Column:
     return F.when(F.size(words) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its measurements and ``failed``, a bitmask with a bit for every rule that fails.
-
-    Every rule is evaluated once, here; policies and ablations only look at the bits. Null and empty texts
-    have no words and fail rule 0. Repeated rows are measured each; other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
+def _measured(docs: DataFrame, carry: Column, text_col: str) -> DataFrame:
+    """The measurements and bits of every row, next to ``carry``."""
+    rows = docs.select(carry.alias("__carry"), text_of(text_col).alias("__text"))
     rows = rows.withColumns({"__words": words_of(F.col("__text")), "__lines": F.filter(F.split("__text", "\n"), lambda s: F.btrim(s, F.lit(WHITE)) != "")})
     rows = rows.withColumns(
         {
@@ -83,10 +79,19 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = rows.withColumn("n_repeat_words", F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x))
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, test) in _rules().items()])
     return rows.select(
-        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", bits.alias("failed")
+        "__carry", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", bits.alias("failed")
     )
 
 
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its measurements and ``failed``, a bitmask with a bit for every rule that fails.
+
+    Every rule is evaluated once, here; policies and ablations only look at the bits. Null and empty texts
+    have no words and fail rule 0. Repeated rows are measured each; other columns are ignored.
+    """
+    return _measured(docs, F.col(id_col), text_col).withColumnRenamed("__carry", id_col)
+
+
 def fails(policy: Policy, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(policy.mask).cast("long")) != 0
 
@@ -112,3 +117,10 @@ def quality_rules(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", t
     """The ledger with the verdicts of the base rules and of a versioned policy."""
     led = ledger(docs, id_col, text_col)
     return led.withColumns({"base_failed": fails(BASE), "kept": ~fails(BASE) & ~fails(POLICIES[policy])})
+
+
+def keep_good(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The documents that pass the base rules and the policy, with all their columns; nothing is shuffled."""
+    rows = _measured(docs, F.struct(*[docs[c] for c in docs.columns]), text_col)
+    # Not a filter: pushed below the projections, it would compute the measurements once per word.
+    return rows.select(F.inline(F.when(~fails(BASE) & ~fails(POLICIES[policy]), F.array("__carry"))))

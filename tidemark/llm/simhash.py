@@ -67,50 +67,83 @@ def bit_counts(prints: DataFrame) -> np.ndarray:
     return out.reshape(BITS, BITS)
 
 
-def partition_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
-    """Bits dealt to parts of near equal width, each bit to the part whose bits it is most correlated with."""
+def partition_bits(both: np.ndarray, n: int, parts: int, within: list[int]) -> list[list[int]]:
+    """The bits ``within`` dealt to parts of near equal width, each bit to the part it is most correlated with."""
     p = np.diag(both) / max(n, 1)
     cov = both / max(n, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     near = np.abs(cov / np.outer(sd, sd))
-    left, out = list(range(BITS)), []
+    left, out = list(within), []
     for k in range(parts):
         part = [left.pop(0)]
-        while len(part) < (BITS - sum(map(len, out))) // (parts - k):
+        while len(part) < (len(within) - sum(map(len, out))) // (parts - k):
             part.append(left.pop(int(np.argmax(near[np.ix_(left, part)].mean(axis=1)))))
         out.append(sorted(part))
     return out
 
 
-def allocate(both: np.ndarray, n: int, distance: int, most: int = 4) -> list[tuple[list[int], int]]:
-    """The parts with their thresholds that cost least: [(bits, threshold), ...].
+#: Rows that a candidate pair costs in verification: both fingerprints with the points around them.
+CANDIDATE_ROWS = 2 * (1 + BITS)
+
+
+def _within(differ: np.ndarray, most: int) -> float:
+    """The chance that at most ``most`` of independent bits differ."""
+    dist = np.zeros(len(differ) + 1)
+    dist[0] = 1
+    for q in differ:
+        dist[1:] = dist[1:] * (1 - q) + dist[:-1] * q
+        dist[0] *= 1 - q
+    return float(dist[: most + 1].sum())
+
+
+def _deal(both: np.ndarray, n: int, distance: int, within: list[int], parts: int, emitted: int, chance: float) -> list[tuple[float, list[int], int]]:
+    """The cheapest thresholds for so many parts of the bits ``within``: (cost, bits, threshold) of each part probed.
+
+    Dynamic programming over the parts and the shares given out. ``emitted`` signatures a fingerprint and
+    the ``chance`` that a pair meets already come from an outer probe.
+    """
+    p = np.diag(both) / max(n, 1)
+    differ = 2 * p * (1 - p)
+    table: dict = {0: (0.0, [])}
+    for bits in partition_bits(both, n, parts, within):
+        own = [(0.0, bits, -1)]
+        for t in range(distance + 1):
+            flips = sum(comb(len(bits), d) for d in range(t + 1))
+            own.append((emitted * flips * n + CANDIDATE_ROWS * chance * _within(differ[bits], t) * n * n / 2, bits, t))
+        new: dict = {}
+        for used, (cost, plan) in table.items():
+            for share in range(distance + 2 - used):
+                if used + share not in new or cost + own[share][0] < new[used + share][0]:
+                    new[used + share] = (cost + own[share][0], [*plan, own[share]])
+        table = new
+    return [x for x in table[distance + 1][1] if x[2] >= 0]
+
+
+def allocate(both: np.ndarray, n: int, distance: int, most: int = 4) -> list[list[tuple[list[int], int]]]:
+    """The probes that cost least; each is one or two (bits, threshold) parts that must both be met.
 
     If the (threshold + 1) of all parts add up to distance + 1, two fingerprints within the distance are
-    within the threshold of at least one part (a part without a share is never probed). Dynamic
-    programming deals these shares out. A part's cost is the signatures it emits plus the candidate pairs
-    expected from the share of fingerprints that have each bit, both counted over the whole table.
+    within the threshold of at least one part (a part without a share is never probed). A part that is
+    expected to give too many candidates is probed together with parts of the remaining bits, dealt by
+    the same rule, so candidates do not outgrow the table. Costs are the signatures emitted plus the
+    candidate pairs expected from each bit's share of ones, counted over the whole table.
     """
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(1, most + 1):
-        groups = partition_bits(both, n, parts)
-        table = {0: (0.0, [])}
-        for bits in groups:
-            dist = np.zeros(len(bits) + 1)
-            dist[0] = 1
-            for b in bits:
-                dist[1:] = dist[1:] * (1 - differ[b]) + dist[:-1] * differ[b]
-                dist[0] *= 1 - differ[b]
-            new: dict = {}
-            for used, (cost, plan) in table.items():
-                for share in range(distance + 2 - used):
-                    own = sum(comb(len(bits), d) for d in range(share)) * n + dist[:share].sum() * n * n / 2
-                    if used + share not in new or cost + own < new[used + share][0]:
-                        new[used + share] = (cost + own, [*plan, (bits, share - 1)])
-            table = new
-        best = min(best, table[distance + 1], key=lambda x: x[0])
-    return [(bits, t) for bits, t in best[1] if t >= 0]
+        total, probes = 0.0, []
+        for cost, bits, t in _deal(both, n, distance, list(range(BITS)), parts, 1, 1.0):
+            inner: tuple[float, list] = (cost, [[(bits, t)]])
+            rest = [b for b in range(BITS) if b not in bits]
+            flips = sum(comb(len(bits), d) for d in range(t + 1))
+            for k in range(1, most + 1 if rest else 1):
+                deal = _deal(both, n, distance, rest, k, flips, _within(differ[bits], t))
+                inner = min(inner, (sum(c for c, _, _ in deal), [[(bits, t), (b, u)] for _, b, u in deal]), key=lambda x: x[0])
+            total += inner[0]
+            probes += inner[1]
+        best = min(best, (total, probes), key=lambda x: x[0])
+    return best[1]
 
 
 def _signed(x: int) -> int:
@@ -134,16 +167,16 @@ def links(prints: DataFrame, n: int, distance: int = 2) -> DataFrame:
         raise ValueError("the distance must be even")
     plan = allocate(bit_counts(prints.select("__fp")), n, distance)
     fp = F.col("__fp")
+    masks = [[x ^ y for x in _ball(*probe[0]) for y in (_ball(*probe[1]) if len(probe) > 1 else [0])] for probe in plan]
 
-    def signatures(part: int, bits: list[int], threshold: int) -> Column:
-        own = fp.bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        flips = F.array(*[F.lit(m) for m in _ball(bits, threshold)])
-        return F.transform(flips, lambda m: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(m).alias("key"), (m == 0).alias("own")))
+    def signatures(number: int, probe: list[tuple[list[int], int]], flips: list[int]) -> Column:
+        own = fp.bitwiseAND(F.lit(_signed(sum(1 << b for bits, _ in probe for b in bits))))
+        return F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: F.struct(F.lit(number).alias("part"), own.bitwiseXOR(m).alias("key"), (m == 0).alias("own")))
 
-    probes = prints.select("__fp", F.inline(F.concat(*[signatures(k, bits, t) for k, (bits, t) in enumerate(plan)])))
+    probes = prints.select("__fp", F.inline(F.concat(*[signatures(k, probe, flips) for k, (probe, flips) in enumerate(zip(plan, masks, strict=True))])))
     buckets = probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("__size"), F.min("__fp").alias("lo"), F.max("__fp").alias("hi"), F.max("own").alias("own"))
     buckets = buckets.where("lo <> hi and own").select("part", "key", "__size")
-    total = n * sum(len(_ball(bits, t)) for bits, t in plan)
+    total = n * sum(map(len, masks))
     alive = join_groups(probes, buckets, ["part", "key"], "__size", total, fp).where(F.col("__size").isNotNull()).select("__fp").distinct()
     points = alive.select("__fp", F.explode(F.transform(F.array(*[F.lit(m) for m in _ball(list(range(BITS)), distance // 2)]), lambda m: fp.bitwiseXOR(m))).alias("point"))
     stars = points.groupBy("point").agg(F.collect_list("__fp").alias("near")).where(F.size("near") > 1)
