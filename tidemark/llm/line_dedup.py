@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import WHITE, join_groups, lower_az, text_of, words_of
-from tidemark.session import cut_lineage
+from tidemark.llm.common import WHITE, join_groups, text_of, words_of
+from tidemark.session import checkpoint_path, cut_lineage
 
 #: Lines that may have a near copy are fetched by broadcast of their 8-byte hashes up to this many, beyond by a shuffle.
 BROADCAST_LINES = 2_000_000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __no, __line): the lines with a word, A-Z lower-cased, with a hash."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(lower_az(text_of(text_col)), "\n")).alias("__no", "__line"))
+    """(__id, __no, __line, __l): the lines with a word, in lower case, and their hash."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.lower(text_of(text_col)), "\n")).alias("__no", "__line"))
     return rows.where(F.btrim("__line", F.lit(WHITE)) != "").withColumn("__l", F.xxhash64("__line"))
 
 
@@ -32,7 +34,8 @@ def _half_keys(words: Column, min_words: int) -> Column:
     n = F.size(words)
     half = lambda h, first: F.xxhash64(F.lit(first), h, F.slice(words, F.lit(1) if first else n - h + 1, h))
     a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    keys = F.array_distinct(F.array(half(a, True), half(b, True), half(a, False), half(b, False)))
+    # For odd n both halves are the same.
+    keys = F.when(a == b, F.array(half(a, True), half(a, False))).otherwise(F.array(half(a, True), half(b, True), half(a, False), half(b, False)))
     return F.when(n >= min_words - 1, keys).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -52,7 +55,7 @@ def _one_edit(a: str, b: str) -> Column:
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """Every line with a word, whether it stays, and the earliest line that it repeats.
 
-    Lines are compared after lower-casing A-Z. A line goes if an earlier one (by document id, then line
+    Lines are compared in lower case. A line goes if an earlier one (by document id, then line
     number) is equal to it, or differs by one inserted, deleted or replaced word where the longer has at
     least ``min_words``. Each distinct line that shares a half with another emits the hashes of all its
     one-word deletions; equal variants meet, the earliest line of each meeting is verified word by word.
@@ -76,34 +79,42 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = cut_lineage(near)
     near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
     texts = _lines(docs, id_col, text_col).join(near, "__l", "left_semi").groupBy("__l").agg(F.first("__line").alias("__line"))
-    texts = cut_lineage(texts.join(firsts.select("__l", "__first"), "__l").select("__l", "__first", words_of(F.col("__line")).alias("__words")))
+    texts = cut_lineage(texts.select("__l", words_of(F.col("__line")).alias("__words")))
 
-    # One row per word: the hash without it, of what stands before and, moved up by one, after it.
-    words = texts.select("__l", "__first", F.size("__words").alias("__n"), F.posexplode("__words").alias("__i", "__word"))
-    words = words.withColumns({"__here": F.xxhash64("__word", "__i"), "__up": F.xxhash64("__word", F.col("__i") - 1)})
+    # One row per word: the hash of the line without it, from what stands before and, moved up by one, after it.
+    words = texts.repartition("__l").select("__l", F.size("__words").alias("__n"), F.posexplode("__words").alias("__i", "__word"))
+    words = words.select("__l", "__n", "__i", F.xxhash64("__word", "__i").alias("__here"), F.xxhash64("__word", F.col("__i") - 1).alias("__up"))
     line = W.partitionBy("__l")
     upto = line.orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
     words = words.withColumns(
         {"__h": F.bit_xor("__here").over(upto), "__u": F.bit_xor("__up").over(upto), "__uall": F.bit_xor("__up").over(line)}
     )
     without = F.col("__h").bitwiseXOR(F.col("__here")).bitwiseXOR(F.col("__uall")).bitwiseXOR(F.col("__u"))
+    row = lambda m, i, v: F.struct(m.alias("__m"), i.alias("__i"), v.alias("__v"))
+    less = F.when(F.col("__n") >= min_words, row(F.col("__n") - 1, F.col("__i"), without))
+    full = F.when(F.col("__i") == F.col("__n") - 1, row(F.col("__n"), F.lit(-1), F.col("__h")))
+    table = f"{checkpoint_path(docs.sparkSession)}/variants-{uuid4().hex}"
+    words.select("__l", F.inline(F.array_compact(F.array(less, full)))).write.parquet(table)
+    variants = docs.sparkSession.read.parquet(table)
+
+    # Most variants meet no other line's; the rest take their line's first place along.
+    met = variants.groupBy("__v", "__m").agg(F.count(F.lit(1)).alias("__size"), F.min("__l").alias("__lo"), F.max("__l").alias("__hi")).where("__lo <> __hi").select("__v", "__m", "__size")
+    alive = join_groups(variants, met, ["__v", "__m"], "__size", variants.count(), F.col("__l")).where("__size is not null").drop("__size")
+    alive = cut_lineage(alive.join(firsts.select("__l", "__first"), "__l"))
+    m = alive.count()
     who = F.struct("__first", "__l")
-    less = words.where(F.col("__n") >= min_words).select("__l", "__first", (F.col("__n") - 1).alias("__m"), "__i", without.alias("__v"))
-    full = words.where(F.col("__i") == F.col("__n") - 1).select("__l", "__first", F.col("__n").alias("__m"), F.lit(-1).alias("__i"), F.col("__h").alias("__v"))
-    variants = cut_lineage(less.unionByName(full))
-    m = variants.count()
 
     # Replaced: the same deletion at the same place. Inserted: a deletion equal to a whole line. Equal words: two whole lines.
-    same = variants.groupBy("__v", "__m", "__i").agg(F.min(who).alias("__who"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
-    replaced = join_groups(variants, same, ["__v", "__m", "__i"], "__size", m, F.col("__l")).where("__size is not null").select("__l", "__who")
+    same = alive.groupBy("__v", "__m", "__i").agg(F.min(who).alias("__who"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
+    replaced = join_groups(alive, same, ["__v", "__m", "__i"], "__size", m, F.col("__l")).where("__size is not null").select("__l", "__who")
     whole = F.col("__i") < 0
-    met = variants.groupBy("__v", "__m").agg(
+    both = alive.groupBy("__v", "__m").agg(
         F.min(F.when(whole, who)).alias("__whole"), F.min(F.when(~whole, who)).alias("__less"), F.count(F.lit(1)).alias("__size")
     ).where("__whole is not null and __less is not null")
-    inserted = join_groups(variants, met, ["__v", "__m"], "__size", m, F.col("__l")).where("__size is not null")
+    inserted = join_groups(alive, both, ["__v", "__m"], "__size", m, F.col("__l")).where("__size is not null")
     inserted = inserted.select("__l", F.when(whole, F.col("__less")).otherwise(F.col("__whole")).alias("__who"))
     pairs = replaced.unionByName(inserted).select("__l", F.col("__who.__l").alias("__other"), F.col("__who.__first").alias("__before")).where("__l <> __other").distinct()
-    one = texts.select("__l", "__first", "__words")
+    one = texts.select("__l", "__words").join(firsts.select("__l", "__first"), "__l")
     two = texts.select(F.col("__l").alias("__other"), F.col("__words").alias("__theirs"))
     pairs = pairs.join(one, "__l").where(F.col("__before") < F.col("__first")).join(two, "__other").where(_one_edit("__words", "__theirs"))
     before = pairs.groupBy("__l").agg(F.min("__before").alias("__near"))
