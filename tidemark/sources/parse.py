@@ -83,12 +83,7 @@ def best_filing(facts: DataFrame, keys: list[str]) -> DataFrame:
     return keep_best(facts.withColumn("__q", F.coalesce(quarter, F.lit(False))), keys, F.desc("__q"), F.desc("filed"), F.abs(F.col("value"))).drop("__q")
 
 
-@F.udf("string")
-def dereference(table_json: str | None) -> str | None:
-    """The document of an index-compressed JSON table: numbers stand for places in the table.
-
-    Recursion is beyond column functions; cycles come out as null. Used on landed provider documents only.
-    """
+def _dereference(table_json: str | None) -> str | None:
     if table_json is None:
         return None
     try:
@@ -106,3 +101,11 @@ def dereference(table_json: str | None) -> str | None:
         return done[i]
 
     return json.dumps(look(0)) if isinstance(table, list) and table else None
+
+
+def dereference(c: Column) -> Column:
+    """The document of an index-compressed JSON table: numbers stand for places in the table.
+
+    Recursion is beyond column functions; cycles come out as null. For landed provider documents only.
+    """
+    return F.udf(_dereference, "string")(c)
