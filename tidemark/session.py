@@ -32,7 +32,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver runs it from a checkout."""
+    """Let Python workers import this package when the driver runs it from a checkout.
+
+    Arrow batches are cut to a thousand rows where the session has Spark's default of ten thousand:
+    rows are whole texts here, and a worker holds a batch with all that is made from it.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
