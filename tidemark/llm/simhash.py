@@ -82,6 +82,8 @@ def partition_bits(both: np.ndarray, n: int, parts: int, within: list[int]) -> l
     return out
 
 
+#: Probes are planned for a table so many times larger: candidates grow with the square of its size.
+HEADROOM = 10
 #: Rows that a candidate pair costs in verification: both fingerprints with the points around them.
 CANDIDATE_ROWS = 2 * (1 + BITS)
 
@@ -165,7 +167,7 @@ def links(prints: DataFrame, n: int, distance: int = 2) -> DataFrame:
     """
     if distance % 2:
         raise ValueError("the distance must be even")
-    plan = allocate(bit_counts(prints.select("__fp")), n, distance)
+    plan = allocate(bit_counts(prints.select("__fp")) * HEADROOM, n * HEADROOM, distance)
     fp = F.col("__fp")
     masks = [[x ^ y for x in _ball(*probe[0]) for y in (_ball(*probe[1]) if len(probe) > 1 else [0])] for probe in plan]
 
