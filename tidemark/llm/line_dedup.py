@@ -30,13 +30,14 @@ def _half_keys(words: Column, min_words: int) -> Column:
     """Hashes of the first and last halves. Lines one word edit apart share at least one of them.
 
     A line of n words is halved at n div 2 and at (n - 1) div 2, so lines of n and n - 1 words meet.
+    Lines too short for an edit only meet lines of the same words.
     """
     n = F.size(words)
     half = lambda h, first: F.xxhash64(F.lit(first), h, F.slice(words, F.lit(1) if first else n - h + 1, h))
     a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     # For odd n both halves are the same.
     keys = F.when(a == b, F.array(half(a, True), half(a, False))).otherwise(F.array(half(a, True), half(b, True), half(a, False), half(b, False)))
-    return F.when(n >= min_words - 1, keys).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= min_words - 1, keys).otherwise(F.array(F.xxhash64(words)))
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -55,7 +56,7 @@ def _one_edit(a: str, b: str) -> Column:
 def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """Every line with a word, whether it stays, and the earliest line that it repeats.
 
-    Lines are compared in lower case. A line goes if an earlier one (by document id, then line
+    Lines are compared in lower case, word by word. A line goes if an earlier one (by document id, then line
     number) is equal to it, or differs by one inserted, deleted or replaced word where the longer has at
     least ``min_words``. Each distinct line that shares a half with another emits the hashes of all its
     one-word deletions; equal variants meet, the earliest line of each meeting is verified word by word.
