@@ -54,29 +54,36 @@ def _repeat_words(words: str) -> Column:
     return F.when(F.size(words) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns by an explode of one row: what stands above, pushed-down filters too, cannot inline them.
+
+    Lambda functions read them once per word; inlined there, a text would be split once per word.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def _measured(docs: DataFrame, carry: Column, text_col: str) -> DataFrame:
     """The measurements and bits of every row, next to ``carry``."""
     rows = docs.select(carry.alias("__carry"), text_of(text_col).alias("__text"))
-    rows = rows.withColumns({"__words": words_of(F.col("__text")), "__lines": F.filter(F.split("__text", "\n"), lambda s: F.btrim(s, F.lit(WHITE)) != "")})
-    rows = rows.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace("__text", "[^#*$%&|<>]+", "")).cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "__hashes": _repeat_words("__words"),
-        }
+    rows = _computed(rows, __words=words_of(F.col("__text")), __lines=F.filter(F.split("__text", "\n"), lambda s: F.btrim(s, F.lit(WHITE)) != ""))
+    rows = _computed(
+        rows,
+        n_words=F.size("__words").cast("long"),
+        word_chars=F.length(F.array_join("__words", "")).cast("long"),
+        n_symbols=F.length(F.regexp_replace("__text", "[^#*$%&|<>]+", "")).cast("long"),
+        n_lines=F.size("__lines").cast("long"),
+        n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        __hashes=_repeat_words("__words"),
     )
     pairs = F.array_sort(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("__pairs", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    rows = _computed(rows, __pairs=F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     same = lambda i, j: F.get(F.col("__pairs"), j)["h"] == F.get(F.col("__pairs"), i)["h"]
     last = F.size("__pairs") - 1
     again = F.filter("__pairs", lambda p, i: ((i > 0) & same(i, F.greatest(i - 1, F.lit(0)))) | ((i < last) & same(i, i + 1)))
-    rows = rows.withColumn("__again", F.array_sort(F.transform(again, lambda p: p["i"])))
+    rows = _computed(rows, __again=F.array_sort(F.transform(again, lambda p: p["i"])))
     # Each repeated window covers the words up to the next repeated one, five at most.
     span = F.transform("__again", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__again"), i + 1) - p, F.lit(WINDOW))))
-    rows = rows.withColumn("n_repeat_words", F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x))
+    rows = _computed(rows, n_repeat_words=F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x))
     bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, test) in _rules().items()])
     return rows.select(
         "__carry", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", bits.alias("failed")
@@ -122,5 +129,4 @@ def quality_rules(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
     """The documents that pass the base rules and the policy, with all their columns; nothing is shuffled."""
     rows = _measured(docs, F.struct(*[docs[c] for c in docs.columns]), text_col)
-    # Not a filter: pushed below the projections, it would compute the measurements once per word.
-    return rows.select(F.inline(F.when(~fails(BASE) & ~fails(POLICIES[policy]), F.array("__carry"))))
+    return rows.where(~fails(BASE) & ~fails(POLICIES[policy])).select("__carry.*")
