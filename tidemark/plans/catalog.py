@@ -12,7 +12,7 @@ from tidemark.functions import dates as fd
 from tidemark.functions import numbers as fn
 from tidemark.functions import text as ft
 from tidemark.operators import alerts as al
-from tidemark.operators import merge, quality, stats, timeseries, windows
+from tidemark.operators import merge, quality, quarters as qt, stats, timeseries, windows
 from tidemark.operators.asof import asof_join
 from tidemark.plans import api
 from tidemark.session import checkpoint_path, load, ship_package
@@ -553,6 +553,89 @@ def proxy_series(spark, sf):
     return timeseries.proxy_series(df, "entity", "d", "v", "us10y_yield", 21.5, "pe_proxy")
 
 
+@query(f"WITH {S} SELECT entity, count(v) AS n, {rnd('avg(v)', 4)} AS mean, {rnd('coalesce(stddev_samp(v), 0)', 4)} AS deviation, {rnd('median(v)', 4)} AS median, min(v) AS lowest, max(v) AS highest FROM s GROUP BY 1")
+def basic_stats(spark, sf):
+    df = qt.basic_stats(daily(spark, sf), "entity", "v")
+    return df.select("entity", "n", *[r6(c, 4).alias(c) for c in ("mean", "deviation", "median")], "lowest", "highest")
+
+
+KINDS = "r AS (SELECT entity, d, v, CASE WHEN day(d) % 3 = 0 THEN 'actual' ELSE 'expected' END AS kind FROM s)"
+
+
+def _kinds(spark, sf) -> DataFrame:
+    return daily(spark, sf).withColumn("kind", F.when(F.dayofmonth("d") % 3 == 0, "actual").otherwise("expected"))
+
+
+@query(f"""WITH {S}, {KINDS} SELECT entity, year(d) || '-Q' || quarter(d) AS quarter, d, v, kind FROM r
+  QUALIFY row_number() OVER (PARTITION BY entity, year(d), quarter(d) ORDER BY CASE WHEN kind = 'actual' THEN 0 ELSE 1 END, d) = 1""")
+def quarter_dedup(spark, sf):
+    return qt.one_per_quarter(_kinds(spark, sf))
+
+
+@query(f"""WITH {Q}, a AS (SELECT * FROM q WHERE year(d) >= 1997), b AS (SELECT entity, d, qty * 4.1 AS qty FROM q WHERE year(d) <= 1999),
+  f AS (SELECT entity, CASE WHEN abs(median(b.qty / a.qty) / 4 - 1) <= 0.22 THEN 4.0::DOUBLE ELSE median(b.qty / a.qty)::DOUBLE END AS factor FROM a JOIN b USING (entity, d) GROUP BY 1)
+  SELECT entity, year(d) || '-Q' || quarter(d) AS quarter, d, {rnd('coalesce(a.qty::DOUBLE, b.qty / factor)', 4)} AS qty, factor FROM a FULL JOIN b USING (entity, d) JOIN f USING (entity)""")
+def quarterly_merge(spark, sf):
+    df = quarters(spark, sf)
+    a, b = df.where(F.year("d") >= 1997), df.where(F.year("d") <= 1999).withColumn("qty", F.col("qty") * 4.1)
+    return qt.merge_rescaled(a, b, "qty", [0.25, 0.5, 1.0, 2.0, 4.0]).withColumn("qty", r6("qty", 4))
+
+
+@query(f"""WITH {Q}, a AS (SELECT * FROM q WHERE d < DATE '1999-01-15'), x AS (SELECT * FROM q WHERE d >= DATE '1998-06-01'), l AS (SELECT entity, max(d) AS last FROM a GROUP BY 1),
+  n AS (SELECT x.* FROM x JOIN l USING (entity) WHERE d - last >= 45 AND d - DATE '1999-01-15' <= 125 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY d) = 1)
+  SELECT *, 'actual' AS kind FROM a UNION ALL SELECT *, 'expected' FROM n""")
+def expected_quarter(spark, sf):
+    df = quarters(spark, sf)
+    return qt.with_expected(df.where("d < DATE '1999-01-15'"), df.where("d >= DATE '1998-06-01'"), F.lit("1999-01-15").cast("date"))
+
+
+@query("""WITH r AS (SELECT o_custkey, CAST(substr(o_orderpriority, 1, 1) AS INT) AS p, max(CASE WHEN o_totalprice > 200000 THEN o_totalprice END) AS a, max(CASE WHEN o_totalprice < 100000 THEN o_totalprice END) AS b FROM orders GROUP BY 1, 2),
+  x AS (SELECT o_custkey, arg_min(a, p) AS a, min(p) FILTER (a IS NOT NULL) AS pa, arg_min(b, p) AS b, min(p) FILTER (b IS NOT NULL) AS pb FROM r GROUP BY 1)
+  SELECT o_custkey, a, b, concat_ws('+', 'a:' || pa, 'b:' || pb) AS provenance FROM x""")
+def metric_priority(spark, sf):
+    price = F.col("o_totalprice")
+    rows = load(spark, sf, "orders").groupBy("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("p"))
+    rows = rows.agg(F.max(F.when(price > 200000, price)).alias("a"), F.max(F.when(price < 100000, price)).alias("b"))
+    return qt.first_by_priority(rows, ["o_custkey"], ["a", "b"], "p")
+
+
+@query(f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d DESC) AS n FROM s), m AS (SELECT entity, median(v) FILTER (n <= 8) AS m, max(v) FILTER (n = 1) AS l FROM r GROUP BY 1)
+  SELECT entity, {rnd('greatest(m / l, l / m)')} AS mismatch FROM m""")
+def basis_mismatch(spark, sf):
+    df = daily(spark, sf)
+    latest = stats.latest_row(df).select("entity", F.col("v").alias("latest"))
+    return qt.basis_mismatch(df, latest, "v").withColumn("mismatch", r6("mismatch"))
+
+
+@query("""WITH k(name, word) AS (VALUES ('ring', 'ring'), ('bolt', 'BOLT'), ('none', 'zzz')) SELECT name, p_partkey, p_name FROM part JOIN k ON contains(lower(p_name), lower(word)) QUALIFY row_number() OVER (PARTITION BY name ORDER BY p_partkey) = 1""")
+def keyword_first_row(spark, sf):
+    rows = load(spark, sf, "part").select("p_partkey", "p_name")
+    return qt.keyword_rows(rows, "p_name", {"ring": "ring", "bolt": "BOLT", "none": "zzz"}, "p_partkey")
+
+
+@query(f"WITH {S}, {CROSS}, n AS (SELECT entity, d, severity, row_number() OVER (ORDER BY d DESC, entity) AS n FROM c) SELECT entity, d, severity FROM n WHERE n <= 50")
+def newest_alerts(spark, sf):
+    return _crossed(spark, sf).orderBy(F.desc("d"), "entity").limit(50).select("entity", "d", "severity")
+
+
+@query(f"WITH {S}, m AS (SELECT entity, d, v, count(*) OVER (PARTITION BY entity) AS n FROM s) SELECT entity, CAST(count(DISTINCT d) AS BIGINT) AS n_points FROM m GROUP BY 1 HAVING count(DISTINCT d) >= 24")
+def usable_history(spark, sf):
+    return quality.usable_history(daily(spark, sf), 24)
+
+
+@query(f"""WITH {S}, c AS (SELECT max(d) - 365 AS cut FROM s) SELECT entity, d, {rnd('CASE WHEN d < cut AND v / 10000 >= 4 THEN v / 10000 * 1.5 ELSE v / 10000 END')} AS pe FROM s, c""")
+def rebase_cutover(spark, sf):
+    df = daily(spark, sf).withColumn("pe", F.col("v") / 10000)
+    cut = df.agg(F.date_sub(F.max("d"), 365).alias("cut"))
+    # One row: the cut-over date.
+    return timeseries.rebase_before(df.join(F.broadcast(cut)), "pe", "d", F.col("cut"), F.lit(1.5)).select("entity", "d", r6("pe").alias("pe"))
+
+
+@query(f"WITH {S} SELECT max(d)::VARCHAR AS last_date, count(*) AS n_points FROM s")
+def build_summary(spark, sf):
+    return sinks.build_summary(daily(spark, sf))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = load(spark, sf, "events").schema
