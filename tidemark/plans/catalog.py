@@ -492,7 +492,7 @@ def number_hygiene(spark, sf):
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fn.round_half_up(price * -0.01, 2).alias("half_up"), fn.clamp(F.col("l_discount"), 0.02, 0.06).alias("clamped"), fn.sanitize_ratio(price / 1000, 2, 50).alias("ratio"))
 
 
-FAULTS = """f AS (SELECT CASE WHEN v < 20000 THEN 'GHOST' ELSE entity END AS entity, CASE WHEN day(d) = 13 THEN NULL ELSE d END AS d, CASE WHEN month(d) = 7 AND day(d) = 4 THEN NULL ELSE v END AS v, row_number() OVER (ORDER BY year(d), day(d), month(d), entity) AS seq FROM s)"""
+FAULTS = """f AS (SELECT CASE WHEN v < 20000 THEN 'GHOST' ELSE entity END AS entity, CASE WHEN day(d) = 13 THEN NULL ELSE d END AS d, CASE WHEN month(d) = 7 AND day(d) = 4 THEN NULL ELSE v END AS v, printf('%04d-%02d-%02d-%s', year(d), day(d), month(d), entity) AS seq FROM s)"""
 
 
 @query(f"""WITH {S}, {FAULTS}, b AS (SELECT *, d < lag(d) OVER (PARTITION BY entity ORDER BY seq) AS back FROM f), c AS (SELECT entity, 'unknown_id' AS rule, count(*) FILTER (entity = 'GHOST') AS n FROM b GROUP BY 1
@@ -500,8 +500,8 @@ FAULTS = """f AS (SELECT CASE WHEN v < 20000 THEN 'GHOST' ELSE entity END AS ent
   UNION ALL SELECT entity, 'not_finite_v', count(*) FILTER (v IS NULL) FROM b GROUP BY 1) SELECT * FROM c WHERE n > 0""")
 def dq_validate(spark, sf):
     df = daily(spark, sf)
-    # Faults are injected in an arrival order over all rows, as a fixture; the checks themselves work per entity.
-    seq = F.row_number().over(W.orderBy(F.year("d"), F.dayofmonth("d"), F.month("d"), "entity"))
+    # The faults are a fixture, rows that arrive by day of the month within a year among them.
+    seq = F.format_string("%04d-%02d-%02d-%s", F.year("d"), F.dayofmonth("d"), F.month("d"), "entity")
     bad = df.select(
         F.when(F.col("v") < 20000, "GHOST").otherwise(F.col("entity")).alias("entity"),
         F.when(F.dayofmonth("d") != 13, F.col("d")).alias("d"),
