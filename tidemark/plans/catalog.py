@@ -12,7 +12,9 @@ from tidemark.functions import dates as fd
 from tidemark.functions import numbers as fn
 from tidemark.functions import text as ft
 from tidemark.operators import alerts as al
-from tidemark.operators import merge, quality, quarters as qt, stats, timeseries, windows
+from tidemark.operators import board as bd
+from tidemark.operators import merge, quality, stats, timeseries, windows
+from tidemark.operators import quarters as qt
 from tidemark.operators.asof import asof_join
 from tidemark.plans import api
 from tidemark.session import checkpoint_path, load, ship_package
@@ -636,6 +638,42 @@ def build_summary(spark, sf):
     return sinks.build_summary(daily(spark, sf))
 
 
+ROWS = """b AS (SELECT c_custkey AS entity, c_name AS name, CASE WHEN c_nationkey < 13 THEN 'core' ELSE 'sector' END AS "group", cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS percentile, c_acctbal AS value FROM customer)"""
+
+
+def _board(spark, sf) -> DataFrame:
+    share = F.cume_dist().over(W.partitionBy("c_nationkey").orderBy("c_acctbal"))
+    group = F.when(F.col("c_nationkey") < 13, "core").otherwise("sector")
+    return load(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), group.alias("group"), share.alias("percentile"), F.col("c_acctbal").alias("value"))
+
+
+@query(f"WITH {ROWS} SELECT entity, name, \"group\", {rnd('percentile')} AS percentile, value FROM b WHERE \"group\" = 'core' ORDER BY value DESC NULLS LAST, entity LIMIT 40")
+def board_top(spark, sf):
+    return bd.board(_board(spark, sf), group="core", mode="value_desc", top=40).withColumn("percentile", r6("percentile"))
+
+
+@query(f"WITH {ROWS} SELECT entity, name, \"group\", {rnd('percentile')} AS percentile, value FROM b WHERE contains(lower(concat_ws(' ', name, entity)), '77')")
+def board_search(spark, sf):
+    return bd.board(_board(spark, sf), keyword="77", mode="percentile_asc", top=20).withColumn("percentile", r6("percentile"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity > 0 AND l_extendedprice / 1000 > 0 AND l_extendedprice / 1000 / l_quantity BETWEEN 0.35 AND 3.5 AS plausible,
+  greatest(l_extendedprice / 30000, 30000 / l_extendedprice) BETWEEN 1 AND 3.2 AS near FROM lineitem""")
+def plausibility(spark, sf):
+    price = F.col("l_extendedprice")
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", bd.plausible_pair(F.col("l_quantity"), price / 1000).alias("plausible"), bd.compatible(price, F.lit(30000.0)).alias("near"))
+
+
+@query(f"WITH {S} SELECT entity, max(d) AS d, arg_max(v, d) AS v FROM s WHERE d <= DATE '1999-06-15' AND DATE '1999-06-15' - d <= 90 GROUP BY 1")
+def recent_reference(spark, sf):
+    return bd.recent_reference(daily(spark, sf), F.lit("1999-06-15").cast("date"))
+
+
+@query(f"WITH {S} SELECT entity, CAST(DATE '2001-09-15' - max(d) AS BIGINT) AS lag_days, DATE '2001-09-15' - max(d) > 50 AS stale FROM s GROUP BY 1")
+def stale_series(spark, sf):
+    return bd.stale_entities(daily(spark, sf), F.lit("2001-09-15").cast("date"))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = load(spark, sf, "events").schema
