@@ -198,6 +198,14 @@ def test_components(spark):
     assert out == {x: find(x) for x in root if x in out} and set(root) - set(out) <= alone
 
 
+def test_suffix_dedup_beyond_the_broadcast_bounds(docs, monkeypatch):
+    rows = lambda: sorted((repr(r.doc_id), repr(r.spans), bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, length=100).collect())
+    want = rows()
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_SPANS", 0)
+    assert rows() == want and any("Row" in x for _, x, _ in want)
+
+
 def test_suffix_dedup(docs, empty):
     texts = [(d, (t or "").encode()) for d, t, _ in ROWS]
     for length, family in ((200, 50_000), (200, 2), (70, 50_000)):

@@ -20,10 +20,10 @@ from tidemark.session import checkpoint_path, cut_lineage, ship_package
 GRAM = 64
 #: Bytes hashed at once.
 CHUNK = 1 << 18
-#: Suffixes merged in one task, about; and suffixes that may start with the same gram there. Larger
-#: families go another way, window by window, which no task has to hold.
-PER_TASK, LARGEST_FAMILY = 20_000, 5_000
-#: Hashes of repeated grams, and spans, are broadcast up to these many rows; beyond, they meet the texts in a shuffle.
+#: Suffixes merged in one task, about; and suffixes that may start with the same gram there (at most
+#: 350 bytes each). Larger families go another way, window by window, which no task has to hold.
+PER_TASK, LARGEST_FAMILY = 20_000, 50_000
+#: Hashes of repeated grams, and spans, are broadcast up to these many rows; beyond, they meet places and texts in shuffles.
 BROADCAST_GRAMS, BROADCAST_SPANS = 4_000_000, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,25 +211,51 @@ def repeated_windows(family: list[tuple], length: int) -> Iterator[tuple[object,
 
 
 def _suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """The picked suffixes of every text with the bytes of all their windows."""
+    """The picked suffixes of every text with the bytes of all their windows.
+
+    With a column __wanted of (place, number) only those places, next to their numbers.
+    """
+    wanted = "__wanted" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, ends = _bytes_of(b.column(2))
-            raw = data.tobytes()
+            raw, starts = data.tobytes(), np.concatenate([[0], ends])
+            if wanted:
+                lists = b.column(3).to_pylist()
+                numbers = dict(sorted((int(starts[i]) + w["__at"], w["__n"]) for i, ws in enumerate(lists) for w in ws))
+                places = np.fromiter(numbers, np.int64, len(numbers))
             for at, first, last, h in picked(data, ends, length, k):
+                if wanted:
+                    keep = np.isin(at, places)
+                    at, first, last, h = at[keep], first[keep], last[keep], h[keep]
                 text = np.searchsorted(ends, at, "right")
-                begin = np.concatenate([[0], ends])[text]
                 rows = pa.array(text)
                 left = pa.array([raw[x:y] for x, y in zip(first.tolist(), at.tolist(), strict=True)], pa.binary())
                 right = pa.array([raw[x:y] for x, y in zip(at.tolist(), (last + length).tolist(), strict=True)], pa.binary())
+                n = [pa.array([numbers[x] for x in at.tolist()], pa.int64())] if wanted else []
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(at - begin), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(h.view(np.int64)), left, right],
-                    names=["__id", "__x", "__at", "__low", "__high", "__gram", "__left", "__right"],
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(at - starts[text]), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(h.view(np.int64)), left, right, *n],
+                    names=["__id", "__x", "__at", "__low", "__high", "__gram", "__left", "__right", *["__n"] * wanted],
                 )
 
     kind = docs.schema["__id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"__id {kind}, __x long, __at long, __low int, __high int, __gram long, __left binary, __right binary")
+    return docs.mapInArrow(run, f"__id {kind}, __x long, __at long, __low int, __high int, __gram long, __left binary, __right binary" + ", __n long" * wanted)
+
+
+def _places(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """The places and grams of the picked suffixes, without their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, ends = _bytes_of(b.column(2))
+            starts = np.concatenate([[0], ends])
+            for at, _, _, h in picked(data, ends, length, k):
+                text = np.searchsorted(ends, at, "right")
+                rows = pa.array(text)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(at - starts[text]), pa.array(h.view(np.int64))], names=["__id", "__x", "__at", "__gram"])
+
+    return docs.mapInArrow(run, f"__id {docs.schema['__id'].dataType.simpleString()}, __x long, __at long, __gram long")
 
 
 def _gram_counts(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -330,11 +356,17 @@ def _by_window(suffixes: DataFrame, length: int) -> DataFrame:
     windows = kinds.mapInArrow(run, "__c0 long, __c1 long, __times long, __o int, __w binary")
     counts = windows.groupBy("__w").agg(F.sum("__times").alias("__size"), F.count(F.lit(1)).alias("__kinds")).where("__size > 1")
     hits = join_groups(windows, counts.select("__w", F.col("__kinds").alias("__size")), ["__w"], "__size", windows.count(), F.col("__c0")).where("__size is not null")
-    # At most length - k + 1 windows a context.
-    spans = hits.groupBy("__c0", "__c1").agg(F.max("__times").alias("__times"), F.collect_list("__o").alias("__offsets"))
+    # At most length - k + 1 windows a context, as runs of neighbours.
+    spans = hits.groupBy("__c0", "__c1").agg(F.max("__times").alias("__times"), F.array_sort(F.collect_list("__o")).alias("__o"))
+    o = F.col("__o")
+    runs = F.arrays_zip(
+        F.filter(o, lambda x, i: (i == 0) | (x - F.get(o, F.greatest(i - 1, F.lit(0))) > 1)).alias("a"),
+        F.filter(o, lambda x, i: (i == F.size(o) - 1) | (F.get(o, i + 1) - x > 1)).alias("b"),
+    )
+    spans = spans.select("__c0", "__c1", "__times", runs.alias("__runs"))
     out = join_groups(placed.select("__id", "__x", "__at", "__c0", "__c1"), spans, ["__c0", "__c1"], "__times", placed.count(), F.col("__at"))
-    out = out.select("__id", "__x", "__at", F.explode("__offsets").alias("__o"))
-    return out.select("__id", "__x", (F.col("__at") - F.col("__o")).alias("__lo"), (F.col("__at") - F.col("__o") + length).alias("__hi"))
+    out = out.select("__id", "__x", "__at", F.explode("__runs").alias("__r"))
+    return out.select("__id", "__x", (F.col("__at") - F.col("__r.b")).alias("__lo"), (F.col("__at") - F.col("__r.a") + length).alias("__hi"))
 
 
 def _join_spans(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -359,9 +391,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, largest
     spark = docs.sparkSession
     grams = cut_lineage(_gram_counts(docs, length, gram))
     size = grams.agg(F.count(F.lit(1)), F.sum("__n")).head()
-    few = F.broadcast(grams) if size[0] <= BROADCAST_GRAMS else grams
     table = f"{checkpoint_path(spark)}/suffixes-{uuid4().hex}"
-    _suffixes(docs, length, gram).join(few, "__gram").write.option("compression", "zstd").parquet(table)
+    if size[0] <= BROADCAST_GRAMS:
+        found = _suffixes(docs, length, gram).join(F.broadcast(grams), "__gram")
+    else:
+        # Grams and places meet without the bytes; then the places are taken to their texts.
+        places = join_groups(_places(docs, length, gram), grams, ["__gram"], "__n", size[1] * 4, F.col("__at")).where("__n is not null")
+        wanted = places.groupBy(F.col("__id").alias("__i"), F.col("__x").alias("__y")).agg(F.collect_set(F.struct("__at", "__n")).alias("__wanted"))
+        texts = docs.join(wanted, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__y"))).select("__id", "__x", "__text", "__wanted")
+        found = _suffixes(texts, length, gram)
+    found.write.option("compression", "zstd").parquet(table)
     suffixes = spark.read.parquet(table)
     found = _merged(suffixes.where(F.col("__n") <= largest_family), size[1] or 0, length, gram)
     if not grams.where(F.col("__n") > largest_family).isEmpty():
