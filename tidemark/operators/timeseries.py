@@ -102,6 +102,48 @@ def fill_weekdays(df: DataFrame, entity: str, date: str, value: str, longest: in
     return df.select(entity, date, value, F.lit(False).alias("filled")).unionByName(made)
 
 
+def fill_like_recent(df: DataFrame, entity: str, date: str, value: str, longest: int = 4, recent: int = 252) -> DataFrame:
+    """Adds the weekdays of gaps over ``longest`` days, moving like the entity's last daily returns and meeting both ends.
+
+    Returns over at most ``longest`` days between positive values, above -0.95 and below 2.5, are the template (the
+    last ``recent`` of all dates). The k-th gap with weekdays starts at place 17 * k of it, going round; returns
+    are clamped to 0.35, and a drift of logs leads to the end. Where the drift is 1.6 or more or undefined, the
+    path is geometric. An entity without such returns is not filled.
+    """
+    w = W.partitionBy(entity).orderBy(date)
+    rows = df.select(entity, date, F.col(value).cast("double").alias(value))
+    rows = rows.withColumns({"__next": F.lead(date).over(w), "__end": F.lead(value).over(w)}).withColumn("__gap", F.datediff("__next", date))
+    ok = (F.col("__gap") <= longest) & (F.col(value) > 0) & (F.col("__end") > 0)
+    daily = rows.where(ok).withColumn("__r", F.col("__end") / F.col(value) - 1).where("__r > -0.95 and __r < 2.5")
+    daily = daily.withColumn("__back", F.row_number().over(W.partitionBy(entity).orderBy(F.desc(date)))).where(F.col("__back") <= recent)
+    own = W.partitionBy(entity)
+    template = daily.select(
+        F.col(entity).alias("__e"),
+        F.count(F.lit(1)).over(own).alias("__size"),
+        (F.count(F.lit(1)).over(own) - F.col("__back")).alias("__place"),
+        F.log1p(F.greatest(F.lit(-0.35), F.least(F.lit(0.35), "__r"))).alias("__log"),
+    )
+    gaps = rows.where(F.col("__gap") > longest).withColumn("__days", weekdays_between(F.col(date), F.col("__next"))).where(F.size("__days") > 0)
+    gaps = gaps.withColumn("__k", F.row_number().over(w) - 1)
+    sizes = template.select("__e", "__size").distinct()
+    gaps = gaps.join(sizes, F.col(entity) == F.col("__e")).drop("__e")
+    # One row per step; the last one leads to the right end and adds no day.
+    steps = gaps.select(entity, "__k", "__size", F.col(value).alias("__v"), "__end", F.size("__days").alias("__n"), F.posexplode(F.concat("__days", F.array("__next"))).alias("__i", "__day"))
+    steps = steps.withColumn("__at", (F.col("__k") * 17 + F.col("__i")) % F.col("__size"))
+    steps = steps.join(template.drop("__size"), (F.col(entity) == F.col("__e")) & (F.col("__at") == F.col("__place")))
+    gap = W.partitionBy(entity, "__k")
+    # A quotient that is no number gives no drift and an undefined path; log needs a positive one.
+    ratio = F.when(F.col("__v") != 0, F.col("__end") / F.col("__v"))
+    target = F.log(F.greatest(ratio, F.lit(1e-9)))
+    steps = steps.withColumn("__drift", (target - F.sum("__log").over(gap)) / (F.col("__n") + 1))
+    step = F.when(F.abs("__drift") < 1.6, F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.col("__log") + F.col("__drift")))).otherwise(target / (F.col("__n") + 1))
+    upto = gap.orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
+    path = F.greatest(F.col("__v") * F.exp(F.sum(step).over(upto)), F.lit(1e-8))
+    made = steps.withColumn("__path", path).where(F.col("__i") < F.col("__n"))
+    made = made.select(entity, F.col("__day").alias(date), F.col("__path").alias(value), F.lit(True).alias("filled"))
+    return df.select(entity, date, value, F.lit(False).alias("filled")).unionByName(made)
+
+
 def drop_spikes(df: DataFrame, entity: str, date: str, value: str, fold: float = 1.8, calm: float = 1.35, passes: int = 4) -> DataFrame:
     """Nulls values that jump away from both neighbours while these agree; later rows see earlier nulls.
 

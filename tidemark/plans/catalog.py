@@ -538,6 +538,11 @@ def densify(spark, sf):
     return timeseries.fill_weekdays(daily(spark, sf), "entity", "d", "v").withColumn("v", r6("v", 3))
 
 
+@query()
+def densify_recent(spark, sf):
+    return timeseries.fill_like_recent(daily(spark, sf), "entity", "d", "v").withColumn("v", r6("v", 3))
+
+
 @query()
 def spike_clean(spark, sf):
     return timeseries.drop_spikes(daily(spark, sf), "entity", "d", "v")
