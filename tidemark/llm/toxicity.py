@@ -210,7 +210,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     ship_package(docs.sparkSession)
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
     picked = picked.where("__toxic in (0, 1)").orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__text", "__toxic")
+    rows = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    # One row for each id, however many the table has: the text with the smallest hash.
+    rows = rows.groupBy("__id", "__toxic").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("__least")).select("__least.__text", "__toxic")
     model = Model(learn_stems(rows))
     key = model.key()
 
