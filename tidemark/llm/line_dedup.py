@@ -11,14 +11,14 @@ from pyspark.sql import Window as W
 from tidemark.llm.common import WHITE, join_groups, text_of, words_of
 from tidemark.session import checkpoint_path, cut_lineage
 
-#: Lines that may have a near copy are fetched by broadcast of their 8-byte hashes up to this many, beyond by a shuffle.
+#: Lines that may have a near copy are fetched by broadcast of their 16-byte hashes up to this many, beyond by a shuffle.
 BROADCAST_LINES = 2_000_000
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __no, __line, __l): the lines with a word, in lower case, and their hash."""
+    """(__id, __no, __line, __l): the lines with a word, in lower case, and 128 bits that tell different lines apart."""
     rows = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.lower(text_of(text_col)), "\n")).alias("__no", "__line"))
-    return rows.where(F.btrim("__line", F.lit(WHITE)) != "").withColumn("__l", F.xxhash64("__line"))
+    return rows.where(F.btrim("__line", F.lit(WHITE)) != "").withColumn("__l", F.unhex(F.md5(F.col("__line").cast("binary"))))
 
 
 def _order(id_name: str = "__id", no: str = "__no") -> Column:
@@ -70,11 +70,10 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = _lines(docs, id_col, text_col).withColumn("__words", words_of(F.col("__line")))
     lines = cut_lineage(lines.select("__id", "__no", "__l", _half_keys(F.col("__words"), min_words).alias("__keys")))
     n = lines.count()
-    firsts = lines.groupBy("__l").agg(F.min(_order()).alias("__first"), F.count(F.lit(1)).alias("__times"), F.first("__keys").alias("__keys"))
-    firsts = cut_lineage(firsts)
+    firsts = cut_lineage(lines.groupBy("__l").agg(F.min(_order()).alias("__first"), F.count(F.lit(1)).alias("__times")))
 
     # Distinct lines that share a half with another distinct line.
-    halves = firsts.select("__l", F.explode("__keys").alias("__key"))
+    halves = cut_lineage(lines.select("__l", F.explode("__keys").alias("__key")).distinct())
     shared = halves.groupBy("__key").agg(F.count(F.lit(1)).alias("__size")).where("__size > 1")
     near = join_groups(halves, shared, ["__key"], "__size", 4 * n, F.col("__l")).where("__size is not null").select("__l").distinct()
     near = cut_lineage(near)
@@ -99,7 +98,8 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     variants = docs.sparkSession.read.parquet(table)
 
     # Most variants meet no other line's; the rest take their line's first place along.
-    met = variants.groupBy("__v", "__m").agg(F.count(F.lit(1)).alias("__size"), F.min("__l").alias("__lo"), F.max("__l").alias("__hi")).where("__lo <> __hi").select("__v", "__m", "__size")
+    other = F.xxhash64("__l")
+    met = variants.groupBy("__v", "__m").agg(F.count(F.lit(1)).alias("__size"), F.min(other).alias("__lo"), F.max(other).alias("__hi")).where("__lo <> __hi").select("__v", "__m", "__size")
     alive = join_groups(variants, met, ["__v", "__m"], "__size", variants.count(), F.col("__l")).where("__size is not null").drop("__size")
     alive = cut_lineage(alive.join(firsts.select("__l", "__first"), "__l"))
     m = alive.count()
