@@ -8,55 +8,47 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import expand_copies, join_groups, lower_az, text_of
 from tidemark.session import cut_lineage
 
-#: A refinement level is broadcast while it has at most this many groups (16 bytes each).
-#: Beyond, the level is left out: it only saves hashing, the groups found stay the same.
+#: A refinement level is broadcast while it has at most this many groups (16 bytes each); beyond, rows and groups meet in a shuffle.
 BROADCAST_GROUPS = 2_000_000
 
 
-def _level(groups: DataFrame) -> DataFrame | None:
+def _meet(rows: DataFrame, groups: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``rows`` with the __size of their group, null where ``groups`` has none."""
     groups = cut_lineage(groups)
-    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else None
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), keys, "left")
+    return join_groups(rows, groups, keys, "__size", n, F.col("__id"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digests: bool = False) -> DataFrame:
     """Groups of texts that are equal after lower-casing A-Z; the row with the largest id stays.
 
     Rows are grouped by byte length, the rows of shared lengths by a hash of their first characters, and
-    only rows of groups that still have company are hashed in full (SHA-256). Hot groups (copies that
-    make up a third of all rows) are counted before any shuffle and joined by broadcast.
+    only rows of groups that still have company are grouped by their full hash (SHA-256). The levels work
+    on narrow rows (id, length, prefix hash), written once. Hot groups (copies that make up a third of
+    all rows) are counted before any shuffle and joined by broadcast.
 
     Null texts count as empty. Rows equal in id and text are one document met several times: exactly one
     of them is kept. A null id loses to any other; in a group of null ids one row stays. Other columns
     are ignored. Returns one row per input row: id, keep_id, group_size, kept, and with ``digests``
-    text_sha256 of every normalised text.
+    text_sha256 of every normalised text, which then is taken in the one pass over the texts.
     """
-    base = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).withColumn("__len", F.octet_length("__text"))
     head = F.xxhash64(lower_az(F.substring("__text", 1, prefix_chars)))
     digest = F.sha2(lower_az(F.col("__text")), 256)
-
-    live = base
-    flags = []
-    lengths = _level(base.groupBy("__len").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__len"))
-    if lengths is not None:
-        live = live.join(lengths, "__len", "left_semi")
-        flags.append((lengths.withColumn("__f1", F.lit(True)), ["__len"], "__f1"))
-    heads = _level(live.groupBy("__len", head.alias("__head")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__len", "__head"))
-    live = live.withColumn("__head", head)
-    if heads is not None:
-        live = live.join(heads, ["__len", "__head"], "left_semi")
-        flags.append((heads.withColumn("__f2", F.lit(True)), ["__len", "__head"], "__f2"))
-    groups = live.groupBy(digest.alias("__key")).agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
-
-    rows = base.withColumn("__head", head)
-    for level, keys, flag in flags:
-        rows = rows.join(F.broadcast(level), keys, "left")
-    alive = F.lit(True)
-    for _, _, flag in flags:
-        alive = alive & F.col(flag).isNotNull()
+    base = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"))
+    base = base.select("__id", F.octet_length("__text").alias("__len"), head.alias("__head"), digest.alias("__sha") if digests else "__text")
+    rows = cut_lineage(base.select("__id", "__len", "__head", *(["__sha"] if digests else [])))
+    n = rows.count()
+    sizes = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where("__size > 1")
+    live = _meet(rows, sizes(rows, "__len"), ["__len"], n).where("__size is not null").drop("__size")
+    # Without digests the texts of the groups that are left are read once more, to be hashed in full.
+    found = _meet(rows if digests else base, sizes(live, "__len", "__head"), ["__len", "__head"], n)
     alone = F.concat(F.lit("~"), F.coalesce(F.col("__id").cast("string"), F.lit("")), F.lit("~"), F.col("__len").cast("string"), F.lit("~"), F.col("__head").cast("string"))
-    rows = rows.select("__id", F.when(alive, digest).otherwise(alone).alias("__key"), *([digest.alias("__sha")] if digests else []))
-    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__times"))
-    out = join_groups(rows, groups, ["__key"], "__size", docs.count(), F.col("__id"))
+    key = F.when(F.col("__size").isNotNull(), F.col("__sha") if digests else digest).otherwise(alone)
+    rows = found.select("__id", key.alias("__key"), *(["__sha"] if digests else []))
+    rows = cut_lineage(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__times")))
+    groups = rows.groupBy("__key").agg(F.max("__id").alias("__keep"), F.sum("__times").alias("__size")).where("__size > 1")
+    out = join_groups(rows, groups, ["__key"], "__size", n, F.col("__id"))
     out = out.withColumns({"__keep": F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep")), "__size": F.coalesce("__size", F.lit(1).cast("long"))})
     out = expand_copies(out, "__times", "__copy")
     return out.select(
