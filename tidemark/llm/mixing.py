@@ -8,7 +8,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import expand_copies, running_start, text_of, words_of
+from tidemark.llm.common import expand_copies, join_groups, running_start, text_of, words_of
+from tidemark.session import cut_lineage
+
+#: The plan is broadcast up to this many membership patterns; beyond, it meets the rows in a shuffle.
+BROADCAST_PATTERNS = 100_000
 
 
 def water_fill(sizes: dict, weights: dict, total: Fraction, stop: Fraction) -> dict:
@@ -37,6 +41,13 @@ def route(patterns: dict[tuple, int], targets: dict, epochs: int) -> dict[tuple,
     """
     flow = {p: dict.fromkeys(p, Fraction(0)) for p in patterns}
     need = {s: Fraction(t) for s, t in targets.items()}
+    # A source that shares no pattern takes what it needs from its own words; only the others need a network.
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    for p in [p for p in patterns if len(p) == 1 and p[0] not in shared]:
+        flow[p][p[0]] = min(need.get(p[0], Fraction(0)), Fraction(patterns[p]) * epochs)
+        need.pop(p[0], None)
+    patterns = {p: n for p, n in patterns.items() if p[0] in shared}
+    need = {s: t for s, t in need.items() if s in shared}
     for k in range(1, epochs + 1):
         room = {p: Fraction(n) * k - sum(flow[p].values(), Fraction(0)) for p, n in patterns.items()}
         while True:
@@ -107,8 +118,7 @@ def mix_sources(
     each get their part. Empty tables give no rows. Returns id, size, source_size, target (of the row's
     first source), taken.
     """
-    rows, plan = _planned(docs, id_col, size, source_col, text_col, membership, share, stop, cycle, seed)
-    rows = rows.join(F.broadcast(plan), "__m")
+    rows, _ = _planned(docs, id_col, size, source_col, text_col, membership, share, stop, cycle, seed)
     rows = expand_copies(rows, "__times", "__copy")
     left = F.col("__rest") - F.col("__start") - F.col("__copy") * F.col("__size")
     extra = F.greatest(F.lit(0), F.least(left, F.col("__size")))
@@ -123,19 +133,28 @@ def _keys(id_col: str, size: Column | None, source_col: str, text_col: str, memb
     member = F.array(F.col(source_col).cast("string")) if membership is None else membership
     member = F.when(F.size(member) > 0, member).otherwise(F.array(F.lit(None).cast("string")))
     size = F.coalesce(size, F.lit(0)).cast("long")
+    # The place in the order needs no count of words, so that documents are marked without one.
     return {
         "__id": F.col(id_col),
         "__m": F.to_json(F.array_sort(F.array_distinct(member))),
         "__size": size,
-        "__h": F.xxhash64(F.lit(seed), F.col(id_col), size),
+        "__h": F.xxhash64(F.lit(seed), F.col(id_col), F.octet_length(text_of(text_col))),
     }
 
 
-def _planned(docs, id_col, size, source_col, text_col, membership, share, stop, cycle, seed) -> tuple[DataFrame, DataFrame]:
-    """Distinct narrow rows with their place in their pattern's seeded order, and each pattern's plan."""
+def _with_plan(rows: DataFrame, plan: DataFrame, patterns: int) -> DataFrame:
+    """Rows next to their pattern's plan (__m, __words and other columns)."""
+    if patterns <= BROADCAST_PATTERNS:
+        return rows.join(F.broadcast(plan), "__m")
+    total = plan.agg(F.sum("__words")).head()[0] or 0
+    return join_groups(rows, plan, ["__m"], "__words", total, F.col("__h")).where("__words is not null")
+
+
+def _planned(docs, id_col, size, source_col, text_col, membership, share, stop, cycle, seed) -> tuple[DataFrame, int]:
+    """Distinct narrow rows with their place in their pattern's seeded order and their pattern's plan; the number of patterns."""
     keys = _keys(id_col, size, source_col, text_col, membership, seed)
     rows = docs.select(*[c.alias(k) for k, c in keys.items()]).groupBy(*keys).agg(F.count(F.lit(1)).alias("__times"))
-    rows = rows.withColumn("__all", F.col("__size") * F.col("__times"))
+    rows = cut_lineage(rows.withColumn("__all", F.col("__size") * F.col("__times")))
     totals = {r["__m"]: r["w"] for r in rows.groupBy("__m").agg(F.sum("__all").alias("w")).collect()}
     members = {p: tuple(json.loads(p)) for p in totals}
     sizes: dict = {}
@@ -149,9 +168,9 @@ def _planned(docs, id_col, size, source_col, text_col, membership, share, stop,
         f = sum(flow[members[p]].values(), Fraction(0))
         times = int(f // n) if n else 0
         first = members[p][0]
-        plan.append((p, times, round(f - times * n), sizes[first], float(targets[first])))
-    frame = docs.sparkSession.createDataFrame(plan, "__m string, __full long, __rest long, source_size long, target double")
-    return running_start(rows, "__m", "__h", ["__id", "__size"], "__all", docs.count(), "__start"), frame
+        plan.append((p, n, times, round(f - times * n), sizes[first], float(targets[first])))
+    frame = docs.sparkSession.createDataFrame(plan, "__m string, __words long, __full long, __rest long, source_size long, target double")
+    return _with_plan(running_start(rows, "__m", "__h", ["__id", "__size"], "__all", docs.count(), "__start"), frame, len(plan)), len(plan)
 
 
 def mix_documents(
@@ -172,14 +191,14 @@ def mix_documents(
     marks them, and texts are never shuffled. The last document of the prefix is taken if at least half
     of it fits. Rows equal in id, pattern and size are treated alike. Nulls as in ``mix_sources``.
     """
-    rows, plan = _planned(docs, id_col, size, source_col, text_col, membership, share, stop, cycle, seed)
+    rows, patterns = _planned(docs, id_col, size, source_col, text_col, membership, share, stop, cycle, seed)
     more = (F.col("__rest") - F.col("__start")) * 2 >= F.col("__size")
-    last = rows.join(F.broadcast(plan), "__m").groupBy("__m", "__full").agg(F.max(F.when(more & (F.col("__rest") > 0), F.col("__h"))).alias("__last"))
-    marks = docs.sparkSession.createDataFrame(last.collect(), "__m string, __full long, __last long")
+    taken = F.when(more & (F.col("__rest") > 0), F.col("__h").bitwiseXOR(F.lit(-(2**63))))
+    marks = cut_lineage(rows.groupBy("__m", "__full").agg(F.max(taken).alias("__last"), F.max("__words").alias("__words")))
     keys = _keys(id_col, size, source_col, text_col, membership, seed)
     # Blocks order hashes as unsigned numbers; a flipped sign bit gives the same order among signed ones.
-    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(2**63)))
-    out = docs.withColumns({"__m": keys["__m"], "__h": keys["__h"]}).join(F.broadcast(marks), "__m")
-    times = F.col("__full") + F.coalesce((unsigned("__h") <= unsigned("__last")).cast("long"), F.lit(0))
+    unsigned = F.col("__h").bitwiseXOR(F.lit(-(2**63)))
+    out = _with_plan(docs.withColumns({"__m": keys["__m"], "__h": keys["__h"]}), marks, patterns)
+    times = F.col("__full") + F.coalesce((unsigned <= F.col("__last")).cast("long"), F.lit(0))
     out = out.withColumn("__times", times).where("__times > 0")
     return expand_copies(out, "__times", "__copy").select(*[docs[c] for c in docs.columns])
