@@ -52,9 +52,16 @@ def encode(text: str, path: str, ranks_path: str) -> np.ndarray:
     return np.append(ids, END).astype("<u4")
 
 
+@lru_cache(maxsize=4)
+def id_type(path: str) -> str:
+    """Two bytes hold the ids of a vocabulary of up to 65,536 entries; larger ones take four."""
+    return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str, ranks_path: str) -> DataFrame:
-    """Documents as token ids (two bytes each), with their place in their source's queue within the task's partition."""
+    """Documents as token ids, with their place in their source's queue within the task's partition."""
     ship_package(docs.sparkSession)
+    kept_as = id_type(path)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), text_of(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +72,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, source_col: str, path:
                 ids = encode(text.as_py(), path, ranks_path)
                 starts.append(ends.get(source, 0))
                 counts.append(len(ids))
-                data.append(ids.astype("<u2").tobytes())
+                data.append(ids.astype(kept_as).tobytes())
                 ends[source] = starts[-1] + len(ids)
             arrays = [b.column(0), b.column(1), pa.array([part] * len(data), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["__id", "__source", "__part", "__local", "__n", "__ids"])
@@ -139,18 +146,25 @@ def pack_documents(
     queues = spark.createDataFrame([(r["__source"], i + 1) for i, r in enumerate(order)], "__s string, __large int")
     ends = ends.join(F.broadcast(queues), F.col("__source").eqNullSafe(F.col("__s")), "left").withColumn("__queue", F.coalesce("__large", F.lit(0)))
     ends = ends.withColumn("__line", F.when((F.col("__queue") == 1) & F.lit(shared), 0).otherwise(F.col("__queue")))
-    before = W.partitionBy("__line").orderBy("__part", "__source").rowsBetween(W.unboundedPreceding, -1)
-    bases = ends.select(F.col("__part").alias("__p"), F.col("__source").alias("__s"), "__queue", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    # A queue of many small sources is summed by partition first, then by source within each.
+    sums = ends.groupBy("__line", "__part").agg(F.sum("__sum").alias("__all"))
+    earlier = W.partitionBy("__line").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("__line", "__part", F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__first"))
+    before = W.partitionBy("__line", "__part").orderBy("__source").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.withColumn("__inner", F.coalesce(F.sum("__sum").over(before), F.lit(0))).join(sums, ["__line", "__part"])
+    bases = ends.select(F.col("__part").alias("__p"), F.col("__source").alias("__s"), "__queue", (F.col("__first") + F.col("__inner")).alias("__base"))
     n_bases = bases.count()
     bases = F.broadcast(bases) if n_bases <= BROADCAST_BASES else bases
     placed = tokens.join(bases, (F.col("__part") == F.col("__p")) & F.col("__source").eqNullSafe(F.col("__s")))
     placed = placed.select("__id", "__queue", (F.col("__base") + F.col("__local")).alias("__start"), "__ids")
 
+    kept_as = id_type(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
             for i, (q, start, data) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True)):
-                ids = np.frombuffer(data.as_buffer(), "<u2").astype("<u4")
+                ids = np.frombuffer(data.as_buffer(), kept_as).astype("<u4")
                 view = memoryview(ids)
                 for d, n, seq, off in cuts(start, len(ids), *bounds[q], total, window):
                     rows.append(i)
