@@ -1,9 +1,13 @@
 """The pipeline's near-dedup stage against all pairs, with near copies planted at similarities of 0.8 to 0.95."""
 
+import collections
+import hashlib
 import random
 
 import corpus_pipeline
-from tidemark.llm import near_dedup
+import numpy as np
+
+from tidemark.llm import near_dedup, simhash
 
 
 def grams(t):
@@ -38,10 +42,10 @@ def corpus():
     return [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[9])]
 
 
-def test_all_pairs_of_the_similarity(spark, monkeypatch):
-    rows = corpus()
+def exact_groups(rows):
+    """The pairs of similarity 0.8 or more, those of them from 0.8 to 0.95, and each row's component."""
     sets = [grams(t) for _, t in rows]
-    root, planted = list(range(len(rows))), 0
+    root, pairs, planted = list(range(len(rows))), [], 0
 
     def find(x):
         while root[x] != x:
@@ -53,19 +57,69 @@ def test_all_pairs_of_the_similarity(spark, monkeypatch):
             like = jaccard(sets[i], sets[j])
             planted += 0.8 <= like <= 0.95
             if like >= 0.8:
+                pairs.append((i, j))
                 root[find(i)] = find(j)
+    return pairs, planted, [find(i) for i in range(len(rows))]
+
+
+def check(spark, rows, least):
+    """Recall of pairs of at least ``least``, precision 1; one row of each group stays."""
+    pairs, planted, exact = exact_groups(rows)
     assert planted > 40
-    lowest = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            lowest[find(i)] = min(lowest.get(find(i), d), d)
-    want = sorted(((d, lowest.get(find(i))) for i, (d, _) in enumerate(rows)), key=repr)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
-    assert sorted(map(tuple, near_dedup.similar_groups(docs).collect()), key=repr) == want
-    gone = {d for d, low in want if d is not None and d != low}
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row int").repartition(5).cache()
+    of = {(r["__id"], bytes(r["__t"])): r["__root"] for r in near_dedup.similar_groups(docs).collect()}
+    key = [(d, hashlib.md5((t or "").encode()).digest()) for d, t in rows]
+    mine = [of[k] for k in key]
+    assert sum(mine[i] == mine[j] for i, j in pairs) >= least * len(pairs)
+    whole = collections.defaultdict(set)
+    for m, e in zip(mine, exact, strict=True):
+        whole[m].add(e)
+    assert all(len(x) == 1 for x in whole.values())
+    best = {}
+    for m, (d, t) in zip(mine, key, strict=True):
+        best[m] = min(best.get(m, (True, 0, b"")), (d is None, d or 0, t)) if m in best else (d is None, d or 0, t)
     left = corpus_pipeline.near(spark, docs, "")
-    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {d for d, _ in rows} - gone
-    monkeypatch.setattr(near_dedup, "COMMON", 3)
-    monkeypatch.setattr(near_dedup, "BROADCAST_TEXTS", 0)
-    assert sorted(map(tuple, near_dedup.similar_groups(docs).collect()), key=repr) == want
+    assert left.columns == docs.columns
+    got = collections.Counter((r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).digest()) for r in left.collect())
+    assert got == collections.Counter(best.values())
+    return docs
+
+
+def test_pairs_of_the_similarity(spark, monkeypatch):
+    """Also: repeated rows, an id with texts of two groups, null ids, and all bounds at nothing."""
+    rows = corpus()
+    rows += [rows[20], rows[20], (5000, rows[21][1]), (5000, rows[30][1]), (5000, "a text of its own " * 3)]
+    docs = check(spark, rows, 0.97)
     assert near_dedup.drop_similar(docs.limit(0)).count() == 0
+    monkeypatch.setattr(near_dedup, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(near_dedup, "PER_BUCKET", 3)
+    check(spark, rows, 0.97)
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text that are near copies of it, hardly of one another."""
+    rnd = random.Random(3)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 500):
+        copy = list(base)
+        for at in rnd.sample(range(len(copy)), 2):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    check(spark, rows, 0.97)
+
+
+def test_middle_of_a_block_is_compared():
+    """A block with a large family gives pairs in proportion to its rows, and the middle row has a pair with every other."""
+    rnd = np.random.default_rng(1)
+    check = np.full((1000, 1), rnd.integers(2**63), np.uint64)
+    for i in range(1, 1000):
+        for b in rnd.choice(64, 8, replace=False):
+            check[i, 0] ^= np.uint64(1) << np.uint64(b)
+    bucket = simhash._Bucket(20, False)
+    bucket.add((7, 0), np.arange(1000), check)
+    bucket.close()
+    a, b = (x.to_pylist() for x in bucket.given()[:2])
+    pairs = set(zip(a, b, strict=True))
+    assert {(i, 0) for i in range(1, 1000)} <= pairs and len(pairs) < 1000 * (bucket.MIDDLE + bucket.NEAREST)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations, islice, repeat
-from math import comb
+from math import comb, prod
 
 import numpy as np
 import pyarrow as pa
@@ -50,21 +50,40 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"__id {rows.schema['__id'].dataType.simpleString()}, __fp long")
 
 
-def bit_counts(prints: DataFrame) -> np.ndarray:
-    """How many fingerprints have both bits i and j, over all rows; 64 x 64 numbers reach the driver."""
+def bit_counts(prints: DataFrame, bits: int = BITS) -> np.ndarray:
+    """How many fingerprints have both bits i and j, over all rows of a column of longs or of binary.
+
+    Partitions are taken together until they have more rows than there are pairs of bits, so the counts
+    that are shuffled never outnumber the fingerprints; the driver gets one number per pair of bits.
+    """
+    pairs = bits * (bits + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BITS, BITS), np.int64)
+        total = np.zeros((bits, bits), np.float64)
         for b in batches:
-            x = np.unpackbits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
-            total += (x.T @ x).astype(np.int64)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i * BITS + j), pa.array(total[i, j])], names=["pair", "n"])
-
-    out = np.zeros(BITS * BITS, np.int64)
-    for r in prints.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"]] = r["n"]
-    return out.reshape(BITS, BITS)
+            x = unpacked(b.column(0), bits).astype(np.float32)
+            for at in range(0, len(x), 4096):
+                total += x[at : at + 4096].T @ x[at : at + 4096]
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array((i * bits + j).astype(np.int32)), pa.array(total[i, j].astype(np.int64))], names=["pair", "n"])
+
+    n = prints.count()
+    few = max(1, n // pairs)
+    prints = prints.coalesce(few) if few < 1000 and bits > BITS else prints
+    out = np.zeros(bits * bits, np.int64)
+    found = prints.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    out = out.reshape(bits, bits)
+    return out + np.triu(out, 1).T
+
+
+def unpacked(column: pa.Array, bits: int) -> np.ndarray:
+    """Fingerprints as rows of 0 and 1, bit by bit."""
+    if bits == BITS:
+        raw = column.to_numpy(zero_copy_only=False).view(np.uint8)
+    else:
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    return np.unpackbits(raw.reshape(-1, bits // 8), axis=1, bitorder="little")
 
 
 def partition_bits(both: np.ndarray, n: int, parts: int, within: list[int]) -> list[list[int]]:
@@ -82,72 +101,134 @@ def partition_bits(both: np.ndarray, n: int, parts: int, within: list[int]) -> l
     return out
 
 
-#: Probes are planned for a table so many times larger: candidates grow with the square of its size.
-HEADROOM = 10
-#: Rows that a candidate pair costs in verification: both fingerprints with the points around them.
-CANDIDATE_ROWS = 2 * (1 + BITS)
+#: Costs in units of one shuffled signature row: a comparison of two signatures inside a bucket.
+COMPARISON = 0.005
+#: Steps of -log(1 - recall) that the thresholds are dealt in where no distance is guaranteed.
+STEP = 0.02
 
 
-def _within(differ: np.ndarray, most: int) -> float:
-    """The chance that at most ``most`` of independent bits differ."""
-    dist = np.zeros(len(differ) + 1)
-    dist[0] = 1
-    for q in differ:
-        dist[1:] = dist[1:] * (1 - q) + dist[:-1] * q
-        dist[0] *= 1 - q
-    return float(dist[: most + 1].sum())
+def _alike(both: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For two random rows: the chance that they agree in bit i, and in both bits i and j, from the joint counts."""
+    p = np.diag(both) / max(n, 1)
+    one = p * p + (1 - p) * (1 - p)
+    p11 = both / max(n, 1)
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    p00 = 1 - p11 - p10 - p01
+    return one, p11**2 + np.abs(p10) ** 2 + np.abs(p01) ** 2 + np.abs(p00) ** 2
 
 
-def _deal(both: np.ndarray, n: int, distance: int, within: list[int], parts: int, emitted: int, chance: float) -> list[tuple[float, list[int], int]]:
-    """The cheapest thresholds for so many parts of the bits ``within``: (cost, bits, threshold) of each part probed.
+def _within(alike: tuple[np.ndarray, np.ndarray], bits: list[int], most: int) -> float:
+    """The chance that two random rows differ in at most ``most`` of the bits.
 
-    Dynamic programming over the parts and the shares given out. ``emitted`` signatures a fingerprint and
-    the ``chance`` that a pair meets already come from an outer probe.
+    Bits are taken as a chain in which each depends on the one before by their joint counts, so that
+    bits of one part that go together are not counted as independent.
     """
-    p = np.diag(both) / max(n, 1)
-    differ = 2 * p * (1 - p)
-    table: dict = {0: (0.0, [])}
-    for bits in partition_bits(both, n, parts, within):
-        own = [(0.0, bits, -1)]
-        for t in range(distance + 1):
-            flips = sum(comb(len(bits), d) for d in range(t + 1))
-            own.append((emitted * flips * n + CANDIDATE_ROWS * chance * _within(differ[bits], t) * n * n / 2, bits, t))
-        new: dict = {}
-        for used, (cost, plan) in table.items():
-            for share in range(distance + 2 - used):
-                if used + share not in new or cost + own[share][0] < new[used + share][0]:
-                    new[used + share] = (cost + own[share][0], [*plan, own[share]])
+    one, two = alike
+    # The chances by the number of bits that differ, where the last bit agrees and where it does not.
+    same, other = [float(one[bits[0]]), *[0.0] * most], [0.0, float(1 - one[bits[0]]), *[0.0] * most][: most + 1]
+    for i, j in zip(bits, bits[1:], strict=False):
+        p, q, both = float(one[i]), float(one[j]), float(two[i, j])
+        agree = min(1.0, max(0.0, both / max(p, 1e-12)))
+        after = min(1.0, max(0.0, (q - both) / max(1 - p, 1e-12)))
+        differ = [x * (1 - agree) + y * (1 - after) for x, y in zip(same, other, strict=True)]
+        same, other = [x * agree + y * after for x, y in zip(same, other, strict=True)], [0.0, *differ[:most]]
+    return sum(same) + sum(other)
+
+
+def _flips(width: int, most: int) -> int:
+    return sum(comb(width, d) for d in range(most + 1))
+
+
+def _deal(options: list[list[tuple[float, int, object]]], goal: int) -> tuple[float, list]:
+    """One option of each list, the cheapest whose shares add up to ``goal`` or more: (cost, chosen). Dynamic programming over the shares."""
+    table: list = [(0.0, ())] + [None] * goal
+    for own in options:
+        new: list = [None] * (goal + 1)
+        for used, at in enumerate(table):
+            if at is None:
+                continue
+            for cost, share, what in own:
+                to = min(goal, used + share)
+                if new[to] is None or at[0] + cost < new[to][0]:
+                    new[to] = (at[0] + cost, (*at[1], what))
         table = new
-    return [x for x in table[distance + 1][1] if x[2] >= 0]
+    return (table[goal][0], [x for x in table[goal][1] if x]) if table[goal] else (float("inf"), [])
 
 
 def allocate(both: np.ndarray, n: int, distance: int, most: int = 4) -> list[list[tuple[list[int], int]]]:
-    """The probes that cost least; each is one or two (bits, threshold) parts that must both be met.
+    """The probes that cost least and miss no pair within ``distance``; each is one or two (bits, threshold) parts that must both be met.
 
     If the (threshold + 1) of all parts add up to distance + 1, two fingerprints within the distance are
     within the threshold of at least one part (a part without a share is never probed). A part that is
     expected to give too many candidates is probed together with parts of the remaining bits, dealt by
-    the same rule, so candidates do not outgrow the table. Costs are the signatures emitted plus the
-    candidate pairs expected from each bit's share of ones, counted over the whole table.
+    the same rule, so buckets do not outgrow the table. Costs are the signatures emitted plus the
+    comparisons expected from the joint counts of bits over the whole table.
     """
-    p = np.diag(both) / max(n, 1)
-    differ = 2 * p * (1 - p)
+    alike = _alike(both, n)
+
+    def options(within: list[int], parts: int, emitted: int, chance: float) -> list:
+        out = []
+        for bits in partition_bits(both, n, parts, within):
+            own: list = [(0.0, 0, None)]
+            for t in range(distance + 1):
+                flips = _flips(len(bits), t)
+                own.append((emitted * flips * n + COMPARISON * flips * chance * _within(alike, bits, t) * n * n / 2, t + 1, (bits, t)))
+            out.append(own)
+        return out
+
     best: tuple[float, list] = (float("inf"), [])
     for parts in range(1, most + 1):
         total, probes = 0.0, []
-        for cost, bits, t in _deal(both, n, distance, list(range(BITS)), parts, 1, 1.0):
+        for cost, _, (bits, t) in [next(o for o in own if o[2] == x) for own, x in _chosen(options(list(range(len(both))), parts, 1, 1.0), distance + 1)]:
             inner: tuple[float, list] = (cost, [[(bits, t)]])
-            rest = [b for b in range(BITS) if b not in bits]
-            flips = sum(comb(len(bits), d) for d in range(t + 1))
+            rest = [b for b in range(len(both)) if b not in bits]
             for k in range(1, most + 1 if rest else 1):
-                deal = _deal(both, n, distance, rest, k, flips, _within(differ[bits], t))
-                inner = min(inner, (sum(c for c, _, _ in deal), [[(bits, t), (b, u)] for _, b, u in deal]), key=lambda x: x[0])
+                price, deal = _deal(options(rest, k, _flips(len(bits), t), _within(alike, bits, t)), distance + 1)
+                inner = min(inner, (price, [[(bits, t), x] for x in deal]), key=lambda x: x[0])
             total += inner[0]
             probes += inner[1]
         best = min(best, (total, probes), key=lambda x: x[0])
     return best[1]
 
 
+def _chosen(options: list, goal: int) -> list[tuple[list, object]]:
+    """The options that ``_deal`` takes, each with the list it comes from."""
+    taken = _deal(options, goal)[1]
+    return [(own, x) for own in options for x in taken if any(o[2] is x for o in own)]
+
+
+def allocate_recall(both: np.ndarray, n: int, rate: float, recall: float, widths: tuple[int, ...] = (10, 12, 14, 16, 18, 20, 24)) -> list[list[tuple[list[int], int]]]:
+    """The probes that cost least and meet a pair whose bits differ at ``rate`` with the chance ``recall``, for wide fingerprints.
+
+    Of parts with shares t + 1, pairs within the sum of the shares less one always meet; pairs further
+    apart meet by chance, and thresholds are dealt to the parts until that chance is reached. Where
+    single parts of the widths on offer would make buckets grow with the table, two parts are probed together.
+    """
+    alike, every = _alike(both, n), list(range(len(both)))
+    best: tuple[float, list] = (float("inf"), [])
+    # A pair of parts adds little, so its steps are finer.
+    for together, step in ((1, STEP), (2, STEP / 10)):
+        for width in widths:
+            parts = partition_bits(both, n, len(every) // width, every)
+            chance = [[_within(alike, p, t) for t in (0, 1)] for p in parts]
+            order = range(len(parts))
+            probes = [(a, a + gap) for gap in order[1:] for a in order[: len(parts) - gap]][: 8 * len(parts)] if together > 1 else [(k,) for k in order]
+            options = []
+            for at in probes:
+                own: list = [(0.0, 0, None)]
+                for t in (0, 1) if together == 1 else (0,):
+                    met = prod(sum(comb(len(parts[k]), d) * rate**d * (1 - rate) ** (len(parts[k]) - d) for d in range(t + 1)) for k in at)
+                    # Probes that share a part go together: a pair of parts counts for half of its chance.
+                    share = int(-np.log(1 - met) / together / step)
+                    flips = _flips(len(parts[at[0]]), t)
+                    own.append((flips * n + COMPARISON * flips * prod(chance[k][t] for k in at) * n * n / 2, share, [(parts[k], t) for k in at]))
+                options.append(own)
+            best = min(best, _deal(options, int(np.ceil(-np.log(1 - recall) / step))), key=lambda x: x[0])
+        if best[0] <= 2 * n * sum(_flips(len(probe[0][0]), probe[0][1]) for probe in best[1]):
+            break
+    return best[1]
+
+
 def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
@@ -157,32 +238,151 @@ def _ball(bits: list[int], radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for r in range(radius + 1) for c in combinations(bits, r)]
 
 
-def links(prints: DataFrame, n: int, distance: int = 2) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect exactly those within an even ``distance``.
+def near_pairs(rows: DataFrame, most: int, exact: bool, checks: tuple[str, ...] = ("__check",)) -> DataFrame:
+    """(a, b) of the rows (__bucket, __spread, __node, and bits to compare in ``checks``) of one bucket whose bits differ in ``most`` places or fewer.
 
-    Probe: a fingerprint has a signature for each part and each flip within the part's threshold; those
-    that share no bucket with another fingerprint drop out. Verify: two fingerprints are within 2r bits
-    if and only if some point lies within r bits of both, so the rest meet at the points around them.
-    A point has at most as many neighbours as it has flips, so no group is large and no pairs are formed.
+    Rows are shuffled by bucket and sorted; each task streams them and holds a block of a bucket, however
+    many rows the bucket has. With ``exact`` every pair of a bucket is compared. Otherwise a block in which
+    many rows are near one another (a large group of near copies) gives for each of its rows the pairs
+    with its nearest rows and with the rows in the middle of the group, and hands the middle rows on to the
+    next blocks, so pairs grow with the rows and not with their square. A bucket dealt over spread numbers
+    from 1 on gives those rows with b null, to be compared once more.
     """
-    if distance % 2:
-        raise ValueError("the distance must be even")
-    plan = allocate(bit_counts(prints.select("__fp")) * HEADROOM, n * HEADROOM, distance)
-    fp = F.col("__fp")
-    masks = [[x ^ y for x in _ball(*probe[0]) for y in (_ball(*probe[1]) if len(probe) > 1 else [0])] for probe in plan]
+    names = ["a", "b", "__bucket", *checks]
 
-    def signatures(number: int, probe: list[tuple[list[int], int]], flips: list[int]) -> Column:
-        own = fp.bitwiseAND(F.lit(_signed(sum(1 << b for bits, _ in probe for b in bits))))
-        return F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: F.struct(F.lit(number).alias("part"), own.bitwiseXOR(m).alias("key"), (m == 0).alias("own")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Bucket(most, exact, len(checks))
+        for batch in batches:
+            bucket, spread, node, *check = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(checks)))
+            check = np.stack(check, axis=1).view(np.uint64)
+            if len(bucket):
+                cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (spread[1:] != spread[:-1])) + 1
+                starts, stops = np.append(0, cut), np.append(cut, len(bucket))
+                # Buckets of one row have no pairs; the first and the last may go on in another batch.
+                several = np.flatnonzero((stops - starts > 1) | (starts == 0) | (stops == len(bucket)))
+                for lo, hi in zip(starts[several].tolist(), stops[several].tolist(), strict=True):
+                    held.add((int(bucket[lo]), int(spread[lo])), node[lo:hi], check[lo:hi])
+            yield pa.RecordBatch.from_arrays(held.given(), names=names)
+        held.close()
+        yield pa.RecordBatch.from_arrays(held.given(), names=names)
+
+    rows = rows.select("__bucket", "__spread", "__node", *checks).repartition("__bucket", "__spread").sortWithinPartitions("__bucket", "__spread")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+class _Bucket:
+    """The bucket that a task is reading: rows not compared yet, and rows that later ones are still compared with."""
+
+    BLOCK = 2048
+    #: Of rows of a block with up to so many near rows all pairs are given.
+    FAMILY = 16
+    MIDDLE = NEAREST = 3
+
+    def __init__(self, most: int, exact: bool, checks: int = 1):
+        self.most, self.exact, self.checks = most, exact, checks
+        self.key: tuple[int, int] = (0, 0)
+        self.new: list = []
+        self.old: list = []
+        self.out: list = []
+        self.kept: list = []
+
+    def add(self, key: tuple[int, int], node: np.ndarray, check: np.ndarray) -> None:
+        if key != self.key:
+            self.close()
+            self.key = key
+        for at in range(0, len(node), self.BLOCK):
+            self.new.append((node[at : at + self.BLOCK], check[at : at + self.BLOCK]))
+            if sum(len(n) for n, _ in self.new) >= self.BLOCK:
+                self._compare()
+
+    def close(self) -> None:
+        if sum(len(n) for n, _ in self.new) > 1 or (self.new and self.old) or (self.new and self.key[1]):
+            self._compare()
+        if self.key[1]:
+            self.kept += [(node, check, self.key[0]) for node, check in self.old]
+        self.new, self.old = [], []
+
+    def given(self) -> list[pa.Array]:
+        """The pairs found since the last call, and after them the rows to be compared once more."""
+        one = np.concatenate([np.zeros(0, np.int64), *[a for a, _ in self.out], *[n for n, _, _ in self.kept]])
+        two = np.concatenate([np.zeros(0, np.int64), *[b for _, b in self.out]])
+        more = len(one) - len(two)
+        bucket = np.concatenate([np.zeros(len(two), np.int64), *[np.full(len(n), k) for n, _, k in self.kept]])
+        check = np.concatenate([np.zeros((len(two), self.checks), np.uint64), *[c for _, c, _ in self.kept]]).view(np.int64)
+        none = np.arange(len(one)) >= len(two)
+        self.out, self.kept = [], []
+        return [pa.array(one), pa.array(np.append(two, np.zeros(more, np.int64)), mask=none), pa.array(bucket), *[pa.array(c) for c in check.T.copy()]]
+
+    def _compare(self) -> None:
+        node, check = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        self.new = []
+        for was, then in self.old:
+            self._give(node, was, self._differ(check, then) <= self.most)
+        near = self._differ(check, check)
+        hit = near <= self.most
+        degree = hit.sum(axis=1)
+        large = (degree > self.FAMILY) & (not self.exact)
+        if not large.any():
+            self._give(node, node, np.triu(hit, 1))
+            self.old.append((node, check))
+            return
+        self._give(node, node, np.triu(hit & ~(large[:, None] & large[None, :]), 1))
+        left, keep = np.flatnonzero(large), [np.flatnonzero(~large)]
+        while len(left):
+            # The family of the row that has most others near it.
+            seed = left[np.argmax(degree[left])]
+            mine = hit[seed, left]
+            family, left = left[mine], left[~mine]
+            inner = near[np.ix_(family, family)].astype(np.int16)
+            middle = family[np.argsort(inner.mean(axis=1), kind="stable")[: self.MIDDLE]]
+            np.fill_diagonal(inner, 255)
+            nearest = min(self.NEAREST, len(family) - 1)
+            close = family[np.argpartition(inner, nearest, axis=1)[:, :nearest]] if nearest else np.zeros((1, 0), np.int64)
+            self.out.append(_ordered(np.repeat(node[family], nearest), node[close.ravel()]))
+            for rows in (family, left):
+                self._give(node[rows], node[middle], hit[np.ix_(rows, middle)])
+            keep.append(middle)
+        kept = np.concatenate(keep)
+        self.old.append((node[kept], check[kept]))
+
+    def _differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The number of different bits of every row of one with every row of the other, at most 255."""
+        out = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+        for k in range(1, self.checks):
+            out = np.minimum(out.astype(np.uint16) + np.bitwise_count(x[:, None, k] ^ y[None, :, k]), 255).astype(np.uint8)
+        return out
+
+    def _give(self, a: np.ndarray, b: np.ndarray, hit: np.ndarray) -> None:
+        i, j = np.nonzero(hit)
+        if len(i):
+            self.out.append(_ordered(a[i], b[j]))
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    other = a != b
+    return np.maximum(a, b)[other], np.minimum(a, b)[other]
+
+
+def _probe(number: int, probe: list[tuple[list[int], int]], own: Column) -> Column:
+    """The signatures of one probe as an array of (bucket): the own one and those with flipped bits."""
+    masks = [x ^ y for x in _ball(*probe[0]) for y in (_ball(*probe[1]) if len(probe) > 1 else [0])]
+    return F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.xxhash64(F.lit(number), own.bitwiseXOR(m)))
 
-    probes = prints.select("__fp", F.inline(F.concat(*[signatures(k, probe, flips) for k, (probe, flips) in enumerate(zip(plan, masks, strict=True))])))
-    buckets = probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("__size"), F.min("__fp").alias("lo"), F.max("__fp").alias("hi"), F.max("own").alias("own"))
-    buckets = buckets.where("lo <> hi and own").select("part", "key", "__size")
-    total = n * sum(map(len, masks))
-    alive = join_groups(probes, buckets, ["part", "key"], "__size", total, fp).where(F.col("__size").isNotNull()).select("__fp").distinct()
-    points = alive.select("__fp", F.explode(F.transform(F.array(*[F.lit(m) for m in _ball(list(range(BITS)), distance // 2)]), lambda m: fp.bitwiseXOR(m))).alias("point"))
-    stars = points.groupBy("point").agg(F.collect_list("__fp").alias("near")).where(F.size("near") > 1)
-    return stars.select(F.array_min("near").alias("a"), F.explode("near").alias("b")).where("a <> b").distinct()
+
+def links(prints: DataFrame, n: int, distance: int = 2) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints, all those within ``distance`` bits.
+
+    Probe: a fingerprint has a signature for each part and each flip within the part's threshold. Verify:
+    the fingerprints of a bucket are compared inside it by the bits of their XOR. The plan keeps buckets
+    small (its costs count the comparisons), and a fingerprint has at most some thousand others within
+    two bits, so pairs do not grow with the square of a group.
+    """
+    plan = allocate(bit_counts(prints.select("__fp")), n, distance)
+    fp = F.col("__fp")
+    own = lambda probe: fp.bitwiseAND(F.lit(_signed(sum(1 << b for bits, _ in probe for b in bits))))
+    probes = prints.select("__fp", F.explode(F.concat(*[_probe(k, probe, own(probe)) for k, probe in enumerate(plan)])).alias("__bucket"))
+    rows = probes.select("__bucket", F.lit(0).alias("__spread"), F.col("__fp").alias("__node"), F.col("__fp").alias("__check"))
+    return near_pairs(rows, distance, True).select("a", "b").distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -209,15 +409,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__component")).alias("component_id"),
     )
-
-
-#: Ids to drop are broadcast up to this many; beyond, documents and ids meet in a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """The document with the smallest id of each group, with all columns; documents with a null id stay."""
-    found = simhash_groups(docs, id_col, text_col, width, distance)
-    losers = cut_lineage(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__id")).distinct())
-    losers = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers
-    return docs.join(losers, docs[id_col] == losers["__id"], "left_anti")
