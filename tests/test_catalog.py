@@ -8,7 +8,7 @@ import pytest
 
 from tidemark.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -35,6 +35,16 @@ def sanitize_ratio(c: Column, low: float, high: float, digits: int = 4) -> Colum
     return F.when(F.abs(v).between(low, high), round_half_up(v, digits))
 
 
+def rounded(c: Column, digits: int = 6) -> Column:
+    """Finite values rounded, such as earnings per share; anything else null."""
+    return round_half_up(finite(c), digits)
+
+
+def share_count(c: Column) -> Column:
+    v = finite(c)
+    return F.when(v > 0, round_half_up(v, 3))
+
+
 def to_number(c: Column, fallback: float = 0.0) -> Column:
     """Text or number to a finite double; null counts as zero, the rest as ``fallback``."""
     return F.when(c.isNull(), 0.0).otherwise(F.coalesce(finite(c.cast("string").try_cast("double")), F.lit(fallback)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def decode_entities(c: Column) -> Column:
-    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Fixed values, in the order in which they are replaced."""
+    for entity, mark in (("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#x2F;", "/"), ("&nbsp;", " ")):
         c = F.replace(c, F.lit(entity), F.lit(mark))
     return c
 
@@ -66,10 +67,38 @@ def keyword_matches(keyword: str, *columns: Column) -> Column:
     return F.lower(F.concat_ws(" ", *columns)).contains(key) if key else F.lit(True)
 
 
+#: What pages say that carry no data.
+REJECTED = [
+    "exceeded the daily hits limit",
+    "too many requests",
+    "sad-panda-201402200631.png",
+    "no longer be accessible from mainland china",
+    "enable javascript and cookies to continue",
+    "<title>just a moment",
+]
+
+
 def is_rejected_payload(c: Column) -> Column:
-    """Texts of access-control or rate-limit pages."""
-    return F.lower(c).rlike("access denied|too many requests|captcha|unusual traffic|enable javascript|forbidden")
+    """Empty texts and pages of access control or rate limits."""
+    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    hit = F.exists(F.array(*[F.lit(x) for x in REJECTED]), lambda x: F.contains(t, x))
+    return (t == "") | hit | (t.contains("just a moment") & t.contains("cf-chl"))
 
 
 def has_source_tag(source: Column, tags: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(t.lower()) for t in tags]), lambda t: F.contains(F.lower(source), t))
+
+
+def id_list(c: Column) -> Column:
+    """A stored list of ids: a JSON array as text; anything else is empty."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def known_ids(catalogue: list[str], most: int, *lists: Column) -> Column:
+    """Known ids of several lists, distinct in order, at most so many."""
+    return F.slice(F.array_intersect(F.concat(*lists), F.array(*[F.lit(x) for x in catalogue])), 1, most)
+
+
+def included(symbol: Column, include: list[str], exclude: list[str]) -> Column:
+    """Whether a symbol is on the include list (a star stands for all) and not on the exclude list."""
+    return (F.lit("*" in include) | symbol.isin(include)) & ~symbol.isin(exclude)

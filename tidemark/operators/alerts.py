@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.functions.numbers import crossing, severity
+from tidemark.functions.numbers import crossing, direction, severity
 from tidemark.operators.windows import previous
 
 
@@ -27,16 +28,47 @@ def with_cooldown(crossed: DataFrame, cooldown: int, entity: str = "entity", dat
 
     The rule looks back at alerts, not at crossings, so it is folded over each series in order.
     """
-    rest = [c for c in crossed.columns if c != entity]
-    rows = crossed.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(day_no).alias("__no"), F.struct(*rest).alias("__row")))).alias("__s"))
-    kind = rows.schema["__s"].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast(crossed.schema[day_no].dataType).alias("last"), F.array().cast(kind).alias("out"))
+    from tidemark.session import ship_package
 
-    def step(acc: Column, x: Column) -> Column:
-        fire = acc["last"].isNull() | (x["__no"] - acc["last"] >= cooldown)
-        return F.struct(F.when(fire, x["__no"]).otherwise(acc["last"]).alias("last"), F.when(fire, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+    ship_package(crossed.sparkSession)
 
-    return rows.select(entity, F.inline(F.aggregate("__s", zero, step)["out"])).select(entity, "__row.*")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(day_no)
+        keep, last = [], None
+        for i, no in enumerate(table.column(day_no).to_pylist()):
+            if last is None or no - last >= cooldown:
+                keep.append(i)
+                last = no
+        return table.take(pa.array(keep, pa.int64()))
+
+    return crossed.groupBy(entity).applyInArrow(run, crossed.schema)
+
+
+def latest_alerts(points: DataFrame, watchers: DataFrame, state: DataFrame, percentile: str, entity: str = "entity", date: str = "d", most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """One run of the daily update: the new alerts of each user's series, and the alert state after it.
+
+    ``watchers`` has user_id, entity, upper, lower, cooldown; ``state`` user_id, entity, last_triggered,
+    last_direction of the runs before. The last two percentiles of a series decide; an alert is held back
+    until ``cooldown`` of the series' own dates have passed since the last. Series of one row are skipped.
+    """
+    w = W.partitionBy(entity).orderBy(date)
+    rows = points.select(entity, date, F.col(percentile).alias("__p"), F.lag(percentile).over(w).alias("__before"), F.row_number().over(w).alias("__no"))
+    last = rows.groupBy(entity).agg(F.max_by(F.struct(date, "__p", "__before", "__no"), date).alias("__l")).select(entity, "__l.*").where("__before is not null")
+    known = state.join(rows.select(entity, F.col(date).alias("last_triggered"), F.col("__no").alias("__then")), [entity, "last_triggered"], "left")
+    df = watchers.join(last, entity).join(known.select("user_id", entity, "last_triggered", "last_direction", "__then"), ["user_id", entity], "left")
+    hit = crossing(F.col("__before"), F.col("__p"), F.col("upper"), F.col("lower"))
+    ready = F.col("last_triggered").isNull() | (F.col("__no") - F.col("__then") >= F.col("cooldown"))
+    df = df.withColumn("__hit", F.when(F.coalesce(ready, F.lit(False)), hit))
+    fired = df.where("__hit is not null").select("user_id", entity, date, F.col("__hit").alias("direction"), severity(F.col("__p")).alias("severity"), F.col("__p").alias("percentile"))
+    fired = fired.withColumn("alert_id", F.sha2(F.concat_ws("|", "user_id", entity, F.col(date).cast("string"), "direction"), 256))
+    newest = W.partitionBy("user_id").orderBy(F.desc(date), "alert_id")
+    fired = fired.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= most).drop("__n")
+    after = df.select(
+        "user_id", entity, F.when(F.col("__hit").isNotNull(), F.col(date)).otherwise(F.col("last_triggered")).alias("last_triggered"),
+        F.coalesce("__hit", direction(F.col("__p"), F.col("upper"), F.col("lower"))).alias("last_direction"),
+    )
+    untouched = state.join(after.select("user_id", entity), ["user_id", entity], "left_anti").select("user_id", entity, "last_triggered", "last_direction")
+    return fired, after.unionByName(untouched)
 
 
 def alert_rows(fired: DataFrame, watchers: DataFrame, percentile: str, entity: str = "entity", date: str = "d", most: int = 500) -> DataFrame:

@@ -15,6 +15,12 @@ MODES = {
     "value_asc": ("value", False),
     "size_desc": ("size", True),
     "name": ("name", False),
+    "pe_desc": ("pe_ttm", True),
+    "pe_asc": ("pe_ttm", False),
+    "pb_desc": ("pb", True),
+    "pb_asc": ("pb", False),
+    "peg_asc": ("peg", False),
+    "market_cap_desc": ("market_cap", True),
 }
 
 
@@ -35,9 +41,24 @@ def board(rows: DataFrame, keyword: str = "", group: str | None = None, watch: l
     return df.limit(top) if top and not keyword else df
 
 
-def plausible_pair(trailing: Column, forward: Column, low: float = 0.35, high: float = 3.5) -> Column:
-    """Whether a forward ratio fits a trailing one: both positive, their quotient within bounds."""
-    return F.coalesce((trailing > 0) & (forward > 0) & (forward / trailing).between(low, high), F.lit(False))
+def reasonable_pe(c: Column) -> Column:
+    return F.coalesce((c > 4) & (c < 80), F.lit(False))
+
+
+def reasonable_forward_pe(c: Column) -> Column:
+    return F.coalesce((c > 2) & (c < 120), F.lit(False))
+
+
+def plausible_pair(trailing: Column, forward: Column) -> Column:
+    """Whether a forward ratio fits a trailing one: both reasonable, 0.45 to 0.95 of it and at least 0.8 below."""
+    fits = (forward / F.when(trailing != 0, trailing)).between(0.45, 0.95) & (trailing - forward >= 0.8)
+    return reasonable_pe(trailing) & reasonable_forward_pe(forward) & F.coalesce(fits, F.lit(False))
+
+
+def acceptable_deviation(candidate: Column, baseline: Column, most: float = 0.05, reasonable=reasonable_pe) -> Column:
+    """Whether a reasonable value departs from a baseline by at most a share of it; any does without a reasonable baseline."""
+    near = F.abs(candidate - baseline) / F.greatest(F.lit(1e-6), baseline) <= most
+    return reasonable(candidate) & (~reasonable(baseline) | F.coalesce(near, F.lit(False)))
 
 
 def compatible(candidate: Column, reference: Column, fold: float = 3.2) -> Column:

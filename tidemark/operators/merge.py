@@ -22,9 +22,9 @@ def priority_union(frames: list[DataFrame], keys: list[str], *ties) -> DataFrame
 
 
 def recent_override(base: DataFrame, overlay: DataFrame, key: str, date: str, days: int) -> DataFrame:
-    """The overlay's rows within ``days`` of its last date replace or extend the base."""
-    last = overlay.groupBy(key).agg(F.max(date).alias("__last"))
-    recent = overlay.join(last, key).where(F.datediff("__last", date) <= days).drop("__last")
+    """The overlay's rows from ``days`` before the base's last date on replace or extend the base; a key without base takes all."""
+    last = base.groupBy(key).agg(F.max(date).alias("__last"))
+    recent = overlay.join(last, key, "left").where(F.col("__last").isNull() | (F.datediff("__last", date) <= days)).drop("__last")
     return priority_union([recent, base], [key, date])
 
 
@@ -57,3 +57,33 @@ def override_on_date(points: DataFrame, snapshots: DataFrame, keys: list[str], d
 def toggle(ids: Column, one: Column) -> Column:
     """An array with one id removed if it is there, else appended."""
     return F.when(F.array_contains(ids, one), F.array_remove(ids, one)).otherwise(F.array_append(ids, one))
+
+
+def first_sufficient(rows: DataFrame, key: str, source: str, least: int) -> DataFrame:
+    """Each key's rows from its first source with ``least`` rows, or else from the one with most rows, the first on ties."""
+    sizes = rows.groupBy(key, source).agg(F.count(F.lit(1)).alias("__n"))
+    order = F.struct((F.col("__n") < least).alias("short"), F.when(F.col("__n") < least, -F.col("__n")).otherwise(0).alias("size"), F.col(source).alias("source"))
+    best = sizes.groupBy(key).agg(F.min(order)["source"].alias(source))
+    return rows.join(best, [key, source], "left_semi")
+
+
+def cutover_merge(base: DataFrame, trusted: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """Trusted rows, and the base's rows before the first trusted one of the same key."""
+    cut = trusted.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(date).alias("__cut"))
+    early = base.join(cut, key, "left").where(F.col("__cut").isNull() | (F.col(date) < F.col("__cut"))).drop("__cut")
+    return coalesce_outer(trusted, early, [key, date], [value])
+
+
+def lookup(rows: DataFrame, table: DataFrame, symbol: str, ticker: str, value: str) -> DataFrame:
+    """Rows with the table's value for their symbol as it stands, or else without its punctuation."""
+    from tidemark.functions.text import ticker_key
+
+    exact = table.select(F.col(ticker).alias("__t"), F.col(value).alias("__exact"))
+    plain = table.groupBy(ticker_key(F.col(ticker)).alias("__k")).agg(F.min(value).alias("__plain"))
+    out = rows.join(exact, F.col(symbol) == F.col("__t"), "left").join(plain, ticker_key(F.col(symbol)) == F.col("__k"), "left")
+    return out.select(*rows.columns, F.coalesce("__exact", "__plain").alias(value))
+
+
+def best_ranked(rows: DataFrame, key: str, rank: str, most: int) -> DataFrame:
+    """The best rank of each key and how often it is listed, the first ``most`` by rank."""
+    return rows.groupBy(key).agg(F.min(rank).alias(rank), F.count(F.lit(1)).alias("n")).orderBy(rank).limit(most)

@@ -76,3 +76,22 @@ def basic_stats(df: DataFrame, entity: str, value: str) -> DataFrame:
         F.min(value).alias("lowest"),
         F.max(value).alias("highest"),
     )
+
+
+def income_from_shares(eps: DataFrame, shares: DataFrame, entity: str = "entity", date: str = "d") -> DataFrame:
+    """Expected income as earnings per share times shares: those of the quarter, else the last before, else the latest."""
+    from tidemark.operators.asof import asof_join
+
+    s = shares.where(F.col("shares") > 0)
+    exact = keep_best(s.withColumn("quarter", quarter_key(F.col(date))), [entity, "quarter"], date).select(entity, "quarter", F.col("shares").alias("__exact"))
+    latest = s.groupBy(entity).agg(F.max_by("shares", date).alias("__latest"))
+    before = s.select(entity, F.col(date).alias("__day"), F.col("shares").alias("__before"))
+    df = asof_join(eps.where(F.col("eps").isNotNull()).withColumn("quarter", quarter_key(F.col(date))), before, entity, date, "__day", ["__before"])
+    df = df.join(exact, [entity, "quarter"], "left").join(latest, entity, "left")
+    df = df.select(entity, "quarter", date, (F.col("eps") * F.coalesce("__exact", "__before", "__latest")).alias("net_income"))
+    return keep_best(df.where("net_income is not null"), [entity, "quarter"], date)
+
+
+def first_available(rows: DataFrame, key: str, end: str, filed: str) -> DataFrame:
+    """The earliest day on which each quarter's figures were out, none before the period's end."""
+    return rows.groupBy(key, quarter_key(F.col(end)).alias("quarter")).agg(F.min(F.greatest(end, filed)).alias("available"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.dates import subtract_years
 from tidemark.functions.numbers import clamp, earnings_yield, metric_rank_key, regime, valuation_rank_key
-from tidemark.operators.windows import TRADING_DAYS, percentile_rank, percentile_rank_years, row_frame, z_score
+from tidemark.operators.windows import TRADING_DAYS, framed_ranks, percentile_rank_years, row_frame, z_score
 
 
 def enrich_series(points: DataFrame, entity: str = "entity", date: str = "d") -> DataFrame:
@@ -16,19 +16,16 @@ def enrich_series(points: DataFrame, entity: str = "entity", date: str = "d") ->
 
     Percentiles rank by the negative-aware key, the z-score is of the raw ratio.
     """
-    frame = lambda years: row_frame(entity, date, None if years is None else years * TRADING_DAYS)
     df = points.withColumn("__key", valuation_rank_key(F.col("pe_ttm")))
     ey = earnings_yield(F.col("pe_ttm"))
     df = df.withColumns(
         {
             "earnings_yield": ey,
             "erp_proxy": clamp(ey - F.col("us10y_yield"), -1, 1),
-            "percentile_5y": percentile_rank("__key", frame(5)),
-            "percentile_10y": percentile_rank("__key", frame(10)),
-            "percentile_full": percentile_rank("__key", frame(None)),
-            "z_score_3y": z_score("pe_ttm", frame(3)),
+            "z_score_3y": z_score("pe_ttm", row_frame(entity, date, 3 * TRADING_DAYS)),
         }
     )
+    df = framed_ranks(df, entity, date, "__key", {"percentile_5y": 5 * TRADING_DAYS, "percentile_10y": 10 * TRADING_DAYS, "percentile_full": None})
     return df.withColumn("regime", regime(F.col("percentile_full"))).drop("__key")
 
 
@@ -40,8 +37,11 @@ def metric_series(points: DataFrame, metric: str, start: str | None = None, end:
     if end:
         df = df.where(F.col(date) <= F.lit(end).cast("date"))
     df = df.select(entity, date, F.col(metric).alias("value"), metric_rank_key(metric, F.col(metric)).alias("__key"))
-    rank = (lambda y: percentile_rank("__key", row_frame(entity, date, y * TRADING_DAYS))) if frame == "rows" else (lambda y: percentile_rank_years("__key", entity, date, y))
-    df = df.withColumns({"percentile_5y": rank(5), "percentile_10y": rank(10), "percentile_full": percentile_rank("__key", row_frame(entity, date, None))})
+    if frame == "rows":
+        df = framed_ranks(df, entity, date, "__key", {"percentile_5y": 5 * TRADING_DAYS, "percentile_10y": 10 * TRADING_DAYS, "percentile_full": None})
+    else:
+        df = df.withColumns({f"percentile_{y}y": percentile_rank_years("__key", entity, date, y) for y in (5, 10)})
+        df = framed_ranks(df, entity, date, "__key", {"percentile_full": None})
     return df.withColumn("regime", regime(F.col("percentile_full"))).drop("__key")
 
 
@@ -78,17 +78,71 @@ def latest_stats(points: DataFrame, value: str = "pe_ttm", signed: bool = True,
         ref.alias("__ref"),
     )
     z = F.when(F.col("__s") > 1e-12, (F.col("last_value") - F.col("__m")) / F.col("__s")).otherwise(0.0)
-    change = F.when(F.abs(F.col("__ref")) > 1e-12, F.col("last_value") / F.col("__ref") - 1)
-    return out.withColumns({"z_score_3y": z, "change_1y": change, "regime": regime(F.col(basis))}).drop("__m", "__s", "__ref")
+    return out.withColumns({"z_score_3y": z, "change_1y": relative_change(F.col("last_value"), F.col("__ref")), "regime": regime(F.col(basis))}).drop("__m", "__s", "__ref")
+
+
+def relative_change(now: Column, before: Column) -> Column:
+    """Change by the size of the value before, so that a rise from a loss is positive; 0 without a usable value."""
+    return F.coalesce(F.when(F.abs(before) > 1e-12, (now - before) / F.abs(before)), F.lit(0.0))
+
+
+def latest_row_stats(
+    points: DataFrame, value: str = "pe_ttm", signed: bool = False, years: tuple[int, ...] = (5, 10), reference: str = "date", entity: str = "entity", date: str = "d"
+) -> DataFrame:
+    """The latest value ranked within its last ``years`` times 252 rows and all rows, its z-score in 756 rows and its change.
+
+    The change is on the last row a calendar year before or, with ``reference`` = "rows", on the row 251 rows
+    before; the first row where there is none. Rows without a value are left out.
+    """
+    key = valuation_rank_key(F.col(value)) if signed else F.col(value)
+    w = W.partitionBy(entity).orderBy(F.desc(date))
+    df = points.where(F.col(value).isNotNull() & ~F.isnan(value)).select(entity, date, F.col(value).alias("__v"), key.alias("__k"))
+    df = df.withColumns({"__n": F.row_number().over(w), "__lk": F.first("__k").over(w), "__d": F.first(date).over(w)})
+    inside = lambda rows: F.lit(True) if rows is None else F.col("__n") <= rows
+    share = lambda rows: F.count_if(inside(rows) & (F.col("__k") <= F.col("__lk"))) / F.count_if(inside(rows))
+    three = F.when(inside(3 * TRADING_DAYS), F.col("__v"))
+    old = F.col("__n") >= TRADING_DAYS if reference == "rows" else F.col(date) <= subtract_years(F.col("__d"), 1)
+    out = df.groupBy(entity).agg(
+        F.max("__d").alias("last_date"),
+        F.max_by("__v", date).alias("last_value"),
+        F.count(F.lit(1)).alias("n_points"),
+        *[share(y * TRADING_DAYS).alias(f"percentile_{y}y") for y in years],
+        share(None).alias("percentile_full"),
+        F.avg(three).alias("__m"),
+        F.coalesce(F.stddev_samp(three), F.lit(0.0)).alias("__s"),
+        F.coalesce(F.max_by("__v", F.when(old, F.col(date))), F.min_by("__v", date)).alias("__ref"),
+    )
+    z = F.when(F.col("__s") > 0, (F.col("last_value") - F.col("__m")) / F.col("__s")).otherwise(0.0)
+    change = relative_change(F.col("last_value"), F.col("__ref"))
+    return out.withColumns({"z_score_3y": z, "change_1y": change, "regime": regime(F.col("percentile_full"))}).drop("__m", "__s", "__ref")
+
+
+def view_summary(df: DataFrame, value: str, entity: str = "entity", date: str = "d") -> DataFrame:
+    """Range, extremes, last value and per cent change from the first of each series in view; the change of a single row is 0."""
+    first, last = F.min_by(value, date), F.max_by(value, date)
+    base = F.when(first == 0, 1.0).otherwise(F.abs(first))
+    change = F.when(F.count(F.lit(1)) > 1, (last - first) / base * 100).otherwise(0.0)
+    return df.groupBy(entity).agg(F.min(date).alias("from_date"), F.max(date).alias("to_date"), F.min(value).alias("lowest"), F.max(value).alias("highest"), last.alias("last_value"), change.alias("change_percent"))
+
+
+def compare_summary(df: DataFrame, percentile: str, entity: str = "entity", date: str = "d") -> DataFrame:
+    """One row: the number of series, their common range and the median of their last percentiles."""
+    each = df.groupBy(entity).agg(F.min(date).alias("__a"), F.max(date).alias("__b"), F.max_by(percentile, date).alias("__p"))
+    return each.agg(F.count(F.lit(1)).alias("n_series"), F.max("__a").alias("from_date"), F.min("__b").alias("to_date"), F.median("__p").alias("median_percentile"))
 
 
 def snapshot(points: DataFrame, dim: DataFrame, group: str | None = None, entity: str = "entity", date: str = "d") -> DataFrame:
     """The latest enriched row of each entity with its attributes; ``group`` filters only for core and sector.
 
-    The dimension is a catalogue: it is broadcast by Spark's own size check, not by a hint.
+    Only the last row's ranks are asked for, so they come from conditional counts over numbered rows. The
+    dimension is a catalogue: it is broadcast by Spark's own size check, not by a hint.
     """
     dim = dim.where(F.col("group") == group) if group in ("core", "sector") else dim
-    return latest_row(enrich_series(points, entity, date), entity, date).join(dim, entity).orderBy(F.desc("percentile_full"), entity)
+    ey = earnings_yield(F.col("pe_ttm"))
+    last = latest_row(points, entity, date).withColumns({"earnings_yield": ey, "erp_proxy": clamp(ey - F.col("us10y_yield"), -1, 1)})
+    ranks = latest_row_stats(points, "pe_ttm", True, entity=entity, date=date)
+    ranks = ranks.select(entity, "percentile_5y", "percentile_10y", "percentile_full", "z_score_3y", "regime")
+    return last.join(ranks, entity).join(dim, entity).orderBy(F.desc("percentile_full"), entity)
 
 
 def range_filter(df: DataFrame, years: int, least: int = 60, entity: str = "entity", date: str = "d") -> DataFrame:

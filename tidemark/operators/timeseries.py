@@ -25,13 +25,18 @@ def _bracket(entity: str, date: str, value: str) -> dict[str, Column]:
     }
 
 
-def interpolate(df: DataFrame, entity: str, date: str, value: str, out: str, widest: int | None = None) -> DataFrame:
-    """Linear between known values by days, flat beyond the first and last; null inside gaps over ``widest`` days."""
+def interpolate(df: DataFrame, entity: str, date: str, value: str, out: str, widest: int | None = None, before_first: str = "flat", fill: int | None = None) -> DataFrame:
+    """Linear between known values by days; null inside gaps over ``widest`` days.
+
+    Before the first it is flat or, with ``before_first`` = "null", null; after the last it is flat, for ``fill`` days if given.
+    """
     df = df.withColumns(_bracket(entity, date, value))
     span = F.datediff("__d1", "__d0")
     between = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.datediff(date, "__d0") / span
     inside = between if widest is None else F.when(span <= widest, between)
-    v = F.when(F.col("__d0").isNull(), F.col("__v1")).when(F.col("__d1").isNull() | (span == 0), F.col("__v0")).otherwise(inside)
+    ahead = F.col("__v1") if before_first == "flat" else F.lit(None).cast("double")
+    after = F.col("__v0") if fill is None else F.when(F.datediff(date, "__d0") <= fill, F.col("__v0"))
+    v = F.when(F.col("__d0").isNull(), ahead).when(F.col("__d1").isNull(), after).when(span == 0, F.col("__v0")).otherwise(inside)
     return df.withColumn(out, v).drop("__d0", "__v0", "__d1", "__v1")
 
 
@@ -60,6 +65,88 @@ def rebase_before(df: DataFrame, value: str, date: str, cut: Column, factor: Col
     return df.withColumn(value, F.when((F.col(date) < cut) & fold.between(low, high) & (F.col(value) >= 4), F.col(value) * factor).otherwise(F.col(value)))
 
 
+def cutover_factor(df: DataFrame, value: str, cut: Column, days: int = 30, entity: str = "entity", date: str = "d") -> DataFrame:
+    """Each series' median in the days from a cut-over on, over its median in the days before."""
+    after = F.when((F.col(date) >= cut) & (F.col(date) < F.date_add(cut, days)), F.col(value))
+    before = F.when((F.col(date) < cut) & (F.col(date) >= F.date_sub(cut, days)), F.col(value))
+    return df.groupBy(entity).agg((F.median(after) / F.median(before)).alias("factor"))
+
+
+def forward_start(closes: DataFrame, forward: DataFrame, history: DataFrame, entity: str, date: str, least: int = 4, coverage: int = 126) -> DataFrame:
+    """From when on each series has forward values: its first forward anchor if there are enough, else a stored
+    start that leaves at least ``coverage`` closes, else its first close; never before the first close."""
+    back = W.partitionBy(entity).orderBy(F.desc(date))
+    n = closes.withColumn("__n", F.row_number().over(back))
+    c = n.groupBy(entity).agg(F.min(date).alias("__c0"), F.min(F.when(F.col("__n") <= coverage, F.col(date))).alias("__covers"))
+    f = forward.groupBy(entity).agg(F.min(date).alias("__f0"), F.count(F.lit(1)).alias("__f"))
+    df = c.join(f, entity, "left").join(history, entity, "left")
+    start = F.when(F.col("__f") >= least, F.greatest("__f0", "__c0")).when(F.col("history_start") <= F.col("__covers"), F.greatest("history_start", "__c0"))
+    return df.select(entity, F.coalesce(start, F.col("__c0")).alias("forward_start"))
+
+
+def growth_on_year(df: DataFrame, entity: str, date: str, value: str) -> DataFrame:
+    """Change on the last value a year before; null without one or where nothing changed."""
+    from tidemark.functions.dates import subtract_years
+    from tidemark.operators.asof import asof_join
+
+    then = df.select(entity, F.col(date).alias("__then"), F.col(value).alias("__old"))
+    out = asof_join(df.withColumn("__t", subtract_years(F.col(date), 1)), then, entity, "__t", "__then", ["__old"])
+    growth = F.col(value) / F.when(F.abs(F.col("__old")) > 1e-8, F.col("__old")) - 1
+    return out.withColumn("growth", F.when(F.abs(growth) > 1e-8, growth))
+
+
+def forward_from_trailing(df: DataFrame, last: DataFrame, entity: str, date: str, value: str, years: int = 8, most: float = 200.0) -> DataFrame:
+    """A forward series as the trailing one times their latest ratio, for the last years; none where the ratio is out of bounds."""
+    from tidemark.functions.dates import subtract_years
+    from tidemark.functions.numbers import clamp, round_half_up
+
+    ends = df.groupBy(entity).agg(F.max(date).alias("__end")).join(last, entity)
+    ratio = F.col("latest_forward") / F.when(F.abs(F.col("latest")) > 1e-8, F.col("latest"))
+    ends = ends.withColumn("__ratio", ratio).where(F.abs(F.col("__ratio")).between(0.35, 3.5))
+    out = df.join(ends.select(entity, "__end", "__ratio"), entity).where(F.col(date) >= subtract_years(F.col("__end"), years))
+    return out.select(entity, date, round_half_up(clamp(F.col(value) * F.col("__ratio"), -most, most), 4).alias("value"))
+
+
+def override_with_actual(df: DataFrame, actual: DataFrame, entity: str, date: str, value: str, close: str, stale: int = 190, fold: float = 3.5, most: float = 500.0) -> DataFrame:
+    """Recent ratios as close over the latest actual earnings (start, eps of each series).
+
+    Left alone where the earnings are older than ``stale`` days or their ratio departs ``fold`` times from the
+    series' last, as for listings in another currency.
+    """
+    last = df.groupBy(entity).agg(F.max(date).alias("__end"), F.max_by(close, date).alias("__close"), F.max_by(value, date).alias("__last"))
+    use = last.join(actual, entity).where(F.abs(F.col("eps")) > 1e-8)
+    based = F.col("__close") / F.col("eps")
+    near = F.greatest(F.col("__last") / based, based / F.col("__last")) < fold
+    use = use.where(F.datediff("__end", "start").between(0, stale) & F.coalesce(near, F.lit(True))).select(entity, "start", "eps")
+    ratio = F.col(close) / F.col("eps")
+    fits = F.coalesce((F.col(date) >= F.col("start")) & (F.col(close) > 0) & (F.abs(ratio) <= most), F.lit(False))
+    return df.join(use, entity, "left").withColumn(value, F.when(fits, ratio).otherwise(F.col(value))).drop("start", "eps")
+
+
+def anchor_denominators(closes: DataFrame, anchors: DataFrame, entity: str, date: str, close: str, fallback: float) -> DataFrame:
+    """Close over ratio at each anchor with a usable ratio; a series without any gets one at its first close."""
+    from tidemark.operators.asof import asof_join
+
+    prices = closes.select(entity, F.col(date).alias("__day"), F.col(close).alias("__close"))
+    good = anchors.where(F.abs(F.col("ratio")) > 1e-8).select(entity, F.col(date).alias("__a"), "ratio")
+    found = asof_join(good, prices, entity, "__a", "__day", ["__close"], before_first="first")
+    found = found.select(entity, F.col("__a").alias(date), "ratio", (F.col("__close") / F.col("ratio")).alias("denominator"), F.lit(False).alias("fallback"))
+    first = closes.groupBy(entity).agg(F.min(date).alias(date), F.min_by(close, date).alias("__c")).join(good.select(entity).distinct(), entity, "left_anti")
+    return found.unionByName(first.select(entity, date, F.lit(fallback).alias("ratio"), (F.col("__c") / fallback).alias("denominator"), F.lit(True).alias("fallback")))
+
+
+def book_anchor(pb: Column, pe: Column, base_pe: Column) -> Column:
+    """A price-to-book ratio that moves with the earnings ratio, damped."""
+    from tidemark.functions.numbers import clamp
+
+    return clamp(pb * F.pow(pe / base_pe, F.lit(0.72)), 0.5, 16)
+
+
+def positive_points(df: DataFrame, value: str) -> DataFrame:
+    """A metric's rows that can stand as closes: finite and above zero."""
+    return df.where((F.col(value) > 0) & (F.col(value) < float("inf")))
+
+
 def trailing_sum(df: DataFrame, entity: str, date: str, value: str, out: str, shortest: int = 40, longest: int = 140) -> DataFrame:
     """The sum of the last four quarters, only where all three gaps between them are plausible."""
     w = W.partitionBy(entity).orderBy(date)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 TRADING_DAYS = 252
+#: Rows of a series that are sorted together.
+BLOCK = 512
 
 
 def row_frame(entity: str, order: str, rows: int | None) -> WindowSpec:
@@ -43,38 +44,85 @@ def z_score(value: str, frame: WindowSpec, least: float = 0.0) -> Column:
     return F.when(sd > least, (F.col(value) - F.avg(value).over(frame)) / sd).otherwise(0.0)
 
 
-def expanding_percentile(df: DataFrame, entity: str, order: str, value: str, out: str = "percentile") -> DataFrame:
-    """The percentile among all rows so far, for series too long to hold a window's array in every row.
+def at_most_before(x: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """For every place i how many values at places up to ``upto[i]`` are at most x[i]; NaN is never counted.
 
-    One task per entity keeps one sorted list; rows are read in order, so a row costs a binary search.
+    The series is cut into blocks, each sorted once: whole blocks are answered by binary search, the
+    one block that a limit falls into by comparison. Memory is bounded by the block.
+    """
+    out = np.zeros(len(x), np.int64)
+    for at in range(0, len(x), BLOCK):
+        block = x[at : at + BLOCK]
+        ordered = np.sort(block[~np.isnan(block)])
+        whole = upto >= at + len(block) - 1
+        out[whole] += np.searchsorted(ordered, x[whole], "right")
+        for cut in np.array_split(np.flatnonzero((upto >= at) & ~whole), 1 + len(x) // (8 * BLOCK)):
+            out[cut] += ((block[None, :] <= x[cut, None]) & (np.arange(at, at + len(block))[None, :] <= upto[cut, None])).sum(axis=1)
+    out[np.isnan(x)] = 0
+    return out
+
+
+def framed_rank(x: np.ndarray, rows: int | None) -> np.ndarray:
+    """Each value's share of values at most it among the last ``rows`` (all if None) up to its place; 0.5 of none."""
+    here = np.arange(len(x))
+    seen = np.cumsum(~np.isnan(x))
+    hits, size = at_most_before(x, here), seen.copy()
+    if rows is not None and rows < len(x):
+        before = here - rows
+        hits = hits - at_most_before(x, before)
+        size = size - np.where(before >= 0, seen[np.maximum(before, 0)], 0)
+    return np.where(size > 0, hits / np.maximum(size, 1), 0.5)
+
+
+def framed_ranks(df: DataFrame, entity: str, order: str, key: str, frames: dict[str, int | None]) -> DataFrame:
+    """Adds a percentile rank of ``key`` for each frame of so many last rows, or of all rows so far.
+
+    Like ``percentile_rank``, in a time that grows with the series and not with its square, and without an
+    array in every row. One task holds one entity's series, which is bounded by its dates.
     """
     from pyspark.sql.types import DoubleType, StructType
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order, kind="stable")
-        seen: list[float] = []
-        ranks = []
-        for x in f[value]:
-            insort(seen, x)
-            ranks.append(bisect_right(seen, x) / len(seen))
-        return f.assign(**{out: ranks})
+    from tidemark.session import ship_package
 
-    return df.groupBy(entity).applyInPandas(run, StructType([*df.schema.fields]).add(out, DoubleType()))
+    ship_package(df.sparkSession)
+    schema = StructType([*df.schema.fields])
+    for out in frames:
+        schema = schema.add(out, DoubleType())
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        x = table.column(key).to_numpy().astype(np.float64)
+        for out, rows in frames.items():
+            table = table.append_column(out, pa.array(framed_rank(x, rows)))
+        return table
+
+    return df.groupBy(entity).applyInArrow(run, schema)
+
+
+def expanding_percentile(df: DataFrame, entity: str, order: str, value: str, out: str = "percentile") -> DataFrame:
+    """The percentile among all rows so far."""
+    return framed_ranks(df, entity, order, value, {out: None})
 
 
 def ema(df: DataFrame, entity: str, order: str, value: str, span: int, out: str) -> DataFrame:
     """Exponential moving average with weight 2 / (span + 1), started at the first value."""
+    from pyspark.sql.types import DoubleType, StructType
+
+    from tidemark.session import ship_package
+
+    ship_package(df.sparkSession)
     a = 2.0 / (span + 1)
-    day = F.struct(F.col(order).alias("k"), F.col(value).alias("v"))
-    rows = df.groupBy(entity).agg(F.array_sort(F.collect_list(day)).alias("__s"))
-    zero = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast(f"array<struct<k:{df.schema[order].dataType.simpleString()},v:double,e:double>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        e = F.when(acc["e"].isNull(), x["v"]).otherwise(acc["e"] + a * (x["v"] - acc["e"]))
-        return F.struct(e.alias("e"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), x["v"].alias("v"), e.alias("e")))).alias("out"))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        x = table.column(value).to_numpy().astype(np.float64)
+        level = np.empty(len(x))
+        for i, v in enumerate(x):
+            level[i] = v if i == 0 else level[i - 1] + a * (v - level[i - 1])
+        return table.append_column(out, pa.array(level))
 
-    rows = rows.select(entity, F.inline(F.aggregate("__s", zero, step)["out"]))
-    return rows.select(entity, F.col("k").alias(order), F.col("v").alias(value), F.col("e").alias(out))
+    rows = df.select(entity, order, value)
+    return rows.groupBy(entity).applyInArrow(run, StructType([*rows.schema.fields]).add(out, DoubleType()))
 
 
 def previous(value: str, entity: str, order: str, steps: int = 1) -> Column:

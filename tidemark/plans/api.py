@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tidemark.functions.numbers import earnings_yield
 from tidemark.operators import alerts as al
 from tidemark.operators import stats
 
@@ -36,7 +38,14 @@ def series(points: DataFrame, entity: str, metric: str, start: str | None = None
 
 
 def company_snapshot(points: DataFrame, dim: DataFrame) -> DataFrame:
-    return stats.latest_stats(points).join(dim, "entity").orderBy(F.desc("market_cap"), "entity")
+    """Each company's latest values and ranks by calendar years, numbered by market value, rank and name; missing ranks are 9999."""
+    last = stats.latest_row(points).select("entity", F.col("d").alias("date"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("pe_ttm", "pe_forward", "pb")], earnings_yield(F.col("pe_ttm"), signed=True).alias("earnings_yield"))
+    ranks = stats.latest_stats(points).select("entity", "percentile_5y", "percentile_10y", "percentile_full", "z_score_3y", "change_1y", "regime")
+    names = dim.withColumns({"rank": F.coalesce("rank", F.lit(9999)).cast("long"), "market_cap": F.coalesce("market_cap", F.lit(0))})
+    df = last.join(ranks, "entity").join(names, "entity")
+    # One row a company: the list is short.
+    place = F.row_number().over(W.orderBy(F.desc("market_cap"), "rank", "display_name"))
+    return df.withColumn("place", place.cast("long"))
 
 
 def watchlists(lists: DataFrame, catalogue: list[str]) -> DataFrame:
@@ -51,8 +60,6 @@ def acknowledge(store: DataFrame, user: str, ids: list[str] | None = None) -> Da
     return al.acknowledge(store, user, ids)
 
 
-def daily_update(points: DataFrame, watchers: DataFrame, upper: float = 85, lower: float = 15, cooldown: int = 5) -> DataFrame:
-    """Alerts of all users for all crossings of their entities, with cooldown."""
-    enriched = stats.enrich_series(points).select("entity", "d", "percentile_full")
-    crossed = al.crossings(enriched, "percentile_full", upper, lower).join(al.trading_days(points), "d")
-    return al.alert_rows(al.with_cooldown(crossed, cooldown), watchers, "percentile_full")
+def daily_update(ranked: DataFrame, watchers: DataFrame, state: DataFrame, percentile: str = "percentile") -> tuple[DataFrame, DataFrame]:
+    """One run over series with percentiles: (new alerts, alert state after the run); see ``latest_alerts``."""
+    return al.latest_alerts(ranked, watchers, state, percentile)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tidemark.operators import quarters as qt
 from tidemark.operators.asof import asof_join
 from tidemark.plans import api
 from tidemark.session import checkpoint_path, load, ship_package
-from tidemark.sources import parse, sinks
+from tidemark.sources import parse, readers, sinks
 from tidemark.streaming.alerts import stream_alerts, stream_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,8 +102,8 @@ RANK = "len(list_filter(list({0}) {1}, lambda x: x <= {0})) / CAST(len(list({0})
 
 @query(f"WITH {S} SELECT entity, d, {rnd(RANK.format('v', FRAME.format(251)))} AS percentile FROM s")
 def pct_rank_rows(spark, sf):
-    df = daily(spark, sf)
-    return df.select("entity", "d", r6(windows.percentile_rank("v", windows.row_frame("entity", "d", 252))).alias("percentile"))
+    df = windows.framed_ranks(daily(spark, sf), "entity", "d", "v", {"percentile": 252})
+    return df.select("entity", "d", r6("percentile").alias("percentile"))
 
 
 @query(f"WITH {S} SELECT entity, d, {rnd(RANK.format('v', FRAME.format('UNBOUNDED')))} AS percentile FROM s")
@@ -197,7 +198,7 @@ def _latest_sql(key: str) -> str:
     avg(pe_ttm) FILTER (d >= CAST(ld - INTERVAL 3 YEAR AS DATE)) AS m, coalesce(stddev_samp(pe_ttm) FILTER (d >= CAST(ld - INTERVAL 3 YEAR AS DATE)), 0) AS sd,
     coalesce(arg_max(pe_ttm, d) FILTER (d <= {year}), arg_min(pe_ttm, d) FILTER (d >= {year})) AS ref FROM k JOIN l USING (entity) GROUP BY 1)
   SELECT entity, last_date, {rnd('lv')} AS last_value, n_points, {rnd('pf')} AS percentile_full, {rnd('p10')} AS percentile_10y, {rnd('p5')} AS percentile_5y, {rnd('p3')} AS percentile_3y,
-    {rnd('CASE WHEN sd > 1e-12 THEN (lv - m) / sd ELSE 0 END')} AS z_score_3y, {rnd('lv / ref - 1', 4)} AS change_1y, {REGIME.format('p10')} AS regime FROM g"""
+    {rnd('CASE WHEN sd > 1e-12 THEN (lv - m) / sd ELSE 0 END')} AS z_score_3y, {rnd('CASE WHEN abs(ref) > 1e-12 THEN (lv - ref) / abs(ref) ELSE 0 END', 4)} AS change_1y, {REGIME.format('p10')} AS regime FROM g"""
 
 
 def _latest(spark, sf, signed: bool) -> DataFrame:
@@ -308,12 +309,13 @@ def median_mad(spark, sf):
     return timeseries.median_and_spread(daily(spark, sf), "entity", "v").select("entity", r6("median_ratio").alias("median_ratio"), r6("log_mad").alias("log_mad"))
 
 
-TWO = "x AS (SELECT entity, d, v AS a FROM s WHERE day(d) % 2 = 0), y AS (SELECT entity, d, v * 2 AS a FROM s WHERE month(d) <> 5)"
+TWO = "x AS (SELECT entity, d, v AS a FROM s WHERE day(d) % 2 = 0 AND d < DATE '2001-04-01'), y AS (SELECT entity, d, v * 2 AS a FROM s WHERE month(d) <> 5)"
 
 
 def _two(spark, sf):
     df = daily(spark, sf)
-    return df.where(F.dayofmonth("d") % 2 == 0).withColumnRenamed("v", "a"), df.where(F.month("d") != 5).select("entity", "d", (F.col("v") * 2).alias("a"))
+    early = (F.dayofmonth("d") % 2 == 0) & (F.col("d") < "2001-04-01")
+    return df.where(early).withColumnRenamed("v", "a"), df.where(F.month("d") != 5).select("entity", "d", (F.col("v") * 2).alias("a"))
 
 
 @query(f"WITH {S}, {TWO} SELECT entity, d, a FROM x UNION ALL SELECT entity, d, a FROM y ANTI JOIN x USING (entity, d)")
@@ -321,7 +323,7 @@ def priority_union(spark, sf):
     return merge.priority_union(list(_two(spark, sf)), ["entity", "d"])
 
 
-@query(f"WITH {S}, {TWO}, l AS (SELECT entity, max(d) AS m FROM x GROUP BY 1), o AS (SELECT x.* FROM x JOIN l USING (entity) WHERE m - d <= 365) SELECT entity, d, a FROM o UNION ALL SELECT entity, d, a FROM y ANTI JOIN o USING (entity, d)")
+@query(f"WITH {S}, {TWO}, l AS (SELECT entity, max(d) AS m FROM y GROUP BY 1), o AS (SELECT x.* FROM x JOIN l USING (entity) WHERE d >= m - 365) SELECT entity, d, a FROM o UNION ALL SELECT entity, d, a FROM y ANTI JOIN o USING (entity, d)")
 def recent_override(spark, sf):
     x, y = _two(spark, sf)
     return merge.recent_override(y, x, "entity", "d", 365)
@@ -414,7 +416,7 @@ CROSS = f"""r AS (SELECT entity, d, {RANK.format('v', FRAME.format(251))} AS p F
 
 def _crossed(spark, sf) -> DataFrame:
     df = daily(spark, sf)
-    ranked = df.select("entity", "d", windows.percentile_rank("v", windows.row_frame("entity", "d", 252)).alias("p"))
+    ranked = windows.framed_ranks(df, "entity", "d", "v", {"p": 252}).select("entity", "d", "p")
     return al.crossings(ranked, "p").select("entity", "d", "p", "direction", "severity")
 
 
@@ -431,10 +433,13 @@ def cooldown_alerts(spark, sf):
     return al.with_cooldown(crossed, 20).select("entity", "d", "direction", "severity")
 
 
-@query(f"WITH {S}, {CROSS} SELECT 'u' || (i % 3) AS user_id, count(*) AS n_alerts, count(*) AS n_unread FROM c JOIN (SELECT c_mktsegment AS entity, row_number() OVER (ORDER BY c_mktsegment) AS i FROM (SELECT DISTINCT c_mktsegment FROM customer)) USING (entity) GROUP BY 1")
+def _watchers(spark, sf) -> DataFrame:
+    return dim(spark, sf).select(F.concat(F.lit("u"), (F.col("position") % 3).cast("string")).alias("user_id"), "entity")
+
+
+@query(f"WITH {S}, {CROSS} SELECT 'u' || (i % 3) AS user_id, least(count(*), 500) AS n_alerts, least(count(*), 500) AS n_unread FROM c JOIN (SELECT c_mktsegment AS entity, row_number() OVER (ORDER BY c_mktsegment) AS i FROM (SELECT DISTINCT c_mktsegment FROM customer)) USING (entity) GROUP BY 1")
 def alert_counts(spark, sf):
-    watchers = dim(spark, sf).select(F.concat(F.lit("u"), (F.col("position") % 3).cast("string")).alias("user_id"), "entity")
-    return al.alert_counts(al.alert_rows(_crossed(spark, sf), watchers, "p", most=1_000_000))
+    return al.alert_counts(al.alert_rows(_crossed(spark, sf), _watchers(spark, sf), "p"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'widget')")
@@ -450,7 +455,7 @@ def name_keys(spark, sf):
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages""")
+  '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&#x2F;', '/'), '&nbsp;', ' '), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages""")
 def html_strip(spark, sf):
     return load(spark, sf, "pages").select("page_id", ft.strip_html(F.col("html")).alias("body"))
 
@@ -461,9 +466,19 @@ def html_links(spark, sf):
     return df.select("page_id", F.size("l").cast("long").alias("n_links"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct"))
 
 
-@query("SELECT page_id, regexp_matches(lower(html), 'access denied|too many requests|captcha|unusual traffic|enable javascript|forbidden') AS rejected FROM pages")
+PAYLOADS = """g AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN '  ' WHEN 1 THEN NULL WHEN 2 THEN 'You exceeded the DAILY hits limit' WHEN 3 THEN html || 'Just a moment' WHEN 4 THEN html || 'Just a moment <cf-chl>'
+  WHEN 5 THEN '<title>Just a moment...' WHEN 6 THEN 'captcha, forbidden' ELSE html END AS body FROM pages)"""
+
+
+@query(f"""WITH {PAYLOADS}, t AS (SELECT page_id, lower(trim(coalesce(body, ''))) AS t FROM g) SELECT page_id, t = '' OR contains(t, 'exceeded the daily hits limit') OR contains(t, 'too many requests')
+  OR contains(t, 'sad-panda-201402200631.png') OR contains(t, 'no longer be accessible from mainland china') OR contains(t, 'enable javascript and cookies to continue') OR contains(t, '<title>just a moment')
+  OR (contains(t, 'just a moment') AND contains(t, 'cf-chl')) AS rejected FROM t""")
 def reject_payload(spark, sf):
-    return load(spark, sf, "pages").select("page_id", ft.is_rejected_payload(F.col("html")).alias("rejected"))
+    html, k = F.col("html"), F.col("page_id") % 8
+    # Every kind of page that is told apart, made from the pages at hand.
+    body = F.when(k == 0, "  ").when(k == 1, F.lit(None)).when(k == 2, "You exceeded the DAILY hits limit").when(k == 3, F.concat(html, F.lit("Just a moment")))
+    body = body.when(k == 4, F.concat(html, F.lit("Just a moment <cf-chl>"))).when(k == 5, "<title>Just a moment...").when(k == 6, "captcha, forbidden").otherwise(html)
+    return load(spark, sf, "pages").select("page_id", ft.is_rejected_payload(body).alias("rejected"))
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1")
@@ -526,7 +541,7 @@ def nested_store(spark, sf):
 
 @query(f"WITH {S} SELECT entity, count(*) AS n FROM s WHERE entity <> 'BUILDING' GROUP BY 1")
 def series_sink_roundtrip(spark, sf):
-    path = f"{checkpoint_path(spark)}/series"
+    path = f"{checkpoint_path(spark)}/series-{uuid4().hex}"
     sinks.write_series(daily(spark, sf).where("entity <> 'BUILDING'"), path)
     return spark.read.parquet(path).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
 
@@ -620,9 +635,11 @@ def keyword_first_row(spark, sf):
     return qt.keyword_rows(rows, "p_name", {"ring": "ring", "bolt": "BOLT", "none": "zzz"}, "p_partkey")
 
 
-@query(f"WITH {S}, {CROSS}, n AS (SELECT entity, d, severity, row_number() OVER (ORDER BY d DESC, entity) AS n FROM c) SELECT entity, d, severity FROM n WHERE n <= 50")
+@query(f"""WITH {S}, {CROSS}, u AS (SELECT 'u' || (i % 3) AS user_id, c.* FROM c JOIN (SELECT c_mktsegment AS entity, row_number() OVER (ORDER BY c_mktsegment) AS i FROM (SELECT DISTINCT c_mktsegment FROM customer)) USING (entity)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d DESC, sha256(user_id || '|' || entity || '|' || d || '|' || direction)) AS n FROM u) SELECT user_id, entity, d, direction, severity FROM n WHERE n <= 20""")
 def newest_alerts(spark, sf):
-    return _crossed(spark, sf).orderBy(F.desc("d"), "entity").limit(50).select("entity", "d", "severity")
+    """The newest 20 of each user."""
+    return al.alert_rows(_crossed(spark, sf), _watchers(spark, sf), "p", most=20).select("user_id", "entity", "d", "direction", "severity")
 
 
 @query(f"WITH {S}, m AS (SELECT entity, d, v, count(*) OVER (PARTITION BY entity) AS n FROM s) SELECT entity, CAST(count(DISTINCT d) AS BIGINT) AS n_points FROM m GROUP BY 1 HAVING count(DISTINCT d) >= 24")
@@ -630,12 +647,16 @@ def usable_history(spark, sf):
     return quality.usable_history(daily(spark, sf), 24)
 
 
-@query(f"""WITH {S}, c AS (SELECT max(d) - 365 AS cut FROM s) SELECT entity, d, {rnd('CASE WHEN d < cut AND v / 10000 >= 4 THEN v / 10000 * 1.5 ELSE v / 10000 END')} AS pe FROM s, c""")
+@query(f"""WITH {S}, c AS (SELECT entity, max(d) - 365 AS cut FROM s GROUP BY 1), j AS (SELECT entity, d, v / 10000 * CASE WHEN d < cut THEN 0.5 + length(entity) / 20.0::DOUBLE ELSE 1 END AS pe, cut FROM s JOIN c USING (entity)),
+  f AS (SELECT entity, median(pe) FILTER (d >= cut AND d < cut + 30) / median(pe) FILTER (d < cut AND d >= cut - 30) AS f FROM j GROUP BY 1)
+  SELECT entity, d, {rnd('CASE WHEN d < cut AND greatest(f, 1 / f) BETWEEN 1.15 AND 4 AND pe >= 4 THEN pe * f ELSE pe END')} AS pe FROM j JOIN f USING (entity)""")
 def rebase_cutover(spark, sf):
-    df = daily(spark, sf).withColumn("pe", F.col("v") / 10000)
-    cut = df.agg(F.date_sub(F.max("d"), 365).alias("cut"))
-    # One row: the cut-over date.
-    return timeseries.rebase_before(df.join(F.broadcast(cut)), "pe", "d", F.col("cut"), F.lit(1.5)).select("entity", "d", r6("pe").alias("pe"))
+    """History before a change of basis is brought onto the level after it; the factor comes from the days around it."""
+    df = daily(spark, sf)
+    cut = df.groupBy("entity").agg(F.date_sub(F.max("d"), 365).alias("cut"))
+    df = df.join(cut, "entity").withColumn("pe", F.col("v") / 10000 * F.when(F.col("d") < F.col("cut"), 0.5 + F.length("entity") / 20).otherwise(1.0))
+    df = df.join(timeseries.cutover_factor(df, "pe", F.col("cut")), "entity")
+    return timeseries.rebase_before(df, "pe", "d", F.col("cut"), F.col("factor")).select("entity", "d", r6("pe").alias("pe"))
 
 
 @query(f"WITH {S} SELECT max(d)::VARCHAR AS last_date, count(*) AS n_points FROM s")
@@ -662,11 +683,12 @@ def board_search(spark, sf):
     return bd.board(_board(spark, sf), keyword="77", mode="percentile_asc", top=20).withColumn("percentile", r6("percentile"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_quantity > 0 AND l_extendedprice / 1000 > 0 AND l_extendedprice / 1000 / l_quantity BETWEEN 0.35 AND 3.5 AS plausible,
+@query("""SELECT l_orderkey, l_linenumber, l_quantity > 4 AND l_quantity < 80 AND l_extendedprice / 1000 > 2 AND l_extendedprice / 1000 < 120 AND l_extendedprice / 1000 / l_quantity BETWEEN 0.45 AND 0.95
+  AND l_quantity - l_extendedprice / 1000 >= 0.8 AS plausible, l_quantity > 4 AND l_quantity < 80 AND (NOT (l_extendedprice / 1000 > 4 AND l_extendedprice / 1000 < 80) OR abs(l_quantity - l_extendedprice / 1000) / (l_extendedprice / 1000) <= 0.05) AS accepted,
   greatest(l_extendedprice / 30000, 30000 / l_extendedprice) BETWEEN 1 AND 3.2 AS near FROM lineitem""")
 def plausibility(spark, sf):
     price = F.col("l_extendedprice")
-    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", bd.plausible_pair(F.col("l_quantity"), price / 1000).alias("plausible"), bd.compatible(price, F.lit(30000.0)).alias("near"))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", bd.plausible_pair(F.col("l_quantity"), price / 1000).alias("plausible"), bd.acceptable_deviation(F.col("l_quantity"), price / 1000).alias("accepted"), bd.compatible(price, F.lit(30000.0)).alias("near"))
 
 
 @query(f"WITH {S} SELECT entity, max(d) AS d, arg_max(v, d) AS v FROM s WHERE d <= DATE '1999-06-15' AND DATE '1999-06-15' - d <= 90 GROUP BY 1")
@@ -679,6 +701,324 @@ def stale_series(spark, sf):
     return bd.stale_entities(daily(spark, sf), F.lit("2001-09-15").cast("date"))
 
 
+LAST_ROWS = """n AS (SELECT entity, d, pe_ttm AS v, {key} AS k, row_number() OVER (PARTITION BY entity ORDER BY d DESC) AS n FROM p), l AS (SELECT entity, k AS lk, d AS ld, v AS lv FROM n WHERE n = 1)"""
+
+
+def _last_rows_sql(key: str, old: str) -> str:
+    share = lambda rows: f"count(*) FILTER (n <= {rows} AND k <= lk) / CAST(count(*) FILTER (n <= {rows}) AS DOUBLE)"
+    return f"""WITH {P}, {LAST_ROWS.format(key=key)}, g AS (SELECT entity, any_value(ld) AS ld, any_value(lv) AS lv, count(*) AS c, {share(1260)} AS p5, {share(2520)} AS p10, {share(10**9)} AS pf,
+    avg(v) FILTER (n <= 756) AS m, stddev_samp(v) FILTER (n <= 756) AS s, coalesce(arg_max(v, d) FILTER ({old}), arg_min(v, d)) AS ref FROM n JOIN l USING (entity) GROUP BY 1)
+  SELECT entity, ld AS last_date, {rnd('lv')} AS last_value, c AS n_points, {rnd('p5')} AS percentile_5y, {rnd('p10')} AS percentile_10y, {rnd('pf')} AS percentile_full,
+    {rnd('CASE WHEN s > 0 THEN (lv - m) / s ELSE 0 END')} AS z_score_3y, {rnd('CASE WHEN abs(ref) > 1e-12 THEN (lv - ref) / abs(ref) ELSE 0 END', 4)} AS change_1y, {REGIME.format('pf')} AS regime FROM g"""
+
+
+def _last_rows(df: DataFrame) -> DataFrame:
+    cols = ["last_value", "percentile_5y", "percentile_10y", "percentile_full", "z_score_3y"]
+    return df.select("entity", "last_date", "n_points", *[r6(c).alias(c) for c in cols], r6("change_1y", 4).alias("change_1y"), "regime")
+
+
+@query(_last_rows_sql("pe_ttm", "d <= CAST(ld - INTERVAL 1 YEAR AS DATE)"))
+def row_window_stats(spark, sf):
+    return _last_rows(stats.latest_row_stats(points(spark, sf)))
+
+
+@query(_last_rows_sql(KEY.format("pe_ttm"), "n >= 252"))
+def row_window_stats_offset(spark, sf):
+    return _last_rows(stats.latest_row_stats(points(spark, sf), signed=True, reference="rows"))
+
+
+COMPANY = """caps AS (SELECT c_mktsegment AS entity, count(*) // 20 AS market_cap, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE length(c_mktsegment) END AS rank FROM customer GROUP BY 1)"""
+
+
+@query(f"""WITH {P}, k AS (SELECT *, {KEY.format('pe_ttm')} AS key FROM p), {DIM}, {COMPANY}, l AS (SELECT entity, max(d) AS ld, arg_max(pe_ttm, d) AS lv, arg_max(key, d) AS lk, arg_max(pe_forward, d) AS fwd, arg_max(pb, d) AS pb FROM k GROUP BY 1),
+  g AS (SELECT entity, count(*) FILTER (key <= any_lk) / CAST(count(*) AS DOUBLE) AS pf, count(*) FILTER (in10 AND key <= any_lk) / CAST(count(*) FILTER (in10) AS DOUBLE) AS p10
+    FROM (SELECT k.*, lk AS any_lk, d >= CAST(ld - INTERVAL 10 YEAR AS DATE) AS in10 FROM k JOIN l USING (entity)) GROUP BY 1)
+  SELECT row_number() OVER (ORDER BY market_cap DESC, coalesce(rank, 9999), display_name) AS place, entity, display_name, market_cap, CAST(coalesce(rank, 9999) AS BIGINT) AS rank, ld AS date, {rnd('lv')} AS pe_ttm, {rnd('fwd')} AS pe_forward, {rnd('l.pb')} AS pb,
+    {rnd('CASE WHEN abs(lv) > 1e-12 THEN 1 / lv ELSE 0 END', 8)} AS earnings_yield, {rnd('pf')} AS percentile_full, {rnd('p10')} AS percentile_10y, {REGIME.format('p10')} AS regime FROM l JOIN g USING (entity) JOIN dim USING (entity) JOIN caps USING (entity)""")
+def company_snapshot(spark, sf):
+    seg = load(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("entity")).agg(F.floor(F.count(F.lit(1)) / 20).alias("market_cap"))
+    caps = seg.withColumn("rank", F.when(F.col("entity") != "BUILDING", F.length("entity")))
+    df = api.company_snapshot(points(spark, sf), dim(spark, sf).join(caps, "entity"))
+    cols = ["pe_ttm", "pe_forward", "pb", "percentile_full", "percentile_10y"]
+    return df.select("place", "entity", "display_name", "market_cap", "rank", "date", *[r6(c).alias(c) for c in cols], r6("earnings_yield", 8).alias("earnings_yield"), "regime")
+
+
+def _rules(spark, sf) -> DataFrame:
+    """Three users with rules of their own over all series."""
+    rules = spark.createDataFrame([("u0", 50.0, 40.0, 5), ("u1", 60.0, 30.0, 2), ("u2", 99.0, 1.0, 0)], "user_id string, upper double, lower double, cooldown int")
+    return rules.join(dim(spark, sf).select("entity"))
+
+
+def _old_state(spark, sf) -> DataFrame:
+    """The last run's state: one user's alerts on the fourth last day of each series, and one of a series that is gone."""
+    w = W.partitionBy("entity").orderBy(F.desc("d"))
+    fourth = daily(spark, sf).withColumn("n", F.row_number().over(w)).where("n = 4").select(F.lit("u0").alias("user_id"), "entity", F.col("d").alias("last_triggered"), F.lit("high").alias("last_direction"))
+    gone = spark.createDataFrame([("u1", "GONE", None, "neutral")], "user_id string, entity string, last_triggered date, last_direction string")
+    return fourth.unionByName(gone)
+
+
+def _updated(spark, sf) -> tuple[DataFrame, DataFrame]:
+    ranked = windows.framed_ranks(daily(spark, sf), "entity", "d", "v", {"percentile": None})
+    return api.daily_update(ranked, _rules(spark, sf), _old_state(spark, sf))
+
+
+UPDATE = f"""rules(user_id, upper, lower, cooldown) AS (VALUES ('u0', 50.0::DOUBLE, 40.0::DOUBLE, 5), ('u1', 60.0, 30.0, 2), ('u2', 99.0, 1.0, 0)),
+  n AS (SELECT entity, d, {RANK.format('v', FRAME.format('UNBOUNDED'))} AS p, row_number() OVER (PARTITION BY entity ORDER BY d DESC) AS back FROM s), l AS (SELECT a.entity, a.d, a.p, b.p AS q FROM n a JOIN n b USING (entity) WHERE a.back = 1 AND b.back = 2),
+  o AS (SELECT 'u0' AS user_id, entity, d AS last_triggered, 'high' AS last_direction FROM n WHERE back = 4 UNION ALL SELECT 'u1', 'GONE', NULL, 'neutral'),
+  w AS (SELECT r.*, l.*, last_triggered, CASE WHEN p >= upper / 100 THEN 'high' WHEN p <= lower / 100 THEN 'low' ELSE 'neutral' END AS now, CASE WHEN q >= upper / 100 THEN 'high' WHEN q <= lower / 100 THEN 'low' ELSE 'neutral' END AS was,
+    last_triggered IS NULL OR 3 >= cooldown AS ready FROM rules r CROSS JOIN l LEFT JOIN o ON o.user_id = r.user_id AND o.entity = l.entity),
+  f AS (SELECT *, ready AND now <> 'neutral' AND now <> was AS fires FROM w)"""
+
+
+@query(f"WITH {S}, {UPDATE} SELECT user_id, entity, d, now AS direction, CASE WHEN p >= 0.95 OR p <= 0.05 THEN 'P1' ELSE 'P2' END AS severity, {rnd('p', 4)} AS percentile FROM f WHERE fires")
+def daily_update(spark, sf):
+    return _updated(spark, sf)[0].select("user_id", "entity", "d", "direction", "severity", r6("percentile", 4).alias("percentile"))
+
+
+@query(f"WITH {S}, {UPDATE} SELECT user_id, entity, CASE WHEN fires THEN d ELSE last_triggered END AS last_triggered, now AS last_direction FROM f UNION ALL SELECT * FROM o WHERE entity = 'GONE'")
+def daily_update_state(spark, sf):
+    """The state after the run, stored and read again as the next run will."""
+    path = f"{checkpoint_path(spark)}/stores-{uuid4().hex}"
+    alerts, state = _updated(spark, sf)
+    sinks.save_stores({"alerts": alerts, "alert_state": state}, path)
+    return readers.load_stores(spark, path)["alert_state"]
+
+
+@query("""WITH u AS (SELECT c_custkey, list_distinct(list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'nation' || c_nationkey ELSE 'segment' || (c_custkey % 7) END, 'segment1', 'nope'], lambda x: x IN ('segment0', 'segment1', 'segment2', 'segment3'))) AS ids FROM customer)
+  SELECT c_custkey, list_contains(ids, 'segment2') AS has_two, CAST(len(ids) AS BIGINT) AS n_ids, least(greatest(c_custkey % 120::DOUBLE, 50), 99) AS upper, 15.0::DOUBLE AS lower, CAST(least(c_custkey % 90, 60) AS INT) AS cooldown FROM u JOIN customer USING (c_custkey)""")
+def watchlists(spark, sf):
+    k = F.col("c_custkey")
+    first = F.when(k % 5 == 0, F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"))).otherwise(F.concat(F.lit("segment"), (k % 7).cast("string")))
+    raw = load(spark, sf, "customer").select(k.alias("user_id"), F.array(first, F.lit("segment1"), F.lit("nope")).alias("watch_ids"), (k % 120).cast("double").alias("upper"), F.lit(None).cast("double").alias("lower"), (k % 90).cast("int").alias("cooldown"))
+    out = api.watchlists(raw, ["segment0", "segment1", "segment2", "segment3"])
+    return out.select(F.col("user_id").alias("c_custkey"), F.array_contains("watch_ids", "segment2").alias("has_two"), F.size("watch_ids").cast("long").alias("n_ids"), "upper", "lower", "cooldown")
+
+
+@query(f"WITH {S}, {CROSS} SELECT 'u1' AS user_id, entity, d, direction, severity = 'P1' AS read FROM c")
+def acknowledge(spark, sf):
+    """One user's alerts, newest first, those of the higher severity marked as read."""
+    store = al.alert_rows(_crossed(spark, sf), dim(spark, sf).select(F.lit("u1").alias("user_id"), "entity"), "p", most=100_000)
+    marked = api.acknowledge(store.where("severity = 'P1'"), "u1").unionByName(api.acknowledge(store.where("severity <> 'P1'"), "u2"))
+    return api.alerts(marked, "u1").select("user_id", "entity", "d", "direction", "read")
+
+
+@query(f"""WITH {S}, a AS (SELECT entity, min(d) AS c0, count(*) AS c FROM s GROUP BY 1), w AS (SELECT entity, min(d) AS f0, count(*) AS f FROM s WHERE day(d) = 9 AND length(entity) <> 9 GROUP BY 1), n AS (SELECT entity, d, row_number() OVER (PARTITION BY entity ORDER BY d DESC) AS n FROM s),
+  m AS (SELECT entity, min(d) AS mc FROM n WHERE n <= 126 GROUP BY 1)
+  SELECT entity, CASE WHEN coalesce(f, 0) >= 4 THEN greatest(f0, c0) WHEN h <= mc THEN greatest(h, c0) ELSE c0 END AS forward_start, greatest(DATE '1997-01-01', CASE WHEN coalesce(f, 0) >= 4 THEN greatest(f0, c0) WHEN h <= mc THEN greatest(h, c0) ELSE c0 END) AS from_date
+  FROM (SELECT *, CASE WHEN entity = 'MACHINERY' THEN DATE '1996-05-05' WHEN entity = 'HOUSEHOLD' THEN DATE '2031-01-01' END AS h FROM a LEFT JOIN w USING (entity) JOIN m USING (entity))""")
+def forward_start(spark, sf):
+    """From when on forward values are shown, and the start of a request clamped to it."""
+    df = daily(spark, sf)
+    history = dim(spark, sf).select("entity", F.when(F.col("entity") == "MACHINERY", F.lit("1996-05-05")).when(F.col("entity") == "HOUSEHOLD", F.lit("2031-01-01")).cast("date").alias("history_start"))
+    out = timeseries.forward_start(df, df.where((F.dayofmonth("d") == 9) & (F.length("entity") != 9)), history, "entity", "d")
+    return out.withColumn("from_date", F.greatest(F.lit("1997-01-01").cast("date"), F.col("forward_start")))
+
+
+@query("""SELECT o_orderkey, last_day(CAST(o_orderdate AS DATE)) AS by_name, CAST(o_orderdate AS DATE) AS by_day, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) END AS by_slash,
+  last_day(CAST(o_orderdate AS DATE)) AS month_end, make_date(CAST(year(o_orderdate) AS BIGINT), 3, 3) - CASE WHEN year(o_orderdate) % 4 = 0 THEN 1 ELSE 0 END AS rolled FROM orders""")
+def text_dates(spark, sf):
+    d = F.col("o_orderdate").cast("timestamp")
+    k = F.col("o_orderkey") % 4
+    slash = F.date_format(d, "M/d/yyyy")
+    short = F.concat(F.date_format(d, "M/d/"), F.lpad((F.year(d) % 100).cast("string"), 2, "0"))
+    kinds = F.when(k == 0, F.lpad((F.unix_millis(d)).cast("string"), 13, "0")).when(k == 1, F.date_format(d, "yyyy-MM-dd HH")).when(k == 2, F.date_format(d, "yyyy/MM")).otherwise(slash)
+    return load(spark, sf, "orders").select(
+        "o_orderkey",
+        fd.month_year_date(F.date_format(d, "MMMM"), F.date_format(d, "yyyy")).alias("by_name"),
+        fd.month_day_year_date(F.date_format(d, "MMM"), F.date_format(d, "d"), F.date_format(d, "yyyy")).alias("by_day"),
+        fd.slash_date(F.when(F.col("o_orderkey") % 2 == 0, slash).otherwise(short)).alias("by_slash"),
+        fd.month_end_of(kinds).alias("month_end"),
+        fd.month_day_year_date(F.lit("February"), F.lit("31"), F.date_format(d, "yyyy")).alias("rolled"),
+    )
+
+
+@query("""SELECT c_custkey, floor(c_acctbal / 7 * 1e6 + 0.5) / 1e6 AS eps, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal / 7 * 1e3 + 0.5) / 1e3 END AS shares, c_acctbal > 4 AND c_acctbal < 80 AS reasonable, c_acctbal > 2 AND c_acctbal < 120 AS reasonable_forward,
+  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(to_timestamp(CASE WHEN c_custkey % 3 = 1 THEN c_custkey * 1000000 ELSE (1000000000 + c_custkey) END) AS DATE) END AS day FROM customer""")
+def scalar_rules(spark, sf):
+    bal, k = F.col("c_acctbal"), F.col("c_custkey")
+    stamp = F.when(k % 3 == 0, -k).when(k % 3 == 1, k * 1000000).otherwise((1000000000 + k) * 1000)
+    return load(spark, sf, "customer").select(
+        "c_custkey", fn.rounded(bal / 7).alias("eps"), fn.share_count(bal / 7).alias("shares"), bd.reasonable_pe(bal).alias("reasonable"), bd.reasonable_forward_pe(bal).alias("reasonable_forward"), fd.epoch_date(stamp).alias("day")
+    )
+
+
+SOURCES = """c AS (SELECT entity, d, v, CAST(1 AS BIGINT) AS source FROM s WHERE day(d) = 1 AND month(d) < length(entity) UNION ALL SELECT entity, d, v * 2, 2 FROM s WHERE day(d) < 3 AND entity <> 'HOUSEHOLD' UNION ALL SELECT entity, d, v * 3, 3 FROM s WHERE day(d) = 30)"""
+
+
+def _sources(spark, sf) -> DataFrame:
+    df, day = daily(spark, sf), F.dayofmonth("d")
+    one = df.where((day == 1) & (F.month("d") < F.length("entity"))).withColumn("source", F.lit(1).cast("long"))
+    two = df.where((day < 3) & (F.col("entity") != "HOUSEHOLD")).withColumns({"v": F.col("v") * 2, "source": F.lit(2).cast("long")})
+    return one.unionByName(two).unionByName(df.where(day == 30).withColumns({"v": F.col("v") * 3, "source": F.lit(3).cast("long")}))
+
+
+@query(f"WITH {S}, {SOURCES}, n AS (SELECT entity, source, count(*) AS n FROM c GROUP BY 1, 2), p AS (SELECT entity, coalesce(min(source) FILTER (n >= 55), arg_max(source, n * 10 - source)) AS source FROM n GROUP BY 1) SELECT entity, d, v, source FROM c JOIN p USING (entity, source)")
+def accepted_source(spark, sf):
+    """Each series from the first source with rows enough, or else from the one with most rows."""
+    return merge.first_sufficient(_sources(spark, sf), "entity", "source", 55)
+
+
+@query(f"WITH {S}, {SOURCES} SELECT entity, count(*) FILTER (source = 1) AS n_one, count(*) FILTER (source = 2) AS n_two, min(d) FILTER (source = 1) AS first_one, arg_max(source, d) AS last_source FROM (SELECT *  FROM c QUALIFY row_number() OVER (PARTITION BY entity, d ORDER BY source) = 1) GROUP BY 1")
+def anchor_counts(spark, sf):
+    df = merge.keep_best(_sources(spark, sf), ["entity", "d"], "source")
+    one, two = F.when(F.col("source") == 1, F.col("d")), F.when(F.col("source") == 2, F.col("d"))
+    return df.groupBy("entity").agg(F.count(one).alias("n_one"), F.count(two).alias("n_two"), F.min(one).alias("first_one"), F.max_by("source", "d").alias("last_source"))
+
+
+@query(f"WITH {S} SELECT entity, min(d) AS from_date, max(d) AS to_date, min(v) AS lowest, max(v) AS highest, arg_max(v, d) AS last_value, {rnd('CASE WHEN count(*) > 1 THEN (arg_max(v, d) - arg_min(v, d)) / abs(arg_min(v, d)) * 100 ELSE 0 END')} AS change_percent FROM s WHERE d >= DATE '1998-01-01' GROUP BY 1")
+def view_summary(spark, sf):
+    return stats.view_summary(daily(spark, sf).where(F.col("d") >= "1998-01-01"), "v").withColumn("change_percent", r6("change_percent"))
+
+
+@query(f"WITH {S}, e AS (SELECT entity, min(d) AS a, max(d) AS b, arg_max(v, d) AS p FROM s GROUP BY 1) SELECT count(*) AS n_series, max(a) AS from_date, min(b) AS to_date, {rnd('median(p)')} AS median_percentile FROM e")
+def compare_summary(spark, sf):
+    return stats.compare_summary(daily(spark, sf), "v").withColumn("median_percentile", r6("median_percentile"))
+
+
+@query(f"WITH {S}, {A}, b AS (SELECT *, {_bracket_sql('anchor')} FROM (SELECT entity, d, CASE WHEN month(d) % 5 = 1 THEN anchor END AS anchor FROM a)) SELECT entity, d, {rnd('CASE WHEN d0 IS NULL THEN NULL WHEN d1 IS NULL THEN CASE WHEN d - d0 <= 60 THEN v0 END WHEN d1 = d0 THEN v0 WHEN d1 - d0 <= 240 THEN v0 + (v1 - v0) * (d - d0) / (d1 - d0) END')} AS value FROM b")
+def interp_monthly(spark, sf):
+    """Nothing before the first anchor, 60 days after the last, nothing in gaps over 240 days."""
+    df = anchored(spark, sf).withColumn("anchor", F.when(F.month("d") % 5 == 1, F.col("anchor")))
+    return timeseries.interpolate(df, "entity", "d", "anchor", "x", widest=240, before_first="null", fill=60).select("entity", "d", r6("x").alias("value"))
+
+
+@query(f"""WITH {S}, y AS (SELECT a.entity, a.d, a.v, a.t, s.v AS w FROM (SELECT *, CASE WHEN month(d) = 2 AND day(d) = 29 THEN make_date(year(d) - 1, 3, 1) ELSE CAST(d - INTERVAL 1 YEAR AS DATE) END AS t FROM s) a ASOF LEFT JOIN s ON a.entity = s.entity AND a.t >= s.d)
+  SELECT entity, d, {rnd('CASE WHEN abs(w) > 1e-8 AND abs(v / w - 1) > 1e-8 THEN v / w - 1 END')} AS growth FROM y""")
+def growth_on_year(spark, sf):
+    return timeseries.growth_on_year(daily(spark, sf), "entity", "d", "v").select("entity", "d", r6("growth").alias("growth"))
+
+
+@query(f"""WITH {P}, l AS (SELECT entity, max(d) AS ld, arg_max(pe_ttm, d) AS lt, arg_max(pe_forward, d) * (1 + length(entity) % 4) AS lf FROM p GROUP BY 1)
+  SELECT entity, d, {rnd('least(greatest(pe_ttm * (lf / lt), -200), 200)', 4)} AS value FROM p JOIN l USING (entity) WHERE abs(lf / lt) BETWEEN 0.35 AND 3.5 AND d >= CAST(ld - INTERVAL 3 YEAR AS DATE)""")
+def forward_proxy(spark, sf):
+    df = points(spark, sf)
+    last = df.groupBy("entity").agg(F.max_by("pe_ttm", "d").alias("latest"), (F.max_by("pe_forward", "d") * (1 + F.length("entity") % 4)).alias("latest_forward"))
+    return timeseries.forward_from_trailing(df, last, "entity", "d", "pe_ttm", 3, 200.0).select("entity", "d", r6("value", 4).alias("value"))
+
+
+@query(f"""WITH {P}, e AS (SELECT entity, max(d) - CAST(100 * (1 + length(entity) % 3) AS INTEGER) AS start, CASE WHEN entity = 'HOUSEHOLD' THEN 100.0 ELSE 5000 + length(entity) END::DOUBLE AS eps FROM p GROUP BY 1),
+  l AS (SELECT entity, max(d) AS ld, arg_max(v, d) / any_value(eps) AS based, arg_max(pe, d) AS pe FROM (SELECT *, abs(pe_ttm) + 3 AS pe FROM p) JOIN e USING (entity) GROUP BY 1), g AS (SELECT *, ld - start BETWEEN 0 AND 190 AND greatest(pe / based, based / pe) < 3.5 AS use FROM l JOIN e USING (entity))
+  SELECT p.entity, d, {rnd('CASE WHEN use AND d >= start AND abs(v / eps) <= 500 THEN v / eps ELSE abs(pe_ttm) + 3 END')} AS pe_ttm FROM p JOIN g USING (entity)""")
+def recent_actual_ratio(spark, sf):
+    df = points(spark, sf).select("entity", "d", F.col("v").alias("close"), (F.abs("pe_ttm") + 3).alias("pe_ttm"))
+    eps = df.groupBy("entity").agg(F.date_sub(F.max("d"), 100 * (1 + F.length("entity") % 3)).alias("start"))
+    eps = eps.withColumn("eps", F.when(F.col("entity") == "HOUSEHOLD", 100.0).otherwise((5000 + F.length("entity")).cast("double")))
+    return timeseries.override_with_actual(df, eps, "entity", "d", "pe_ttm", "close").select("entity", "d", r6("pe_ttm").alias("pe_ttm"))
+
+
+@query(f"""WITH {S}, r AS (SELECT entity, last_day(d) AS a, avg(length(entity)) * CASE WHEN month(last_day(d)) = 6 THEN 0 ELSE 1 END AS ratio FROM s WHERE entity <> 'BUILDING' GROUP BY 1, 2), f AS (SELECT entity, min(d) AS d0, arg_min(v, d) AS v0 FROM s GROUP BY 1),
+  j AS (SELECT r.entity, r.a, r.ratio, s.v FROM r ASOF LEFT JOIN s ON r.entity = s.entity AND r.a >= s.d WHERE abs(ratio) > 1e-8)
+  SELECT entity, a AS d, {rnd('ratio')} AS ratio, {rnd('v / ratio')} AS denominator, false AS fallback FROM j UNION ALL SELECT entity, d0, 20, {rnd('v0 / 20')}, true FROM f WHERE entity NOT IN (SELECT entity FROM j)""")
+def anchor_denominators(spark, sf):
+    df = daily(spark, sf)
+    months = df.where("entity <> 'BUILDING'").select("entity", F.last_day("d").alias("d")).distinct()
+    anchors = months.withColumn("ratio", F.when(F.month("d") == 6, 0.0).otherwise(F.length("entity").cast("double")))
+    out = timeseries.anchor_denominators(df, anchors, "entity", "d", "v", 20.0)
+    return out.select("entity", "d", r6("ratio").alias("ratio"), r6("denominator").alias("denominator"), "fallback")
+
+
+@query(f"""WITH {Q}, e AS (SELECT entity, d, qty / 1000000.0::DOUBLE AS eps, year(d) || '-Q' || quarter(d) AS k FROM q WHERE year(d) >= 1998), h AS (SELECT entity, d, qty::DOUBLE AS shares, year(d) || '-Q' || quarter(d) AS k FROM q WHERE year(d) BETWEEN 1997 AND 1999 AND quarter(d) <> 2),
+  b AS (SELECT e.entity, e.d, e.eps, e.k, h.shares FROM e ASOF LEFT JOIN h ON e.entity = h.entity AND e.d >= h.d), l AS (SELECT entity, arg_max(shares, d) AS last FROM h GROUP BY 1)
+  SELECT b.entity, b.k AS quarter, b.d, {rnd('eps * coalesce(h.shares, b.shares, last)', 3)} AS net_income FROM b LEFT JOIN h ON h.entity = b.entity AND h.k = b.k LEFT JOIN l ON l.entity = b.entity""")
+def expected_income(spark, sf):
+    df = quarters(spark, sf)
+    eps = df.where(F.year("d") >= 1998).select("entity", "d", (F.col("qty") / 1000000).alias("eps"))
+    shares = df.where(F.year("d").between(1997, 1999) & (F.quarter("d") != 2)).select("entity", "d", F.col("qty").cast("double").alias("shares"))
+    return qt.income_from_shares(eps, shares).withColumn("net_income", r6("net_income", 3))
+
+
+@query("""WITH t AS (SELECT s_suppkey, s_name AS ticker FROM supplier WHERE s_suppkey % 2 = 0), k AS (SELECT s_suppkey, lower(replace(s_name, '#', '-')) AS symbol FROM supplier)
+  SELECT k.s_suppkey, t.s_suppkey AS cik FROM k LEFT JOIN t ON regexp_replace(upper(t.ticker), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(k.symbol), '[^A-Z0-9]', '', 'g')""")
+def ticker_lookup(spark, sf):
+    df = load(spark, sf, "supplier")
+    table = df.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("ticker"), F.col("s_suppkey").alias("cik"))
+    return merge.lookup(df.select("s_suppkey", F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("symbol")), table, "symbol", "ticker", "cik").drop("symbol")
+
+
+@query(f"""WITH {S}, {TWO}, c AS (SELECT entity, min(d) AS cut FROM x WHERE year(d) >= 1999 GROUP BY 1), b AS (SELECT y.* FROM y LEFT JOIN c USING (entity) WHERE cut IS NULL OR d < cut), t AS (SELECT entity, d, a FROM x WHERE year(d) >= 1999)
+  SELECT entity, d, coalesce(t.a, b.a) AS a FROM b FULL JOIN t USING (entity, d)""")
+def cutover_merge(spark, sf):
+    x, y = _two(spark, sf)
+    return merge.cutover_merge(y, x.where(F.year("d") >= 1999), "entity", "d", "a")
+
+
+@query(f"""WITH {P} SELECT entity, {rnd('least(greatest(arg_max(pb, d) * pow(arg_max(v, d) / arg_min(v, d), 0.72), 0.5), 16)')} AS pb, {rnd('min(v) FILTER (pe_ttm > 0)')} AS lowest_close, count(*) FILTER (pe_ttm > 0) AS n_positive FROM p GROUP BY 1""")
+def book_anchor(spark, sf):
+    df = points(spark, sf)
+    last = df.groupBy("entity").agg(F.max_by("pb", "d").alias("pb"), F.max_by("v", "d").alias("pe"), F.min_by("v", "d").alias("base"))
+    last = last.select("entity", r6(timeseries.book_anchor(F.col("pb"), F.col("pe"), F.col("base"))).alias("pb"))
+    closes = timeseries.positive_points(df.withColumn("close", F.col("pe_ttm")), "close").groupBy("entity").agg(F.min(r6("v")).alias("lowest_close"), F.count(F.lit(1)).alias("n_positive"))
+    return last.join(closes, "entity")
+
+
+@query("""WITH j AS (SELECT conv_id, turn, regexp_extract_all(text, '[0-9]{1,3}(?:,[0-9]{3})*(?:\\.[0-9]+)?') AS raw FROM conversations), v AS (SELECT conv_id, turn, list_filter(list_transform(raw, lambda x: CAST(replace(x, ',', '') AS DOUBLE)), lambda x: x BETWEEN 4 AND 120) AS v FROM j)
+  SELECT conv_id, turn, CASE WHEN len(v) >= 2 THEN v[1] END AS trailing, CASE WHEN len(v) >= 2 THEN coalesce(list_min(list_filter(v[2:], lambda x: x < v[1])), list_min(v[2:])) END AS forward FROM v""")
+def pair_from_cells(spark, sf):
+    pair = parse.ratio_pair(F.array(F.col("text")))
+    return load(spark, sf, "conversations").select("conv_id", "turn", pair["trailing"].alias("trailing"), pair["forward"].alias("forward"))
+
+
+@query("""SELECT c_custkey, list_contains(ids, 'x' || (c_custkey % 5)) AS has_own, CAST(len(ids) AS BIGINT) AS n, CAST(least(len(ids), 2) AS BIGINT) AS n_capped, (c_custkey % 4 <> 1) AS included FROM (SELECT c_custkey, list_filter(list_distinct(['x' || (c_custkey % 5), 'x' || (c_custkey % 3), 'x1']), lambda x: x <> 'x4') AS ids FROM customer)""")
+def selections(spark, sf):
+    """Known ids of stored lists, as JSON text or array, distinct in order and capped; symbols allowed by an include and an exclude list."""
+    k = F.col("c_custkey")
+    name = lambda n: F.concat(F.lit("x"), (k % n).cast("string"))
+    stored = F.to_json(F.array(name(5), name(3)))
+    ids = ft.known_ids(["x0", "x1", "x2", "x3"], 8, ft.id_list(stored), F.array(F.lit("x1")))
+    symbol = F.concat(F.lit("S"), (k % 4).cast("string"))
+    return load(spark, sf, "customer").select(
+        "c_custkey", F.array_contains(ids, name(5)).alias("has_own"), F.size(ids).cast("long").alias("n"), F.size(F.slice(ids, 1, 2)).cast("long").alias("n_capped"), ft.included(symbol, ["*"], ["S1"]).alias("included")
+    )
+
+
+@query("""SELECT o_custkey, min(CAST(greatest(o_orderdate, o_orderdate + INTERVAL (o_orderkey % 9) DAY) AS DATE)) AS available, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter FROM orders GROUP BY ALL""")
+def availability(spark, sf):
+    """When a quarter's figures could first be known: the earliest of filing dates, none before the period's end."""
+    df = load(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("end"), F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 9).cast("int")).alias("filed"))
+    return qt.first_available(df, "o_custkey", "end", "filed")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_custkey % 50 AS slug, o_totalprice FROM orders) SELECT slug, min(o_orderkey) AS rank, count(*) AS n FROM t GROUP BY 1 ORDER BY rank LIMIT 30""")
+def seed_list(spark, sf):
+    """Pages of ranked seeds: the best rank of each symbol, the first 30."""
+    df = load(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("slug"), F.col("o_orderkey").alias("rank"))
+    return merge.best_ranked(df, "slug", "rank", 30)
+
+
+@query(r"""WITH l AS (SELECT item_id, unnest(string_split(replace(text, ' ', chr(10)), chr(10))) AS w, generate_subscripts(string_split(replace(text, ' ', chr(10)), chr(10)), 1) - 1 AS line_no FROM benchmark WHERE item_id % 2 = 0) SELECT item_id, CAST(line_no AS INT) AS line_no, trim(w) AS cell FROM l WHERE trim(w) <> ''""")
+def csv_lines(spark, sf):
+    df = load(spark, sf, "benchmark").where("item_id % 2 = 0").select("item_id", F.replace("text", F.lit(" "), F.lit("\n")).alias("text"))
+    return parse.csv_rows(df.withColumn("text", F.replace("text", F.lit(","), F.lit(";"))), "text", ["item_id"]).select("item_id", "line_no", F.replace(F.get("cells", F.lit(0)), F.lit(";"), F.lit(",")).alias("cell"))
+
+
+TABLE = "SELECT o_custkey, CAST(o_orderdate AS DATE) AS date, CAST(o_custkey % 260 + 1 AS DOUBLE) AS value FROM orders"
+
+
+@query(f"WITH t AS ({TABLE}) SELECT o_custkey, date, any_value(value) AS value FROM t WHERE value <= 250 GROUP BY 1, 2")
+def table_values(spark, sf):
+    """Dated values out of HTML tables made from the orders of each customer."""
+    cells = F.concat(F.lit("<tr class='x'><td>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</td><td><b>$"), (F.col("o_custkey") % 260 + 1).cast("string"), F.lit("</b></td></tr>"))
+    pages = load(spark, sf, "orders").groupBy("o_custkey").agg(F.concat_ws("", F.lit("<table><tr><th>Date</th><th>Value</th></tr>"), F.concat_ws("", F.collect_list(cells)), F.lit("</table>")).alias("html"))
+    return parse.dated_values(pages, "html", ["o_custkey"])
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS n, floor(sum(value) * 1e2 + 0.5) / 1e2 AS total FROM events GROUP BY 1, 2")
+def chart_documents(spark, sf):
+    """Pairs of [epoch, value] of each user's events, read back from JSON."""
+    pair = F.array(F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"), F.col("value"))
+    docs = load(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list(pair)).alias("body"))
+    rows = docs.select("user_id", F.inline(parse.epoch_pairs(F.col("body"))))
+    return rows.groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT n_nationkey, n_name AS first, CAST(3 AS BIGINT) AS n FROM nation")
+def script_arrays(spark, sf):
+    """An array literal out of a page's script."""
+    text = F.concat(F.lit("var a = {other: [1], names: [\""), F.col("n_name"), F.lit("\", \"x\", null]};"))
+    found = parse.array_literal(text, "names")
+    return load(spark, sf, "nation").select("n_nationkey", F.get(found, F.lit(0)).alias("first"), F.size(found).cast("long").alias("n"))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = load(spark, sf, "events").schema
@@ -697,6 +1037,11 @@ def streaming_alerts(spark, sf):
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, floor(sum(value) * 1e2 + 0.5) / 1e2 AS total FROM events GROUP BY 1, 2")
 def streaming_counts(spark, sf):
-    q = stream_counts(_events(spark, sf)).writeStream.format("memory").queryName("tidemark_counts").outputMode("complete").trigger(availableNow=True).start()
+    folder = f"{checkpoint_path(spark)}/stream-counts-{uuid4().hex}"
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
+
+    q = stream_counts(_events(spark, sf)).writeStream.foreachBatch(replace).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table("tidemark_counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total", 2).alias("total"))
+    return spark.read.parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total", 2).alias("total"))

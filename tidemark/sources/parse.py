@@ -30,6 +30,15 @@ def table_rows(html: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_html))
 
 
+def ratio_pair(cells: Column) -> Column:
+    """(trailing, forward) out of a row's cells: the first number of 4 to 120, and the least later one below it, or else the least later one."""
+    found = F.flatten(F.transform(cells, lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?"), F.lit(0))))
+    values = F.filter(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double")), lambda x: x.between(4, 120))
+    first, later = F.get(values, F.lit(0)), F.slice(values, 2, 1000000)
+    forward = F.coalesce(F.array_min(F.filter(later, lambda x: x < first)), F.array_min(later))
+    return F.when(F.size(values) >= 2, F.struct(first.alias("trailing"), forward.alias("forward")))
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit("(?i)href=\"([^\"]*)\""), F.lit(1))
 

@@ -61,3 +61,22 @@ def first_existing(spark: SparkSession, paths: list[str], schema: str) -> DataFr
         if not df.isEmpty():
             return df
     return spark.createDataFrame([], T._parse_datatype_string(schema))
+
+
+#: The runtime stores and their columns.
+STORES = {
+    "watchlists": "user_id string, watch_ids array<string>, upper double, lower double, cooldown int",
+    "alerts": "user_id string, entity string, d date, direction string, severity string, percentile double, alert_id string",
+    "alert_state": "user_id string, entity string, last_triggered date, last_direction string",
+}
+
+
+def load_stores(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The stores under a path; one that was never written is empty."""
+    out = {}
+    for name, schema in STORES.items():
+        try:
+            out[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+        except AnalysisException:
+            out[name] = spark.createDataFrame([], schema)
+    return out

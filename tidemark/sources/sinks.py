@@ -33,3 +33,9 @@ def build_summary(points: DataFrame, date: str = "d") -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def save_stores(stores: dict[str, DataFrame], path: str) -> None:
+    """Each store under its name; a store is replaced as a whole."""
+    for name, df in stores.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
