@@ -1,14 +1,18 @@
-"""Toxicity scoring by a weighted finite-state pattern grammar (operator 2)."""
+"""Toxicity scoring by a weighted finite-state pattern grammar (operator 2).
+
+Words of a clause become labels (insult, threat, target, negation, reported, copula, break, other). Small
+transducers read the labels in order and mark the matches of the clause: who is meant, whether a
+negation covers the match, whether it is somebody else's speech. Their composition is one machine.
+"""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -26,58 +30,100 @@ NEGATION = set("not no never none nobody isn't aren't wasn't don't doesn't didn'
 REPORTED = set("said says say told wrote writes called calls quoted reported claimed alleged according sagte sagt schrieb nannte laut dit disait écrit appelé selon dijo dice escribió llamó según".split())
 THREAT = set("kill killing murder hurt beat burn shoot stab die destroy töten umbringen verletzen sterben tuer frapper mourir brûler matar herir morir quemar".split())
 
+COPULA = set("am is are was were be been being bin bist ist sind seid war waren sei suis es est sommes êtes sont était soy eres somos son era eran estás está están".split())
+BREAK = set("but however though although while aber sondern doch obwohl mais pourtant quoique pero sino aunque".split())
+
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:\n,]")
 SHORTEST, LONGEST = 4, 8
 #: Labelled rows that the model is fitted on, at most; the rows of smallest id hash are taken.
 FIT_ROWS = 12_000
 LEAST_GAIN = 28.0
-#: Lexicon entries the driver weighs, at most.
-LEXICON = 20_000
+#: Words that a negation covers, that may stand between a target and a match, and between a match and its target.
+NEGATED_WORDS, AIMED_WORDS, OBJECT_WORDS = 4, 6, 3
+#: The share of its weight that a negated or reported match keeps where the labelled rows do not say.
+KEEPS = 0.5
+
+
+LABELS = ("insult", "threat", "target", "negation", "reported", "copula", "break", "other")
+MATCHES = ("insult", "threat")
+#: What a match may be marked as, and the weights kept of a text: each match kind's sum, and the sums of its marked matches.
+MARKS = ("aimed", "negated", "reported")
+PARTS = tuple(f"{m}:{x}" for m in MATCHES for x in ("all", *MARKS))
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Arcs (state, class) -> state; classes without an arc stay. What a state means is its output."""
+    """Arcs (state, label) -> (state, marks). Marks belong to the match just read; "aimed back" to the one before."""
 
     arcs: dict
-    start: int = 0
+    start: object = 0
+
+    def step(self, state: object, label: str) -> tuple[object, frozenset]:
+        return self.arcs.get((state, label), (state, frozenset()))
+
+
+def negation() -> Transducer:
+    """A negation covers the next words; a conjunction that turns the clause ends its scope."""
+    arcs: dict = {}
+    for k in range(NEGATED_WORDS + 1):
+        arcs[k, "negation"] = (NEGATED_WORDS, frozenset())
+        arcs[k, "other"] = (max(0, k - 1), frozenset())
+        arcs[k, "break"] = (0, frozenset())
+        for m in MATCHES:
+            arcs[k, m] = (k, frozenset({"negated"} if k else ()))
+    return Transducer(arcs)
+
 
-    def step(self, state: int, label: str) -> int:
-        return self.arcs.get((state, label), state)
+def reported_speech() -> Transducer:
+    """What follows a reporting word in its clause is told, what stands before it is not."""
+    arcs: dict = {(0, "reported"): (1, frozenset())}
+    arcs |= {(1, m): (1, frozenset({"reported"})) for m in MATCHES}
+    return Transducer(arcs)
 
 
-#: Negation holds for the words after it, reported speech and a target for the whole clause.
-NEGATES = Transducer({(0, "negation"): 1})
-REPORTS = Transducer({(0, "reported"): 1})
-AIMS = Transducer({(0, "target"): 1})
-MATCHES = Transducer({(0, "insult"): 1, (0, "threat"): 2, (1, "threat"): 2})
-KINDS = list(product(("insult", "threat"), ("aimed", "open"), ("negated", "plain"), ("reported", "direct")))
+def target() -> Transducer:
+    """A match is aimed if a target stands shortly before it (you are an idiot) or just after it (kill them)."""
+    arcs: dict = {}
+    for a in range(AIMED_WORDS + 1):
+        for b in range(OBJECT_WORDS + 1):
+            arcs[(a, b), "target"] = ((AIMED_WORDS, 0), frozenset({"aimed back"} if b else ()))
+            for label in ("other", "negation", "reported"):
+                arcs[(a, b), label] = ((max(0, a - 1), max(0, b - 1)), frozenset())
+            arcs[(a, b), "break"] = ((0, 0), frozenset())
+            for m in MATCHES:
+                arcs[(a, b), m] = ((a, 0 if a else OBJECT_WORDS), frozenset({"aimed"} if a else ()))
+    return Transducer(arcs, (0, 0))
+
+
+def match() -> Transducer:
+    """Insults and threats of the lexicon."""
+    return Transducer({(0, m): (0, frozenset({m})) for m in MATCHES})
 
 
 def compose(*machines: Transducer) -> Transducer:
-    """The machine that runs all of them at once; its states are tuples of theirs."""
-    labels = {label for m in machines for _, label in m.arcs}
+    """The machine that runs all of them at once; its states are tuples of theirs, its marks the union."""
     start = tuple(m.start for m in machines)
     arcs, todo, seen = {}, [start], {start}
     while todo:
         state = todo.pop()
-        for label in labels:
-            to = tuple(m.step(s, label) for m, s in zip(machines, state, strict=True))
-            if to != state:
-                arcs[state, label] = to
+        for label in LABELS:
+            steps = [m.step(s, label) for m, s in zip(machines, state, strict=True)]
+            to, marks = tuple(x for x, _ in steps), frozenset().union(*[y for _, y in steps])
+            if to != state or marks:
+                arcs[state, label] = (to, marks)
             if to not in seen:
                 seen.add(to)
                 todo.append(to)
     return Transducer(arcs, start)
 
 
-GRAMMAR = compose(MATCHES, AIMS, NEGATES, REPORTS)
+GRAMMAR = compose(match(), target(), negation(), reported_speech())
 
 
 @dataclass
 class Model:
-    """Lexical weights of insult stems (a trailing $ ends the word), arc weights of the clause kinds, and a bias."""
+    """Lexical weights of insult stems (a trailing $ ends the word), weights of the parts and of their presence, and a bias."""
 
     stems: dict[str, float]
     weights: list[float] = field(default_factory=list)
@@ -99,28 +145,34 @@ def _automaton(key: tuple) -> ahocorasick.Automaton:
     return a
 
 
-def _classes(clause: str, key: tuple) -> Iterator[tuple[str, float]]:
-    stems = dict(key)
+def _labels(clause: str, stems: dict[str, float]) -> Iterator[tuple[str, float]]:
     for m in WORD.finditer(clause):
         w = m[0]
-        own = stems.get(w + "$", 0.0)
-        own = max([own, *(stems.get(w[:k], 0.0) for k in range(SHORTEST, min(LONGEST, len(w)) + 1))])
+        own = max([stems.get(w + "$", 0.0), *(stems.get(w[:k], 0.0) for k in range(SHORTEST, min(LONGEST, len(w)) + 1))])
         if own:
             yield "insult", own
-        elif w in THREAT:
-            yield "threat", 1.0
-        elif w in NEGATION:
-            yield "negation", 0.0
-        elif w in REPORTED:
-            yield "reported", 0.0
-        elif w in TARGET:
-            yield "target", 0.0
+        else:
+            kinds = (("threat", THREAT), ("negation", NEGATION), ("reported", REPORTED), ("copula", COPULA), ("target", TARGET), ("break", BREAK))
+            label = next((k for k, words in kinds if w in words), "other")
+            yield label, float(label == "threat")
+
+
+def parse_clause(labels: Iterator[tuple[str, float]]) -> list[tuple[str, float, set]]:
+    """The matches of a clause: (insult or threat, weight, marks)."""
+    state, out = GRAMMAR.start, []
+    for label, weight in labels:
+        state, marks = GRAMMAR.step(state, label)
+        if label in MATCHES:
+            out.append((label, weight, set(marks & set(MARKS))))
+        elif "aimed back" in marks:
+            out[-1][2].add("aimed")
+    return out
 
 
 def clause_weights(text: str, key: tuple) -> np.ndarray:
-    """The weight of the matched clauses of each kind; only clauses with an insult or a threat are parsed."""
-    out = np.zeros(len(KINDS))
-    low = text.lower()
+    """The weights of a text's matched clauses by ``PARTS``; only clauses with an insult or a threat are parsed."""
+    out = np.zeros(len(PARTS))
+    low, stems = text.lower(), dict(key)
     done = -1
     for end, (word, _) in _automaton(key).iter(low):
         if end <= done:
@@ -131,15 +183,9 @@ def clause_weights(text: str, key: tuple) -> np.ndarray:
         left = max(low.rfind(c, 0, at) for c in ".!?;:\n,") + 1
         stop = CLAUSE.search(low, end + 1)
         done = stop.start() if stop else len(low)
-        state, negated, weight = GRAMMAR.start, 0, 0.0
-        for label, w in _classes(low[left:done], key):
-            state = GRAMMAR.step(state, label)
-            weight += w
-            if label in ("insult", "threat"):
-                negated = state[2]
-        if state[0]:
-            kind = ("insult" if state[0] == 1 else "threat", "aimed" if state[1] else "open", "negated" if negated else "plain", "reported" if state[3] else "direct")
-            out[KINDS.index(kind)] += weight
+        for kind, weight, marks in parse_clause(_labels(low[left:done], stems)):
+            for part in ("all", *marks):
+                out[PARTS.index(f"{kind}:{part}")] += weight
     return out
 
 
@@ -169,8 +215,16 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     both = F.col("pos") + F.col("neg")
     term = lambda k, share: F.when(k > 0, k * F.log(k / (both * share))).otherwise(0.0)
     gain = 2 * (term(F.col("pos"), rate) + term(F.col("neg"), 1 - rate))
-    units = units.withColumns({"odds": odds, "gain": gain}).where((F.col("gain") > LEAST_GAIN) & (F.col("odds") > 2.5)).orderBy(F.desc(F.col("pos") * F.col("odds")), "unit").limit(LEXICON)
+    units = units.withColumns({"odds": odds, "gain": gain}).where((F.col("gain") > LEAST_GAIN) & (F.col("odds") > 2.5))
+    # All units that pass; a fit sample of bounded rows has few.
     found = {r["unit"]: (r["pos"], r["odds"]) for r in units.collect()}
+    # Units by what they start with, one letter short, and whole words by the beginning that they equal.
+    after: dict[str, list[str]] = defaultdict(list)
+    for v in found:
+        body = v.rstrip("$")
+        after[body[:-1]].append(v)
+        if v != body:
+            after[body].append(v)
     out: dict[str, float] = {}
     for u in sorted(found, key=lambda u: (len(u.rstrip("$")), u)):
         body = u.rstrip("$")
@@ -178,7 +232,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
             continue
         # A beginning is followed while one continuation has nearly all of its texts.
         while not u.endswith("$"):
-            longer = [v for v in found if v.rstrip("$")[: len(u)] == u and len(v.rstrip("$")) <= len(u) + 1 and v != u and found[v][0] >= 0.95 * found[u][0]]
+            longer = [v for v in after[u] if v != u and found[v][0] >= 0.95 * found[u][0]]
             if not longer:
                 break
             u = max(longer, key=lambda v: (v.endswith("$"), found[v][0], v))
@@ -186,21 +240,41 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the bias, which is hardly penalised."""
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50, prior: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps, pulled towards ``prior``; the last weight is the bias, which is hardly penalised."""
     x = np.hstack([x, np.ones((len(x), 1))])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    prior = np.zeros(x.shape[1]) if prior is None else prior
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def fit_parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the parts, of their presence, and the bias.
+
+    All kinds of matches share the weights of their marks, so a combination that no labelled row has is
+    the sum of what is known. First the matches are weighed regardless of negation and report; from there
+    a mark's own weight is fitted, starting at the loss of all but ``KEEPS`` of the match's weight.
+    """
+    n, bare = len(PARTS), x.copy()
+    for i, part in enumerate(PARTS):
+        if part.endswith((":negated", ":reported")):
+            bare[:, i] = 0
+    prior = _fit(_features(bare), y)
+    for i, part in enumerate(PARTS):
+        if part.endswith((":negated", ":reported")):
+            whole = PARTS.index(part.split(":")[0] + ":all")
+            prior[i], prior[n + i] = -(1 - KEEPS) * prior[whole], -(1 - KEEPS) * prior[n + whole]
+    return _fit(_features(x), y, prior=prior)
+
+
 def is_held_out(name: str):
     return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
@@ -223,9 +297,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = rows.mapInPandas(run, "x array<double>, y int").toPandas()
     if sample["y"].nunique() < 2:
         rate = (sample["y"].sum() + 0.5) / (len(sample) + 1.0) if len(sample) else 0.05
-        model.weights, model.bias = [0.0] * 2 * len(KINDS), math.log(rate / (1 - rate))
+        model.weights, model.bias = [0.0] * 2 * len(PARTS), math.log(rate / (1 - rate))
         return model
-    w = _fit(_features(np.array(sample["x"].tolist())), sample["y"].to_numpy(float))
+    w = fit_parts(np.array(sample["x"].tolist()), sample["y"].to_numpy(float))
     model.weights, model.bias = w[:-1].tolist(), float(w[-1])
     return model
 
@@ -234,7 +308,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """Every whole text's score: a logistic function of the weights of its matched clauses.
 
     Null and empty texts have no clauses and get the bias alone. Repeated rows are scored each; other
-    columns are ignored. Returns id, held_out, score, predicted, and clauses (weight by clause kind).
+    columns are ignored. Returns id, held_out, score, predicted, and clauses (weights by ``PARTS``).
     """
     ship_package(docs.sparkSession)
     key, weights, bias = model.key(), np.array(model.weights), model.bias
@@ -243,7 +317,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([clause_weights(t.as_py(), key) for t in b.column(2)]).reshape(-1, len(KINDS))
+            x = np.array([clause_weights(t.as_py(), key) for t in b.column(2)]).reshape(-1, len(PARTS))
             score = 1 / (1 + np.exp(-(_features(x) @ weights + bias)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x.tolist(), pa.list_(pa.float64()))],
