@@ -36,9 +36,10 @@ def asof_join(
     order = [F.col("__at"), F.col("__side"), *[F.col(f"__r_{c}") for c in take]]
     # Right rows come before left rows at the same time going back, and the other way round going forward.
     back = W.partitionBy("__by").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("__by").orderBy(F.col("__at"), F.col("__side").desc(), *[F.col(f"__r_{c}").desc() for c in take]).rowsBetween(0, W.unboundedFollowing)
+    # Going forward is the same seen from the end: a growing frame, where a shrinking one is quadratic in Spark.
+    ahead = W.partitionBy("__by").orderBy(F.col("__at").desc(), F.col("__side"), *[F.col(f"__r_{c}") for c in take]).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("__by").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    found = {"backward": F.last("__seen", True).over(back), "forward": F.first("__seen", True).over(ahead)}
+    found = {"backward": F.last("__seen", True).over(back), "forward": F.last("__seen", True).over(ahead)}
     if direction == "nearest":
         rows = rows.withColumns({"__b": found["backward"], "__f": found["forward"]})
         gap = lambda x: F.abs(F.datediff(x["__at"], F.col("__at")))

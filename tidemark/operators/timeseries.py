@@ -15,13 +15,14 @@ from tidemark.functions.dates import weekdays_between
 def _bracket(entity: str, date: str, value: str) -> dict[str, Column]:
     """Date and value of the last known row at or before, and of the first at or after, as columns."""
     back = W.partitionBy(entity).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(entity).orderBy(date).rowsBetween(0, W.unboundedFollowing)
+    # Seen from the end the frame grows; a shrinking one is quadratic in Spark.
+    ahead = W.partitionBy(entity).orderBy(F.desc(date)).rowsBetween(W.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.col(date))
     return {
         "__d0": F.last(known, True).over(back),
         "__v0": F.last(value, True).over(back),
-        "__d1": F.first(known, True).over(ahead),
-        "__v1": F.first(value, True).over(ahead),
+        "__d1": F.last(known, True).over(ahead),
+        "__v1": F.last(value, True).over(ahead),
     }
 
 
@@ -48,9 +49,9 @@ def carry_last(df: DataFrame, entity: str, date: str, value: str, out: str) -> D
 def price_carry(df: DataFrame, entity: str, date: str, value: str, price: str, out: str) -> DataFrame:
     """The last known value moved with the price since; before the first, moved back from it."""
     back = W.partitionBy(entity).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(entity).orderBy(date).rowsBetween(0, W.unboundedFollowing)
+    ahead = W.partitionBy(entity).orderBy(F.desc(date)).rowsBetween(W.unboundedPreceding, 0)
     ratio = F.when(F.col(price) > 0, F.col(value) / F.col(price))
-    return df.withColumn(out, F.coalesce(value, F.coalesce(F.last(ratio, True).over(back), F.first(ratio, True).over(ahead)) * F.col(price)))
+    return df.withColumn(out, F.coalesce(value, F.coalesce(F.last(ratio, True).over(back), F.last(ratio, True).over(ahead)) * F.col(price)))
 
 
 def log_bridge(df: DataFrame, entity: str, date: str, value: str, price: str, out: str) -> DataFrame:
@@ -231,24 +232,55 @@ def fill_like_recent(df: DataFrame, entity: str, date: str, value: str, longest:
     return df.select(entity, date, value, F.lit(False).alias("filled")).unionByName(made)
 
 
-def drop_spikes(df: DataFrame, entity: str, date: str, value: str, fold: float = 1.8, calm: float = 1.35, passes: int = 4) -> DataFrame:
+def drop_spikes(
+    df: DataFrame,
+    entity: str,
+    date: str,
+    value: str,
+    fold: float = 1.9,
+    calm: float = 1.35,
+    widest: int = 40,
+    pulse: float = 1.34,
+    pulse_days: int = 5,
+    least: float = 4.0,
+    passes: int = 4,
+) -> DataFrame:
     """Nulls values that jump away from both neighbours while these agree; later rows see earlier nulls.
 
-    The rule is sequential, so each entity is one group of the grouped operator.
+    Neighbours are the nearest values that are left, of the same sign, at most ``widest`` days away and at most
+    ``calm`` fold apart; all three must be ``least`` in size. A jump is ``fold`` from both, or ``pulse`` from both
+    above or below them within ``pulse_days``. The rule is sequential, so each entity is one group.
     """
 
+    def spike(before: tuple, now: tuple, after: tuple) -> bool:
+        (d0, a), (d1, b), (d2, c) = before, now, after
+        gap = max(d1 - d0, d2 - d1)
+        if gap > widest or min(d1 - d0, d2 - d1) <= 0 or min(abs(a), abs(b), abs(c)) < least or a * c <= 0:
+            return False
+        apart = lambda x, y: max(abs(x / y), abs(y / x))
+        if apart(a, c) > calm:
+            return False
+        jump = min(apart(b, a), apart(b, c))
+        return jump >= fold or jump >= pulse and gap <= pulse_days and (b > max(a, c) or b < min(a, c))
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(date, kind="stable").reset_index(drop=True)
-        v = [x if x == x and x is not None and x > 0 else None for x in f[value]]
-        apart = lambda a, b: max(a / b, b / a)
+        day = pd.to_datetime(f[date]).map(lambda x: x.toordinal())
+        found = [(i, float(x)) for i, x in enumerate(f[value]) if not pd.isna(x)]
+        left = [(i, (day[i], x)) for i, x in found if math.isfinite(x) and abs(x) >= 1e-8]
         for _ in range(passes):
-            known, changed = [i for i, x in enumerate(v) if x is not None], False
-            for a, b, c in zip(known, known[1:], known[2:], strict=False):
-                if None not in (v[a], v[b], v[c]) and apart(v[a], v[c]) <= calm and apart(v[b], v[a]) >= fold and apart(v[b], v[c]) >= fold:
-                    v[b], changed = None, True
-            if not changed:
+            kept = left[:1]
+            for now, after in zip(left[1:], left[2:], strict=False):
+                if not spike(kept[-1][1], now[1], after[1]):
+                    kept.append(now)
+            kept += left[1:][-1:]
+            if len(kept) == len(left):
                 break
-        return f.assign(**{value: pd.array(v, dtype="Float64")})
+            left = kept
+        values = [None] * len(f)
+        for i, (_, x) in left:
+            values[i] = x
+        return f.assign(**{value: pd.array(values, dtype="Float64")})
 
     return df.groupBy(entity).applyInPandas(run, df.schema)
 

@@ -14,7 +14,7 @@ from tidemark.functions import numbers as fn
 from tidemark.functions import text as ft
 from tidemark.operators import alerts as al
 from tidemark.operators import board as bd
-from tidemark.operators import merge, quality, stats, timeseries, windows
+from tidemark.operators import merge, quality, stats, timeseries, valuation, windows
 from tidemark.operators import quarters as qt
 from tidemark.operators.asof import asof_join
 from tidemark.plans import api
@@ -1019,6 +1019,55 @@ def script_arrays(spark, sf):
     return load(spark, sf, "nation").select("n_nationkey", F.get(found, F.lit(0)).alias("first"), F.size(found).cast("long").alias("n"))
 
 
+X = """x AS (SELECT entity, last_day(d) AS d, floor(max(v) / 100 + 0.5) / 100 AS top, floor(min(v) / 100 + 0.5) / 100 AS low FROM s GROUP BY 1, 2),
+  r AS (SELECT entity, d, CASE WHEN month(d) = 9 THEN -top ELSE top END AS pe_ttm, CASE WHEN year(d) >= 1995 THEN low + 3 END AS pe_forward,
+    CASE WHEN entity <> 'BUILDING' THEN low / 5 END AS pb, CASE WHEN month(d) = 6 AND year(d) = 1997 THEN 1.5 END AS peg FROM x WHERE month(d) % 3 = 0)"""
+
+
+def _ratio_rows(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Closes, quarterly ratio rows on calendar days, and one row of latest ratios each."""
+    df = daily(spark, sf)
+    x = df.groupBy("entity", F.last_day("d").alias("d")).agg(F.max("v").alias("top"), F.min("v").alias("low")).where(F.month("d") % 3 == 0)
+    top, low = F.floor(F.col("top") / 100 + 0.5) / 100, F.floor(F.col("low") / 100 + 0.5) / 100
+    rows = x.select(
+        "entity",
+        "d",
+        F.when(F.month("d") == 9, -top).otherwise(top).alias("pe_ttm"),
+        F.when(F.year("d") >= 1995, low + 3).alias("pe_forward"),
+        F.when(F.col("entity") != "BUILDING", low / 5).alias("pb"),
+        F.when((F.month("d") == 6) & (F.year("d") == 1997), 1.5).alias("peg"),
+    )
+    latest = df.select("entity").distinct().select("entity", F.lit(21.5).alias("pe_ttm"), F.lit(18.0).alias("pe_forward"), F.lit(0.0).alias("pb"), F.lit(None).cast("double").alias("peg"))
+    return df.select("entity", "d", F.col("v").alias("close")), rows, latest
+
+
+@query(f"""WITH {S}, {X}, span AS (SELECT entity, min(d) AS lo, max(d) AS hi FROM s GROUP BY 1), i AS (SELECT r.* FROM r JOIN span USING (entity) WHERE d BETWEEN lo AND hi),
+  m AS (SELECT i.entity, s.d AS d, i.d AS raw, pe_ttm, pe_forward, pb, peg FROM i ASOF JOIN s ON i.entity = s.entity AND i.d <= s.d),
+  g AS (SELECT entity, d, {", ".join(f"arg_min({c}, raw) FILTER ({c} IS NOT NULL) AS {c}" for c in ("pe_ttm", "pe_forward", "pb", "peg"))} FROM m GROUP BY 1, 2)
+  SELECT entity, d, coalesce(g.pe_ttm, l.pe_ttm) AS pe_ttm, coalesce(g.pe_forward, l.pe_forward) AS pe_forward, g.pb AS pb, g.peg AS peg
+  FROM g FULL JOIN (SELECT entity, hi AS d, 21.5 AS pe_ttm, 18.0 AS pe_forward FROM span) l USING (entity, d)""")
+def unified_anchors(spark, sf):
+    return valuation.unify_anchors(*_ratio_rows(spark, sf))
+
+
+@query(f"""WITH {S}, a AS (SELECT entity, d, v AS close, CASE WHEN month(d) % 3 = 0 AND d = max(d) OVER (PARTITION BY entity, date_trunc('month', d)) THEN floor(v / 100 + 0.5) / 100 * CASE WHEN month(d) = 9 THEN -1 ELSE 1 END END AS anchor FROM s),
+  n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d) AS i FROM a), k AS (SELECT *, CASE WHEN anchor IS NOT NULL THEN {{'i': i, 'c': close, 'v': anchor}} END AS known FROM n),
+  b AS (SELECT *, last_value(known IGNORE NULLS) {BACK} AS l, first_value(known IGNORE NULLS) {AHEAD.replace('CURRENT ROW', '1 FOLLOWING')} AS r FROM k)
+  SELECT entity, d, {rnd("CASE WHEN l.i = i AND l.v * r.v > 0 THEN l.v WHEN l.v * r.v > 0 THEN l.v * close / l.c * exp((ln(r.v / l.v) - ln(r.c / l.c)) / (r.i - l.i) * (i - l.i)) ELSE close / (l.c / l.v) END", 4)} AS value FROM b""")
+def project_ratio(spark, sf):
+    """Ratios between anchors of either sign."""
+    last = F.max("d").over(W.partitionBy("entity", F.trunc("d", "month")))
+    value = (F.floor(F.col("v") / 100 + 0.5) / 100) * F.when(F.month("d") == 9, -1).otherwise(1)
+    df = daily(spark, sf).select("entity", "d", F.col("v").alias("close"), F.when((F.month("d") % 3 == 0) & (F.col("d") == last), value).alias("anchor"))
+    return valuation.project_ratio(df, "anchor", "value").select("entity", "d", "value")
+
+
+@query()
+def valuation_series(spark, sf):
+    """The whole reconstruction: anchors, three projected ratios, the growth ratio, spikes; held against a loop in the tests."""
+    return valuation.valuation_series(*_ratio_rows(spark, sf))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = load(spark, sf, "events").schema
