@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 import pytest
 
+from tidemark.operators import quarters as qt
 from tidemark.operators import timeseries, valuation
 
 RATIOS = valuation.RATIOS
@@ -113,3 +114,42 @@ def test_spike_rule(spark):
     out = timeseries.drop_spikes(df, "entity", "d", "v").orderBy("d").collect()
     for e, (_, want) in cases.items():
         assert [r.v for r in out if r.entity == e] == want, e
+
+
+def test_cutover_of_latest(spark):
+    schema = "entity string, d date, " + ", ".join(f"{m} double" for m in RATIOS)
+    day = date(2024, 1, 2)
+    none = spark.createDataFrame([], schema)
+    snapshots = spark.createDataFrame([("A", day, 9.0, None, 0.0, None)], schema)
+    _, cuts = valuation.cutovers(none, none, snapshots)
+    latest = spark.createDataFrame([("A", 1.0, 2.0, 3.0, 4.0), ("B", 1.0, 2.0, 3.0, 0.0)], schema.replace(" d date,", ""))
+    out = {r.entity: tuple(r)[1:] for r in valuation.latest_at_cutover(latest, cuts).collect()}
+    assert out == {"A": (None, 2.0, 3.0, 4.0), "B": (1.0, 2.0, 3.0, None)}
+    base = spark.createDataFrame([("A", day, 5.0, 6.0, 7.0, None), ("A", day - timedelta(1), 4.0, None, None, None), ("B", day, 0.0, None, None, None)], schema)
+    merged = {(r.entity, r.d): tuple(r)[2:] for r in valuation.merge_at_cutover(base, none, none, snapshots).collect()}
+    assert merged == {("A", day): (9.0, 6.0, 7.0, None), ("A", day - timedelta(1)): (4.0, None, None, None)}
+
+
+def test_basis_of_quarterly_earnings(spark):
+    """Twenty-eight quarters of 1.0, so 4.0 a year; the points imply 4.0 times a factor."""
+    first = date(2015, 3, 31)
+    days = [first + timedelta(91 * k) for k in range(28)]
+    cases = {
+        "thirds": lambda k: 0.34,
+        "plain": lambda k: 3.37 + 0 * k,
+        "one": lambda k: 1.2,
+        "wild": lambda k: 8.0 if k % 2 else 0.125,
+        "late": lambda k: 1.0 if k < 12 else 4.0,
+        "huge": lambda k: 30.0,
+    }
+    rows = [(e, d, 1.0, "actual", d + timedelta(3)) for e in cases for d in days] + [("few", d, 1.0, "actual", d) for d in days[:10]] + [("expected", d, 1.0, "expected", d) for d in days]
+    points = [(e, d + timedelta(5), 40.0, 40.0 / (4.0 * f(k))) for e, f in cases.items() for k, d in enumerate(days)] + [(e, d, 40.0, 5.0) for e in ("few", "expected") for d in days]
+    q = spark.createDataFrame(rows, "entity string, d date, eps double, kind string, available date")
+    out = {}
+    for r in qt.align_to_basis(q, spark.createDataFrame(points, "entity string, d date, close double, pe_ttm double")).orderBy("d").collect():
+        out.setdefault(r.entity, []).append(r.eps)
+    assert set(out["thirds"]) == {0.333333} and set(out["plain"]) == {3.0 if abs(3.37 / 3 - 1) <= 0.12 else 3.37}
+    for e in ("one", "wild", "huge", "few", "expected"):
+        assert set(out[e]) == {1.0}, e
+    # The last sixteen sums begin with quarter 12; its own row lies three days before they were out.
+    assert out["late"] == [1.0] * 13 + [4.0] * 15

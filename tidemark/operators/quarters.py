@@ -95,3 +95,43 @@ def income_from_shares(eps: DataFrame, shares: DataFrame, entity: str = "entity"
 def first_available(rows: DataFrame, key: str, end: str, filed: str) -> DataFrame:
     """The earliest day on which each quarter's figures were out, none before the period's end."""
     return rows.groupBy(key, quarter_key(F.col(end)).alias("quarter")).agg(F.min(F.greatest(end, filed)).alias("available"))
+
+
+#: Likely factors between earnings per share of two bases.
+BASIS_HINTS = [0.1, 0.125, 1 / 6, 0.2, 0.25, 1 / 3, 0.4, 0.5, 2 / 3, 0.8, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0]
+
+
+def align_to_basis(rows: DataFrame, points: DataFrame, entity: str = "entity", date: str = "d", value: str = "eps", recent: int = 16, least: int = 8) -> DataFrame:
+    """Quarterly earnings (kind, available) brought onto the basis of daily points (close, pe_ttm).
+
+    Each actual trailing sum is held against the earnings that the nearest point within a week implies. The factor
+    is the median of the last ``recent`` ratios, snapped to a likely one within 12 %. Rows stay as they are with under
+    ``least`` ratios or 24 points, a spread of logs above 0.45, a median of 0.7 to 1.43, or a factor outside 0.1 to 10.
+    Where the older ratios lie around one and the recent ones far off, only rows from the first recent date on change.
+    """
+    from tidemark.functions.numbers import round_half_up
+    from tidemark.operators.asof import asof_join
+    from tidemark.operators.timeseries import trailing_sum
+
+    sums = trailing_sum(rows, entity, date, value, "__sum").where((F.col("kind") == "actual") & (F.abs("__sum") > 1e-8))
+    sums = sums.select(entity, F.greatest(F.col(date), F.col("available")).alias("__at"), F.col(date).alias("__quarter"), round_half_up(F.col("__sum"), 6).alias("__sum"))
+    usable = points.where((F.col("close") > 0) & (F.abs("pe_ttm") > 1e-8)).select(entity, F.col(date).alias("__day"), (F.col("close") / F.col("pe_ttm")).alias("__implied"))
+    near = asof_join(sums, usable, entity, "__at", "__day", ["__implied"], direction="nearest", tolerance_days=7)
+    ratios = near.withColumn("__ratio", F.col("__implied") / F.when(F.col("__sum") != 0, F.col("__sum"))).where(F.col("__ratio") > 0)
+    back = W.partitionBy(entity).orderBy(F.desc("__at"), F.desc("__quarter"))
+    ratios = ratios.withColumn("__recent", F.row_number().over(back) <= recent)
+    now, old = F.when(F.col("__recent"), F.col("__ratio")), F.when(~F.col("__recent"), F.col("__ratio"))
+    found = ratios.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("__n"), F.median(now).alias("__m"), F.median(old).alias("__old"), F.count(old).alias("__n_old"), F.min(F.when(F.col("__recent"), F.col("__at"))).alias("__from")
+    )
+    spread = ratios.where("__recent").join(found, entity).groupBy(entity).agg(F.median(F.abs(F.log("__ratio") - F.log("__m"))).alias("__spread"))
+    enough = points.groupBy(entity).agg(F.count(F.lit(1)).alias("__points")).where(F.col("__points") >= 24)
+    factor = snap_to_anchor(F.col("__m"), BASIS_HINTS, 0.12)
+    found = found.join(spread, entity).join(enough, entity).withColumn("__factor", factor)
+    found = found.where((F.col("__n") >= least) & (F.col("__spread") <= 0.45) & ~F.col("__m").between(0.7, 1.43) & F.col("__factor").between(0.1, 10))
+    shift = F.col("__m") / F.col("__old")
+    changed = (F.col("__n_old") >= least) & F.col("__old").between(0.8, 1.25) & ((shift >= 1.8) | (shift <= 0.55))
+    found = found.select(entity, "__factor", F.when(changed, F.col("__from")).alias("__cut"))
+    use = F.col("__factor").isNotNull() & (F.col("__cut").isNull() | (F.col(date) >= F.col("__cut")))
+    out = rows.join(found, entity, "left").withColumn(value, F.when(use, round_half_up(F.col(value) * F.col("__factor"), 6)).otherwise(F.col(value)))
+    return out.select(*rows.columns)

@@ -99,3 +99,30 @@ def valuation_series(closes: DataFrame, ratios: DataFrame, latest: DataFrame, en
     df = df.where("pe_ttm is not null and pb is not null").withColumn("peg", F.coalesce("peg", by_forward, by_earnings))
     df = df.select(entity, date, close, *RATIOS, "forward_start", (F.col("__none_pe_ttm") | F.col("__none_pb")).alias("used_fallback"))
     return drop_spikes(df, entity, date, "pe_forward", fold=1.8, calm=1.32, widest=7)
+
+
+#: Which of the trusted sources (trailing, forward, snapshots) tell from when on each ratio is trusted.
+CUTS = {"pe_ttm": (1, 3), "pe_forward": (2, 3), "pb": (3,), "peg": (3,)}
+
+
+def cutovers(trailing: DataFrame, forward: DataFrame, snapshots: DataFrame, entity: str = "entity", date: str = "d") -> tuple[DataFrame, DataFrame]:
+    """Trusted rows with their source's number, and each entity's first trusted day of each ratio."""
+    frames = [f.select(entity, date, *[usable(F.col(m)).alias(m) for m in RATIOS], F.lit(k).alias("__source")) for k, f in enumerate([trailing, forward, snapshots], 1)]
+    rows = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    first = [F.min(F.when(F.col(m).isNotNull() & F.col("__source").isin(*CUTS[m]), F.col(date))).alias(f"__cut_{m}") for m in RATIOS]
+    return rows, rows.groupBy(entity).agg(*first)
+
+
+def merge_at_cutover(base: DataFrame, trailing: DataFrame, forward: DataFrame, snapshots: DataFrame, entity: str = "entity", date: str = "d") -> DataFrame:
+    """Base rows keep each ratio only before its cut-over; on a day it comes from the base, then the sources in their order."""
+    rows, cuts = cutovers(trailing, forward, snapshots, entity, date)
+    early = base.join(cuts, entity, "left")
+    open_ = {m: F.col(f"__cut_{m}").isNull() | (F.col(date) < F.col(f"__cut_{m}")) for m in RATIOS}
+    early = early.select(entity, date, *[F.when(open_[m], usable(F.col(m))).alias(m) for m in RATIOS], F.lit(0).alias("__source"))
+    pick = lambda m: F.min(F.when(F.col(m).isNotNull(), F.struct("__source", m)))[m].alias(m)
+    return early.unionByName(rows).groupBy(entity, date).agg(*[pick(m) for m in RATIOS]).where(F.coalesce(*RATIOS).isNotNull())
+
+
+def latest_at_cutover(latest: DataFrame, cuts: DataFrame, entity: str = "entity") -> DataFrame:
+    """The base's latest ratios, null for those with a cut-over: trusted rows give them."""
+    return latest.join(cuts, entity, "left").select(entity, *[F.when(F.col(f"__cut_{m}").isNull(), usable(F.col(m))).alias(m) for m in RATIOS])

@@ -1068,6 +1068,21 @@ def valuation_series(spark, sf):
     return valuation.valuation_series(*_ratio_rows(spark, sf))
 
 
+@query(f"""WITH {S}, {X}, t(src, entity, d, pe_ttm, pe_forward, pb, peg) AS (SELECT 1, entity, d, pe_ttm, NULL, NULL, NULL FROM r WHERE year(d) >= 1996 UNION ALL SELECT 2, entity, d, NULL, pe_forward, NULL, NULL FROM r WHERE d >= DATE '1996-09-01'
+    UNION ALL SELECT 3, entity, d, pe_ttm + 1, pe_forward + 1, pb + 1, peg FROM r WHERE year(d) >= 1997),
+  c AS (SELECT entity, min(d) FILTER (pe_ttm IS NOT NULL AND src <> 2) AS c1, min(d) FILTER (pe_forward IS NOT NULL AND src <> 1) AS c2, min(d) FILTER (pb IS NOT NULL AND src = 3) AS c3, min(d) FILTER (peg IS NOT NULL AND src = 3) AS c4 FROM t GROUP BY 1),
+  b AS (SELECT 0 AS src, entity, d, CASE WHEN d >= c1 THEN NULL ELSE pe_ttm END AS pe_ttm, CASE WHEN d >= c2 THEN NULL ELSE pe_forward END AS pe_forward, CASE WHEN d >= c3 THEN NULL ELSE pb END AS pb, CASE WHEN d >= c4 THEN NULL ELSE peg END AS peg FROM r LEFT JOIN c USING (entity)),
+  u AS (SELECT * FROM b UNION ALL SELECT * FROM t)
+  SELECT entity, d, {", ".join(f"arg_min({c}, src) FILTER ({c} IS NOT NULL) AS {c}" for c in ("pe_ttm", "pe_forward", "pb", "peg"))} FROM u GROUP BY 1, 2 HAVING coalesce(max(pe_ttm), max(pe_forward), max(pb), max(peg)) IS NOT NULL""")
+def ratio_cutover(spark, sf):
+    _, rows, _ = _ratio_rows(spark, sf)
+    none, y = F.lit(None).cast("double"), F.year("d")
+    trailing = rows.where(y >= 1996).withColumns({"pe_forward": none, "pb": none, "peg": none})
+    forward = rows.where("d >= DATE '1996-09-01'").withColumns({"pe_ttm": none, "pb": none, "peg": none})
+    snapshots = rows.where(y >= 1997).withColumns({m: F.col(m) + 1 for m in ("pe_ttm", "pe_forward", "pb")})
+    return valuation.merge_at_cutover(rows, trailing, forward, snapshots)
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = load(spark, sf, "events").schema
