@@ -221,6 +221,22 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeated_windows():
+    rnd = random.Random(6)
+    middle = bytes(rnd.randrange(97, 123) for _ in range(10))
+    wholes = [bytes(rnd.choice(b"ab") for _ in range(9)) + middle + bytes(rnd.choice(b"ab") for _ in range(9)) for _ in range(60)]
+    family = []
+    for k, whole in enumerate(wholes + wholes[:5]):
+        low, high = sorted((rnd.randint(0, 9), rnd.randint(0, 9)))
+        family.append((k, low, high, whole[9 - high : 9], whole[9 : 9 + 20 - low]))
+    windows = lambda m: {o: (m[3] + m[4])[len(m[3]) - o : len(m[3]) - o + 20] for o in range(m[1], m[2] + 1)}
+    seen = collections.Counter((o, w) for m in family for o, w in windows(m).items())
+    want = {(m[0], o) for m in family for o, w in windows(m).items() if seen[o, w] > 1}
+    spans = list(suffix_dedup.repeated_windows([m for m in family], 20))
+    assert {(k, o) for k, a, b in spans for o in range(a, b + 1)} == want and 0 < len(want) < sum(m[2] - m[1] + 1 for m in family)
+    assert len(spans) == sum((k, o - 1) not in want for k, o in want)
+
+
 def test_loser_tree_and_front_coding():
     rnd = random.Random(2)
     words = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 12))) for _ in range(400)]

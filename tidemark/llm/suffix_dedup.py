@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ GRAM = 64
 CHUNK = 1 << 18
 #: Suffixes merged in one task, about; and suffixes that may start with the same gram there (at most
 #: 350 bytes each). Larger families go another way, window by window, which no task has to hold.
-PER_TASK, LARGEST_FAMILY = 20_000, 50_000
+PER_TASK, LARGEST_FAMILY = 60_000, 50_000
+#: Suffixes of a run that travel in one row.
+BLOCK = 256
 #: Hashes of repeated grams, and spans, are broadcast up to these many rows; beyond, they meet places and texts in shuffles.
 BROADCAST_GRAMS, BROADCAST_SPANS = 4_000_000, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -192,22 +196,21 @@ def repeated_windows(family: list[tuple], length: int) -> Iterator[tuple[object,
             for p in who:
                 yield p, low, high
         return
-    counts: Counter = Counter()
-    for (low, high, left, suffix), who in kinds.items():
-        whole, at = left + suffix, len(left)
-        n = min(2, len(who))
-        for o in range(low, high + 1):
-            counts[o, whole[at - o : at - o + length]] += n
-    for (low, high, left, suffix), who in kinds.items():
-        whole, at, start = left + suffix, len(left), None
-        for o in range(low, high + 2):
-            hit = o <= high and counts[o, whole[at - o : at - o + length]] > 1
-            if hit and start is None:
-                start = o
-            elif not hit and start is not None:
-                for p in who:
-                    yield p, start, o - 1
-                start = None
+    members = [(low, high, left + suffix, len(left), who) for (low, high, left, suffix), who in kinds.items()]
+    opened: dict[int, int] = {}
+    # One distance at a time, so a family holds one window of each member and not all of them.
+    for o in range(min(m[0] for m in members), max(m[1] for m in members) + 2):
+        live = [(i, whole[at - o : at - o + length], len(who)) for i, (low, high, whole, at, who) in enumerate(members) if low <= o <= high]
+        counts: dict[bytes, int] = {}
+        for _, window, n in live:
+            counts[window] = counts.get(window, 0) + n
+        hits = {i for i, window, _ in live if counts[window] > 1}
+        for i in [i for i in opened if i not in hits]:
+            start = opened.pop(i)
+            for p in members[i][4]:
+                yield p, start, o - 1
+        for i in hits:
+            opened.setdefault(i, o)
 
 
 def _suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
@@ -270,37 +273,48 @@ def _gram_counts(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _merged(suffixes: DataFrame, n: int, length: int, k: int) -> DataFrame:
-    """Spans of repeated windows: sorted front-coded runs are exchanged, then merged by loser trees."""
+    """Spans of repeated windows: sorted front-coded runs are exchanged, then merged by loser trees.
+
+    A run is all that one task has for one goal, however many batches that takes; it travels in blocks
+    of at most ``BLOCK`` suffixes, one row each.
+    """
     tasks = max(1, -(-n // PER_TASK))
     kind = suffixes.schema["__id"].dataType.simpleString()
     names = ["__id", "__x", "__at", "__low", "__high", "__left"]
+    goal = F.pmod(F.xxhash64("__gram"), F.lit(tasks)).cast("int")
+    kinds = [kind, "long", "long", "int", "int", "binary"]
+    lists = ["__shared array<int>", "__rest array<binary>", *[f"{c} array<{t}>" for c, t in zip(names, kinds, strict=True)]]
 
     def make_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, head, last, block = TaskContext.get().partitionId(), None, b"", 0
         for b in batches:
-            goal = b.column("__gram").to_numpy(zero_copy_only=False) % tasks
-            right = b.column("__right").to_pylist()
-            order = sorted(range(len(right)), key=lambda i: (goal[i], right[i]))
-            shared, rest, run, last, head, number = [], [], [], b"", None, uuid4().hex
-            for i in order:
-                if goal[i] != head:
-                    head, last = goal[i], b""
-                s = common(last, right[i], 0)
-                shared.append(s)
-                rest.append(right[i][s:])
-                last = right[i]
-            take = b.take(pa.array(order, pa.int64())) if order else b
-            cols = [take.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(goal[order].astype(np.int32)), pa.array([number] * len(order), pa.string()), pa.array(range(len(order)), pa.int32()), pa.array(shared, pa.int32()), pa.array(rest, pa.binary()), *cols],
-                names=["__goal", "__run", "__pos", "__shared", "__rest", *names],
-            )
+            goals, right = b.column("__goal").to_numpy(), b.column("__right").to_pylist()
+            shared, rest = [], []
+            for g, suffix in zip(goals.tolist(), right, strict=True):
+                if g != head:
+                    head, last = g, b""
+                shared.append(common(last, suffix, 0))
+                rest.append(suffix[shared[-1] :])
+                last = suffix
+            turns = np.flatnonzero(np.diff(goals)) + 1
+            cuts = np.unique(np.concatenate([turns, np.arange(0, len(goals), BLOCK), [len(goals)]])).astype(np.int32)
+            if len(cuts) < 2:
+                continue
+            offsets = pa.array(cuts)
+            cols = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((shared, pa.int32()), (rest, pa.binary()))]
+            # Blocks are numbered through the task; a goal's blocks come in their order.
+            numbers = pa.array(np.arange(block, block + len(cuts) - 1))
+            block += len(cuts) - 1
+            cols += [pa.ListArray.from_arrays(offsets, b.column(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(goals[cuts[:-1]]), pa.array([run] * (len(cuts) - 1), pa.int32()), numbers, *cols], names=["__goal", "__run", "__block", "__shared", "__rest", *names])
 
     def merge(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__run", "ascending"), ("__pos", "ascending")])
-        run_ids = table.column("__run").to_pylist()
-        shared, rest = table.column("__shared").to_pylist(), table.column("__rest").to_pylist()
-        lows, highs, lefts = (table.column(c).to_pylist() for c in ("__low", "__high", "__left"))
-        cuts_ = [i for i in range(len(run_ids)) if i == 0 or run_ids[i] != run_ids[i - 1]] + [len(run_ids)]
+        table = table.sort_by([("__run", "ascending"), ("__block", "ascending")])
+        sizes = pc.list_value_length(table.column("__rest")).to_numpy()
+        run_ids = np.repeat(table.column("__run").to_numpy(), sizes)
+        flat = {c: pc.list_flatten(table.column(c)) for c in ("__shared", "__rest", *names)}
+        shared, rest, lows, highs, lefts = (flat[c].to_pylist() for c in ("__shared", "__rest", "__low", "__high", "__left"))
+        cuts_ = [0, *(np.flatnonzero(np.diff(run_ids)) + 1).tolist(), len(run_ids)]
 
         def read(a: int, b: int) -> Iterator[tuple[int, bytes, int]]:
             last = b""
@@ -324,13 +338,13 @@ def _merged(suffixes: DataFrame, n: int, length: int, k: int) -> DataFrame:
                 family = []
             family.append((i, lows[i], highs[i], lefts[i], suffix))
         close(family)
-        hit = table.select(["__id", "__x", "__at"]).take(pa.array(rows, pa.int64()))
-        at = hit.column("__at").to_numpy()
-        return pa.table({"__id": hit.column("__id"), "__x": hit.column("__x"), "__lo": pa.array(at - np.array(lo, np.int64)), "__hi": pa.array(at + np.array(hi, np.int64))})
+        ids, xs, at = (flat[c].take(pa.array(rows, pa.int64())) for c in ("__id", "__x", "__at"))
+        at = at.to_numpy()
+        return pa.table({"__id": ids, "__x": xs, "__lo": pa.array(at - np.array(lo, np.int64)), "__hi": pa.array(at + np.array(hi, np.int64))})
 
-    runs = suffixes.select(*names, "__gram", "__right").mapInArrow(
-        make_runs, f"__goal int, __run string, __pos int, __shared int, __rest binary, __id {kind}, __x long, __at long, __low int, __high int, __left binary"
-    )
+    # Spark sorts what a task holds, on disk where need be.
+    rows = suffixes.select(goal.alias("__goal"), "__right", *names).sortWithinPartitions("__goal", "__right")
+    runs = rows.mapInArrow(make_runs, ", ".join(["__goal int", "__run int", "__block long", *lists]))
     return runs.groupBy("__goal").applyInArrow(merge, f"__id {kind}, __x long, __lo long, __hi long")
 
 
@@ -443,5 +457,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
     before = F.transform(cut_, lambda s, i: part(F.when(i == 0, F.lit(0)).otherwise(F.get(cut_, i - 1)["end"]), s["start"]))
     after = part(F.coalesce(F.get(cut_, F.size(cut_) - 1)["end"], F.lit(0)), size_)
-    kept: Column = F.aggregate(before, F.lit(b""), lambda a, x: F.concat(a, x))
+    # Joined as hexadecimal text in one go; a fold would copy what it has for every span.
+    kept: Column = F.unhex(F.array_join(F.transform(before, F.hex), ""))
     return both.select(F.col("__id").alias(id_col), size_.alias("n_bytes"), cut_.alias("spans"), F.concat(kept, after).alias("kept"))
