@@ -60,3 +60,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lost executors cost no recomputation."""
     checkpoint_path(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_table(spark: SparkSession, folder: str) -> None:
+    """Remove a table that this package wrote under ``checkpoint_path`` and that nothing reads any more."""
+    if not folder.startswith(checkpoint_path(spark) + "/"):
+        raise ValueError(f"not a folder of its own: {folder}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
