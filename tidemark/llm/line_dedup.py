@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm.common import WHITE, join_groups, text_of, words_of
-from tidemark.session import checkpoint_path, cut_lineage
+from tidemark.session import checkpoint_path, cut_lineage, drop_table
 
 #: Lines that may have a near copy are fetched by broadcast of their 16-byte hashes up to this many, beyond by a shuffle.
 BROADCAST_LINES = 2_000_000
@@ -102,6 +102,7 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = variants.groupBy("__v", "__m").agg(F.count(F.lit(1)).alias("__size"), F.min(other).alias("__lo"), F.max(other).alias("__hi")).where("__lo <> __hi").select("__v", "__m", "__size")
     alive = join_groups(variants, met, ["__v", "__m"], "__size", variants.count(), F.col("__l")).where("__size is not null").drop("__size")
     alive = cut_lineage(alive.join(firsts.select("__l", "__first"), "__l"))
+    drop_table(docs.sparkSession, table)
     m = alive.count()
     who = F.struct("__first", "__l")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_groups, text_of
-from tidemark.session import checkpoint_path, cut_lineage, ship_package
+from tidemark.session import checkpoint_path, cut_lineage, drop_table, ship_package
 
 #: Length of the grams whose least hash picks the suffix that stands for a window.
 GRAM = 64
@@ -427,7 +427,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, largest
             joined = [[{"start": lo, "end": hi} for lo, hi in _join_spans([(p["__lo"], p["__hi"]) for p in parts])] for parts in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(joined, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["__id", "__x", "__spans"])
 
-    return spans.mapInArrow(run, f"__id {kind}, __x long, __spans array<struct<start:bigint,end:bigint>>")
+    out = cut_lineage(spans.mapInArrow(run, f"__id {kind}, __x long, __spans array<struct<start:bigint,end:bigint>>"))
+    drop_table(spark, table)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = GRAM, largest_family: int = LARGEST_FAMILY) -> DataFrame:
@@ -445,7 +447,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns id, n_bytes, spans (maximal removed byte ranges), kept (the remaining bytes).
     """
     rows = _keyed(docs, id_col, text_col)
-    spans = cut_lineage(repeated_spans(rows, length, gram, largest_family))
+    spans = repeated_spans(rows, length, gram, largest_family)
     n = spans.agg(F.sum(F.size("__spans"))).head()[0] or 0
     spans = spans.select(F.col("__id").alias("__i"), F.col("__x").alias("__y"), "__spans")
     spans = F.broadcast(spans) if n <= BROADCAST_SPANS else spans
