@@ -32,8 +32,8 @@ def test_runs(spark, name):
     assert rows and all(not (isinstance(x, float) and math.isnan(x)) for r in rows for x in r)
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_every_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark, tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.fm_index import remove_repeated_words
 from tidemark.llm.line_dedup import near_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack_documents
@@ -18,6 +19,7 @@ from tidemark.llm.simhash import simhash_groups
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.url_filter import url_filter
+from tidemark.llm.yinyang import yinyang_clusters
 from tidemark.session import load, ship_package
 
 URL_RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS rules(host, path, verdict)"
@@ -68,6 +70,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"), 40, 41)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeated_words(load(spark, sf_dir, "documents")).select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang_clusters(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -96,8 +107,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     "op9_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_AZ})) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op12_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT n, doc_id, i, array_to_string(words[i:i + 19], ' ') AS win FROM (SELECT n, doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d)),
+f AS (SELECT n, i FROM g QUALIFY {'d': doc_id, 'i': i} > min({'d': doc_id, 'i': i}) OVER (PARTITION BY win)),
+p AS (SELECT n, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM d),
+r AS (SELECT p.n, p.i, word, coalesce(max(f.i) OVER (PARTITION BY p.n ORDER BY p.i ROWS UNBOUNDED PRECEDING) >= p.i - 19, false) AS removed FROM p LEFT JOIN f ON p.n = f.n AND p.i = f.i),
+k AS (SELECT n, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS kept FROM r GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (n)""",
 }
 
 
+def _rounds_sql() -> str:
+    """Operator 13 round by round: v has a row per vector and component, c0 to c5 one per centroid and component."""
+    nearest = lambda c: f"SELECT n, c AS cluster, d FROM (SELECT n, c, sum((v.x - {c}.x) * (v.x - {c}.x)) AS d FROM v JOIN {c} USING (i) GROUP BY n, c) QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1"
+    steps = [
+        "k AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "v AS MATERIALIZED (SELECT n, unnest(range(1, 65)) AS i, CAST(floor(256 * CAST(unnest(e) AS DOUBLE)) AS BIGINT) AS x FROM k)",
+        "s AS (SELECT n, row_number() OVER (ORDER BY sha256('2:' || vec_id), n) - 1 AS c FROM k QUALIFY c < 40)",
+        "c0 AS MATERIALIZED (SELECT c, i, x FROM s JOIN v USING (n))",
+    ]
+    for r in range(5):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest(f'c{r}')})")
+        steps.append(f"m{r} AS (SELECT cluster AS c, i, sum(x) AS s, count(*) AS m FROM a{r} JOIN v USING (n) GROUP BY ALL)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN s IS NULL THEN x ELSE (s - ((s % m) + m) % m) // m END AS x FROM c{r} LEFT JOIN m{r} USING (c, i))")
+    steps.append(f"a5 AS MATERIALIZED ({nearest('c5')})")
+    steps.append("h AS (SELECT c AS cluster, sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY c)")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a5 JOIN k USING (n) JOIN h USING (cluster)"
+
+
+SQL["op13_centroid_clustering"] = _rounds_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
