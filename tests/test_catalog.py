@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import catalog
+from tidemark.plans import catalog_jobs as catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

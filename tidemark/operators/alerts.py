@@ -49,7 +49,8 @@ def latest_alerts(points: DataFrame, watchers: DataFrame, state: DataFrame, perc
 
     ``watchers`` has user_id, entity, upper, lower, cooldown; ``state`` user_id, entity, last_triggered,
     last_direction of the runs before. The last two percentiles of a series decide; an alert is held back
-    until ``cooldown`` of the series' own dates have passed since the last. Series of one row are skipped.
+    until ``cooldown`` of the series' own dates have passed since the last. A last trigger that is not one
+    of the series' dates, or lies after its end, holds nothing back. Series of one row are skipped.
     """
     w = W.partitionBy(entity).orderBy(date)
     rows = points.select(entity, date, F.col(percentile).alias("__p"), F.lag(percentile).over(w).alias("__before"), F.row_number().over(w).alias("__no"))
@@ -57,8 +58,8 @@ def latest_alerts(points: DataFrame, watchers: DataFrame, state: DataFrame, perc
     known = state.join(rows.select(entity, F.col(date).alias("last_triggered"), F.col("__no").alias("__then")), [entity, "last_triggered"], "left")
     df = watchers.join(last, entity).join(known.select("user_id", entity, "last_triggered", "last_direction", "__then"), ["user_id", entity], "left")
     hit = crossing(F.col("__before"), F.col("__p"), F.col("upper"), F.col("lower"))
-    ready = F.col("last_triggered").isNull() | (F.col("__no") - F.col("__then") >= F.col("cooldown"))
-    df = df.withColumn("__hit", F.when(F.coalesce(ready, F.lit(False)), hit))
+    held = (F.col("__no") - F.col("__then")).between(0, F.col("cooldown") - 1)
+    df = df.withColumn("__hit", F.when(~F.coalesce(held, F.lit(False)), hit))
     fired = df.where("__hit is not null").select("user_id", entity, date, F.col("__hit").alias("direction"), severity(F.col("__p")).alias("severity"), F.col("__p").alias("percentile"))
     fired = fired.withColumn("alert_id", F.sha2(F.concat_ws("|", "user_id", entity, F.col(date).cast("string"), "direction"), 256))
     newest = W.partitionBy("user_id").orderBy(F.desc(date), "alert_id")
@@ -82,6 +83,13 @@ def alert_rows(fired: DataFrame, watchers: DataFrame, percentile: str, entity: s
     return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
+def merge_alerts(stored: DataFrame, fired: DataFrame, date: str = "d", most: int = 500) -> DataFrame:
+    """Stored and new alerts of each user, the newest ``most``; one that is stored already keeps its row and its ``read``."""
+    new = fired.join(stored.select("alert_id"), "alert_id", "left_anti").withColumn("read", F.lit(False)).select(*stored.columns)
+    w = W.partitionBy("user_id").orderBy(F.desc(date), "alert_id")
+    return stored.unionByName(new).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
 def acknowledge(alerts: DataFrame, user: str, ids: list[str] | None = None) -> DataFrame:
     """Alerts of a user marked as read, all of them or those listed."""
     hit = F.col("user_id") == user

@@ -66,7 +66,7 @@ def first_existing(spark: SparkSession, paths: list[str], schema: str) -> DataFr
 #: The runtime stores and their columns.
 STORES = {
     "watchlists": "user_id string, watch_ids array<string>, upper double, lower double, cooldown int",
-    "alerts": "user_id string, entity string, d date, direction string, severity string, percentile double, alert_id string",
+    "alerts": "user_id string, entity string, d date, direction string, severity string, percentile double, alert_id string, read boolean",
     "alert_state": "user_id string, entity string, last_triggered date, last_direction string",
 }
 
