@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions.text import has_source_tag
 from tidemark.operators.asof import asof_join
 from tidemark.session import ship_package
 
@@ -18,6 +19,13 @@ from tidemark.session import ship_package
 METRICS = ("pe_ttm", "pe_forward", "pb", "peg")
 TOLERANCE = 0.01
 EXPLICIT = ("yahoo-key-statistics-valuation-measures", "yahoo-quote-summary-latest", "yahoo-quote-api-latest")
+#: The sources that are trusted for each metric.
+TRUSTED = {
+    "pe_ttm": ("yahoo-trailing-pe-timeseries", *EXPLICIT),
+    "pe_forward": ("yahoo-forward-pe-timeseries", *EXPLICIT),
+    "pb": EXPLICIT,
+    "peg": ("yahoo-trailing-peg-timeseries", *EXPLICIT),
+}
 #: Smaller values count as none.
 LEAST = 1e-8
 
@@ -55,16 +63,11 @@ class LastAccepted:
         return max(abs(value / other), abs(other / value))
 
 
-def states_latest(source: str | Column) -> Column:
-    """Whether one of the tags of a source (joined by +, case ignored) states latest values."""
-    tags = F.transform(F.split(F.lower(F.coalesce(F.col(source) if isinstance(source, str) else source, F.lit(""))), r"\+"), lambda t: F.trim(t))
-    return F.arrays_overlap(tags, F.array(*[F.lit(x) for x in EXPLICIT]))
-
-
 def long_snapshots(snapshots: DataFrame, entity: str, date: str, source: str) -> DataFrame:
-    """(entity, date, explicit, metric, value): a row for each usable value."""
-    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])
-    rows = snapshots.where(F.col(date).isNotNull()).select(entity, date, states_latest(source).alias("explicit"), F.inline(values))
+    """(entity, date, explicit, metric, value): a row for each usable value of a source that is trusted for its metric."""
+    tag = F.coalesce(F.col(source), F.lit(""))
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(has_source_tag(tag, list(TRUSTED[m])), F.col(m).cast("double")).alias("value")) for m in METRICS])
+    rows = snapshots.where(F.col(date).isNotNull()).select(entity, date, has_source_tag(tag, list(EXPLICIT)).alias("explicit"), F.inline(values))
     return rows.where((F.abs("value") >= LEAST) & (F.abs("value") < float("inf")))
 
 

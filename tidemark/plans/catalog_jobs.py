@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators import windows
+from tidemark.operators import proxy, snapshots, windows
 from tidemark.plans import build, stores
 from tidemark.plans.catalog import FRAME, QUERIES, RANK, SQL, P, daily, points, query, r6, rnd
-from tidemark.session import checkpoint_path, load
+from tidemark.session import checkpoint_path, load, ship_package
 from tidemark.sources import versions
 
 __all__ = ["QUERIES", "SQL"]
@@ -154,3 +155,95 @@ def refused_build(spark, sf):
     about = f"{len(manifest['versions'])} versions, last {build.versions_of(manifest)[0]['source']}"
     rows = spark.createDataFrame(reasons, "entity string, reason string")
     return rows.withColumns({"published": F.lit(manifest["version"]), "about": F.lit(about)})
+
+
+# Snapshots that say something new
+
+#: Each day's ratios as a provider might give them: the trailing ratio in coarse steps, the forward one moved with the price
+#: from the month's first day and now and then of the other sign, the book ratio the same for a week, a growth ratio with gaps.
+SHOTS = f"""m AS (SELECT *, first_value(v) OVER (PARTITION BY entity, date_trunc('month', d) ORDER BY d) AS v0 FROM p),
+  h AS (SELECT entity, d, v AS close, {rnd('pe_ttm', 0)} AS pe_ttm, v / v0 * (1 + month(d)) * CASE WHEN day(d) = 20 THEN -1 ELSE 1 END AS pe_forward, 0.5 + floor(day(d) / 7) AS pb, CASE WHEN day(d) % 3 = 0 THEN 1.0::DOUBLE + dayofyear(d) % 11 END AS peg,
+  CASE WHEN length(entity) % 2 = 0 THEN 'Yahoo-Quote-API-latest+sec' ELSE 'yahoo-trailing-pe-timeseries+yahoo-forward-pe-timeseries+yahoo-trailing-peg-timeseries' END AS source FROM m)"""
+TAKEN = f"""WITH RECURSIVE {P}, {SHOTS}, u AS (UNPIVOT (SELECT entity, d, close, source LIKE 'Yahoo%' AS explicit, pe_ttm, pe_forward, CASE WHEN source LIKE 'Yahoo%' THEN pb END AS pb, peg FROM h) ON pe_ttm, pe_forward, pb, peg INTO NAME metric VALUE value),
+  n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity, metric ORDER BY d) AS no FROM u WHERE abs(value) >= 1e-8),
+  f AS (SELECT entity, metric, no, d, value AS last, close AS base, true AS taken FROM n WHERE no = 1 UNION ALL
+    SELECT entity, metric, no, d, CASE WHEN ok THEN value ELSE last END, CASE WHEN ok THEN close ELSE base END, ok FROM (
+      SELECT n.*, f.last, f.base, CASE WHEN explicit THEN NOT (CASE WHEN f.last * value <= 0 THEN 1e300 ELSE greatest(abs(value / f.last), abs(f.last / value)) END <= 1.01 AND greatest(close / f.base, f.base / close) > 1.01)
+        ELSE CASE WHEN f.last * value <= 0 THEN 1e300 ELSE greatest(abs(value / (f.last * (close / f.base))), abs(f.last * (close / f.base) / value)) END > 1.01 END AS ok
+      FROM f JOIN n ON n.entity = f.entity AND n.metric = f.metric AND n.no = f.no + 1)),
+  k AS (SELECT f.entity, f.d, f.metric, last AS value FROM f WHERE taken)"""
+
+
+def shots(spark, sf) -> DataFrame:
+    df = points(spark, sf)
+    v0 = F.first("v").over(W.partitionBy("entity", F.trunc("d", "month")).orderBy("d"))
+    sign = F.when(F.dayofmonth("d") == 20, -1).otherwise(1)
+    return df.select(
+        "entity", "d", F.col("v").alias("close"), r6("pe_ttm", 0).alias("pe_ttm"), (F.col("v") / v0 * (1 + F.month("d")) * sign).alias("pe_forward"), (0.5 + F.floor(F.dayofmonth("d") / 7)).alias("pb"),
+        F.when(F.dayofmonth("d") % 3 == 0, 1.0 + F.dayofyear("d") % 11).alias("peg"), F.when(F.length("entity") % 2 == 0, "Yahoo-Quote-API-latest+sec").otherwise("yahoo-trailing-pe-timeseries+yahoo-forward-pe-timeseries+yahoo-trailing-peg-timeseries").alias("source"),
+    )
+
+
+@query(TAKEN + f" SELECT entity, d, {', '.join(rnd(f'max(value) FILTER (metric = {m!r})') + f' AS {m}' for m in snapshots.METRICS)} FROM k GROUP BY 1, 2")
+def effective_snapshots(spark, sf):
+    df = shots(spark, sf)
+    out = snapshots.effective_snapshots(df.drop("close"), df.select("entity", "d", "close"))
+    return out.select("entity", "d", *[r6(m).alias(m) for m in snapshots.METRICS])
+
+
+@query(TAKEN + f" SELECT entity, d, metric, {rnd('value')} AS value FROM k")
+def effective_snapshots_stream(spark, sf):
+    """The same as a stream of three files in the order of their dates, a batch each, with state between them."""
+    folder = f"{checkpoint_path(spark)}/stream-snapshots-{uuid4().hex}"
+    df = shots(spark, sf)
+    rows = snapshots.with_close(snapshots.long_snapshots(df, "entity", "d", "source"), df.select("entity", "d", "close"), "entity", "d", "close")
+    for years in ("< 1995", "BETWEEN 1995 AND 1997", "> 1997"):
+        rows.where(f"year(d) {years}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    taken = snapshots.stream_snapshots(source)
+    with rocksdb(spark):
+        q = taken.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(taken.schema).parquet(f"{folder}/out").withColumn("value", r6("value"))
+
+
+@contextmanager
+def rocksdb(spark):
+    """The state store that ``transformWithState`` needs, for the queries started inside; the session's own comes back after."""
+    ship_package(spark)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+# Ratios made up from prices and a rate
+
+_C = lambda x, low, high: f"least(greatest({x}, {low}), {high})"
+
+
+@query(f"""WITH RECURSIVE {P}, y AS (SELECT DISTINCT d, CAST(us10y_yield AS DOUBLE) AS rate FROM p WHERE day(d) IN (10, 25) AND d >= DATE '1992-03-01'), y0 AS (SELECT coalesce(arg_min(rate, d), 0.035::DOUBLE) AS rate_0 FROM y),
+  n AS MATERIALIZED (SELECT p.entity, p.d, v AS close, coalesce(rate, rate_0) AS rate, rate_0, row_number() OVER (PARTITION BY p.entity ORDER BY p.d) AS no, 15.0::DOUBLE + length(entity) AS ap, 14.0::DOUBLE + length(entity) AS af, 2.0::DOUBLE + length(entity) / 10 AS ab,
+    CASE WHEN length(entity) % 2 = 0 THEN 0.115 ELSE 0.11 END::DOUBLE AS a1 FROM p ASOF LEFT JOIN y ON p.d >= y.d, y0),
+  f AS (SELECT entity, CAST(0 AS BIGINT) AS no, CAST(NULL AS DATE) AS d, greatest(close, 0.01) AS c, close AS e1, close AS e2, close AS e3, rate_0 AS yf, rate_0 AS ys, 0.0::DOUBLE AS mf, 0.0::DOUBLE AS ms, ap AS pe, af AS fw, ab AS pb, rate_0 AS rate FROM n WHERE no = 1 UNION ALL
+    SELECT entity, no, d, c, e1, e2, e3, yf, ys, mf, ms, pe + a1 * (tp - pe), fw + 0.13 * (tp * (1 - spread) - fw), pb + 0.08 * (ab * exp(book) - pb), rate FROM (
+    SELECT *, ap * exp(signal) AS tp, {_C("signal * 0.62 + far * 0.28 - gap * 1.8 - unrest * 2.2", -0.9, 0.9)} AS book, {_C("0.085 + far * 0.22 + mid * 0.12 - gap * 0.42 - momentum * 0.2", -0.08, 0.24)} AS spread,
+      {_C(f"pe0 * (1 + {_C('change * 1.2', -0.1, 0.1)})", 0.1, 500)} AS pe, {_C(f"fw0 * (1 + {_C('change * 1.05', -0.09, 0.09)})", 0.1, 500)} AS fw, {_C(f"pb0 * (1 + {_C('change * 0.9', -0.08, 0.08)})", 0.05, 120)} AS pb FROM (
+    SELECT *, {_C("near * 1.25 + mid * 0.72 + far * 0.46 - gap * 4.8 - momentum * 1.4 - unrest * 6.2", -0.92, 0.92)} AS signal FROM (
+    SELECT *, ln(c / greatest(e1, 0.01)) AS near, ln(c / greatest(e2, 0.01)) AS mid, ln(greatest(e2, 0.01) / greatest(e3, 0.01)) AS far, rate - ys AS gap, rate - yf AS momentum, mf - ms AS unrest FROM (
+    SELECT n.*, greatest(n.close, 0.01) AS c, greatest(n.close, 0.01) / f.c - 1 AS change, e1 + 2.0::DOUBLE / 64 * (greatest(n.close, 0.01) - e1) AS e1, e2 + 2.0::DOUBLE / 253 * (greatest(n.close, 0.01) - e2) AS e2, e3 + 2.0::DOUBLE / 757 * (greatest(n.close, 0.01) - e3) AS e3,
+      yf + 2.0::DOUBLE / 64 * (n.rate - yf) AS yf, ys + 2.0::DOUBLE / 757 * (n.rate - ys) AS ys, mf + 2.0::DOUBLE / 64 * (abs(greatest(n.close, 0.01) / f.c - 1) - mf) AS mf, ms + 2.0::DOUBLE / 253 * (abs(greatest(n.close, 0.01) / f.c - 1) - ms) AS ms, f.pe AS pe0, f.fw AS fw0, f.pb AS pb0
+    FROM f JOIN n ON n.entity = f.entity AND n.no = f.no + 1))))),
+  l AS (SELECT entity, arg_max(pe, no) AS lp, arg_max(fw, no) AS lf, arg_max(pb, no) AS lb FROM f GROUP BY 1)
+  SELECT f.entity, f.d, {rnd(_C("pe * (ap / greatest(lp, 0.0001))", 2.4, 240), 4)} AS pe_ttm, {rnd(_C("fw * (af / greatest(lf, 0.0001))", 2, 120), 4)} AS pe_forward, {rnd(_C("pb * (ab / greatest(lb, 0.0001))", 0.2, 28), 4)} AS pb, {rnd(_C("f.rate", 0.001, 0.12), 5)} AS us10y_yield
+  FROM f JOIN l USING (entity) JOIN n ON n.entity = f.entity AND n.no = f.no""")
+def proxy_ratios(spark, sf):
+    df = points(spark, sf)
+    rates = df.where(F.dayofmonth("d").isin(10, 25) & (F.col("d") >= "1992-03-01")).select("d", F.col("us10y_yield").alias("rate"))
+    df = proxy.rate_on(df.select("entity", "d", F.col("v").alias("close")), rates)
+    n = F.length("entity")
+    df = df.withColumns({"anchor_pe_ttm": 15 + n, "anchor_pe_forward": 14 + n, "anchor_pb": 2 + n / 10, "alpha_pe_ttm": F.when(n % 2 == 0, 0.115)})
+    return proxy.proxy_ratios(df)
