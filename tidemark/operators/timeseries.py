@@ -60,17 +60,31 @@ def log_bridge(df: DataFrame, entity: str, date: str, value: str, price: str, ou
     return interpolate(ratio, entity, date, "__log", "__l").withColumn(out, F.exp("__l") * F.col(price)).drop("__log", "__l")
 
 
-def rebase_before(df: DataFrame, value: str, date: str, cut: Column, factor: Column, low: float = 1.15, high: float = 4.0) -> DataFrame:
-    """Values of at least 4 before the cut-over times one factor, if it departs from 1 by ``low`` to ``high`` fold."""
-    fold = F.greatest(factor, 1 / factor)
-    return df.withColumn(value, F.when((F.col(date) < cut) & fold.between(low, high) & (F.col(value) >= 4), F.col(value) * factor).otherwise(F.col(value)))
+#: The bound of every ratio, the least size of a usable number; folds and least value of a change of basis.
+MOST_RATIO, TINY = 1_000_000.0, 1e-8
+BASIS_FOLD, BASIS_LEAST = (1.15, 4.0), 4.0
 
 
-def cutover_factor(df: DataFrame, value: str, cut: Column, days: int = 30, entity: str = "entity", date: str = "d") -> DataFrame:
-    """Each series' median in the days from a cut-over on, over its median in the days before."""
-    after = F.when((F.col(date) >= cut) & (F.col(date) < F.date_add(cut, days)), F.col(value))
-    before = F.when((F.col(date) < cut) & (F.col(date) >= F.date_sub(cut, days)), F.col(value))
-    return df.groupBy(entity).agg((F.median(after) / F.median(before)).alias("factor"))
+def rebase_history(df: DataFrame, cuts: DataFrame, entity: str, date: str, value: str, close: str) -> DataFrame:
+    """History brought onto the basis that a series has from its cut-over on (``cuts``: entity, cut).
+
+    The cut-over row is the first on or after the day with a value of at least 4 and a positive close; the row
+    before is the last such one ahead of it. Their values, less the move of the close between them, give
+    the factor. If it departs from 1 by 1.15 to 4 fold, every earlier value is multiplied, small and negative
+    ones too, and rounded to 4 digits. A series without either row stays as it is.
+    """
+    from tidemark.functions.numbers import clamp, round_half_up
+
+    good = df.where((F.col(value) >= BASIS_LEAST) & (F.col(value) < float("inf")) & (F.col(close) > 0)).join(cuts, entity)
+    row = F.struct(F.col(date).alias("d"), F.col(value).alias("v"), F.col(close).alias("c"))
+    at = good.groupBy(entity).agg(F.min(F.when(F.col(date) >= F.col("cut"), row)).alias("__at"))
+    before = good.join(at, entity).where(F.col(date) < F.col("__at.d")).groupBy(entity).agg(F.max(row).alias("__old"), F.first("__at").alias("__at"))
+    factor = F.col("__at.v") / (F.col("__old.v") * (F.col("__at.c") / F.col("__old.c")))
+    found = before.select(entity, F.col("__at.d").alias("__cut"), factor.alias("__factor")).where(F.greatest("__factor", 1 / F.col("__factor")).between(*BASIS_FOLD))
+    moved = F.col(value) * F.col("__factor")
+    use = (F.col(date) < F.col("__cut")) & (F.abs(value) >= TINY) & (F.abs(moved) >= TINY) & (F.abs(moved - F.col(value)) > 1e-6)
+    out = F.when(use, round_half_up(clamp(moved, -MOST_RATIO, MOST_RATIO), 4)).otherwise(F.col(value))
+    return df.join(found, entity, "left").withColumn(value, out).drop("__cut", "__factor")
 
 
 def forward_start(closes: DataFrame, forward: DataFrame, history: DataFrame, entity: str, date: str, least: int = 4, coverage: int = 126) -> DataFrame:
@@ -96,7 +110,7 @@ def growth_on_year(df: DataFrame, entity: str, date: str, value: str) -> DataFra
     return out.withColumn("growth", F.when(F.abs(growth) > 1e-8, growth))
 
 
-def forward_from_trailing(df: DataFrame, last: DataFrame, entity: str, date: str, value: str, years: int = 8, most: float = 200.0) -> DataFrame:
+def forward_from_trailing(df: DataFrame, last: DataFrame, entity: str, date: str, value: str, years: int = 8, most: float = MOST_RATIO) -> DataFrame:
     """A forward series as the trailing one times their latest ratio, for the last years; none where the ratio is out of bounds."""
     from tidemark.functions.dates import subtract_years
     from tidemark.functions.numbers import clamp, round_half_up
@@ -108,20 +122,27 @@ def forward_from_trailing(df: DataFrame, last: DataFrame, entity: str, date: str
     return out.select(entity, date, round_half_up(clamp(F.col(value) * F.col("__ratio"), -most, most), 4).alias("value"))
 
 
-def override_with_actual(df: DataFrame, actual: DataFrame, entity: str, date: str, value: str, close: str, stale: int = 190, fold: float = 3.5, most: float = 500.0) -> DataFrame:
-    """Recent ratios as close over the latest actual earnings (start, eps of each series).
+def override_with_actual(df: DataFrame, actual: DataFrame, entity: str, date: str, value: str, close: str, stale: int = 190, fold: float = 3.5, most: float = MOST_RATIO) -> DataFrame:
+    """Recent ratios as close over the latest actual earnings (start, eps of each series, and cutoff if snapshots begin).
 
-    Left alone where the earnings are older than ``stale`` days or their ratio departs ``fold`` times from the
-    series' last, as for listings in another currency.
+    Left alone where the earnings are older than ``stale`` days, their ratio departs ``fold`` times from the
+    series' last, as for listings in another currency, or snapshots begin at or before the start; where they
+    begin later, rows from then on keep their values.
     """
+    from tidemark.functions.numbers import round_half_up
+
+    cutoff = F.col("cutoff") if "cutoff" in actual.columns else F.lit(None).cast("date")
     last = df.groupBy(entity).agg(F.max(date).alias("__end"), F.max_by(close, date).alias("__close"), F.max_by(value, date).alias("__last"))
-    use = last.join(actual, entity).where(F.abs(F.col("eps")) > 1e-8)
-    based = F.col("__close") / F.col("eps")
-    near = F.greatest(F.col("__last") / based, based / F.col("__last")) < fold
-    use = use.where(F.datediff("__end", "start").between(0, stale) & F.coalesce(near, F.lit(True))).select(entity, "start", "eps")
+    use = last.join(actual.select(entity, "start", "eps", cutoff.alias("__cutoff")), entity).where(F.abs(F.col("eps")) > TINY)
+    based = F.when(F.col("__close") > 0, F.col("__close") / F.col("eps"))
+    shown = F.when(F.abs("__last") >= TINY, F.col("__last"))
+    near = F.greatest(shown / based, based / shown) < fold
+    free = F.coalesce(F.col("__cutoff") > F.col("start"), F.lit(True))
+    use = use.where(F.datediff("__end", "start").between(0, stale) & free & F.coalesce(near, F.lit(True))).select(entity, "start", "eps", "__cutoff")
     ratio = F.col(close) / F.col("eps")
-    fits = F.coalesce((F.col(date) >= F.col("start")) & (F.col(close) > 0) & (F.abs(ratio) <= most), F.lit(False))
-    return df.join(use, entity, "left").withColumn(value, F.when(fits, ratio).otherwise(F.col(value))).drop("start", "eps")
+    inside = (F.col(date) >= F.col("start")) & F.coalesce(F.col(date) < F.col("__cutoff"), F.lit(True))
+    fits = F.coalesce(inside & (F.col(close) > 0) & (F.abs(ratio) <= most), F.lit(False))
+    return df.join(use, entity, "left").withColumn(value, F.when(fits, round_half_up(ratio, 6)).otherwise(F.col(value))).drop("start", "eps", "__cutoff")
 
 
 def anchor_denominators(closes: DataFrame, anchors: DataFrame, entity: str, date: str, close: str, fallback: float) -> DataFrame:

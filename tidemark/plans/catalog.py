@@ -647,16 +647,18 @@ def usable_history(spark, sf):
     return quality.usable_history(daily(spark, sf), 24)
 
 
-@query(f"""WITH {S}, c AS (SELECT entity, max(d) - 365 AS cut FROM s GROUP BY 1), j AS (SELECT entity, d, v / 10000 * CASE WHEN d < cut THEN 0.5 + length(entity) / 20.0::DOUBLE ELSE 1 END AS pe, cut FROM s JOIN c USING (entity)),
-  f AS (SELECT entity, median(pe) FILTER (d >= cut AND d < cut + 30) / median(pe) FILTER (d < cut AND d >= cut - 30) AS f FROM j GROUP BY 1)
-  SELECT entity, d, {rnd('CASE WHEN d < cut AND greatest(f, 1 / f) BETWEEN 1.15 AND 4 AND pe >= 4 THEN pe * f ELSE pe END')} AS pe FROM j JOIN f USING (entity)""")
+@query(f"""WITH {S}, c AS (SELECT entity, max(d) - 365 AS cut FROM s GROUP BY 1), j AS (SELECT entity, d, v, cut, CASE WHEN day(d) = 10 THEN 2.5 WHEN day(d) = 11 THEN -3 WHEN d >= cut AND d < cut + 5 THEN 1 ELSE v / 5000 * CASE WHEN d < cut THEN 0.2 + length(entity) / 20.0::DOUBLE ELSE 1 END END::DOUBLE AS pe FROM s JOIN c USING (entity)),
+  a AS (SELECT entity, min(d) AS ad, arg_min(pe, d) AS av, arg_min(v, d) AS ac FROM j WHERE pe >= 4 AND v > 0 AND d >= cut GROUP BY 1), o AS (SELECT entity, any_value(ad) AS ad, any_value(av) / (arg_max(pe, d) * (any_value(ac) / arg_max(v, d))) AS f FROM j JOIN a USING (entity) WHERE pe >= 4 AND v > 0 AND d < ad GROUP BY 1)
+  SELECT entity, d, {rnd(f"CASE WHEN d < ad AND greatest(f, 1 / f) BETWEEN 1.15 AND 4 THEN {rnd('pe * f', 4)} ELSE pe END")} AS pe FROM j LEFT JOIN o USING (entity)""")
 def rebase_cutover(spark, sf):
-    """History before a change of basis is brought onto the level after it; the factor comes from the days around it."""
+    """History before a change of basis, with values under 4 and below zero, is brought onto the level after it; the first days after it are unusable."""
     df = daily(spark, sf)
-    cut = df.groupBy("entity").agg(F.date_sub(F.max("d"), 365).alias("cut"))
-    df = df.join(cut, "entity").withColumn("pe", F.col("v") / 10000 * F.when(F.col("d") < F.col("cut"), 0.5 + F.length("entity") / 20).otherwise(1.0))
-    df = df.join(timeseries.cutover_factor(df, "pe", F.col("cut")), "entity")
-    return timeseries.rebase_before(df, "pe", "d", F.col("cut"), F.col("factor")).select("entity", "d", r6("pe").alias("pe"))
+    cuts = df.groupBy("entity").agg(F.date_sub(F.max("d"), 365).alias("cut"))
+    df = df.join(cuts, "entity")
+    early = F.when(F.col("d") < F.col("cut"), 0.2 + F.length("entity") / 20).otherwise(1.0)
+    pe = F.when(F.dayofmonth("d") == 10, 2.5).when(F.dayofmonth("d") == 11, -3.0).when(F.datediff("d", "cut").between(0, 4), 1.0).otherwise(F.col("v") / 5000 * early)
+    df = df.select("entity", "d", "v", pe.alias("pe"))
+    return timeseries.rebase_history(df, cuts, "entity", "d", "pe", "v").select("entity", "d", r6("pe").alias("pe"))
 
 
 @query(f"WITH {S} SELECT max(d)::VARCHAR AS last_date, count(*) AS n_points FROM s")
@@ -888,21 +890,32 @@ def growth_on_year(spark, sf):
     return timeseries.growth_on_year(daily(spark, sf), "entity", "d", "v").select("entity", "d", r6("growth").alias("growth"))
 
 
-@query(f"""WITH {P}, l AS (SELECT entity, max(d) AS ld, arg_max(pe_ttm, d) AS lt, arg_max(pe_forward, d) * (1 + length(entity) % 4) AS lf FROM p GROUP BY 1)
-  SELECT entity, d, {rnd('least(greatest(pe_ttm * (lf / lt), -200), 200)', 4)} AS value FROM p JOIN l USING (entity) WHERE abs(lf / lt) BETWEEN 0.35 AND 3.5 AND d >= CAST(ld - INTERVAL 3 YEAR AS DATE)""")
+LARGE = "CASE length(entity) WHEN 9 THEN 60 WHEN 8 THEN 70000 ELSE 1 END"
+
+
+@query(f"""WITH {P}, g AS (SELECT entity, d, pe_ttm * {LARGE} AS pe_ttm, pe_forward * {LARGE} AS pe_forward FROM p), l AS (SELECT entity, max(d) AS ld, arg_max(pe_ttm, d) AS lt, arg_max(pe_forward, d) * (1 + length(entity) % 4) AS lf FROM g GROUP BY 1)
+  SELECT entity, d, {rnd('least(greatest(pe_ttm * (lf / lt), -1000000), 1000000)', 4)} AS value FROM g JOIN l USING (entity) WHERE abs(lf / lt) BETWEEN 0.35 AND 3.5 AND d >= CAST(ld - INTERVAL 3 YEAR AS DATE)""")
 def forward_proxy(spark, sf):
-    df = points(spark, sf)
+    """Values far above 200, and some at the bound."""
+    large = F.when(F.length("entity") == 9, 60).when(F.length("entity") == 8, 70000).otherwise(1)
+    df = points(spark, sf).withColumns({"pe_ttm": F.col("pe_ttm") * large, "pe_forward": F.col("pe_forward") * large})
     last = df.groupBy("entity").agg(F.max_by("pe_ttm", "d").alias("latest"), (F.max_by("pe_forward", "d") * (1 + F.length("entity") % 4)).alias("latest_forward"))
-    return timeseries.forward_from_trailing(df, last, "entity", "d", "pe_ttm", 3, 200.0).select("entity", "d", r6("value", 4).alias("value"))
+    return timeseries.forward_from_trailing(df, last, "entity", "d", "pe_ttm", 3).select("entity", "d", r6("value", 4).alias("value"))
+
+
+#: Each series' earnings per share and ratio: usual ones, some with ratios above 500, some around the bound.
+EPS, OWN = "CASE entity WHEN 'HOUSEHOLD' THEN 100 WHEN 'AUTOMOBILE' THEN 0.15 ELSE 5000 + length(entity) END::DOUBLE", "CASE entity WHEN 'HOUSEHOLD' THEN v / 120 WHEN 'AUTOMOBILE' THEN v / 0.18 ELSE abs(pe_ttm) + 3 END::DOUBLE"
 
 
-@query(f"""WITH {P}, e AS (SELECT entity, max(d) - CAST(100 * (1 + length(entity) % 3) AS INTEGER) AS start, CASE WHEN entity = 'HOUSEHOLD' THEN 100.0 ELSE 5000 + length(entity) END::DOUBLE AS eps FROM p GROUP BY 1),
-  l AS (SELECT entity, max(d) AS ld, arg_max(v, d) / any_value(eps) AS based, arg_max(pe, d) AS pe FROM (SELECT *, abs(pe_ttm) + 3 AS pe FROM p) JOIN e USING (entity) GROUP BY 1), g AS (SELECT *, ld - start BETWEEN 0 AND 190 AND greatest(pe / based, based / pe) < 3.5 AS use FROM l JOIN e USING (entity))
-  SELECT p.entity, d, {rnd('CASE WHEN use AND d >= start AND abs(v / eps) <= 500 THEN v / eps ELSE abs(pe_ttm) + 3 END')} AS pe_ttm FROM p JOIN g USING (entity)""")
+@query(f"""WITH {P}, g AS (SELECT entity, d, v, {OWN} AS pe FROM p), e AS (SELECT entity, max(d) - CAST(40 * (1 + length(entity) % 3) AS INTEGER) AS start, {EPS} AS eps, CASE entity WHEN 'MACHINERY' THEN max(d) - 20 WHEN 'BUILDING' THEN max(d) - 400 END AS cutoff FROM p GROUP BY 1),
+  l AS (SELECT entity, max(d) AS ld, arg_max(v, d) / any_value(eps) AS based, arg_max(pe, d) AS lp FROM g JOIN e USING (entity) GROUP BY 1), u AS (SELECT *, ld - start BETWEEN 0 AND 190 AND (cutoff IS NULL OR cutoff > start) AND greatest(lp / based, based / lp) < 3.5 AS use FROM l JOIN e USING (entity))
+  SELECT g.entity, d, {rnd('CASE WHEN use AND d >= start AND (cutoff IS NULL OR d < cutoff) AND abs(v / eps) <= 1000000 THEN v / eps ELSE pe END')} AS pe_ttm FROM g JOIN u USING (entity)""")
 def recent_actual_ratio(spark, sf):
-    df = points(spark, sf).select("entity", "d", F.col("v").alias("close"), (F.abs("pe_ttm") + 3).alias("pe_ttm"))
-    eps = df.groupBy("entity").agg(F.date_sub(F.max("d"), 100 * (1 + F.length("entity") % 3)).alias("start"))
-    eps = eps.withColumn("eps", F.when(F.col("entity") == "HOUSEHOLD", 100.0).otherwise((5000 + F.length("entity")).cast("double")))
+    own = F.when(F.col("entity") == "HOUSEHOLD", F.col("v") / 120).when(F.col("entity") == "AUTOMOBILE", F.col("v") / 0.18).otherwise(F.abs("pe_ttm") + 3)
+    df = points(spark, sf).select("entity", "d", F.col("v").alias("close"), own.alias("pe_ttm"))
+    end = F.max("d")
+    eps = df.groupBy("entity").agg(F.date_sub(end, 40 * (1 + F.length("entity") % 3)).alias("start"), F.when(F.col("entity") == "MACHINERY", F.date_sub(end, 20)).when(F.col("entity") == "BUILDING", F.date_sub(end, 400)).alias("cutoff"))
+    eps = eps.withColumn("eps", F.when(F.col("entity") == "HOUSEHOLD", 100.0).when(F.col("entity") == "AUTOMOBILE", 0.15).otherwise((5000 + F.length("entity")).cast("double")))
     return timeseries.override_with_actual(df, eps, "entity", "d", "pe_ttm", "close").select("entity", "d", r6("pe_ttm").alias("pe_ttm"))
 
 

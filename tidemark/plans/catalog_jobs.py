@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators import proxy, snapshots, windows
+from tidemark.operators import payloads, proxy, snapshots, windows
 from tidemark.plans import build, stores
 from tidemark.plans.catalog import FRAME, QUERIES, RANK, SQL, P, daily, points, query, r6, rnd
 from tidemark.session import checkpoint_path, load, ship_package
@@ -247,3 +247,129 @@ def proxy_ratios(spark, sf):
     n = F.length("entity")
     df = df.withColumns({"anchor_pe_ttm": 15 + n, "anchor_pe_forward": 14 + n, "anchor_pb": 2 + n / 10, "alpha_pe_ttm": F.when(n % 2 == 0, 0.115)})
     return proxy.proxy_ratios(df)
+
+
+# Ratio payloads of several providers
+
+#: Month-end rows of each fine series as a provider's anchors, daily rows as long series: k is the nation, j the segment's length.
+NATION = "CAST(split_part(entity, '-', 2) AS INTEGER)"
+ANCHORS = f"""t AS (SELECT *, {NATION} AS k, month(d) AS mo FROM b), an AS (SELECT entity, d, k, v / 200000 * CASE WHEN k % 6 = 1 THEN 4 ELSE 1 END AS pe_ttm, v / 250000 AS pe_forward, v / 300000 AS pb, CASE WHEN mo % 2 = 1 THEN 1.1::DOUBLE END AS peg
+  FROM t QUALIFY row_number() OVER (PARTITION BY entity, date_trunc('month', d) ORDER BY d DESC) = 1)"""
+LONG = """lo AS (SELECT entity, 'pe_ttm' AS metric, d, v / 200000 * 1.1::DOUBLE AS value FROM t WHERE (k % 3 = 0 AND day(d) % 2 = 0) OR (k % 3 = 1 AND mo = 6)
+  UNION ALL SELECT entity, 'pb', d, v / 300000 * 1.1 FROM t WHERE (k % 3 = 1 AND day(d) % 2 = 0) OR (k % 3 = 2 AND mo = 6) UNION ALL SELECT entity, 'pe_forward', d, v / 250000 * 1.1 FROM t WHERE (k % 3 = 2 AND day(d) % 2 = 0) OR (k % 3 = 0 AND mo = 6))"""
+LATEST = """la AS (SELECT entity, CASE WHEN k % 5 > 0 THEN arg_max(pe_ttm, d) * CASE WHEN k % 6 = 1 THEN 0.25 WHEN k % 4 = 0 THEN 5 WHEN k % 4 = 1 THEN -1 ELSE 1 END END AS pe_ttm, arg_max(pe_forward, d) * (1 + k % 2 * 3) AS pe_forward, CASE WHEN k % 2 = 0 THEN arg_max(pb, d) END AS pb, arg_max(peg, d) AS peg, 'stock' AS source FROM an WHERE k % 11 > 0 GROUP BY entity, k)"""
+TODAY, DIVIDED = "2001-09-01", {"AUTOMOBILE-3": 5.0}
+_SIDE = lambda m, c, k: f"max(value) FILTER (metric = '{m}' AND {'NOT ' * (not c)}coarse) AS {m}_{k}"
+MERGED = f"""WITH {FINE}, {ANCHORS}, {LONG}, {LATEST}, g AS (SELECT *, d - lag(d) OVER (PARTITION BY entity, metric ORDER BY d) AS gap FROM lo),
+  sh AS (SELECT entity, metric, count(*) AS n, count(*) < 3 OR coalesce(median(gap) FILTER (gap > 0) >= 120, true) AS coarse, max(d) AS ld, arg_max(value, d) AS lv FROM g GROUP BY 1, 2),
+  md AS (SELECT entity, median(pe_ttm) AS md FROM (SELECT * FROM an WHERE abs(pe_ttm) >= 1e-8 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY d DESC) <= 8) GROUP BY 1),
+  wr AS (SELECT entity FROM md JOIN la USING (entity) JOIN sh USING (entity) WHERE metric = 'pe_ttm' AND n >= 16 AND greatest(pe_ttm / md, md / pe_ttm) >= 3.5),
+  wi AS (SELECT entity, d, {', '.join(_SIDE(m, c, k) for m in payloads.HINTS for k, c in (('o', False), ('u', True)))} FROM lo JOIN sh USING (entity, metric) GROUP BY 1, 2),
+  me AS (SELECT entity, d, coalesce(pe_ttm_o, CASE WHEN entity NOT IN (SELECT entity FROM wr) THEN pe_ttm END, pe_ttm_u) AS pe_ttm, coalesce(pe_forward_o, pe_forward, pe_forward_u) AS pe_forward, coalesce(pb_o, pb, pb_u) AS pb, peg FROM an FULL JOIN wi USING (entity, d))"""
+
+
+def _near_sql(m: str) -> str:
+    own = "pe_ttm / " + f"CASE WHEN entity = 'AUTOMOBILE-3' THEN {DIVIDED['AUTOMOBILE-3']}::DOUBLE ELSE 1 END" if m == "pe_ttm" else m
+    return f"CASE WHEN DATE '{TODAY}' - {m}_d BETWEEN 0 AND 120 AND (({own}) IS NULL OR greatest(({own}) / {m}_v, {m}_v / ({own})) < 3.2) THEN {m}_v ELSE coalesce({own}, {m}_v) END"
+
+
+def _payload(spark, sf):
+    t = fine(spark, sf).withColumns({"k": F.split("entity", "-")[1].cast("int"), "mo": F.month("d")})
+    k = F.col("k")
+    last = F.row_number().over(W.partitionBy("entity", F.trunc("d", "month")).orderBy(F.desc("d"))) == 1
+    anchors = t.withColumn("last", last).where("last").select("entity", "d", "k", (F.col("v") / 200000 * F.when(k % 6 == 1, 4).otherwise(1)).alias("pe_ttm"), (F.col("v") / 250000).alias("pe_forward"), (F.col("v") / 300000).alias("pb"), F.when(F.col("mo") % 2 == 1, 1.1).alias("peg"))
+    often, seldom = F.dayofmonth("d") % 2 == 0, F.col("mo") == 6
+    long = None
+    for m, by, often_k, seldom_k in (("pe_ttm", 200000, 0, 1), ("pb", 300000, 1, 2), ("pe_forward", 250000, 2, 0)):
+        one = t.where(((k % 3 == often_k) & often) | ((k % 3 == seldom_k) & seldom)).select("entity", F.lit(m).alias("metric"), "d", (F.col("v") / by * 1.1).alias("value"))
+        long = one if long is None else long.unionByName(one)
+    end = lambda m: F.max_by(m, F.when(F.col(m).isNotNull(), F.col("d")))
+    times = F.when(k % 6 == 1, 0.25).when(k % 4 == 0, 5).when(k % 4 == 1, -1).otherwise(1)
+    latest = anchors.where(k % 11 > 0).groupBy("entity", "k").agg(*[end(m).alias(m) for m in payloads.METRICS])
+    latest = latest.select("entity", F.when(k % 5 > 0, F.col("pe_ttm") * times).alias("pe_ttm"), (F.col("pe_forward") * (1 + k % 2 * 3)).alias("pe_forward"), F.when(k % 2 == 0, F.col("pb")).alias("pb"), "peg", F.lit("stock").alias("source"))
+    return payloads.merge_payloads(anchors, latest, long, F.to_date(F.lit(TODAY)), DIVIDED)
+
+
+@query(MERGED + f" SELECT entity, d, {', '.join(f'{rnd(m)} AS {m}' for m in payloads.METRICS)} FROM me WHERE coalesce(pe_ttm, pe_forward, pb, peg) IS NOT NULL")
+def merged_payloads(spark, sf):
+    """A provider's anchors and three long series: each is coarse for a third of the series and fills, dense for a third and goes first."""
+    return _payload(spark, sf)[0].select("entity", "d", *[r6(m).alias(m) for m in payloads.METRICS])
+
+
+@query(MERGED + f""", en AS (SELECT entity, {', '.join(f"max(ld) FILTER (metric = '{m}') AS {m}_d, max(lv) FILTER (metric = '{m}') AS {m}_v" for m in payloads.HINTS)} FROM sh GROUP BY 1)
+  SELECT entity, {', '.join(f'{rnd(_near_sql(m))} AS {m}' for m in payloads.HINTS)}, {rnd('peg')} AS peg, concat_ws('+', source, {', '.join(f"CASE WHEN {m}_d IS NOT NULL THEN '{h}' END" for m, h in payloads.HINTS.items())}) AS source FROM la FULL JOIN en USING (entity)""")
+def merged_latest(spark, sf):
+    """Latest values: from the long series while fresh and near, from the provider where stale or 3.2 times off."""
+    return _payload(spark, sf)[1].select("entity", *[r6(m).alias(m) for m in payloads.METRICS], "source")
+
+
+#: The same anchors as rows of four sources by month, December's as annual ones; every series has a primary source by its nation.
+SOURCES = f"""WITH {FINE}, {ANCHORS}, so AS (SELECT *, ['nasdaq', 'fmp', 'fai', 'zeta'][month(d) % 4 + 1] AS source, CASE WHEN month(d) = 12 THEN 'annual' ELSE 'quarterly' END AS period, ['nasdaq', 'fmp', 'fai'][k % 3 + 1] AS own FROM an),
+  sr AS (SELECT entity, d, source, period, own, pe_ttm, CASE WHEN source <> 'nasdaq' OR k % 2 = 0 THEN pe_forward END AS pe_forward, pb, CASE WHEN k % 7 > 2 THEN coalesce(peg, 0.9) ELSE peg END AS peg FROM so),
+  nw AS (SELECT entity, source, period, own, arg_max(pe_ttm, d) AS pe_ttm, arg_max(pe_forward, d) AS pe_forward, arg_max(pb, d) AS pb, arg_max(peg, d) AS peg FROM sr GROUP BY 1, 2, 3, 4),
+  ra AS (SELECT *, CASE WHEN source = own THEN CASE WHEN period = 'quarterly' THEN 0 ELSE 1 END ELSE 2 + CASE source WHEN 'fai' THEN 0 WHEN 'nasdaq' THEN 1 WHEN 'fmp' THEN 2 ELSE 99 END END AS rk FROM sr),
+  rn AS (SELECT *, CASE WHEN source = own THEN CASE WHEN period = 'quarterly' THEN 0 ELSE 1 END ELSE 2 + CASE source WHEN 'fai' THEN 0 WHEN 'nasdaq' THEN 1 WHEN 'fmp' THEN 2 ELSE 99 END END AS rk FROM nw),
+  ow AS (SELECT e.entity FROM (SELECT DISTINCT entity FROM sr) e LEFT JOIN (SELECT entity, arg_min(pe_forward, rk) AS f, arg_min(peg, rk) AS g FROM rn WHERE rk < 2 GROUP BY 1) l USING (entity)
+    LEFT JOIN (SELECT entity, count(pe_forward) AS nf, count(peg) AS ng FROM ra WHERE rk < 2 GROUP BY 1) c USING (entity) WHERE f IS NULL OR g IS NULL OR coalesce(nf, 0) < 4 OR coalesce(ng, 0) < 4),
+  ua AS (SELECT * FROM ra WHERE rk < 2 OR (period = 'quarterly' AND entity IN (SELECT entity FROM ow))), un AS (SELECT * FROM rn WHERE rk < 2 OR (period = 'quarterly' AND entity IN (SELECT entity FROM ow)))"""
+
+
+def _by_source(spark, sf) -> tuple[DataFrame, DataFrame]:
+    t = fine(spark, sf).withColumns({"k": F.split("entity", "-")[1].cast("int"), "mo": F.month("d")})
+    last = F.row_number().over(W.partitionBy("entity", F.trunc("d", "month")).orderBy(F.desc("d"))) == 1
+    k, names = F.col("k"), F.array(*[F.lit(s) for s in ("nasdaq", "fmp", "fai", "zeta")])
+    rows = t.withColumn("last", last).where("last").withColumns({"source": F.get(names, F.col("mo") % 4), "period": F.when(F.col("mo") == 12, "annual").otherwise("quarterly"), "own": F.get(names, k % 3)})
+    peg = F.when(F.col("mo") % 2 == 1, 1.1)
+    rows = rows.select(
+        "entity", "d", "source", "period", "own", (F.col("v") / 200000 * F.when(k % 6 == 1, 4).otherwise(1)).alias("pe_ttm"), F.when((F.col("source") != "nasdaq") | (k % 2 == 0), F.col("v") / 250000).alias("pe_forward"),
+        (F.col("v") / 300000).alias("pb"), F.when(k % 7 > 2, F.coalesce(peg, F.lit(0.9))).otherwise(peg).alias("peg"),
+    )
+    end = lambda m: F.max_by(m, F.when(F.col(m).isNotNull(), F.col("d")))
+    return rows, rows.groupBy("entity", "source", "period", "own").agg(*[end(m).alias(m) for m in payloads.METRICS])
+
+
+def _collected(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sources lie in folders of their own, so that a source's rows are read when it is asked."""
+    folder = f"{checkpoint_path(spark)}/sources-{uuid4().hex}"
+    for name, df in zip(("anchors", "latest"), _by_source(spark, sf)):
+        df.write.partitionBy("source").parquet(f"{folder}/{name}")
+    both = [spark.read.parquet(f"{folder}/{name}") for name in ("anchors", "latest")]
+    own = [df.where("source = own") for df in both]
+    others = lambda open_: tuple(df.where("source <> own").join(open_, "entity", "left_semi") for df in both)
+    return payloads.collect_ratios(both[0].select("entity"), others, tuple(own))
+
+
+@query(SOURCES + f" SELECT entity, d, {', '.join(f'{rnd(f"arg_min({m}, rk)")} AS {m}' for m in payloads.METRICS)} FROM ua GROUP BY 1, 2")
+def source_cascade(spark, sf):
+    """Primary rows of every series; rows of alternative sources only for series that lack forward or growth ratios."""
+    return _collected(spark, sf)[0].select("entity", "d", *[r6(m).alias(m) for m in payloads.METRICS])
+
+
+@query(SOURCES + f""", tg AS (SELECT entity, string_agg(source || ':' || period, '+' ORDER BY rk, source) AS source FROM (SELECT DISTINCT entity, rk, source, period FROM ua) GROUP BY 1)
+  SELECT entity, {', '.join(f'{rnd(f"arg_min({m}, rk)")} AS {m}' for m in payloads.METRICS)}, any_value(tg.source) AS source FROM un JOIN tg USING (entity) GROUP BY 1""")
+def source_cascade_latest(spark, sf):
+    return _collected(spark, sf)[1].select("entity", *[r6(m).alias(m) for m in payloads.METRICS], "source")
+
+
+#: Quarters with rows of each kind as a supplier's candidate series: three ways to ask, then a source of its own.
+STAGED = """q AS (SELECT l_suppkey AS k, ['AIR', 'RAIL', 'SHIP', 'MAIL'][l_linenumber % 4 + 1] AS way, CAST(count(DISTINCT date_trunc('quarter', l_shipdate)) FILTER (l_returnflag = 'R') AS BIGINT) AS eps, CAST(count(DISTINCT date_trunc('quarter', l_shipdate)) FILTER (l_returnflag = 'A') AS BIGINT) AS income,
+    max(l_shipdate)::DATE AS last FROM lineitem WHERE l_quantity > 35 AND l_suppkey % 13 > 0 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {STAGED}, o AS (SELECT *, CASE way WHEN 'AIR' THEN 0 WHEN 'RAIL' THEN 1 WHEN 'SHIP' THEN 2 ELSE 3 END AS st FROM q)
+  SELECT k, eps, income, last, way AS stage FROM o WHERE eps + income > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE WHEN eps >= 13 AND income >= 13 THEN 0 ELSE 1 END, CASE WHEN eps >= 13 AND income >= 13 THEN st ELSE -(eps + income) END, st) = 1""")
+def staged_candidates(spark, sf):
+    """A supplier's first candidate with 13 quarters of both kinds, else the one with most; later ones are read for open suppliers only."""
+    lines = load(spark, sf, "lineitem").where((F.col("l_quantity") > 35) & (F.col("l_suppkey") % 13 > 0)).select(F.col("l_suppkey").alias("k"), "l_linenumber", "l_returnflag", "l_shipdate")
+    quarter = F.trunc("l_shipdate", "quarter")
+
+    def stage(no: int, way: str):
+        def read(open_: DataFrame) -> DataFrame:
+            mine = lines.where(F.col("l_linenumber") % 4 == no).join(open_, "k", "left_semi")
+            n = lambda flag: F.count_distinct(F.when(F.col("l_returnflag") == flag, quarter))
+            return mine.groupBy("k").agg(n("R").alias("eps"), n("A").alias("income"), F.to_date(F.max("l_shipdate")).alias("last"))
+
+        return way, read
+
+    enough = (F.col("eps") >= 13) & (F.col("income") >= 13)
+    return payloads.read_in_stages(lines, [stage(*w) for w in enumerate(("AIR", "RAIL", "SHIP", "MAIL"))], "k", enough, F.col("eps") + F.col("income"))
