@@ -101,3 +101,10 @@ def compact_number(c: Column) -> Column:
     """1.23T, 4.56B, 7.89M or the plain number with two digits."""
     fmt = lambda x, unit: F.concat(F.format_string("%.2f", x), F.lit(unit))
     return F.when(F.abs(c) >= 1e12, fmt(c / 1e12, "T")).when(F.abs(c) >= 1e9, fmt(c / 1e9, "B")).when(F.abs(c) >= 1e6, fmt(c / 1e6, "M")).otherwise(fmt(c, ""))
+
+
+def ratio_number(c: Column) -> Column:
+    """A ratio as providers print it: commas, per cent signs and a trailing x are dropped; words for none give null."""
+    text = F.trim(F.regexp_replace(c, "[,%xX]", ""))
+    none = F.lower(text).isin("", "n/a", "na", "--", "-", "none")
+    return finite(F.when(~none, text.try_cast("double")))

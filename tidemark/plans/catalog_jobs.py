@@ -13,7 +13,7 @@ from tidemark.operators import payloads, proxy, snapshots, windows
 from tidemark.plans import build, stores
 from tidemark.plans.catalog import FRAME, QUERIES, RANK, SQL, P, daily, points, query, r6, rnd
 from tidemark.session import checkpoint_path, load, ship_package
-from tidemark.sources import versions
+from tidemark.sources import facts, scripts, versions
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -373,3 +373,151 @@ def staged_candidates(spark, sf):
 
     enough = (F.col("eps") >= 13) & (F.col("income") >= 13)
     return payloads.read_in_stages(lines, [stage(*w) for w in enumerate(("AIR", "RAIL", "SHIP", "MAIL"))], "k", enough, F.col("eps") + F.col("income"))
+
+
+# Company facts
+
+#: Quarterly entries of each supplier: measures by return flag, filings by line status (the open ones later, over two quarters, and not in every
+#: quarter by a frame), a figure per share and an income. Units differ by supplier.
+ENTRIES = """en AS (SELECT l_suppkey AS k, l_returnflag AS flag, l_linestatus AS status, last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS e, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n
+    FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_suppkey % 17 > 0 GROUP BY ALL),
+  fa AS (SELECT k, flag, status, e + 1826 AS e, CASE WHEN n % 5 = 0 THEN NULL ELSE e + 1826 + CASE status WHEN 'F' THEN 30 ELSE 60 END END AS filed, e + 1826 - CASE WHEN status = 'O' AND k % 2 = 0 THEN 180 ELSE 89 END AS st, q / 8.0::DOUBLE AS v, n % 7 > 0 AS framed FROM en)"""
+
+
+def _entries(spark, sf) -> DataFrame:
+    lines = load(spark, sf, "lineitem").where((F.col("l_shipdate") >= "1996-01-01") & (F.col("l_suppkey") % 17 > 0))
+    end = F.date_add(F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2)), 1826)
+    rows = lines.groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), end.alias("e"))
+    rows = rows.agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
+    late, wide = F.when(F.col("status") == "F", 30).otherwise(60), (F.col("status") == "O") & (F.col("k") % 2 == 0)
+    return rows.select("k", "flag", "status", "e", F.when(F.col("n") % 5 > 0, F.date_add("e", late)).alias("filed"), F.date_sub("e", F.when(wide, 180).otherwise(89)).alias("st"), (F.col("q") / 8).alias("v"), (F.col("n") % 7 > 0).alias("framed"))
+
+
+def fact_documents(spark, sf) -> DataFrame:
+    """A document of each supplier, as the provider writes it."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    frame = F.concat(F.lit("CY"), F.year("e").cast("string"), F.lit("Q"), F.quarter("e").cast("string"))
+    entry = lambda v: F.struct(day("st").alias("start"), day("e").alias("end"), v.alias("val"), day("filed").alias("filed"), F.when(F.col("framed"), frame).alias("frame"), F.when(F.col("framed"), "FY").otherwise(F.lit("Q4")).alias("fp"))
+    rows = _entries(spark, sf).groupBy("k", "flag").agg(F.sort_array(F.collect_list(entry(F.col("v")))).alias("eps"), F.sort_array(F.collect_list(entry(F.col("v") * 1000))).alias("income"))
+    odd = F.col("k") % 2 == 1
+    none = F.array().cast(rows.schema["eps"].dataType)
+    share = F.when(odd, F.create_map(F.lit("EUR/shares"), F.col("eps"))).otherwise(F.create_map(F.lit("EUR/shares"), none, F.lit("USD/shares"), F.col("eps")))
+    whole = F.when(odd, F.create_map(F.lit("ZAR/share"), none, F.lit("ZAR"), F.col("income"))).otherwise(F.create_map(F.lit("TWD"), none, F.lit("USD"), F.col("income")))
+    name = {"A": ("us-gaap", "EarningsPerShareDiluted", "ProfitLoss"), "N": ("us-gaap", "EarningsPerShareBasic", "NetIncomeLoss"), "R": ("ifrs-full", "BasicEarningsLossPerShare", "ProfitLossAttributableToOwnersOfParent")}
+    pick = lambda j: F.when(F.col("flag") == "A", name["A"][j]).when(F.col("flag") == "N", name["N"][j]).otherwise(name["R"][j])
+    both = F.array(F.struct(pick(1).alias("key"), F.struct(share.alias("units")).alias("value")), F.struct(pick(2).alias("key"), F.struct(whole.alias("units")).alias("value")))
+    rows = rows.select("k", pick(0).alias("tax"), both.alias("m")).groupBy("k", "tax").agg(F.map_from_entries(F.flatten(F.collect_list("m"))).alias("m"))
+    docs = rows.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("tax", "m"))).alias("facts"))
+    return docs.select("k", F.to_json(F.struct("facts")).alias("text"))
+
+
+def _facts_sql(order: dict[str, int], names: dict[str, str], times: str) -> str:
+    place = "CASE flag " + " ".join(f"WHEN '{f}' THEN {n}" for f, n in order.items()) + " END"
+    label = "CASE flag " + " ".join(f"WHEN '{f}' THEN '{n}'" for f, n in names.items()) + " END"
+    return f"""WITH {ENTRIES}, o AS (SELECT * FROM fa WHERE e >= DATE '2000-01-01' QUALIFY row_number() OVER (PARTITION BY k, flag, e ORDER BY (e - st BETWEEN 40 AND 140) DESC, filed DESC NULLS LAST, abs(v), st) = 1),
+  c AS (SELECT k, flag, count(*) AS n, {place} AS p FROM o GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, p) = 1)
+  SELECT o.k, e AS date, v * {times} AS value, greatest(e, coalesce(filed, e)) AS available, {label.replace('flag', 'o.flag')} AS measure FROM o JOIN c ON o.k = c.k AND o.flag = c.flag"""
+
+
+@query(_facts_sql({"A": 0, "N": 3, "R": 5}, {"A": "us-gaap:EarningsPerShareDiluted", "N": "us-gaap:EarningsPerShareBasic", "R": "ifrs-full:BasicEarningsLossPerShare"}, "1"))
+def company_facts_eps(spark, sf):
+    return facts.quarterly_facts(fact_documents(spark, sf), "k", "text", "eps")
+
+
+@query(_facts_sql({"N": 0, "A": 1, "R": 4}, {"A": "us-gaap:ProfitLoss", "N": "us-gaap:NetIncomeLoss", "R": "ifrs-full:ProfitLossAttributableToOwnersOfParent"}, "1000"))
+def company_facts_income(spark, sf):
+    return facts.quarterly_facts(fact_documents(spark, sf), "k", "text", "net_income")
+
+
+@query(f"WITH {ENTRIES} SELECT k, year(e) || '-Q' || quarter(e) AS quarter, min(greatest(e, coalesce(filed, e))) AS available FROM fa WHERE e >= DATE '2000-01-01' GROUP BY 1, 2")
+def company_facts_available(spark, sf):
+    return facts.first_available(fact_documents(spark, sf), "k", "text")
+
+
+# Columnar payloads of pages and data files
+
+#: Quarterly figures of each supplier, newest first, the first of each as the current column.
+COLUMNS = """qu AS (SELECT l_suppkey AS k, last_day(CAST(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS e, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
+  co AS (SELECT k, e, q / 64.0::DOUBLE AS pe, CASE WHEN n % 3 > 0 THEN q / 32.0::DOUBLE END AS fw, CASE WHEN n % 4 > 0 THEN -q / 128.0::DOUBLE END AS pb, q % 5 / 4.0::DOUBLE AS peg, n, row_number() OVER (PARTITION BY k ORDER BY e DESC) - 1 AS i FROM qu)"""
+
+
+def _columns(spark, sf) -> DataFrame:
+    """(k, rows): a supplier's quarters as an array, newest first."""
+    end = F.last_day(F.add_months(F.trunc("l_shipdate", "quarter"), 2))
+    rows = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), end.alias("e")).agg(F.sum("l_quantity").cast("long").alias("q"), F.count(F.lit(1)).alias("n"))
+    q, n = F.col("q"), F.col("n")
+    one = F.struct("e", (q / 64).alias("pe"), F.when(n % 3 > 0, q / 32).alias("fw"), F.when(n % 4 > 0, -q / 128).alias("pb"), (q % 5 / 4).alias("peg"), "n")
+    return rows.groupBy("k").agg(F.sort_array(F.collect_list(one), asc=False).alias("rows"))
+
+
+def _json(f) -> F.Column:
+    """One field of all rows as a JSON array; nulls stay."""
+    return F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: F.coalesce(f(r).cast("string"), F.lit("null"))), ","), F.lit("]"))
+
+
+def _quoted(f) -> F.Column:
+    return _json(lambda r: F.concat(F.lit('"'), f(r), F.lit('"')))
+
+
+def scripts_of(spark, sf) -> DataFrame:
+    """A page of each supplier: the literal among others, with brackets in strings and nested arrays; every fifth has broken arrays."""
+    day = lambda r: F.when(r["n"] % 5 == 0, F.date_format(r["e"], "yyyy")).otherwise(F.date_format(r["e"], "yyyy-MM-dd"))
+    keys = _quoted(day)
+    ttm = F.when(F.col("k") % 2 == 0, keys).otherwise(F.regexp_replace(keys, '^\\["[^"]*"', '["TTM"'))
+    fw = F.when(F.col("k") % 5 == 0, F.lit("[1,void 0,2]")).otherwise(_json(lambda r: r["fw"]))
+    text = F.concat(
+        F.lit('<p>[{</p><script>x={a:"]}\\"[",financialData:\'no\'};\nself.q={meta:{pe:[9,9,9],t:"financialData:{"},financialData:{map:[["a],pe:[7]",{pb:[1]}]],note:"pb:[3],",'), F.lit("datekey:"), ttm, F.lit(",fiscalYear:[],"),
+        F.lit("pe:"), _json(lambda r: r["pe"]), F.lit(",peForward:"), fw, F.lit(",ps:[\n1],'pb':"), _json(lambda r: r["pb"]), F.lit(",ptbvRatio:[5],pegRatio:[],peg:"), _json(lambda r: r["peg"]), F.lit(",ttmRevenueGrowth:[0]}};</script>"),
+    )
+    return _columns(spark, sf).select("k", text.alias("text"))
+
+
+@query(f"WITH {COLUMNS}, w AS (SELECT *, CASE WHEN k % 5 > 0 THEN fw END AS f FROM co) SELECT k, CASE WHEN n % 5 = 0 THEN make_date(year(e), 12, 31) ELSE e END AS date, nullif(pe, 0) AS pe_ttm, f AS pe_forward, pb, nullif(peg, 0) AS peg FROM w WHERE i > 0")
+def script_ratio_rows(spark, sf):
+    return scripts.script_ratios(scripts_of(spark, sf), "k", "text")[0]
+
+
+@query(f"WITH {COLUMNS} SELECT k, pe AS pe_ttm, CASE WHEN k % 5 > 0 THEN fw END AS pe_forward, pb, nullif(peg, 0) AS peg FROM co WHERE i = 0")
+def script_ratio_latest(spark, sf):
+    return scripts.script_ratios(scripts_of(spark, sf), "k", "text")[1]
+
+
+def _table(*cells: F.Column) -> F.Column:
+    """A data file whose third node is a table of places."""
+    return F.concat(F.lit('{"type":"data","nodes":[null,{},{"data":['), F.concat_ws(",", *cells), F.lit("]}]}"))
+
+
+@query(f"""WITH {COLUMNS} SELECT k, CASE WHEN k % 7 > 0 THEN nullif(round(pe, 2), 0) END AS pe_ttm, CASE WHEN k % 7 > 0 THEN 12.5::DOUBLE END AS pe_forward, CASE WHEN k % 7 > 0 THEN 1234.5::DOUBLE END AS pb, CAST(NULL AS DOUBLE) AS peg, CASE WHEN k % 7 = 0 THEN '/stocks/' || k END AS redirect FROM co WHERE i = 0""")
+def statistics_page(spark, sf):
+    """Entries that name a ratio more than once, words for none, numbers with signs; some documents redirect."""
+    pe = F.round(F.get("rows", F.lit(0))["pe"], 2).cast("string")
+    table = _table(
+        F.lit('{"ratios":1}'), F.lit('{"data":2}'), F.lit("[3,6,8,10,13,15]"), F.lit('{"id":4,"hover":5}'), F.lit('"PE"'), F.concat(F.lit('"'), pe, F.lit('x"')), F.lit('{"id":7,"value":12}'), F.lit('"peForward"'),
+        F.lit('{"id":9,"hover":14,"value":5}'), F.lit('"forwardpe"'), F.lit('{"id":11,"value":16}'), F.lit('" pbRatio "'), F.lit('"n/a"'), F.lit('{"id":17,"value":5}'), F.lit('"12.50"'), F.lit('{"id":4,"hover":14}'), F.lit('"1,234.5%"'), F.lit("null"),
+    )
+    moved = F.concat(F.lit('{"type":"Redirect","location":" /stocks/'), F.col("k").cast("string"), F.lit(' "}'))
+    docs = _columns(spark, sf).select("k", F.when(F.col("k") % 7 == 0, moved).otherwise(table).alias("text"))
+    return scripts.statistics_ratios(docs, "k", "text")
+
+
+@query(f"""WITH {COLUMNS}, r AS (SELECT k, CASE WHEN i = 1 THEN first_value(e) OVER (PARTITION BY k ORDER BY i) ELSE e END AS e, i, pe, fw, n FROM co)
+  SELECT k, figure, e AS date, arg_max(value, i) AS value FROM (SELECT k, 'eps' AS figure, e, i, {rnd('pe')} AS value FROM r UNION ALL SELECT k, 'net_income', e, i, {rnd('fw', 3)} FROM r WHERE fw IS NOT NULL UNION ALL SELECT k, 'shares', e, i, n FROM r WHERE n % 4 > 0) GROUP BY 1, 2, 3""")
+def income_statement(spark, sf):
+    """Parallel arrays of places; the first two columns have one date, the later of them counts; share counts of zero go."""
+    # A column's items are places of their own: each array is followed by its items.
+    df = _columns(spark, sf).withColumn("m", F.size("rows"))
+    days = F.transform("rows", lambda r: F.concat(F.lit('"'), F.date_format(r["e"], "yyyy-MM-dd"), F.lit('"')))
+    days = F.concat(F.slice(days, 1, 1), F.slice(days, 1, 1), F.slice(days, 3, 100000))
+    days = F.slice(days, 1, F.col("m"))
+    items = {
+        "datekey": days,
+        "epsBasic": F.transform("rows", lambda r: F.coalesce(r["pe"].cast("string"), F.lit("null"))),
+        "netinc": F.transform("rows", lambda r: F.coalesce(r["fw"].cast("string"), F.lit('"none"'))),
+        "shares": F.transform("rows", lambda r: F.when(r["n"] % 4 > 0, r["n"]).otherwise(0).cast("string")),
+    }
+    places = lambda no: F.sequence(7 + no * F.col("m"), 6 + (no + 1) * F.col("m")).cast("array<string>")
+    arrays = [F.concat(F.lit("["), F.array_join(places(no), ","), F.lit("]")) for no in range(len(items))]
+    cells = [F.array_join(values, ",") for values in items.values()]
+    head = [F.lit('{"financialData":1}'), F.lit('{"datekey":2,"epsdil":6,"epsBasic":3,"netinc":4,"shares":5}'), *arrays, F.lit('"text"')]
+    docs = df.select("k", _table(*head, *cells).alias("text"))
+    return scripts.income_rows(docs, "k", "text")

@@ -117,4 +117,4 @@ def dereference(c: Column) -> Column:
 
     Recursion is beyond column functions; cycles come out as null. For landed provider documents only.
     """
-    return F.udf(_dereference, "string")(c)
+    return F.pandas_udf(lambda s: s.map(_dereference, na_action="ignore"), "string")(c)
