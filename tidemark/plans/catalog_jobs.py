@@ -13,7 +13,7 @@ from tidemark.operators import payloads, proxy, snapshots, windows
 from tidemark.plans import build, stores
 from tidemark.plans.catalog import FRAME, QUERIES, RANK, SQL, P, daily, points, query, r6, rnd
 from tidemark.session import checkpoint_path, load, ship_package
-from tidemark.sources import facts, scripts, versions
+from tidemark.sources import facts, scripts, tiers, versions
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -521,3 +521,64 @@ def income_statement(spark, sf):
     head = [F.lit('{"financialData":1}'), F.lit('{"datekey":2,"epsdil":6,"epsBasic":3,"netinc":4,"shares":5}'), *arrays, F.lit('"text"')]
     docs = df.select("k", _table(*head, *cells).alias("text"))
     return scripts.income_rows(docs, "k", "text")
+
+
+# Pages read in passes
+
+
+def _joined(f, sep: str = "\n") -> F.Column:
+    return F.array_join(F.transform("rows", f), sep)
+
+
+def monthly_pages(spark, sf) -> DataFrame:
+    """A page of each supplier: a table of months, or lines, or both with one usable cell. Some values are out of range, and the newest month comes twice."""
+    value = lambda r: F.round(r["pe"] * 64 / 3, 3).cast("string")
+    month = lambda r, f: F.date_format(r["e"], f)
+    cell = lambda r: F.concat(F.lit('<tr><td class="m"> '), month(r, "MMM yyyy"), F.lit(" </td>\n<td>"), value(r), F.lit("</td></tr>"))
+    line = lambda r: F.concat(F.lit("<p>in <b>"), month(r, "MMMM yyyy"), F.lit("</b> | "), value(r), F.lit("</p>"))
+    newest = F.get("rows", F.lit(0))
+    again = F.concat(F.lit("<td>"), month(newest, "MMMM yyyy"), F.lit("</td><td>1.5</td><style>May 1999 3</style>"))
+    one = F.concat(F.lit("<td>Foo 1999</td><td>7</td>"), cell(F.get("rows", F.lit(1))))
+    page = F.when(F.col("k") % 3 == 0, F.concat(_joined(cell), again)).when(F.col("k") % 3 == 1, F.concat(_joined(line), F.lit("<script>April 1990 77</script>"))).otherwise(F.concat(one, _joined(line)))
+    return _columns(spark, sf).select("k", page.alias("text"))
+
+
+@query(f"""WITH {COLUMNS}, m AS (SELECT k, e, i, round(pe * 64 / 3, 3) AS v FROM co), g AS (SELECT k, i, e, v FROM m WHERE v <= 250 AND (k % 3 < 2 OR i = 1) UNION ALL SELECT k, 1000, e, 1.5 FROM m WHERE i = 0 AND k % 3 = 0
+    UNION ALL SELECT k, i, e, v FROM m WHERE k % 3 = 2 AND v <= 250 AND (SELECT v FROM m x WHERE x.k = m.k AND x.i = 1) > 250)
+  SELECT k, e AS date, arg_min(v, i) AS value FROM g GROUP BY 1, 2""")
+def monthly_cells_or_lines(spark, sf):
+    return tiers.monthly_table_or_lines(monthly_pages(spark, sf), "k", "text")
+
+
+def record_pages(spark, sf) -> DataFrame:
+    """A page of each supplier: keyed records of all months; pairs by epoch and, over some of them, by month, ten years later, as epochs have 13 digits only from 2001 on; or few records and a table."""
+    pe = lambda r: r["pe"].cast("string")
+    more = lambda r: (r["pe"] + 1).cast("string")
+    keyed = lambda r: F.concat(F.lit('{"Date":"'), F.date_format(r["e"], "yyyy-MM-dd"), F.lit('","x":1,\n"Value":"'), pe(r), F.lit('"}'))
+    later = lambda r: F.last_day(F.add_months(r["e"], 120))
+    epoch = lambda r: F.concat(F.lit("["), (F.unix_date(later(r)).cast("long") * 86400000).cast("string"), F.lit(", "), pe(r), F.lit("]"))
+    iso = lambda r: F.concat(F.lit('["'), F.date_format(later(r), "yyyy-MM"), F.lit('",'), more(r), F.lit("]"))
+    cell = lambda r: F.concat(F.lit("<td>"), F.date_format(r["e"], "MMMM yyyy"), F.lit("</td> <td>"), more(r), F.lit("</td>"))
+    few = lambda f, a, n: F.array_join(F.transform(F.slice("rows", a, n), f), ",")
+    page = F.when(F.col("k") % 3 == 0, F.concat(_joined(keyed), _joined(cell))).when(F.col("k") % 3 == 1, F.concat(few(iso, 1, 4), _joined(epoch), few(iso, 3, 5))).otherwise(F.concat(few(cell, 4, 1000), few(keyed, 1, 5)))
+    return _columns(spark, sf).select("k", page.alias("text"))
+
+
+@query(f"WITH {COLUMNS} SELECT k, CASE WHEN k % 3 = 1 THEN last_day(e + INTERVAL 10 YEAR) ELSE e END AS date, CASE WHEN (k % 3 = 1 AND i < 7) OR (k % 3 = 2 AND i >= 3) THEN pe + 1 ELSE pe END AS value FROM co")
+def monthly_records(spark, sf):
+    return tiers.monthly_page(record_pages(spark, sf), "k", "text")
+
+
+@query(f"""WITH {COLUMNS}, o AS (SELECT *, k % 5 AS f, round(pe, 2) AS p FROM co WHERE i = 0)
+  SELECT k, CASE f WHEN 3 THEN 7.5::DOUBLE WHEN 0 THEN p ELSE CASE WHEN p >= 2 THEN p END END AS pe_ttm, CASE f WHEN 1 THEN round(p + 2, 2) WHEN 2 THEN CASE WHEN round(p + 1, 2) >= 2 THEN round(p + 1, 2) END END AS pe_forward, CASE f WHEN 2 THEN 3.25::DOUBLE END AS pb, CASE f WHEN 1 THEN -0.5::DOUBLE END AS peg,
+    CASE f WHEN 0 THEN 'yahoo-key-statistics-latest-raw' WHEN 3 THEN 'yahoo-key-statistics-valuation-measures+yahoo-key-statistics-latest-raw' ELSE 'yahoo-key-statistics-valuation-measures' END AS source FROM o WHERE f < 4""")
+def statistics_labels(spark, sf):
+    """Pages with the raw ratio only; with labelled cells, the last in range counting; as escaped text; with both; with nothing."""
+    p = F.round(F.get("rows", F.lit(0))["pe"], 2)
+    x, y, z = (c.cast("string") for c in (p, F.round(p + 1, 2), F.round(p + 2, 2)))
+    raw = lambda v: F.concat(F.lit('{"trailingPE":{"fmt":"1","raw":'), v, F.lit("}}"))
+    cells = F.concat(F.lit("<tr><td>Trailing P/E</td><td> "), x, F.lit(" </td></tr><tr><td>Forward P/E</td><td>"), y, F.lit("</td></tr><tr><td>PEG Ratio (5 yr expected)</td><td>-0.5</td></tr><p>Forward P/E: "), z, F.lit("</p><p>Forward P/E 900</p>"))
+    escaped = F.concat(F.lit('\\"label\\":\\"Trailing P\\/E\\",\\"v\\":{\\"raw\\":'), x, F.lit('},\\"label\\":\\"Forward P\\/E\\",\\"raw\\":'), y, F.lit(',\\"label\\":\\"Price\\/Book\\",\\"raw\\": 3.25'))
+    f = F.col("k") % 5
+    page = F.when(f == 0, raw(x)).when(f == 1, cells).when(f == 2, escaped).when(f == 3, F.concat(raw(x), F.lit("<b>Trailing P/E</b> 7.5"))).otherwise(F.lit("<p>Trailing P/E 1.5</p>"))
+    return tiers.statistics_text(_columns(spark, sf).select("k", page.alias("text")), "k", "text")
