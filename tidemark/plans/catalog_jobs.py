@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators import payloads, proxy, snapshots, windows
+from tidemark.operators import anchored, compare, payloads, proxy, snapshots, windows
 from tidemark.plans import build, stores
-from tidemark.plans.catalog import FRAME, QUERIES, RANK, SQL, P, daily, points, query, r6, rnd
+from tidemark.plans.catalog import FRAME, QUERIES, RANK, REGIME, SQL, P, daily, points, query, r6, rnd
 from tidemark.session import checkpoint_path, load, ship_package
 from tidemark.sources import facts, scripts, tiers, versions
 
@@ -582,3 +582,74 @@ def statistics_labels(spark, sf):
     f = F.col("k") % 5
     page = F.when(f == 0, raw(x)).when(f == 1, cells).when(f == 2, escaped).when(f == 3, F.concat(raw(x), F.lit("<b>Trailing P/E</b> 7.5"))).otherwise(F.lit("<p>Trailing P/E 1.5</p>"))
     return tiers.statistics_text(_columns(spark, sf).select("k", page.alias("text")), "k", "text")
+
+
+# Series drawn to anchors
+
+#: Anchors of both ratios on the 15th of some months, none for a year, none at the start; some out of range, one day twice; MACHINERY has none.
+MONTHLY = f"""{P}, mo AS (SELECT DISTINCT entity, CAST(date_trunc('month', d) + INTERVAL 14 DAY AS DATE) AS d FROM p WHERE entity <> 'MACHINERY' AND month(d) % 3 > 0 AND d BETWEEN DATE '1995-04-01' AND DATE '2001-03-31' AND year(d) <> 1998),
+  tr AS (SELECT entity, d, 8 + month(d) * CASE WHEN year(d) = 1997 THEN 0.1 ELSE 1 END::DOUBLE + CASE WHEN month(d) = 5 THEN 400 ELSE 0 END AS value FROM mo), fo AS (SELECT entity, d + CAST(month(d) * 4 AS INTEGER) AS d, 7 + month(d)::DOUBLE AS value FROM mo WHERE month(d) % 4 <> 2)"""
+
+
+def _draw(name: str, anchors: str, metric: str, x: anchored.Limits) -> str:
+    """(entity, d, value) of one ratio by as-of joins: k0, k1 the series around an anchor, n the scales, b the anchor before a day."""
+    good = f"g{name} AS (SELECT * FROM {anchors} WHERE value BETWEEN {x.low} AND {x.high})"
+    pos = f"o{name} AS (SELECT entity, d, {metric} AS v FROM p WHERE {metric} > 0)"
+    near = f"k{name} AS (SELECT g.entity, g.d, g.value, a.d AS d0, a.v AS v0, z.d AS d1, z.v AS v1 FROM g{name} g ASOF LEFT JOIN o{name} a ON g.entity = a.entity AND g.d >= a.d ASOF LEFT JOIN o{name} z ON g.entity = z.entity AND g.d <= z.d)"
+    scale = f"n{name} AS (SELECT *, lead(d) OVER w AS nd, lead(s) OVER w AS ns, row_number() OVER w AS no FROM (SELECT entity, d, least(greatest(value / CASE WHEN d0 IS NULL THEN v1 WHEN d1 IS NULL OR d1 = d0 THEN v0 ELSE v0 + (v1 - v0) * (d - d0) / (d1 - d0) END, {x.least}), {x.most}) AS s FROM k{name}) WINDOW w AS (PARTITION BY entity ORDER BY d))"
+    at = f"b{name} AS (SELECT p.entity, p.d, {metric} AS base, coalesce(n.d, f.d) AS a, coalesce(n.s, f.s) AS s, CASE WHEN n.d IS NULL THEN f.nd ELSE n.nd END AS nd, CASE WHEN n.d IS NULL THEN f.ns ELSE n.ns END AS ns FROM p ASOF LEFT JOIN n{name} n ON p.entity = n.entity AND p.d > n.d LEFT JOIN n{name} f ON f.entity = p.entity AND f.no = 1)"
+    mult = f"CASE WHEN d < a THEN CASE WHEN a - d <= {x.back} THEN s END WHEN nd IS NULL THEN CASE WHEN d - a <= {x.forward} THEN s END WHEN nd - a <= {x.span} THEN s + (ns - s) * (d - a) / (nd - a) END"
+    done = f"r{name} AS (SELECT entity, d, CASE WHEN a IS NULL OR base <= 0 THEN base ELSE least(greatest(base * coalesce({mult}, 1), {x.low}), {x.high}) END AS value FROM b{name})"
+    return ", ".join([good, pos, near, scale, at, done])
+
+
+@query(f"""WITH {MONTHLY}, {_draw('t', 'tr', 'pe_ttm', anchored.TRAILING)}, {_draw('f', 'fo', 'pe_forward', anchored.FORWARD)}
+  SELECT entity, d, {rnd('t.value', 4)} AS pe_ttm, {rnd('f.value', 4)} AS pe_forward FROM rt t JOIN rf f USING (entity, d)""")
+def anchored_ratios(spark, sf):
+    df = points(spark, sf).select("entity", "d", "pe_ttm", "pe_forward")
+    month = F.date_add(F.trunc("d", "month"), 14)
+    mo = df.where((F.col("entity") != "MACHINERY") & (F.month("d") % 3 > 0) & F.col("d").between("1995-04-01", "2001-03-31") & (F.year("d") != 1998)).select("entity", month.alias("d")).distinct()
+    m = F.month("d")
+    trailing = mo.select("entity", "d", (8 + m * F.when(F.year("d") == 1997, 0.1).otherwise(1.0) + F.when(m == 5, 400).otherwise(0)).alias("value"))
+    forward = mo.where(m % 4 != 2).select("entity", F.date_add("d", m * 4).alias("d"), (7 + m).cast("double").alias("value"))
+    out = anchored.monthly_overrides(df, trailing, forward)
+    return out.select("entity", "d", r6("pe_ttm", 4).alias("pe_ttm"), r6("pe_forward", 4).alias("pe_forward"))
+
+
+# Series side by side
+
+#: Fine series of five segments and nations, with a forward start; one is short, one ends early.
+CHOSEN = ["AUTOMOBILE-1", "BUILDING-2", "FURNITURE-3", "HOUSEHOLD-4", "MACHINERY-5", "NOWHERE-0"]
+_IDS = ", ".join(f"'{x}'" for x in CHOSEN)
+SIDE = f"""WITH {FINE}, m AS (SELECT entity, d, v AS value FROM b WHERE entity IN ({_IDS}) AND NOT (entity = 'MACHINERY-5' AND d > DATE '2000-06-30') AND NOT (entity = 'HOUSEHOLD-4' AND d < DATE '1999-01-01')),
+  f AS (SELECT entity, d, value FROM m JOIN (SELECT entity, CASE WHEN entity <> 'BUILDING-2' THEN min(d) + 400 ELSE max(d) END AS fs FROM m GROUP BY 1) USING (entity) WHERE d >= fs)"""
+_IN = "i AS (SELECT {0}.* FROM {0} JOIN (SELECT entity, CASE WHEN n >= 60 THEN day END AS day FROM (SELECT entity, any_value(day) AS day, count(*) FILTER ({0}.d >= day) AS n FROM {0} JOIN (SELECT entity, CAST(max(d) - INTERVAL 5 YEAR AS DATE) AS day FROM {0} GROUP BY 1) USING (entity) GROUP BY 1)) USING (entity) WHERE (day IS NULL OR d >= day))"
+
+
+def _side(spark, sf) -> tuple[DataFrame, DataFrame]:
+    df = fine(spark, sf).where(F.col("entity").isin(CHOSEN)).where(~((F.col("entity") == "MACHINERY-5") & (F.col("d") > "2000-06-30")) & ~((F.col("entity") == "HOUSEHOLD-4") & (F.col("d") < "1999-01-01")))
+    df = df.select("entity", "d", F.col("v").alias("pe_forward"))
+    starts = df.groupBy("entity").agg(F.when(F.col("entity") != "BUILDING-2", F.date_add(F.min("d"), 400)).alias("forward_start"))
+    return df, starts
+
+
+_Z = f"coalesce((value - avg(value) {FRAME.format(755)}) / nullif(stddev_samp(value) {FRAME.format(755)}, 0), 0)"
+
+
+@query(SIDE + f""", {_IN.format('f')}, c AS (SELECT * FROM i WHERE d BETWEEN DATE '1997-01-01' AND DATE '2001-05-31'), z AS (SELECT * FROM c WHERE (SELECT count(*) FROM c x WHERE x.entity = c.entity) >= 2),
+  s AS (SELECT max(a) AS a FROM (SELECT entity, min(d) AS a FROM z GROUP BY 1)), k AS (SELECT entity, d, value, {RANK.format('value', FRAME.format(1259))} AS p5, {RANK.format('value', FRAME.format(2519))} AS p10, {RANK.format('value', FRAME.format('UNBOUNDED'))} AS pf, {_Z} AS z FROM z),
+  r AS (SELECT * FROM k, s WHERE d >= a), t AS (SELECT entity FROM r GROUP BY 1 HAVING count(*) >= 2)
+  SELECT entity, d, value, {rnd('p5')} AS percentile_5y, {rnd('p10')} AS percentile_10y, {rnd('pf')} AS percentile_full, {rnd('z')} AS z_score_3y, {REGIME.format('pf')} AS regime FROM r WHERE entity IN (SELECT entity FROM t)""")
+def compare_ranked(spark, sf):
+    """Forward ratios from each series' start, five years of each, a range given the wrong way round, then ranks and the common start."""
+    df, starts = _side(spark, sf)
+    rows = compare.metric_rows(df, "pe_forward", starts)
+    out = compare.compare_rows(rows, compare.chosen([], CHOSEN + ["x"]) + CHOSEN[4:], 5, "2001-05-31", "1997-01-01")
+    cols = ["percentile_5y", "percentile_10y", "percentile_full", "z_score_3y"]
+    return out.select("entity", "d", "value", *[r6(c).alias(c) for c in cols], "regime")
+
+
+@query(SIDE + f", {_IN.format('m')} SELECT min(d) AS min_date, max(d) AS max_date FROM i")
+def compare_bounds(spark, sf):
+    df, _ = _side(spark, sf)
+    return compare.date_bounds(df.select("entity", "d", F.col("pe_forward").alias("value")), 5)
