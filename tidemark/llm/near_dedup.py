@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_groups, text_of
 from tidemark.llm.graph import components
-from tidemark.llm.simhash import allocate_recall, bit_counts, near_pairs, unpacked
+from tidemark.llm.simhash import FAMILY, MIDDLE, NEAREST, allocate_recall, apart_pairs, bit_counts, near_pairs, unpacked
 from tidemark.session import cut_lineage, ship_package
 
 SEED = 42
@@ -121,8 +121,8 @@ def both_sides(pairs: DataFrame, known: DataFrame, value: str) -> DataFrame:
     return pairs
 
 
-def candidates(prints: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes that meet in a probe and whose fingerprints differ little enough."""
+def candidates(prints: DataFrame, n: int, similarity: float, family: tuple[int, int, int] = (FAMILY, NEAREST, MIDDLE)) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs (a, b) of nodes that meet in a probe and whose fingerprints differ little enough; the signatures of buckets in which pairs of large groups were left out, and the number of bits."""
     # Sets of one size and Jaccard similarity J have cosine 2J / (1 + J); a bit differs at the rate of their angle.
     rate = acos(2 * similarity / (1 + similarity)) / pi
     plan = allocate_recall(bit_counts(prints.select("__fp"), BITS), n, rate, RECALL)
@@ -132,15 +132,17 @@ def candidates(prints: DataFrame, n: int, similarity: float) -> DataFrame:
     spread = 1 + F.pmod(F.xxhash64("__node"), F.ceil(F.col("__size") / PER_BUCKET)).cast("int")
     # At most rows / PER_BUCKET buckets are hot.
     rows = rows.join(F.broadcast(hot), "__bucket", "left").withColumn("__spread", F.coalesce(spread, F.lit(0)))
-    found = cut_lineage(near_pairs(rows, most, False, CHECKS))
-    again = found.where("b is null").select("__bucket", F.lit(0).alias("__spread"), F.col("a").alias("__node"), *CHECKS)
+    found = cut_lineage(near_pairs(rows, most, False, CHECKS, family))
+    again = found.where("a is not null and b is null").select("__bucket", F.lit(0).alias("__spread"), F.col("a").alias("__node"), *CHECKS)
     pairs = found.where("b is not null").select("a", "b")
-    return cut_lineage(pairs.unionByName(near_pairs(again, most, False, CHECKS).select("a", "b")).distinct())
+    more = cut_lineage(near_pairs(again, most, False, CHECKS, family))
+    pairs = cut_lineage(pairs.unionByName(more.where("b is not null").select("a", "b")).distinct())
+    cut = found.where("a is null").select("__bucket").union(more.where("a is null").select("__bucket")).distinct()
+    return pairs, rows.join(cut, "__bucket", "left_semi").select("__bucket", "__node", *CHECKS), most
 
 
-def links(docs: DataFrame, prints: DataFrame, n: int, text_col: str, width: int, similarity: Fraction) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints: the candidates whose sets of shingles have the similarity."""
-    pairs = candidates(prints, n, float(similarity))
+def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles have the similarity."""
     nodes = pairs.select(F.col("a").alias("__s")).union(pairs.select("b")).distinct()
     near = cut_lineage(nodes.join(prints.select("__s", "__t"), "__s"))
     near = F.broadcast(near) if near.count() <= BROADCAST_TEXTS else near
@@ -153,19 +155,40 @@ def links(docs: DataFrame, prints: DataFrame, n: int, text_col: str, width: int,
     return both.where(shared * (similarity.numerator + similarity.denominator) >= every * similarity.numerator).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def node_groups(docs: DataFrame, prints: DataFrame, n: int, text_col: str, width: int, similarity: Fraction, family: tuple[int, int, int]) -> DataFrame:
+    """(node, root) of the distinct fingerprints that are linked to others.
+
+    In buckets with large groups the first pass leaves pairs out. Where its links do not already hold all
+    rows of such a bucket together, every pair of rows with different roots is compared; pairs of one root
+    would change nothing. So no link between two groups that meet in a bucket is lost.
+    """
+    pairs, cut, most = candidates(prints, n, float(similarity), family)
+    edges = cut_lineage(verified(docs, prints, pairs, text_col, width, similarity))
+    roots = components(edges, "a", "b")
+    if cut.isEmpty():
+        return roots
+    named = cut.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
+    rest = cut_lineage(apart_pairs(named, most, CHECKS).join(pairs, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    more = verified(docs, prints, rest, text_col, width, similarity)
+    return components(edges.unionByName(more), "a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, family: tuple[int, int, int] = (FAMILY, NEAREST, MIDDLE)) -> DataFrame:
     """(__id, __t, __root, __rows): every row with its group over pairs of at least the Jaccard ``similarity`` of their word shingles, and the group's rows.
 
     Words are runs of non-white characters after lower-casing A-Z; a text's shingles are a set, compared by
     64-bit hashes; texts shorter than ``width`` words are one shingle, texts without words are alike.
-    Sets with equal fingerprints of 512 bits are one node. Others are compared where a probe brings
-    them together, which a pair at the bound does with a chance of ``RECALL``.
+    Sets with equal fingerprints of 512 bits are one node, whose sets are not compared. Others are compared
+    where a probe brings them together, which a pair at the bound does with a chance of ``RECALL``. An empty
+    table gives no rows; other columns are ignored.
     """
     share = Fraction(str(similarity))
     rows = cut_lineage(wide_prints(docs, id_col, text_col, width)).withColumn("__s", F.xxhash64("__fp"))
     prints = cut_lineage(rows.groupBy("__s", "__fp").agg(F.min("__t").alias("__t"), F.count(F.lit(1)).alias("__size")))
     n, total = prints.count(), rows.count()
-    roots = components(links(docs, prints, n, text_col, width, share), "a", "b").select(F.col("node").alias("__s"), F.col("root").alias("__root"))
+    roots = node_groups(docs, prints, n, text_col, width, share, family).select(F.col("node").alias("__s"), F.col("root").alias("__root"))
     known = cut_lineage(prints.select("__s", "__size").join(roots, "__s", "left").withColumn("__root", F.coalesce("__root", "__s")))
     groups = known.groupBy("__root").agg(F.count(F.lit(1)).alias("__prints"), F.sum("__size").alias("__rows"))
     # A set of one row and no links needs no join.

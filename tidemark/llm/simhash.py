@@ -238,20 +238,25 @@ def _ball(bits: list[int], radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for r in range(radius + 1) for c in combinations(bits, r)]
 
 
-def near_pairs(rows: DataFrame, most: int, exact: bool, checks: tuple[str, ...] = ("__check",)) -> DataFrame:
+#: In a block a row with over so many near rows is in a large group; pairs it gets: with the nearest rows, with the group's middle rows.
+FAMILY, NEAREST, MIDDLE = 16, 3, 3
+
+
+def near_pairs(rows: DataFrame, most: int, exact: bool, checks: tuple[str, ...] = ("__check",), family: tuple[int, int, int] = (FAMILY, NEAREST, MIDDLE)) -> DataFrame:
     """(a, b) of the rows (__bucket, __spread, __node, and bits to compare in ``checks``) of one bucket whose bits differ in ``most`` places or fewer.
 
-    Rows are shuffled by bucket and sorted; each task streams them and holds a block of a bucket, however
-    many rows the bucket has. With ``exact`` every pair of a bucket is compared. Otherwise a block in which
-    many rows are near one another (a large group of near copies) gives for each of its rows the pairs
-    with its nearest rows and with the rows in the middle of the group, and hands the middle rows on to the
-    next blocks, so pairs grow with the rows and not with their square. A bucket dealt over spread numbers
-    from 1 on gives those rows with b null, to be compared once more.
+    Rows are shuffled by bucket and sorted; each task streams them and keeps those of the bucket it is in.
+    With ``exact`` every pair of a bucket is given. Otherwise a block in which many rows are near one another
+    (a large group of near copies) gives for each of its rows the pairs with its nearest rows and with the
+    rows in the middle of the group, and hands the middle rows on to the next blocks, so pairs grow with
+    the rows and not with their square; such a bucket also gives a row with a and b null, and
+    ``apart_pairs`` settles what the links found so far leave apart in it. A bucket dealt over spread
+    numbers from 1 on gives its rows with b null, to be compared once more.
     """
     names = ["a", "b", "__bucket", *checks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Bucket(most, exact, len(checks))
+        held = _Bucket(most, exact, len(checks), family)
         for batch in batches:
             bucket, spread, node, *check = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(checks)))
             check = np.stack(check, axis=1).view(np.uint64)
@@ -274,12 +279,11 @@ class _Bucket:
     """The bucket that a task is reading: rows not compared yet, and rows that later ones are still compared with."""
 
     BLOCK = 2048
-    #: Of rows of a block with up to so many near rows all pairs are given.
-    FAMILY = 16
-    MIDDLE = NEAREST = 3
 
-    def __init__(self, most: int, exact: bool, checks: int = 1):
+    def __init__(self, most: int, exact: bool, checks: int = 1, family: tuple[int, int, int] = (FAMILY, NEAREST, MIDDLE)):
         self.most, self.exact, self.checks = most, exact, checks
+        self.family, self.nearest, self.middle = family
+        self.cut: set[int] = set()
         self.key: tuple[int, int] = (0, 0)
         self.new: list = []
         self.old: list = []
@@ -303,15 +307,15 @@ class _Bucket:
         self.new, self.old = [], []
 
     def given(self) -> list[pa.Array]:
-        """The pairs found since the last call, and after them the rows to be compared once more."""
+        """The pairs found since the last call, after them the rows to be compared once more, and buckets in which pairs were left out."""
         one = np.concatenate([np.zeros(0, np.int64), *[a for a, _ in self.out], *[n for n, _, _ in self.kept]])
         two = np.concatenate([np.zeros(0, np.int64), *[b for _, b in self.out]])
-        more = len(one) - len(two)
-        bucket = np.concatenate([np.zeros(len(two), np.int64), *[np.full(len(n), k) for n, _, k in self.kept]])
-        check = np.concatenate([np.zeros((len(two), self.checks), np.uint64), *[c for _, c, _ in self.kept]]).view(np.int64)
-        none = np.arange(len(one)) >= len(two)
-        self.out, self.kept = [], []
-        return [pa.array(one), pa.array(np.append(two, np.zeros(more, np.int64)), mask=none), pa.array(bucket), *[pa.array(c) for c in check.T.copy()]]
+        cut = np.array(sorted(self.cut), np.int64)
+        bucket = np.concatenate([np.zeros(len(two), np.int64), *[np.full(len(n), k) for n, _, k in self.kept], cut])
+        check = np.concatenate([np.zeros((len(two), self.checks), np.uint64), *[c for _, c, _ in self.kept], np.zeros((len(cut), self.checks), np.uint64)]).view(np.int64)
+        at, pad = np.arange(len(bucket)), lambda x: np.append(x, np.zeros(len(bucket) - len(x), np.int64))
+        self.out, self.kept, self.cut = [], [], set()
+        return [pa.array(pad(one), mask=at >= len(one)), pa.array(pad(two), mask=at >= len(two)), pa.array(bucket), *[pa.array(c) for c in check.T.copy()]]
 
     def _compare(self) -> None:
         node, check = (np.concatenate(x) for x in zip(*self.new, strict=True))
@@ -321,11 +325,12 @@ class _Bucket:
         near = self._differ(check, check)
         hit = near <= self.most
         degree = hit.sum(axis=1)
-        large = (degree > self.FAMILY) & (not self.exact)
+        large = (degree > self.family) & (not self.exact)
         if not large.any():
             self._give(node, node, np.triu(hit, 1))
             self.old.append((node, check))
             return
+        self.cut.add(self.key[0])
         self._give(node, node, np.triu(hit & ~(large[:, None] & large[None, :]), 1))
         left, keep = np.flatnonzero(large), [np.flatnonzero(~large)]
         while len(left):
@@ -334,9 +339,9 @@ class _Bucket:
             mine = hit[seed, left]
             family, left = left[mine], left[~mine]
             inner = near[np.ix_(family, family)].astype(np.int16)
-            middle = family[np.argsort(inner.mean(axis=1), kind="stable")[: self.MIDDLE]]
+            middle = family[np.argsort(inner.mean(axis=1), kind="stable")[: self.middle]]
             np.fill_diagonal(inner, 255)
-            nearest = min(self.NEAREST, len(family) - 1)
+            nearest = min(self.nearest, len(family) - 1)
             close = family[np.argpartition(inner, nearest, axis=1)[:, :nearest]] if nearest else np.zeros((1, 0), np.int64)
             self.out.append(_ordered(np.repeat(node[family], nearest), node[close.ravel()]))
             for rows in (family, left):
@@ -358,6 +363,57 @@ class _Bucket:
             self.out.append(_ordered(a[i], b[j]))
 
 
+def apart_pairs(rows: DataFrame, most: int, checks: tuple[str, ...], block: int = 4096) -> DataFrame:
+    """(a, b) of all rows (__bucket, __node, __root, ``checks``) of one bucket that have different roots and differ in ``most`` bits or fewer.
+
+    A bucket is cut into blocks of about ``block`` rows by a hash, and each pair of its blocks is a task's
+    work of its own: no task holds more than two blocks, however large the bucket.
+    """
+    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"), F.min("__root").alias("__low"), F.max("__root").alias("__high")).where("__low < __high")
+    dealt = rows.join(sizes.select("__bucket", F.ceil(F.col("__size") / block).cast("int").alias("__blocks")), "__bucket")
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("__node"), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    dealt = dealt.select("__bucket", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", "__node", "__root", *checks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def found() -> pa.RecordBatch:
+            own, node, root, check = (np.concatenate(x) for x in zip(*held))
+            left, right = (np.flatnonzero(own == now[1]), np.flatnonzero(own == now[2]))
+            out = []
+            for at in range(0, len(left), 256):
+                part = left[at : at + 256]
+                bits = np.zeros((len(part), len(right)), np.uint16)
+                for k in range(check.shape[1]):
+                    bits += np.bitwise_count(check[part, None, k] ^ check[None, right, k])
+                i, j = np.nonzero((bits <= most) & (root[part][:, None] != root[right][None]))
+                out.append(_ordered(node[part[i]], node[right[j]]))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out) if out else ([], [])))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("__bucket", "__i", "__j", "__own", "__node", "__root")]
+            check = np.stack([batch.column(c).to_numpy() for c in checks], axis=1).view(np.uint64)
+            change = np.zeros(max(0, batch.num_rows - 1), bool)
+            for c in columns[:3]:
+                change |= c[1:] != c[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                key = tuple(int(c[lo]) for c in columns[:3])
+                if held and key != now:
+                    yield found()
+                    held = []
+                now = key
+                held.append((columns[3][lo:hi], columns[4][lo:hi], columns[5][lo:hi], check[lo:hi]))
+        if held:
+            yield found()
+
+    return dealt.repartition("__bucket", "__i", "__j").sortWithinPartitions("__bucket", "__i", "__j").mapInArrow(run, "a long, b long").distinct()
+
+
 def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     other = a != b
     return np.maximum(a, b)[other], np.minimum(a, b)[other]
