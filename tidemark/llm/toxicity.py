@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_of
-from tidemark.session import ship_package
+from tidemark.session import cut_lineage, ship_package
 
 #: Closed word classes of the grammar, for the four languages of the corpus.
 TARGET = set("you your yours yourself u he she they him her them his their we us du dich dir dein deine ihr euch sie er tu te toi ton ta vous votre il elle ils ti tú usted ustedes tus él ella ellos".split())
@@ -39,6 +39,10 @@ SHORTEST, LONGEST = 4, 8
 #: Labelled rows that the model is fitted on, at most; the rows of smallest id hash are taken.
 FIT_ROWS = 12_000
 LEAST_GAIN = 28.0
+#: A beginning that passes by its gain but not by its odds leads to the words under it; those are few, so less gain is asked of them.
+CHILD_GAIN, FAMILY_ODDS, LEAST_ODDS = 11.0, 0.7, 2.5
+#: A threat word in over this share of the clean labelled rows is an ordinary word of the corpus and says nothing.
+ORDINARY = 0.002
 #: Words that a negation covers, that may stand between a target and a match, and between a match and its target.
 NEGATED_WORDS, AIMED_WORDS, OBJECT_WORDS = 4, 6, 3
 #: The share of its weight that a negated or reported match keeps where the labelled rows do not say.
@@ -123,38 +127,46 @@ GRAMMAR = compose(match(), target(), negation(), reported_speech())
 
 @dataclass
 class Model:
-    """Lexical weights of insult stems (a trailing $ ends the word), weights of the parts and of their presence, and a bias."""
+    """Lexical weights of insult stems (a trailing $ ends the word) and of threat words, weights of the parts and of their presence, and a bias."""
 
     stems: dict[str, float]
+    threats: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
     bias: float = 0.0
 
     def key(self) -> tuple:
         return tuple(sorted(self.stems.items()))
 
+    def threat_key(self) -> tuple:
+        return tuple(sorted(self.threats.items()))
+
+
+#: All threat words alike, for a grammar without a model.
+PLAIN_THREATS = tuple((w, 1.0) for w in sorted(THREAT))
+
 
 @lru_cache(maxsize=8)
-def _automaton(key: tuple) -> ahocorasick.Automaton:
+def _automaton(key: tuple, threats: tuple) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for stem, weight in key:
         a.add_word(stem.rstrip("$"), (stem, weight))
-    for w in THREAT:
+    for w, _ in threats:
         if w not in a:
             a.add_word(w, (w + "$", 0.0))
     a.make_automaton()
     return a
 
 
-def _labels(clause: str, stems: dict[str, float]) -> Iterator[tuple[str, float]]:
+def _labels(clause: str, stems: dict[str, float], threats: dict[str, float]) -> Iterator[tuple[str, float]]:
     for m in WORD.finditer(clause):
         w = m[0]
         own = max([stems.get(w + "$", 0.0), *(stems.get(w[:k], 0.0) for k in range(SHORTEST, min(LONGEST, len(w)) + 1))])
         if own:
             yield "insult", own
         else:
-            kinds = (("threat", THREAT), ("negation", NEGATION), ("reported", REPORTED), ("copula", COPULA), ("target", TARGET), ("break", BREAK))
+            kinds = (("threat", threats), ("negation", NEGATION), ("reported", REPORTED), ("copula", COPULA), ("target", TARGET), ("break", BREAK))
             label = next((k for k, words in kinds if w in words), "other")
-            yield label, float(label == "threat")
+            yield label, threats.get(w, 0.0) if label == "threat" else 0.0
 
 
 def parse_clause(labels: Iterator[tuple[str, float]]) -> list[tuple[str, float, set]]:
@@ -169,21 +181,21 @@ def parse_clause(labels: Iterator[tuple[str, float]]) -> list[tuple[str, float,
     return out
 
 
-def clause_weights(text: str, key: tuple) -> np.ndarray:
+def clause_weights(text: str, key: tuple, threats: tuple = PLAIN_THREATS) -> np.ndarray:
     """The weights of a text's matched clauses by ``PARTS``; only clauses with an insult or a threat are parsed."""
     out = np.zeros(len(PARTS))
-    low, stems = text.lower(), dict(key)
-    done = -1
-    for end, (word, _) in _automaton(key).iter(low):
+    low, stems, words = text.lower(), dict(key), dict(threats)
+    done = -1  # where the last clause parsed ends; none begins before
+    for end, (word, _) in _automaton(key, threats).iter(low):
         if end <= done:
             continue
         at = end - len(word.rstrip("$")) + 1
         if at and low[at - 1].isalpha():
             continue
-        left = max(low.rfind(c, 0, at) for c in ".!?;:\n,") + 1
+        left = max(done, *(low.rfind(c, max(done, 0), at) for c in ".!?;:\n,")) + 1
         stop = CLAUSE.search(low, end + 1)
         done = stop.start() if stop else len(low)
-        for kind, weight, marks in parse_clause(_labels(low[left:done], stems)):
+        for kind, weight, marks in parse_clause(_labels(low[left:done], stems, words)):
             for part in ("all", *marks):
                 out[PARTS.index(f"{kind}:{part}")] += weight
     return out
@@ -193,8 +205,14 @@ def _features(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(x), (x > 0).astype(float)], axis=-1)
 
 
-def learn_stems(rows: DataFrame) -> dict[str, float]:
-    """Words and word beginnings that mark toxic texts, with smoothed log-odds, from (__text, __toxic) rows."""
+def learn_stems(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and word beginnings that mark toxic texts, with smoothed log-odds, from (__text, __toxic) rows; and threat words with their weight.
+
+    A unit must have more gain in likelihood than chance brings to a million of them. Words of a small
+    language are too rare for that, but their common beginning is not: under such a beginning, words and
+    longer beginnings are few, and a smaller gain will do. Threat words that many clean rows have are
+    ordinary words and left out; the others weigh as much as the stronger insults (their upper quartile), as labelled threats are rare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,9 +233,13 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     both = F.col("pos") + F.col("neg")
     term = lambda k, share: F.when(k > 0, k * F.log(k / (both * share))).otherwise(0.0)
     gain = 2 * (term(F.col("pos"), rate) + term(F.col("neg"), 1 - rate))
-    units = units.withColumns({"odds": odds, "gain": gain}).where((F.col("gain") > LEAST_GAIN) & (F.col("odds") > 2.5))
+    units = cut_lineage(units.withColumns({"odds": odds, "gain": gain}).where((F.col("gain") > CHILD_GAIN) | F.col("unit").isin([w + "$" for w in THREAT])))
+    common = {r["unit"][:-1] for r in units.where(F.col("unit").isin([w + "$" for w in THREAT]) & (F.col("neg") > ORDINARY * n)).collect()}
     # All units that pass; a fit sample of bounded rows has few.
-    found = {r["unit"]: (r["pos"], r["odds"]) for r in units.collect()}
+    passed = units.where((F.col("gain") > CHILD_GAIN) & (F.col("odds") > FAMILY_ODDS)).collect()
+    families = {r["unit"] for r in passed if r["gain"] > LEAST_GAIN and r["odds"] <= LEAST_ODDS}
+    under = lambda u: any(u[:k] in families for k in range(SHORTEST, len(u)))
+    found = {r["unit"]: (r["pos"], r["odds"]) for r in passed if r["odds"] > LEAST_ODDS and (r["gain"] > LEAST_GAIN or under(r["unit"].rstrip("$")))}
     # Units by what they start with, one letter short, and whole words by the beginning that they equal.
     after: dict[str, list[str]] = defaultdict(list)
     for v in found:
@@ -237,7 +259,8 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
                 break
             u = max(longer, key=lambda v: (v.endswith("$"), found[v][0], v))
         out[u] = float(found[u][1])
-    return out
+    weight = float(np.quantile(list(out.values()), 0.75)) if out else 1.0
+    return out, {w: weight for w in THREAT - common}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50, prior: np.ndarray | None = None) -> np.ndarray:
@@ -261,17 +284,20 @@ def fit_parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
     All kinds of matches share the weights of their marks, so a combination that no labelled row has is
     the sum of what is known. First the matches are weighed regardless of negation and report; from there
-    a mark's own weight is fitted, starting at the loss of all but ``KEEPS`` of the match's weight.
+    a mark's own weight is fitted, starting at the loss of all but ``KEEPS`` of the match's weight. A threat
+    starts without weight by itself and, where it is aimed, with that of an aimed insult.
     """
-    n, bare = len(PARTS), x.copy()
+    n, bare, at = len(PARTS), x.copy(), PARTS.index
     for i, part in enumerate(PARTS):
-        if part.endswith((":negated", ":reported")):
+        if part.startswith("threat") or part.endswith((":negated", ":reported")):
             bare[:, i] = 0
     prior = _fit(_features(bare), y)
-    for i, part in enumerate(PARTS):
-        if part.endswith((":negated", ":reported")):
-            whole = PARTS.index(part.split(":")[0] + ":all")
-            prior[i], prior[n + i] = -(1 - KEEPS) * prior[whole], -(1 - KEEPS) * prior[n + whole]
+    for k in (0, n):
+        aimed = prior[k + at("insult:all")] + prior[k + at("insult:aimed")]
+        prior[k + at("threat:all")], prior[k + at("threat:aimed")] = 0.0, aimed
+        for kind, whole in (("insult", prior[k + at("insult:all")]), ("threat", aimed)):
+            for mark in ("negated", "reported"):
+                prior[k + at(f"{kind}:{mark}")] = -(1 - KEEPS) * whole
     return _fit(_features(x), y, prior=prior)
 
 
@@ -287,12 +313,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
     # One row for each id, however many the table has: the text with the smallest hash.
     rows = rows.groupBy("__id", "__toxic").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("__least")).select("__least.__text", "__toxic")
-    model = Model(learn_stems(rows))
-    key = model.key()
+    model = Model(*learn_stems(rows))
+    key, threats = model.key(), model.threat_key()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"x": [clause_weights(t, key).tolist() for t in f["__text"]], "y": f["__toxic"].astype("int32")})
+            yield pd.DataFrame({"x": [clause_weights(t, key, threats).tolist() for t in f["__text"]], "y": f["__toxic"].astype("int32")})
 
     sample = rows.mapInPandas(run, "x array<double>, y int").toPandas()
     if sample["y"].nunique() < 2:
@@ -308,16 +334,16 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """Every whole text's score: a logistic function of the weights of its matched clauses.
 
     Null and empty texts have no clauses and get the bias alone. Repeated rows are scored each; other
-    columns are ignored. Returns id, held_out, score, predicted, and clauses (weights by ``PARTS``).
+    columns are ignored; an empty table gives no rows. Returns id, held_out, score, predicted, and clauses (weights by ``PARTS``).
     """
     ship_package(docs.sparkSession)
-    key, weights, bias = model.key(), np.array(model.weights), model.bias
+    key, threats, weights, bias = model.key(), model.threat_key(), np.array(model.weights), model.bias
     rows = docs.select(F.col(id_col).alias("__id"), is_held_out(id_col).alias("__out"), text_of(text_col).alias("__text"))
     kind = rows.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([clause_weights(t.as_py(), key) for t in b.column(2)]).reshape(-1, len(PARTS))
+            x = np.array([clause_weights(t.as_py(), key, threats) for t in b.column(2)]).reshape(-1, len(PARTS))
             score = 1 / (1 + np.exp(-(_features(x) @ weights + bias)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(x.tolist(), pa.list_(pa.float64()))],
