@@ -75,10 +75,10 @@ def cutover_merge(base: DataFrame, trusted: DataFrame, key: str, date: str, valu
 
 
 def lookup(rows: DataFrame, table: DataFrame, symbol: str, ticker: str, value: str) -> DataFrame:
-    """Rows with the table's value for their symbol as it stands, or else without its punctuation."""
+    """Rows with the table's value for their symbol as it stands, or else without its punctuation; of several the smallest."""
     from tidemark.functions.text import ticker_key
 
-    exact = table.select(F.col(ticker).alias("__t"), F.col(value).alias("__exact"))
+    exact = table.groupBy(F.col(ticker).alias("__t")).agg(F.min(value).alias("__exact"))
     plain = table.groupBy(ticker_key(F.col(ticker)).alias("__k")).agg(F.min(value).alias("__plain"))
     out = rows.join(exact, F.col(symbol) == F.col("__t"), "left").join(plain, ticker_key(F.col(symbol)) == F.col("__k"), "left")
     return out.select(*rows.columns, F.coalesce("__exact", "__plain").alias(value))

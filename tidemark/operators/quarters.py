@@ -115,8 +115,9 @@ def align_to_basis(rows: DataFrame, points: DataFrame, entity: str = "entity", d
 
     sums = trailing_sum(rows, entity, date, value, "__sum").where((F.col("kind") == "actual") & (F.abs("__sum") > 1e-8))
     sums = sums.select(entity, F.greatest(F.col(date), F.col("available")).alias("__at"), F.col(date).alias("__quarter"), round_half_up(F.col("__sum"), 6).alias("__sum"))
-    usable = points.where((F.col("close") > 0) & (F.abs("pe_ttm") > 1e-8)).select(entity, F.col(date).alias("__day"), (F.col("close") / F.col("pe_ttm")).alias("__implied"))
-    near = asof_join(sums, usable, entity, "__at", "__day", ["__implied"], direction="nearest", tolerance_days=7)
+    # The nearest point counts, usable or not: a sample beside an unusable one is left out.
+    implied = F.when((F.col("close") > 0) & (F.abs("pe_ttm") > 1e-8), F.col("close") / F.col("pe_ttm"))
+    near = asof_join(sums, points.select(entity, F.col(date).alias("__day"), implied.alias("__implied")), entity, "__at", "__day", ["__implied"], direction="nearest", tolerance_days=7)
     ratios = near.withColumn("__ratio", F.col("__implied") / F.when(F.col("__sum") != 0, F.col("__sum"))).where(F.col("__ratio") > 0)
     back = W.partitionBy(entity).orderBy(F.desc("__at"), F.desc("__quarter"))
     ratios = ratios.withColumn("__recent", F.row_number().over(back) <= recent)

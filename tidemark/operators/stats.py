@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.dates import subtract_years
 from tidemark.functions.numbers import clamp, earnings_yield, metric_rank_key, regime, valuation_rank_key
-from tidemark.operators.windows import TRADING_DAYS, framed_ranks, percentile_rank_years, row_frame, z_score
+from tidemark.operators.windows import TRADING_DAYS, framed_ranks, row_frame, z_score
 
 
 def enrich_series(points: DataFrame, entity: str = "entity", date: str = "d") -> DataFrame:
@@ -40,8 +40,7 @@ def metric_series(points: DataFrame, metric: str, start: str | None = None, end:
     if frame == "rows":
         df = framed_ranks(df, entity, date, "__key", {"percentile_5y": 5 * TRADING_DAYS, "percentile_10y": 10 * TRADING_DAYS, "percentile_full": None})
     else:
-        df = df.withColumns({f"percentile_{y}y": percentile_rank_years("__key", entity, date, y) for y in (5, 10)})
-        df = framed_ranks(df, entity, date, "__key", {"percentile_full": None})
+        df = framed_ranks(df, entity, date, "__key", {"percentile_full": None}, {f"percentile_{y}y": y for y in (5, 10)})
     return df.withColumn("regime", regime(F.col("percentile_full"))).drop("__key")
 
 

@@ -19,11 +19,6 @@ def row_frame(entity: str, order: str, rows: int | None) -> WindowSpec:
     return w.rowsBetween(W.unboundedPreceding if rows is None else -(rows - 1), 0)
 
 
-def year_frame(entity: str, order: str, years: int) -> str:
-    """SQL text of the frame of the last ``years`` calendar years."""
-    return f"(PARTITION BY {entity} ORDER BY {order} RANGE BETWEEN INTERVAL '{years}' YEAR PRECEDING AND CURRENT ROW)"
-
-
 def share_at_most(values: Column, current: Column) -> Column:
     """The share of an array that is at most ``current``; 0.5 of an empty one."""
     return F.when(F.size(values) == 0, 0.5).otherwise(F.size(F.filter(values, lambda x: x <= current)) / F.size(values))
@@ -34,10 +29,6 @@ def percentile_rank(key: str, frame: WindowSpec) -> Column:
     return share_at_most(F.collect_list(key).over(frame), F.col(key))
 
 
-def percentile_rank_years(key: str, entity: str, order: str, years: int) -> Column:
-    return share_at_most(F.expr(f"collect_list({key}) OVER {year_frame(entity, order, years)}"), F.col(key))
-
-
 def z_score(value: str, frame: WindowSpec, least: float = 0.0) -> Column:
     """Distance from the frame's mean in sample deviations; 0 for a single row or a deviation up to ``least``."""
     sd = F.coalesce(F.stddev_samp(value).over(frame), F.lit(0.0))
@@ -62,20 +53,32 @@ def at_most_before(x: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out
 
 
-def framed_rank(x: np.ndarray, rows: int | None) -> np.ndarray:
-    """Each value's share of values at most it among the last ``rows`` (all if None) up to its place; 0.5 of none."""
+def last_rows(n: int, rows: int | None) -> np.ndarray | None:
+    """For each place the one before the last ``rows`` rows up to it; None for all rows."""
+    return None if rows is None or rows >= n else np.arange(n) - rows
+
+
+def last_years(days: np.ndarray, years: int) -> np.ndarray:
+    """For each of the sorted days the place before the first day within its last calendar years; 29 February looks back to the 28th."""
+    month = days.astype("datetime64[M]")
+    then = month - 12 * years
+    longest = (then + 1).astype("datetime64[D]") - then.astype("datetime64[D]") - np.timedelta64(1, "D")
+    return np.searchsorted(days, then.astype("datetime64[D]") + np.minimum(days - month.astype("datetime64[D]"), longest), "left") - 1
+
+
+def framed_rank(x: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """Each value's share of values at most it among the rows after the place ``before`` (all if None) up to its own; 0.5 of none."""
     here = np.arange(len(x))
     seen = np.cumsum(~np.isnan(x))
     hits, size = at_most_before(x, here), seen.copy()
-    if rows is not None and rows < len(x):
-        before = here - rows
+    if before is not None:
         hits = hits - at_most_before(x, before)
         size = size - np.where(before >= 0, seen[np.maximum(before, 0)], 0)
     return np.where(size > 0, hits / np.maximum(size, 1), 0.5)
 
 
-def framed_ranks(df: DataFrame, entity: str, order: str, key: str, frames: dict[str, int | None]) -> DataFrame:
-    """Adds a percentile rank of ``key`` for each frame of so many last rows, or of all rows so far.
+def framed_ranks(df: DataFrame, entity: str, order: str, key: str, frames: dict[str, int | None], years: dict[str, int] | None = None) -> DataFrame:
+    """Adds a percentile rank of ``key`` for each frame of so many last rows, or of all rows so far, or of so many calendar ``years``.
 
     Like ``percentile_rank``, in a time that grows with the series and not with its square, and without an
     array in every row. One task holds one entity's series, which is bounded by its dates.
@@ -86,14 +89,16 @@ def framed_ranks(df: DataFrame, entity: str, order: str, key: str, frames: dict[
 
     ship_package(df.sparkSession)
     schema = StructType([*df.schema.fields])
-    for out in frames:
+    for out in [*frames, *(years or {})]:
         schema = schema.add(out, DoubleType())
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
         x = table.column(key).to_numpy().astype(np.float64)
         for out, rows in frames.items():
-            table = table.append_column(out, pa.array(framed_rank(x, rows)))
+            table = table.append_column(out, pa.array(framed_rank(x, last_rows(len(x), rows))))
+        for out, n in (years or {}).items():
+            table = table.append_column(out, pa.array(framed_rank(x, last_years(table.column(order).to_numpy().astype("datetime64[D]"), n))))
         return table
 
     return df.groupBy(entity).applyInArrow(run, schema)

@@ -117,7 +117,8 @@ YEARS = "OVER (PARTITION BY entity ORDER BY d RANGE BETWEEN INTERVAL 1 YEAR PREC
 
 @query(f"WITH {S} SELECT entity, d, {rnd(RANK.format('v', YEARS))} AS percentile FROM s")
 def pct_rank_years(spark, sf):
-    return daily(spark, sf).select("entity", "d", r6(windows.percentile_rank_years("v", "entity", "d", 1)).alias("percentile"))
+    df = windows.framed_ranks(daily(spark, sf), "entity", "d", "v", {}, {"percentile": 1})
+    return df.select("entity", "d", r6("percentile").alias("percentile"))
 
 
 Z = f"coalesce((pe_ttm - avg(pe_ttm) {FRAME.format(755)}) / nullif(stddev_samp(pe_ttm) {FRAME.format(755)}, 0), 0)"
@@ -1102,23 +1103,30 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query()
+#: Zones of each type's events in the order of time, the first of a moment; days are those on which a type has events.
+ZONES = """z AS (SELECT event_type AS entity, ts AS "at", least(value / 100, 1.0) AS p, CASE WHEN least(value / 100, 1.0) >= 0.85 THEN 'high' WHEN least(value / 100, 1.0) <= 0.15 THEN 'low' ELSE 'neutral' END AS zone FROM events QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY least(value / 100, 1.0)) = 1),
+  n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY "at") AS no, dense_rank() OVER (PARTITION BY entity ORDER BY CAST("at" AS DATE)) AS day FROM z)"""
+
+
+@query(f"""WITH RECURSIVE {ZONES}, f AS (SELECT entity, no, "at", p, zone, false AS fires, CAST(NULL AS BIGINT) AS fired FROM n WHERE no = 1 UNION ALL
+    SELECT entity, no, "at", p, zone, ok, CASE WHEN ok THEN day ELSE fired END FROM (SELECT n.*, f.fired, n.zone <> 'neutral' AND n.zone <> f.zone AND (f.fired IS NULL OR n.day - f.fired >= 5) AS ok FROM f JOIN n ON n.entity = f.entity AND n.no = f.no + 1))
+  SELECT entity, "at", {rnd('p')} AS percentile, zone AS direction, CASE WHEN p >= 0.95 OR p <= 0.05 THEN 'P1' ELSE 'P2' END AS severity FROM f WHERE fires""")
 def streaming_alerts(spark, sf):
     ship_package(spark)
     values = _events(spark, sf).select(F.col("event_type").alias("entity"), F.col("ts").alias("at"), F.least(F.col("value") / 100, F.lit(1.0)).alias("percentile"))
-    folder = f"{checkpoint_path(spark)}/stream-alerts-{abs(hash(sf))}-{spark.sparkContext.startTime}-{id(values)}"
+    folder = f"{checkpoint_path(spark)}/stream-alerts-{uuid4().hex}"
     q = stream_alerts(values).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("entity string, at timestamp, percentile double, direction string, severity string").parquet(f"{folder}/out")
+    out = spark.read.schema("entity string, at timestamp, percentile double, direction string, severity string").parquet(f"{folder}/out")
+    return out.withColumns({"at": F.col("at").cast("timestamp_ntz"), "percentile": r6("percentile")})
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, floor(sum(value) * 1e2 + 0.5) / 1e2 AS total FROM events GROUP BY 1, 2")
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, floor(sum(value) * 1e2 + 0.5) / 1e2 AS total FROM events GROUP BY 1, 2)
+  SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def streaming_counts(spark, sf):
+    """Windows that the watermark has closed: 10 minutes behind the last event."""
     folder = f"{checkpoint_path(spark)}/stream-counts-{uuid4().hex}"
-
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
-
-    q = stream_counts(_events(spark, sf)).writeStream.foreachBatch(replace).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start()
+    q = stream_counts(_events(spark, sf)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total", 2).alias("total"))
+    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{folder}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total", 2).alias("total"))

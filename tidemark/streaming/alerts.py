@@ -9,37 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "entity string, at timestamp, percentile double, direction string, severity string"
-STATE = "direction string, fired timestamp, seen timestamp"
+STATE = "direction string, fired long, seen timestamp, day long"
 
 
-def stream_alerts(df: DataFrame, upper: float = 0.85, lower: float = 0.15, cooldown_days: int = 5) -> DataFrame:
+def stream_alerts(df: DataFrame, upper: float = 0.85, lower: float = 0.15, cooldown: int = 5) -> DataFrame:
     """Alerts for a stream of (entity, at, percentile).
 
-    State per entity: the zone last seen, the last alert and the last time. Rows of a batch are taken in
-    time order; rows not after the last time seen are late and ignored. A crossing within the cooldown
-    gives no alert but still moves the zone.
+    State per entity: the zone last seen, the last time, how many days have had values, and which of them
+    had the last alert. Rows of a batch are taken in time order; rows not after the last time seen are late
+    and ignored. The cooldown counts the entity's own days, as in batch: weekends and holidays do not
+    use it up. A crossing within it gives no alert but still moves the zone.
     """
     zone = lambda p: "high" if p >= upper else "low" if p <= lower else "neutral"
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        direction, fired, seen = state.get if state.exists else (None, None, None)
+        direction, fired, seen, day = state.get if state.exists else (None, None, None, 0)
         out = []
         for at, p in sorted((at, p) for f in frames for at, p in zip(f["at"], f["percentile"], strict=True)):
             if seen is not None and at <= seen:
                 continue
             now = zone(p)
-            if direction is not None and now != "neutral" and now != direction and (fired is None or (at - fired).days >= cooldown_days):
+            day += seen is None or at.date() != seen.date()
+            if direction is not None and now != "neutral" and now != direction and (fired is None or day - fired >= cooldown):
                 out.append((key[0], at, p, now, "P1" if p >= 0.95 or p <= 0.05 else "P2"))
-                fired = at
+                fired = day
             direction, seen = now, at
-        state.update((direction, fired, seen))
+        state.update((direction, fired, seen, day))
         yield pd.DataFrame(out, columns=["entity", "at", "percentile", "direction", "severity"])
 
     return df.groupBy("entity").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Events and values by type and window, closed once the watermark has passed."""
+    """Events and values by type and window, each given once, when the watermark has passed it; its state goes then."""
     from pyspark.sql import functions as F
 
     w = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
