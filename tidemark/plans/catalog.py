@@ -554,26 +554,52 @@ def densify(spark, sf):
     return timeseries.fill_weekdays(daily(spark, sf), "entity", "d", "v").withColumn("v", r6("v", 3))
 
 
-@query()
+@query(f"""WITH {S}, w AS (SELECT *, lead(d) OVER o AS nd, lead(v) OVER o AS nv, row_number() OVER (PARTITION BY entity ORDER BY d) AS no FROM s WINDOW o AS (PARTITION BY entity ORDER BY d)), r AS (SELECT *, nd - d AS gap FROM w),
+  t AS (SELECT entity, ln(1 + least(greatest(nv / v - 1, -0.35), 0.35)) AS lg, row_number() OVER (PARTITION BY entity ORDER BY d DESC) AS back, count(*) OVER (PARTITION BY entity) AS every FROM r WHERE gap <= 4 AND v > 0 AND nv > 0 AND nv / v - 1 > -0.95 AND nv / v - 1 < 2.5),
+  m AS (SELECT entity, lg, least(every, 252) - back AS place, least(every, 252) AS size FROM t WHERE back <= 252),
+  g AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d) - 1 AS k FROM (SELECT entity, d, v, nd, nv, list_filter(list_transform(generate_series(d + 1, nd - 1, INTERVAL 1 DAY), lambda x: CAST(x AS DATE)), lambda x: dayofweek(x) NOT IN (0, 6)) AS days FROM r WHERE gap > 4) WHERE len(days) > 0),
+  p AS (SELECT entity, k, v, nv, len(days) AS n, unnest(list_append(days, nd)) AS day, generate_subscripts(list_append(days, nd), 1) - 1 AS i FROM g), q AS (SELECT p.*, lg FROM p JOIN (SELECT DISTINCT entity, size FROM m) z USING (entity) JOIN m ON m.entity = p.entity AND m.place = (k * 17 + i) % z.size),
+  x AS (SELECT *, ln(greatest(nv / v, 1e-9)) AS target, (ln(greatest(nv / v, 1e-9)) - sum(lg) OVER (PARTITION BY entity, k)) / (n + 1) AS drift FROM q), y AS (SELECT *, CASE WHEN abs(drift) < 1.6 THEN least(greatest(lg + drift, -1.5), 1.5) ELSE target / (n + 1) END AS step FROM x)
+  SELECT entity, d, {rnd('v', 3)} AS v, false AS filled FROM s UNION ALL SELECT entity, day, {rnd('path', 3)}, true FROM (SELECT entity, day, i, n, greatest(v * exp(sum(step) OVER (PARTITION BY entity, k ORDER BY i)), 1e-8) AS path FROM y) WHERE i < n""")
 def densify_recent(spark, sf):
     return timeseries.fill_like_recent(daily(spark, sf), "entity", "d", "v").withColumn("v", r6("v", 3))
 
 
-@query()
+def _spikes_sql(passes: int = 4) -> str:
+    """Pass by pass, row by row: each row is held against the last one kept and the next one of the list."""
+    apart = lambda a, b: f"greatest(abs({a} / {b}), abs({b} / {a}))"
+    steps = [f"{S}, l0 AS MATERIALIZED (SELECT entity, d, v, row_number() OVER (PARTITION BY entity ORDER BY d) AS no FROM s WHERE abs(v) >= 1e-8)"]
+    for k in range(passes):
+        jump = f"least({apart('n.v', 'f.kv')}, {apart('n.v', 'n.nv')})"
+        wide = "greatest(n.d - f.kd, n.nd - n.d)"
+        calm = f"{wide} <= 40 AND least(abs(f.kv), abs(n.v), abs(n.nv)) >= 4 AND f.kv * n.nv > 0 AND {apart('f.kv', 'n.nv')} <= 1.35"
+        spike = f"n.nd IS NOT NULL AND {calm} AND ({jump} >= 1.9 OR ({jump} >= 1.34 AND {wide} <= 5 AND (n.v > greatest(f.kv, n.nv) OR n.v < least(f.kv, n.nv))))"
+        steps.append(f"n{k} AS MATERIALIZED (SELECT *, lead(d) OVER o AS nd, lead(v) OVER o AS nv FROM l{k} WINDOW o AS (PARTITION BY entity ORDER BY no))")
+        steps.append(f"f{k} AS (SELECT entity, no, d, v, d AS kd, v AS kv, false AS spike FROM n{k} WHERE no = 1 UNION ALL SELECT entity, no, d, v, CASE WHEN x THEN kd ELSE d END, CASE WHEN x THEN kv ELSE v END, x FROM (SELECT n.entity, n.no, n.d, n.v, f.kd, f.kv, coalesce({spike}, false) AS x FROM f{k} f JOIN n{k} n ON n.entity = f.entity AND n.no = f.no + 1))")
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT entity, d, v, row_number() OVER (PARTITION BY entity ORDER BY d) AS no FROM f{k} WHERE NOT spike)")
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT s.entity, s.d, l{passes}.v FROM s LEFT JOIN l{passes} ON l{passes}.entity = s.entity AND l{passes}.d = s.d"
+
+
+@query(_spikes_sql())
 def spike_clean(spark, sf):
     return timeseries.drop_spikes(daily(spark, sf), "entity", "d", "v")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, n AS MATERIALIZED (SELECT *, round(v / 1000) * 1000 AS price, row_number() OVER (PARTITION BY entity ORDER BY d) AS no FROM s),
+  f AS (SELECT entity, no, d, v, price, v AS lv, price AS lp, price > 0 AS ok FROM n WHERE no = 1 UNION ALL SELECT entity, no, d, v, price, CASE WHEN x THEN v ELSE lv END, CASE WHEN x THEN price ELSE lp END, x FROM (SELECT n.*, f.lv, f.lp, n.price > 0 AND abs(n.v / (f.lv * n.price / f.lp) - 1) > 0.01 AS x FROM f JOIN n ON n.entity = f.entity AND n.no = f.no + 1))
+  SELECT entity, d, v, price FROM f WHERE ok""")
 def accept_reject(spark, sf):
     df = daily(spark, sf).withColumn("price", F.round(F.col("v") / 1000) * 1000)
     return timeseries.accept_snapshots(df, "entity", "d", "v", "price")
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, n AS MATERIALIZED (SELECT entity, d, v, CAST(us10y_yield AS DOUBLE) AS r, row_number() OVER (PARTITION BY entity ORDER BY d) AS no FROM p),
+  f AS (SELECT entity, no, d, v, r, v AS mean, r AS base, 1.0::DOUBLE AS lev FROM n WHERE no = 1 UNION ALL SELECT entity, no, d, v, r, mean, base, lev + 0.1 * (least(greatest(exp(ln(v / mean) - 4 * (r - base)), 0.35), 3) - lev)
+    FROM (SELECT n.*, f.mean + 2.0::DOUBLE / 253 * (n.v - f.mean) AS mean, f.base + 2.0::DOUBLE / 253 * (n.r - f.base) AS base, f.lev FROM f JOIN n ON n.entity = f.entity AND n.no = f.no + 1)),
+  l AS (SELECT entity, arg_max(lev, no) AS last FROM f GROUP BY 1) SELECT entity, d, v, {rnd('r', 4)} AS us10y_yield, {rnd('lev * 21.5 / last', 4)} AS pe_proxy FROM f JOIN l USING (entity)""")
 def proxy_series(spark, sf):
-    df = points(spark, sf).select("entity", "d", "v", "us10y_yield")
-    return timeseries.proxy_series(df, "entity", "d", "v", "us10y_yield", 21.5, "pe_proxy")
+    df = points(spark, sf).select("entity", "d", "v", r6("us10y_yield", 4).alias("us10y_yield"))
+    return timeseries.proxy_series(df, "entity", "d", "v", "us10y_yield", 21.5, "pe_proxy").withColumn("pe_proxy", r6("pe_proxy", 4))
 
 
 @query(f"WITH {S} SELECT entity, count(v) AS n, {rnd('avg(v)', 4)} AS mean, {rnd('coalesce(stddev_samp(v), 0)', 4)} AS deviation, {rnd('median(v)', 4)} AS median, min(v) AS lowest, max(v) AS highest FROM s GROUP BY 1")
