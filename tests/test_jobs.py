@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, anchored, compare, payloads, snapshots
+from tidemark.operators import alerts, anchored, board, compare, payloads, snapshots
 from tidemark.plans import build, stores
-from tidemark.sources import facts, scripts, tiers, versions
+from tidemark.sources import facts, providers, scripts, tiers, versions
+from tidemark.streaming.alerts import stream_alerts
 
 D = dt.date
 
@@ -326,3 +327,44 @@ def test_forward_values_start_where_they_are_known(spark):
     starts = spark.createDataFrame([("a", D(2024, 1, 3))], "entity string, forward_start date")
     assert [(r.entity, r.d.day) for r in compare.metric_rows(df, "pe_forward", starts).orderBy("entity", "d").collect()] == [("a", 3), ("a", 4), ("a", 5), ("b", 5)]
     assert compare.metric_rows(df, "pe_ttm", starts).count() == 10
+
+
+# Pages of single providers
+
+
+def test_provider_pages_that_are_broken(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, 'data = [{"d":1,"v":}];data = {"2001":"x"};'), (4, '{"timeseries":{"result":[null,{"r":null},{"r":[null,{"asOfDate":null}]}]}}'), (5, '<tr><td class="fav">')], "k int, text string")
+    assert providers.ratio_series(docs, "k", "text").isEmpty() and providers.top_companies(docs, "k", "text").isEmpty()
+    assert all(df.isEmpty() for df in providers.ratio_timeseries(docs, "k", "text", "r"))
+    assert [r.x for r in docs.select(providers.page_ratio(F.col("text")).alias("x")).collect()] == [None] * 5
+
+
+def test_longest_array_and_fullest_years(spark):
+    page = 'data = [{"d":1600000000,"v":1}]; data = [{"d":1600000000000,"v":2},{"d":1600000000,"v":3},{"d":-5,"v":4}];'
+    years = 'data={"2001":1}; data={"2001":2,"2002":3,"20":9}; data={"2003":4,"2004":5};'
+    docs = spark.createDataFrame([("array", page + years), ("years", years)], "k string, text string")
+    assert rows_of(providers.ratio_series(docs, "k", "text")) == [("array", D(2020, 9, 13), 3.0), ("years", D(2001, 12, 31), 2.0), ("years", D(2002, 12, 31), 3.0)]
+
+
+def test_market_date_may_lie_a_day_ahead(spark):
+    at = lambda d: providers.market_date(spark.createDataFrame([(d,), (D(2024, 1, 1),)], "date date"), F.to_date(F.lit("2024-03-01"))).head()[0]
+    assert at(D(2024, 3, 2)) == D(2024, 3, 2) and at(D(2024, 3, 3)) is None
+
+
+def test_latest_value_without_a_usable_baseline_is_taken(spark):
+    series = spark.createDataFrame([("a", D(2024, 1, 1), 20.0), ("a", D(2024, 2, 1), 22.0), ("low", D(2024, 1, 1), 3.0)], "entity string, d date, value double")
+    c = [("a", D(2024, 1, 16), 21.5), ("a", D(2024, 3, 1), 24.0), ("a", D(2024, 6, 1), 60.0), ("a", D(2023, 12, 1), 60.0), ("low", D(2024, 1, 2), 30.0), ("none", D(2024, 1, 2), 30.0), ("none", D(2024, 1, 3), 90.0)]
+    out = board.accept_latest(series, spark.createDataFrame(c, "entity string, d date, candidate double"))
+    assert {(r.entity, r.d): r.accepted for r in out.collect()} == dict(zip([(e, d) for e, d, _ in c], [True, False, True, True, True, True, False], strict=True))
+
+
+def test_stream_cooldown_counts_the_days_of_the_series(spark, tmp_path):
+    """A crossing on the day after a long break is held back if few own days have passed."""
+    days = [D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 3), D(2024, 3, 1), D(2024, 3, 4), D(2024, 3, 5), D(2024, 3, 6)]
+    rows = [("a", dt.datetime.combine(d, dt.time(12)), p) for d, p in zip(days, [0.5, 0.9, 0.5, 0.9, 0.5, 0.9, 0.9], strict=True)]
+    spark.createDataFrame(rows, "entity string, at timestamp, percentile double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("entity string, at timestamp, percentile double").parquet(str(tmp_path / "in"))
+    q = stream_alerts(stream, cooldown=4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [r["at"].date() for r in spark.read.schema("at timestamp").parquet(str(tmp_path / "out")).orderBy("at").collect()]
+    assert got == [D(2024, 1, 2), D(2024, 3, 5)]

@@ -77,3 +77,23 @@ def stale_entities(df: DataFrame, at: Column, max_lag: int = 50, entity: str = "
     """Entities with their lag in days at a date, and whether it is too long."""
     lag = F.datediff(at, F.max(date)).cast("long")
     return df.groupBy(entity).agg(lag.alias("lag_days"), (lag > max_lag).alias("stale"))
+
+
+#: How wide a gap and how old an end the baseline of a latest value may have.
+BASELINE_GAP, BASELINE_AGE = 240, 60
+
+
+def accept_latest(series: DataFrame, candidates: DataFrame, most: float = 0.05, reasonable=reasonable_pe, entity: str = "entity", date: str = "d") -> DataFrame:
+    """Candidates (entity, date, candidate) with their baseline and whether they are accepted.
+
+    The baseline is the series (entity, date, value) at the candidate's day, linear between values at most 240
+    days apart, flat for 60 days after the last. A candidate that is reasonable by itself is accepted if it
+    departs from a reasonable baseline by at most ``most`` of it, or if there is no such baseline.
+    """
+    from tidemark.operators.timeseries import interpolate
+
+    known = series.select(entity, date, F.col("value").cast("double").alias("value"))
+    days = known.unionByName(candidates.select(entity, date, F.lit(None).cast("double").alias("value"))).groupBy(entity, date).agg(F.max("value").alias("value"))
+    line = interpolate(days, entity, date, "value", "baseline", widest=BASELINE_GAP, before_first="null", fill=BASELINE_AGE)
+    out = candidates.join(line.select(entity, date, "baseline"), [entity, date])
+    return out.withColumn("accepted", acceptable_deviation(F.col("candidate"), F.col("baseline"), most, reasonable))

@@ -136,3 +136,12 @@ def align_to_basis(rows: DataFrame, points: DataFrame, entity: str = "entity", d
     use = F.col("__factor").isNotNull() & (F.col("__cut").isNull() | (F.col(date) >= F.col("__cut")))
     out = rows.join(found, entity, "left").withColumn(value, F.when(use, round_half_up(F.col(value) * F.col("__factor"), 6)).otherwise(F.col(value)))
     return out.select(*rows.columns)
+
+
+def merge_expected(forecast: DataFrame, estimated: DataFrame, entity: str = "entity", date: str = "d", value: str = "net_income") -> DataFrame:
+    """Expected figures of each quarter: a direct forecast before an estimate from earnings and shares, then the earlier date."""
+    from tidemark.functions.numbers import finite, round_half_up
+
+    rows = forecast.select(entity, date, value, F.lit(0).alias("__rank")).unionByName(estimated.select(entity, date, value, F.lit(1).alias("__rank")))
+    rows = rows.withColumns({"quarter": quarter_key(F.col(date)), value: round_half_up(finite(F.col(value)), 3)}).where(F.col(value).isNotNull() & F.col(date).isNotNull())
+    return keep_best(rows, [entity, "quarter"], "__rank", date).select(entity, "quarter", date, value, (F.col("__rank") == 0).alias("direct"))

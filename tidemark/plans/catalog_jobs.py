@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators import anchored, compare, payloads, proxy, snapshots, windows
+from tidemark.operators import anchored, board, compare, payloads, proxy, snapshots, windows
+from tidemark.operators import quarters as qt
 from tidemark.plans import build, stores
-from tidemark.plans.catalog import FRAME, QUERIES, RANK, REGIME, SQL, P, daily, points, query, r6, rnd
+from tidemark.plans.catalog import FRAME, QUERIES, RANK, REGIME, SQL, A, P, Q, S, anchored as month_ends, daily, points, quarters, query, r6, rnd
 from tidemark.session import checkpoint_path, load, ship_package
-from tidemark.sources import facts, scripts, tiers, versions
+from tidemark.sources import facts, providers, scripts, tiers, versions
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -653,3 +654,94 @@ def compare_ranked(spark, sf):
 def compare_bounds(spark, sf):
     df, _ = _side(spark, sf)
     return compare.date_bounds(df.select("entity", "d", F.col("pe_forward").alias("value")), 5)
+
+
+# Pages of single providers
+
+#: Five years on, so that some dates lie before the first day of history; ends of years stand for themselves.
+LATER = f"{COLUMNS}, la AS (SELECT k, i, last_day(e + INTERVAL 4 YEAR) AS e, pe FROM co)"
+
+
+def ratio_pages(spark, sf) -> DataFrame:
+    """A page of each supplier: dated values among shorter arrays; objects of years; or dated values all too old and objects of years."""
+    day = lambda r: F.last_day(F.add_months(r["e"], 48))
+    at = lambda r, back: (F.unix_date(day(r)).cast("long") * 86400 - back).cast("string")
+    point = lambda r, back: F.concat(F.lit('{"d":'), at(r, back), F.lit(',"v":'), r["pe"].cast("string"), F.lit("}"))
+    dated = lambda back: F.concat(F.lit("data = ["), _joined(lambda r: point(r, back), ","), F.lit("];"))
+    ends = F.filter("rows", lambda r: F.month(r["e"]) == 12)
+    years = F.concat(F.lit("data={"), F.array_join(F.transform(ends, lambda r: F.concat(F.lit('"'), F.date_format(day(r), "yyyy"), F.lit('":'), r["pe"].cast("string"))), ","), F.lit(',"x":3,"1850":2,"1999":0};'))
+    page = F.when(F.col("k") % 3 == 0, F.concat(F.lit('data = [{"d":1e9,"v":5}];'), dated(0), years)).when(F.col("k") % 3 == 1, F.concat(F.lit("data = [{bad}];data = {};"), years)).otherwise(F.concat(dated(600000000), F.lit(' data={"2001":9};'), years))
+    return _columns(spark, sf).select("k", page.alias("text"))
+
+
+@query(f"WITH {LATER} SELECT k, e AS date, pe AS value FROM la WHERE e >= DATE '2000-01-01' AND (k % 3 = 0 OR month(e) = 12)")
+def ratio_page_series(spark, sf):
+    return providers.ratio_series(ratio_pages(spark, sf), "k", "text")
+
+
+@query("""WITH s AS (SELECT s_nationkey AS page, s_suppkey AS rank, 'T' || s_suppkey % 3 || '.A' AS symbol, 'co-' || s_suppkey AS slug, s_name || ' & Co' AS display_name, greatest(floor(s_acctbal), 0) * 1000 AS market_cap FROM supplier)
+  SELECT page, rank, symbol, slug, display_name, CAST(market_cap AS DOUBLE) AS market_cap FROM s WHERE market_cap > 0 AND rank > 0 QUALIFY row_number() OVER (PARTITION BY page, symbol ORDER BY rank) = 1""")
+def top_company_pages(spark, sf):
+    """A page of each nation's suppliers; several share a symbol, some have no market value."""
+    s = load(spark, sf, "supplier")
+    n, cap = F.col("s_suppkey").cast("string"), F.greatest(F.floor("s_acctbal"), F.lit(0)) * 1000
+    row = F.concat(
+        F.lit('<tr><td class="fav"><i>x</i></td><td class="rank-td td-right" data-x="1" data-sort="'), n, F.lit('">1</td><td class="name-td"><div><a href="/CO-'), n, F.lit('/marketcap/" title="y"><div class="company-name"><b>'), F.col("s_name"),
+        F.lit('</b>\n &amp; Co</div><div class="company-code"><span class="rank"></span> t'), (F.col("s_suppkey") % 3).cast("string"), F.lit('.a </div></a></td><td class="td-right" data-sort="'), cap.cast("string"), F.lit('">$1</td></tr>'),
+    )
+    docs = s.groupBy(F.col("s_nationkey").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", row.alias("r")))), lambda x: x["r"]), "\n").alias("text"))
+    return providers.top_companies(docs, "page", "text")
+
+
+def _timeseries(spark, sf) -> tuple[DataFrame, DataFrame]:
+    entry = lambda r, v: F.concat(F.lit('{"asOfDate":"'), F.date_format(r["e"], "yyyy-MM-dd"), F.lit('","reportedValue":{"raw":'), v.cast("string"), F.lit("}}"))
+    newest = F.get("rows", F.lit(0))
+    entries = F.concat(entry(newest, F.lit(1.5)), F.lit(',null,{"asOfDate":"soon","reportedValue":{"raw":2}},{"asOfDate":"2030-01-01","reportedValue":{"raw":0}},'), _joined(lambda r: entry(r, r["pe"]), ","), F.lit(","), entry(newest, newest["pe"] + 1))
+    text = F.concat(F.lit('{"timeseries":{"result":[{"x":1},{"trailingPeRatio":[]},{"trailingPeRatio":['), entries, F.lit(']},{"trailingPeRatio":[{"asOfDate":"2031-01-01","reportedValue":{"raw":7}}]}]}}'))
+    return providers.ratio_timeseries(_columns(spark, sf).select("k", text.alias("text")), "k", "text", "trailingPeRatio")
+
+
+@query(f"WITH {COLUMNS} SELECT k, e AS date, CASE WHEN i = 0 THEN pe + 1 ELSE pe END AS value FROM co WHERE pe <> 0")
+def timeseries_payload(spark, sf):
+    return _timeseries(spark, sf)[0]
+
+
+@query(f"WITH {COLUMNS} SELECT k, e AS date, pe + 1 AS value FROM co WHERE i = 0")
+def timeseries_latest(spark, sf):
+    return _timeseries(spark, sf)[1]
+
+
+@query(f"""WITH {COLUMNS} SELECT k, CASE k % 5 WHEN 0 THEN pe WHEN 1 THEN 12.25 WHEN 2 THEN 3.5 WHEN 3 THEN NULL ELSE NULL END::DOUBLE AS ratio FROM co WHERE i = 0""")
+def fund_page_ratio(spark, sf):
+    pe = F.get("rows", F.lit(0))["pe"].cast("string")
+    k = F.col("k") % 5
+    page = F.when(k == 0, F.concat(F.lit('<b>PE Ratio</b> 9 {"peRatio":1,"x":0,"PERATIO":"'), pe, F.lit('"}'))).when(k == 1, F.lit('{"peratio":12.25,"y":1}')).when(k == 2, F.lit("<script>PE Ratio 7</script><td>PE&nbsp;Ratio</td>\n<td> 3.5x")).when(k == 3, F.lit('"peRatio":"0.0"')).otherwise(F.lit("<p>no ratio"))
+    return _columns(spark, sf).select("k", providers.page_ratio(page).alias("ratio"))
+
+
+# A latest value against its baseline, and expected figures from two ways
+
+@query(f"""WITH {S}, {A}, m AS (SELECT entity, d, anchor / 2 AS value FROM a WHERE anchor IS NOT NULL AND NOT (year(d) = 1997 AND month(d) BETWEEN 2 AND 11) AND entity <> 'BUILDING'),
+  c AS (SELECT entity, d, CASE day(d) % 4 WHEN 0 THEN 100 ELSE 12 + day(d) % 9 END::DOUBLE AS candidate FROM s WHERE day(d) IN (3, 11, 17, 24)),
+  b AS (SELECT c.*, l.d AS d0, l.value AS v0, r.d AS d1, r.value AS v1 FROM c ASOF LEFT JOIN m l ON c.entity = l.entity AND c.d >= l.d ASOF LEFT JOIN m r ON c.entity = r.entity AND c.d <= r.d),
+  e AS (SELECT *, CASE WHEN d0 IS NULL THEN NULL WHEN d1 IS NULL THEN CASE WHEN d - d0 <= 60 THEN v0 END WHEN d0 = d1 THEN v0 WHEN d1 - d0 <= 240 THEN v0 + (v1 - v0) * (d - d0) / (d1 - d0) END AS baseline FROM b)
+  SELECT entity, d, candidate, {rnd('baseline')} AS baseline, candidate > 4 AND candidate < 80 AND (baseline IS NULL OR NOT (baseline > 4 AND baseline < 80) OR abs(candidate - baseline) / greatest(baseline, 1e-6) <= 0.05) AS accepted FROM e""")
+def accepted_latest(spark, sf):
+    """Candidates on four days of each month against the month ends; a year is missing, one entity has no series."""
+    df = month_ends(spark, sf)
+    series = df.where(F.col("anchor").isNotNull() & ~((F.year("d") == 1997) & F.month("d").between(2, 11)) & (F.col("entity") != "BUILDING")).select("entity", "d", (F.col("anchor") / 2).alias("value"))
+    day = F.dayofmonth("d")
+    candidates = df.where(day.isin(3, 11, 17, 24)).select("entity", "d", F.when(day % 4 == 0, 100).otherwise(12 + day % 9).cast("double").alias("candidate"))
+    return board.accept_latest(series, candidates).withColumn("baseline", r6("baseline"))
+
+
+@query(f"""WITH {Q}, f AS (SELECT entity, d - 20 AS d, qty / 7.0::DOUBLE AS v, 0 AS rk FROM q WHERE year(d) >= 1999 AND quarter(d) < 4 UNION ALL SELECT entity, d - 30, qty / 3.0::DOUBLE, 0 FROM q WHERE year(d) >= 1999 AND quarter(d) = 2
+    UNION ALL SELECT entity, d - 50, qty / 11.0::DOUBLE, 1 FROM q WHERE year(d) >= 1998)
+  SELECT entity, year(d) || '-Q' || quarter(d) AS quarter, d, {rnd('v', 3)} AS net_income, rk = 0 AS direct FROM f QUALIFY row_number() OVER (PARTITION BY entity, year(d), quarter(d) ORDER BY rk, d) = 1""")
+def expected_income_merged(spark, sf):
+    df = quarters(spark, sf)
+    late = df.where(F.year("d") >= 1999)
+    forecast = late.where(F.quarter("d") < 4).select("entity", F.date_sub("d", 20).alias("d"), (F.col("qty") / 7).alias("net_income"))
+    forecast = forecast.unionByName(late.where(F.quarter("d") == 2).select("entity", F.date_sub("d", 30).alias("d"), (F.col("qty") / 3).alias("net_income")))
+    estimated = df.where(F.year("d") >= 1998).select("entity", F.date_sub("d", 50).alias("d"), (F.col("qty") / 11).alias("net_income"))
+    return qt.merge_expected(forecast, estimated)
