@@ -774,8 +774,8 @@ def company_snapshot(spark, sf):
 
 def _rules(spark, sf) -> DataFrame:
     """Three users with rules of their own over all series."""
-    rules = spark.createDataFrame([("u0", 50.0, 40.0, 5), ("u1", 60.0, 30.0, 2), ("u2", 99.0, 1.0, 0)], "user_id string, upper double, lower double, cooldown int")
-    return rules.join(dim(spark, sf).select("entity"))
+    rules = F.array(*[F.struct(F.lit(u).alias("user_id"), F.lit(a).alias("upper"), F.lit(b).alias("lower"), F.lit(c).alias("cooldown")) for u, a, b, c in (("u0", 50.0, 40.0, 5), ("u1", 60.0, 30.0, 2), ("u2", 99.0, 1.0, 0))])
+    return dim(spark, sf).select("entity", F.inline(rules))
 
 
 def _old_state(spark, sf) -> DataFrame:
