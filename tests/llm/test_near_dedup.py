@@ -138,15 +138,28 @@ def test_pairs_left_out_of_large_groups_are_found_after_all(spark):
 
 
 def test_apart_pairs(spark):
+    """Profiles leave out only pairs that are under the share; without a share all near pairs are given."""
     rnd = np.random.default_rng(4)
     base = rnd.integers(0, 2**62, 8)
-    rows = [(int(k % 3), k, int(rnd.integers(0, 4)), int(base[k % 8] ^ (1 << int(rnd.integers(0, 60)))), int(base[k % 5])) for k in range(300)] + [(9, 1000 + k, 7, 1, 1) for k in range(50)]
-    df = spark.createDataFrame(rows, "__bucket long, __node long, __root long, __x long, __y long")
+    rows, sets = [], {}
+    for k in range(350):
+        node = k if k < 300 else 1000 + k
+        sets[node] = set(rnd.choice(300, rnd.integers(5, 40), replace=False).tolist()) if k % 3 else set(range(k % 7, 30 + k % 5))
+        held = np.zeros(128, bool)
+        held[[x % 128 for x in sets[node]]] = True
+        near = (int(k % 3), node, int(rnd.integers(0, 4)), int(base[k % 8] ^ (1 << int(rnd.integers(0, 60)))), int(base[k % 5])) if k < 300 else (9, node, 7, 1, 1)
+        rows.append((*near, len(sets[node]), bytearray(np.packbits(held).tobytes())))
+    df = spark.createDataFrame(rows, "__bucket long, __node long, __root long, __x long, __y long, __n long, __map binary")
     want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and a[2] != b[2] and (a[3] ^ b[3]).bit_count() + (a[4] ^ b[4]).bit_count() <= 20}
+    similar = {(a, b) for a, b in want if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert similar and len(similar) < len(want) / 2
     for block in (7, 4096):
-        got = simhash.apart_pairs(df, 20, ("__x", "__y"), block).collect()
-        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+        pairs = lambda share, block=block: [(r.a, r.b) for r in simhash.apart_pairs(df, 20, ("__x", "__y"), share, block).collect()]
+        every, some = pairs((0, 1)), pairs((4, 5))
+        assert set(every) == want and len(every) == len(want)
+        assert similar <= set(some) <= want and len(some) < len(want) / 2
     assert simhash.apart_pairs(df.limit(0), 20, ("__x", "__y")).collect() == []
+    assert {r["__bucket"] for r in simhash.in_several_groups(df).collect()} == {0, 1, 2}
 
 
 def test_recall_on_the_given_documents(spark):

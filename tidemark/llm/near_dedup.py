@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice, repeat
 from math import acos, pi
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_groups, text_of
 from tidemark.llm.graph import components
-from tidemark.llm.simhash import FAMILY, MIDDLE, NEAREST, allocate_recall, apart_pairs, bit_counts, near_pairs, unpacked
-from tidemark.session import cut_lineage, ship_package
+from tidemark.llm.simhash import FAMILY, MIDDLE, NEAREST, allocate_recall, apart_pairs, bit_counts, in_several_groups, near_pairs, unpacked
+from tidemark.session import checkpoint_path, cut_lineage, drop_table, ship_package
 
 SEED = 42
 #: Bits of a fingerprint. All of them go with every signature, so a bucket's pairs are settled inside it and no pair is joined to its fingerprints.
@@ -111,6 +112,26 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "s long, grams array<long>")
 
 
+#: Places that a set's hashes fall on in its profile.
+PLACES = 2048
+
+
+def profiles(texts: DataFrame, width: int) -> DataFrame:
+    """(s, __n, __map) of every row of a node and its text: how many shingles it has, and which places they hash to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [shingles(t.as_buffer().to_pybytes(), width) for t in b.column(1)]
+            maps = []
+            for grams in parts:
+                held = np.zeros(PLACES, bool)
+                held[(grams % np.uint64(PLACES)).astype(np.int64)] = True
+                maps.append(np.packbits(held).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array(maps, pa.binary())], names=["s", "__n", "__map"])
+
+    return texts.mapInArrow(run, "s long, __n long, __map binary")
+
+
 def both_sides(pairs: DataFrame, known: DataFrame, value: str) -> DataFrame:
     """Pairs (a, b) with ``value`` of both nodes; nodes that are in many pairs are broadcast."""
     total = pairs.count()
@@ -121,12 +142,14 @@ def both_sides(pairs: DataFrame, known: DataFrame, value: str) -> DataFrame:
     return pairs
 
 
-def candidates(prints: DataFrame, n: int, similarity: float, family: tuple[int, int, int] = (FAMILY, NEAREST, MIDDLE)) -> tuple[DataFrame, DataFrame, int]:
+def candidates(prints: DataFrame, n: int, similarity: float, table: str, family: tuple[int, int, int] = (FAMILY, NEAREST, MIDDLE)) -> tuple[DataFrame, DataFrame, int]:
     """Pairs (a, b) of nodes that meet in a probe and whose fingerprints differ little enough; the signatures of buckets in which pairs of large groups were left out, and the number of bits."""
     # Sets of one size and Jaccard similarity J have cosine 2J / (1 + J); a bit differs at the rate of their angle.
     rate = acos(2 * similarity / (1 + similarity)) / pi
     plan = allocate_recall(bit_counts(prints.select("__fp"), BITS), n, rate, RECALL)
-    rows = cut_lineage(signatures(prints, plan))
+    # A fingerprint comes once for each probe: compressed columns hold it nearly once. The table is removed by node_groups.
+    signatures(prints, plan).write.option("compression", "zstd").parquet(table)
+    rows = prints.sparkSession.read.parquet(table)
     most = round(BITS * (rate + SLACK))
     hot = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > PER_BUCKET)
     spread = 1 + F.pmod(F.xxhash64("__node"), F.ceil(F.col("__size") / PER_BUCKET)).cast("int")
@@ -138,17 +161,42 @@ def candidates(prints: DataFrame, n: int, similarity: float, family: tuple[int,
     more = cut_lineage(near_pairs(again, most, False, CHECKS, family))
     pairs = cut_lineage(pairs.unionByName(more.where("b is not null").select("a", "b")).distinct())
     cut = found.where("a is null").select("__bucket").union(more.where("a is null").select("__bucket")).distinct()
-    return pairs, rows.join(cut, "__bucket", "left_semi").select("__bucket", "__node", *CHECKS), most
+    cut = cut_lineage(rows.join(cut, "__bucket", "left_semi").select("__bucket", "__node", *CHECKS))
+    return pairs, cut, most
 
 
-def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets of shingles have the similarity."""
-    nodes = pairs.select(F.col("a").alias("__s")).union(pairs.select("b")).distinct()
+def texts_of(docs: DataFrame, prints: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(__s, __text) of the nodes (__s); a text that several rows have comes as often."""
     near = cut_lineage(nodes.join(prints.select("__s", "__t"), "__s"))
     near = F.broadcast(near) if near.count() <= BROADCAST_TEXTS else near
     t = text_of(text_col)
-    texts = docs.select(t.alias("__text"), _text_key(t).alias("__t")).join(near, "__t").select("__s", "__text")
-    sets = cut_lineage(shingle_sets(texts, width).groupBy("s").agg(F.first("grams").alias("grams")))
+    return docs.select(t.alias("__text"), _text_key(t).alias("__t")).join(near, "__t").select("__s", "__text")
+
+
+def undecided(pairs: DataFrame, similarity: Fraction) -> DataFrame:
+    """(a, b) of pairs with profiles (a_p, b_p) that these do not prove to be under the similarity (see ``apart_pairs``)."""
+    num, den = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("a_p"), b.column("b_p")
+            size = [c.field("__n").to_numpy() for c in (x, y)]
+            held = [np.frombuffer(b"".join(c.field("__map").to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (x, y)]
+            shared = np.minimum(size[0] - np.bitwise_count(held[0] & ~held[1]).sum(1), size[1] - np.bitwise_count(held[1] & ~held[0]).sum(1))
+            may = pa.array(shared * (num + den) >= (size[0] + size[1]) * num)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(may), b.column("b").filter(may)], names=["a", "b"])
+
+    return pairs.select("a", "b", "a_p", "b_p").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: Fraction, sketched: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles have the similarity; with ``sketched`` profiles tell most others apart before sets are fetched."""
+    nodes = pairs.select(F.col("a").alias("__s")).union(pairs.select("b")).distinct()
+    if sketched:
+        known = profiles(texts_of(docs, prints, nodes, text_col), width).groupBy("s").agg(F.first(F.struct("__n", "__map")).alias("p"))
+        pairs = cut_lineage(undecided(both_sides(pairs, cut_lineage(known), "p"), similarity))
+        nodes = pairs.select(F.col("a").alias("__s")).union(pairs.select("b")).distinct()
+    sets = cut_lineage(shingle_sets(texts_of(docs, prints, nodes, text_col), width).groupBy("s").agg(F.first("grams").alias("grams")))
     both = both_sides(pairs, sets, "grams")
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
     every = F.size("a_grams") + F.size("b_grams")
@@ -160,19 +208,36 @@ def node_groups(docs: DataFrame, prints: DataFrame, n: int, text_col: str, width
 
     In buckets with large groups the first pass leaves pairs out. Where its links do not already hold all
     rows of such a bucket together, every pair of rows with different roots is compared; pairs of one root
-    would change nothing. So no link between two groups that meet in a bucket is lost.
+    would change nothing. So no link between two groups that meet in a bucket is lost. Texts made of one
+    template can be near one another without being similar enough, in numbers that grow with the square
+    of the group, so the comparison is by profiles that prove most of them apart where they meet; only
+    the others are pairs that go on.
     """
-    pairs, cut, most = candidates(prints, n, float(similarity), family)
-    edges = cut_lineage(verified(docs, prints, pairs, text_col, width, similarity))
+    spark = docs.sparkSession
+    table = f"{checkpoint_path(spark)}/signatures-{uuid4().hex}"
+    pairs, cut, most = candidates(prints, n, float(similarity), table, family)
+    drop_table(spark, table)
+    edges = cut_lineage(verified(docs, prints, pairs, text_col, width, similarity, True))
     roots = components(edges, "a", "b")
     if cut.isEmpty():
         return roots
     named = cut.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), "__node", "left").withColumn("__root", F.coalesce("__root", "__node"))
-    rest = cut_lineage(apart_pairs(named, most, CHECKS).join(pairs, ["a", "b"], "left_anti"))
+    named = cut_lineage(in_several_groups(named))
+    if named.isEmpty():
+        return roots
+    texts = texts_of(docs, prints, named.select(F.col("__node").alias("__s")).distinct(), text_col)
+    own = profiles(texts, width).groupBy(F.col("s").alias("__node")).agg(F.first("__n").alias("__n"), F.first("__map").alias("__map"))
+    rest = apart_pairs(named.join(own, "__node"), most, CHECKS, (similarity.numerator, similarity.denominator))
+    rest = cut_lineage(rest.join(pairs, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
     more = verified(docs, prints, rest, text_col, width, similarity)
-    return components(edges.unionByName(more), "a", "b")
+    # Groups that the new links bring together, as links between their roots.
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    again = components(joined, "a", "b").select(F.col("node").alias("__was"), F.col("root").alias("__now"))
+    nodes = roots.unionByName(again.select(F.col("__was").alias("node"), F.col("__was").alias("root")).join(roots.select("node"), "node", "left_anti"))
+    return nodes.join(again, nodes["root"] == again["__was"], "left").select("node", F.coalesce("__now", "root").alias("root"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, family: tuple[int, int, int] = (FAMILY, NEAREST, MIDDLE)) -> DataFrame:

@@ -363,23 +363,33 @@ class _Bucket:
             self.out.append(_ordered(a[i], b[j]))
 
 
-def apart_pairs(rows: DataFrame, most: int, checks: tuple[str, ...], block: int = 4096) -> DataFrame:
-    """(a, b) of all rows (__bucket, __node, __root, ``checks``) of one bucket that have different roots and differ in ``most`` bits or fewer.
+def in_several_groups(rows: DataFrame) -> DataFrame:
+    """The rows (__bucket, __root, ...) of buckets with more than one root."""
+    sizes = rows.groupBy("__bucket").agg(F.min("__root").alias("__low"), F.max("__root").alias("__high")).where("__low < __high")
+    return rows.join(sizes.select("__bucket"), "__bucket", "left_semi")
+
+
+def apart_pairs(rows: DataFrame, most: int, checks: tuple[str, ...], share: tuple[int, int] = (0, 1), block: int = 4096) -> DataFrame:
+    """(a, b) of all rows (__bucket, __node, __root, ``checks``, __n, __map) of one bucket that have different roots and may be similar.
+
+    They may be if their ``checks`` differ in ``most`` bits or fewer and their profiles (size of the set, and
+    which of some places its members hash to) do not prove a Jaccard similarity under ``share``: a place that
+    only one of two sets holds is at least one member that the other lacks.
 
     A bucket is cut into blocks of about ``block`` rows by a hash, and each pair of its blocks is a task's
     work of its own: no task holds more than two blocks, however large the bucket.
     """
-    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"), F.min("__root").alias("__low"), F.max("__root").alias("__high")).where("__low < __high")
+    sizes = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
     dealt = rows.join(sizes.select("__bucket", F.ceil(F.col("__size") / block).cast("int").alias("__blocks")), "__bucket")
     dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("__node"), F.col("__blocks")).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    dealt = dealt.select("__bucket", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", "__node", "__root", *checks)
+    dealt = dealt.select("__bucket", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", "__node", "__root", *checks, "__n", "__map")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def found() -> pa.RecordBatch:
-            own, node, root, check = (np.concatenate(x) for x in zip(*held))
+            own, node, root, check, size, places = (np.concatenate(x) for x in zip(*held))
             left, right = (np.flatnonzero(own == now[1]), np.flatnonzero(own == now[2]))
             out = []
             for at in range(0, len(left), 256):
@@ -388,13 +398,19 @@ def apart_pairs(rows: DataFrame, most: int, checks: tuple[str, ...], block: int
                 for k in range(check.shape[1]):
                     bits += np.bitwise_count(check[part, None, k] ^ check[None, right, k])
                 i, j = np.nonzero((bits <= most) & (root[part][:, None] != root[right][None]))
-                out.append(_ordered(node[part[i]], node[right[j]]))
+                for k in range(0, len(i), 1 << 15):
+                    x, y = part[i[k : k + (1 << 15)]], right[j[k : k + (1 << 15)]]
+                    shared = np.minimum(size[x] - np.bitwise_count(places[x] & ~places[y]).sum(1), size[y] - np.bitwise_count(places[y] & ~places[x]).sum(1))
+                    may = shared * (share[0] + share[1]) >= (size[x] + size[y]) * share[0]
+                    out.append(_ordered(node[x[may]], node[y[may]]))
             a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out) if out else ([], [])))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in ("__bucket", "__i", "__j", "__own", "__node", "__root")]
             check = np.stack([batch.column(c).to_numpy() for c in checks], axis=1).view(np.uint64)
+            size = batch.column("__n").to_numpy().astype(np.int64)
+            places = np.frombuffer(b"".join(batch.column("__map").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             change = np.zeros(max(0, batch.num_rows - 1), bool)
             for c in columns[:3]:
                 change |= c[1:] != c[:-1]
@@ -407,7 +423,7 @@ def apart_pairs(rows: DataFrame, most: int, checks: tuple[str, ...], block: int
                     yield found()
                     held = []
                 now = key
-                held.append((columns[3][lo:hi], columns[4][lo:hi], columns[5][lo:hi], check[lo:hi]))
+                held.append((columns[3][lo:hi], columns[4][lo:hi], columns[5][lo:hi], check[lo:hi], size[lo:hi], places[lo:hi]))
         if held:
             yield found()
 
