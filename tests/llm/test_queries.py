@@ -48,3 +48,10 @@ def test_pipeline(spark, tmp_path):
         counts.append(docs.count())
     assert counts[0] > counts[1] > counts[2] >= counts[3]
     assert corpus_pipeline.run(spark, SF).count() == counts[-1]
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns), name
