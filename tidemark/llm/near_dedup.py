@@ -134,10 +134,11 @@ def profiles(texts: DataFrame, width: int) -> DataFrame:
 
 def both_sides(pairs: DataFrame, known: DataFrame, value: str) -> DataFrame:
     """Pairs (a, b) with ``value`` of both nodes; nodes that are in many pairs are broadcast."""
-    total = pairs.count()
+    # Both counts are of the bare pairs: taken of the joined ones, they would run the first join twice.
+    bare, total = pairs, pairs.count()
     for side, other in (("b", "a"), ("a", "b")):
         own = known.select(F.col("s").alias(side), F.col(value).alias(f"{side}_{value}"))
-        own = own.join(pairs.groupBy(side).agg(F.count(F.lit(1)).alias(f"{side}_pairs")), side)
+        own = own.join(bare.groupBy(side).agg(F.count(F.lit(1)).alias(f"{side}_pairs")), side)
         pairs = join_groups(pairs, own, [side], f"{side}_pairs", total, F.col(other)).drop(f"{side}_pairs")
     return pairs
 
@@ -155,7 +156,9 @@ def candidates(prints: DataFrame, n: int, similarity: float, table: str, family:
     spread = 1 + F.pmod(F.xxhash64("__node"), F.ceil(F.col("__size") / PER_BUCKET)).cast("int")
     # At most rows / PER_BUCKET buckets are hot.
     rows = rows.join(F.broadcast(hot), "__bucket", "left").withColumn("__spread", F.coalesce(spread, F.lit(0)))
-    found = cut_lineage(near_pairs(rows, most, False, CHECKS, family))
+    # Pairs have no fingerprint: compressed columns hold next to nothing for it.
+    near_pairs(rows, most, False, CHECKS, family).write.option("compression", "zstd").parquet(f"{table}-found")
+    found = prints.sparkSession.read.parquet(f"{table}-found")
     again = found.where("a is not null and b is null").select("__bucket", F.lit(0).alias("__spread"), F.col("a").alias("__node"), *CHECKS)
     pairs = found.where("b is not null").select("a", "b")
     more = cut_lineage(near_pairs(again, most, False, CHECKS, family))
@@ -217,6 +220,7 @@ def node_groups(docs: DataFrame, prints: DataFrame, n: int, text_col: str, width
     table = f"{checkpoint_path(spark)}/signatures-{uuid4().hex}"
     pairs, cut, most = candidates(prints, n, float(similarity), table, family)
     drop_table(spark, table)
+    drop_table(spark, f"{table}-found")
     edges = cut_lineage(verified(docs, prints, pairs, text_col, width, similarity, True))
     roots = components(edges, "a", "b")
     if cut.isEmpty():
