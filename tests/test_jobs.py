@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, anchored, board, compare, payloads, snapshots
-from tidemark.plans import build, stores
+from tidemark.plans import build, catalog, stores
 from tidemark.sources import facts, providers, scripts, tiers, versions
 from tidemark.streaming.alerts import stream_alerts
 
@@ -368,3 +368,18 @@ def test_stream_cooldown_counts_the_days_of_the_series(spark, tmp_path):
     q.awaitTermination()
     got = [r["at"].date() for r in spark.read.schema("at timestamp").parquet(str(tmp_path / "out")).orderBy("at").collect()]
     assert got == [D(2024, 1, 2), D(2024, 3, 5)]
+
+
+def test_streaming_counts_has_open_windows_and_untimed_events(spark, tmp_path):
+    """The last window before the watermark's delay, one within it, and rows without a time are all counted."""
+    at = dt.datetime(2024, 1, 1, 10)
+    rows = [(at, "a", 1.0), (at + dt.timedelta(minutes=59), "a", 2.0), (at + dt.timedelta(minutes=61), "a", 4.0), (at + dt.timedelta(minutes=62), "b", None), (None, "a", 8.0), (None, None, None)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["start"], r["event_type"], r["n"], r["total"]) for r in catalog.streaming_counts(spark, str(tmp_path)).collect()}
+    later = at + dt.timedelta(hours=1)
+    assert got == {(at, "a", 2, 3.0), (later, "a", 1, 4.0), (later, "b", 1, None), (None, "a", 1, 8.0), (None, None, 1, None)}
+
+
+def test_streaming_counts_adds_up_to_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    assert catalog.streaming_counts(spark, sf).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()

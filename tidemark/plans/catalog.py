@@ -20,7 +20,7 @@ from tidemark.operators.asof import asof_join
 from tidemark.plans import api
 from tidemark.session import checkpoint_path, load, ship_package
 from tidemark.sources import parse, readers, sinks
-from tidemark.streaming.alerts import stream_alerts, stream_counts
+from tidemark.streaming.alerts import open_counts, stream_alerts, stream_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1147,12 +1147,14 @@ def streaming_alerts(spark, sf):
     return out.withColumns({"at": F.col("at").cast("timestamp_ntz"), "percentile": r6("percentile")})
 
 
-@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, floor(sum(value) * 1e2 + 0.5) / 1e2 AS total FROM events GROUP BY 1, 2)
-  SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, floor(sum(value) * 1e2 + 0.5) / 1e2 AS total FROM events GROUP BY 1, 2")
 def streaming_counts(spark, sf):
-    """Windows that the watermark has closed: 10 minutes behind the last event."""
+    """All windows: those that the watermark has closed, those that are open when the stream ends, and events without a time."""
     folder = f"{checkpoint_path(spark)}/stream-counts-{uuid4().hex}"
     q = stream_counts(_events(spark, sf)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{folder}/out")
+    closed = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{folder}/out")
+    # Spark's windows leave rows without a time out.
+    untimed = load(spark, sf, "events").where("ts IS NULL").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("start", F.lit(None).cast("timestamp"))
+    out = closed.unionByName(open_counts(spark, f"{folder}/state")).unionByName(untimed)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r6("total", 2).alias("total"))

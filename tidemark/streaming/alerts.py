@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "entity string, at timestamp, percentile double, direction string, severity string"
@@ -42,7 +43,11 @@ def stream_alerts(df: DataFrame, upper: float = 0.85, lower: float = 0.15, coold
 
 def stream_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Events and values by type and window, each given once, when the watermark has passed it; its state goes then."""
-    from pyspark.sql import functions as F
-
     w = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("window.start", "event_type", "n", "total")
+
+
+def open_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Windows that ``stream_counts`` has counted but not given yet, from the state of its last finished batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.window.start", "key.event_type", F.col("value.count").alias("n"), F.col("value.sum").alias("total"))
