@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import alerts, anchored, board, compare, payloads, snapshots
 from tidemark.plans import build, catalog, stores
 from tidemark.sources import facts, providers, scripts, tiers, versions
-from tidemark.streaming.alerts import stream_alerts
+from tidemark.streaming.alerts import mark_turns, stream_alerts
 
 D = dt.date
 
@@ -383,3 +383,46 @@ def test_streaming_counts_has_open_windows_and_untimed_events(spark, tmp_path):
 def test_streaming_counts_adds_up_to_the_table(spark):
     sf = "/root/testdata/sf0.001"
     assert catalog.streaming_counts(spark, sf).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def _alerts_by_loop(batches, cooldown, upper=0.85, lower=0.15):
+    """Every row of a batch in time order, one after the other."""
+    states, out = {}, []
+    for batch in batches:
+        for e, at, p in sorted((r for r in batch if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+            zone, fired, seen, day = states.get(e, (None, None, None, 0))
+            if seen is not None and at <= seen:
+                continue
+            now = "high" if p >= upper else "low" if p <= lower else "neutral"
+            day += seen is None or at.date() != seen.date()
+            if zone is not None and now not in ("neutral", zone) and (fired is None or day - fired >= cooldown):
+                out.append((e, at, p, now, "P1" if p >= 0.95 or p <= 0.05 else "P2"))
+                fired = day
+            states[e] = now, fired, at, day
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("cooldown", [0, 1, 3])
+def test_stream_alerts_against_a_loop(spark, tmp_path, cooldown):
+    """Batches that overlap in time, days apart by the number of groups, equal moments, rows without a time."""
+    rng, schema = random.Random(cooldown), "entity string, at timestamp, percentile double"
+    batches = []
+    for n, (lo, hi) in enumerate([(0, 150), (60, 150), (149, 152), (0, 220)]):
+        batch = [(rng.choice(["a", "b", "c", None]), dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(lo, hi), hours=rng.randrange(24)), rng.choice([0.01, 0.15, 0.5, 0.5, 0.85, 0.99])) for _ in range(900)]
+        batches.append([*batch, ("a", None, 0.99), ("late", dt.datetime(2024, 1, 9 - n), 0.9)])
+        spark.createDataFrame(batches[-1], schema).coalesce(3).write.parquet(str(tmp_path / f"all{n}"))
+    for n in range(len(batches)):
+        spark.read.parquet(str(tmp_path / f"all{n}")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        stream_alerts(stream, cooldown=cooldown).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("entity", "at", "percentile", "direction", "severity").collect()]
+    assert sorted(got, key=repr) == _alerts_by_loop(batches, cooldown)
+
+
+def test_mark_turns_leaves_an_entity_to_no_task(spark):
+    """Of 40000 rows of one series the fold keeps three an hour, and no task puts a tenth of them in order."""
+    df = spark.range(40000).selectExpr("'a' entity", "timestamp_micros(id * 12960000) at", "pmod(id * 7919, 100) / 100 percentile")
+    rows = mark_turns(df, 0.85, 0.15, 5)
+    assert rows.count() == 40000
+    assert {r["n"] for r in rows.where("turn").groupBy("hour").agg(F.count(F.lit(1)).alias("n")).collect()} == {3}
+    assert rows.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0] < 4000
