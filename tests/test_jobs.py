@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,16 +390,20 @@ def _alerts_by_loop(batches, cooldown, upper=0.85, lower=0.15):
     """Every row of a batch in time order, one after the other."""
     states, out = {}, []
     for batch in batches:
-        for e, at, p in sorted((r for r in batch if r[1] is not None), key=lambda r: (str(r[0]), r[1], r[2])):
+        untimed = set()
+        for e, at, p in sorted(batch, key=lambda r: (r[1] is None, r[1] or D(1, 1, 1), r[2], str(r[0]))):
             zone, fired, seen, day = states.get(e, (None, None, None, 0))
-            if seen is not None and at <= seen:
+            if at is not None and seen is not None and at <= seen or at is None and e in untimed:
                 continue
             now = "high" if p >= upper else "low" if p <= lower else "neutral"
-            day += seen is None or at.date() != seen.date()
+            day += at is None or seen is None or at.date() != seen.date()
             if zone is not None and now not in ("neutral", zone) and (fired is None or day - fired >= cooldown):
                 out.append((e, at, p, now, "P1" if p >= 0.95 or p <= 0.05 else "P2"))
                 fired = day
-            states[e] = now, fired, at, day
+            if at is None:
+                untimed.add(e)
+            else:
+                states[e] = now, fired, at, day
     return sorted(out, key=repr)
 
 
@@ -409,7 +414,7 @@ def test_stream_alerts_against_a_loop(spark, tmp_path, cooldown):
     batches = []
     for n, (lo, hi) in enumerate([(0, 150), (60, 150), (149, 152), (0, 220)]):
         batch = [(rng.choice(["a", "b", "c", None]), dt.datetime(2024, 1, 1) + dt.timedelta(days=rng.randrange(lo, hi), hours=rng.randrange(24)), rng.choice([0.01, 0.15, 0.5, 0.5, 0.85, 0.99])) for _ in range(900)]
-        batches.append([*batch, ("a", None, 0.99), ("late", dt.datetime(2024, 1, 9 - n), 0.9)])
+        batches.append([*batch, ("a", None, 0.99), ("a", None, 0.01), ("b", None, 0.99), ("late", dt.datetime(2024, 1, 9 - n), 0.9)])
         spark.createDataFrame(batches[-1], schema).coalesce(3).write.parquet(str(tmp_path / f"all{n}"))
     for n in range(len(batches)):
         spark.read.parquet(str(tmp_path / f"all{n}")).write.mode("append").parquet(str(tmp_path / "in"))
@@ -426,3 +431,12 @@ def test_mark_turns_leaves_an_entity_to_no_task(spark):
     assert rows.count() == 40000
     assert {r["n"] for r in rows.where("turn").groupBy("hour").agg(F.count(F.lit(1)).alias("n")).collect()} == {3}
     assert rows.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0] < 4000
+
+
+def test_streaming_alerts_with_untimed_events_against_sql(spark, tmp_path):
+    events = [("a", dt.datetime(2024, 1, 1 + i), 50.0) for i in range(6)] + [("a", None, 3.0), ("a", None, 90.0), ("b", dt.datetime(2024, 1, 1), 1.0), ("b", None, 99.0)]
+    spark.createDataFrame(events, "event_type string, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.streaming_alerts(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(con.sql(catalog.SQL["streaming_alerts"]).fetchall(), key=repr) and len(got) == 2

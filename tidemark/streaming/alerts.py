@@ -18,6 +18,8 @@ OUT = "entity string, at long, percentile double, direction string, severity str
 STATE = "direction byte, fired long, seen long, hour long, day long"
 #: ``before`` of an hour's first row.
 START = 2
+#: Time and hour of rows without a time.
+NEVER, NO_HOUR = 2**63 - 1, 2**40
 #: Tasks that the hours of all entities are dealt to, at least.
 SPREAD = 64
 
@@ -57,7 +59,7 @@ def mark_turns(df: DataFrame, upper: float, lower: float, cooldown: int) -> Data
 
     at = F.col("at").cast("timestamp")
     hour = F.unix_date(F.to_date(at)).cast("long") * 24 + F.hour(at)
-    rows = df.where("at IS NOT NULL").select(F.col("entity").cast("string"), F.unix_micros(at).alias("at"), hour.alias("hour"), F.col("percentile").cast("double"))
+    rows = df.select(F.col("entity").cast("string"), F.coalesce(F.unix_micros(at), F.lit(NEVER)).alias("at"), F.coalesce(hour, F.lit(NO_HOUR)).alias("hour"), F.col("percentile").cast("double"))
     return rows.repartition(tasks, "entity", "hour").mapInArrow(mark, MARKED)
 
 
@@ -66,8 +68,9 @@ def stream_alerts(df: DataFrame, upper: float = 0.85, lower: float = 0.15, coold
 
     State per entity: the zone last seen, the last time, how many days have had values, and which of them
     had the last alert. Rows of a batch are taken in time order; rows not after the last time seen are late
-    and ignored, as are rows without a time. The cooldown counts the entity's own days, as in batch: weekends
-    and holidays do not use it up. A crossing within it gives no alert but still moves the zone.
+    and ignored. The cooldown counts the entity's own days, as in batch: weekends and holidays do not use it
+    up. A crossing within it gives no alert but still moves the zone. Rows without a time come last in their
+    batch, as one moment on a day of its own, and leave the state as it is.
 
     No task holds an entity's batch: the fold lets its rows stream by and keeps marked ones. Only of the hour
     that the batch before ended in it keeps all, as marks do not know which of its rows are late.
@@ -75,7 +78,7 @@ def stream_alerts(df: DataFrame, upper: float = 0.85, lower: float = 0.15, coold
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         direction, fired, seen, last, day = state.get if state.exists else (None, None, None, None, 0)
-        rows, out, resumed = [], [], last
+        rows, out, resumed, after = [], [], last, (direction, fired, seen, last, day)
         for f in frames:
             if seen is not None:
                 f = f[f["at"] > seen]
@@ -88,13 +91,15 @@ def stream_alerts(df: DataFrame, upper: float = 0.85, lower: float = 0.15, coold
             if direction is not None and zone != 0 and zone != direction and (fired is None or day - fired >= cooldown):
                 out.append((key[0], at, p, "high" if zone > 0 else "low", "P1" if p >= 0.95 or p <= 0.05 else "P2"))
                 fired = day
-            direction, seen, last = zone, at, hour
-        state.update((direction, fired, seen, last, day))
+            if at != NEVER:
+                direction, seen, last = zone, at, hour
+                after = (direction, fired, seen, last, day)
+        state.update(after)
         yield pd.DataFrame(out, columns=["entity", "at", "percentile", "direction", "severity"])
 
     rows = mark_turns(df, upper, lower, cooldown)
     out = rows.groupBy("entity").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-    return out.withColumn("at", F.timestamp_micros("at"))
+    return out.withColumn("at", F.when(F.col("at") != NEVER, F.timestamp_micros("at")))
 
 
 def stream_counts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
